@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
