@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
