@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, toxicity
+from . import fingerprints, quality, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
