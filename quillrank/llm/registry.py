@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, quality, simhash, toxicity
+from . import fingerprints, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,11 +10,13 @@ def queries() -> dict:
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
+        "op8_warc": warc.op8_warc,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_warc": warc.ORACLE,
         "op10_quality_rules": quality.ORACLE,
     }
