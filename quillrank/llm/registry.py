@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, quality, simhash, toxicity, warc
+from . import chat, fingerprints, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op3_chat_formatting": chat.op3_chat_formatting,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_chat_formatting": chat.ORACLE,
         "op8_warc": warc.ORACLE,
         "op10_quality_rules": quality.ORACLE,
     }
