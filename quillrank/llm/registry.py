@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, quality, simhash, toxicity, warc
+from . import chat, fingerprints, packing, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
