@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, packing, quality, simhash, toxicity, warc
+from . import chat, fingerprints, licenses, packing, quality, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
         "op8_warc": warc.op8_warc,
+        "op9_license_scan": licenses.op9_license_scan,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
@@ -21,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_formatting": chat.ORACLE,
         "op8_warc": warc.ORACLE,
+        "op9_license_scan": licenses.ORACLE,
         "op10_quality_rules": quality.ORACLE,
     }
