@@ -33,6 +33,8 @@ BAND = (0.001, 0.05)
 THINNED = [r for r in range(2, 12) for _ in range(6 if r < 8 else 4)]
 LEXICON_ROWS = 1_000_000
 TERM_BREAK = r"[^\p{L}\p{N}]+"
+#: Where null ids stand in the order.
+LAST = -(2**63)
 #: A subset without terms.
 NONE = "0000"
 
@@ -147,20 +149,20 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lex = lexicon(docs)
     text = F.col("text")
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), text_of("text").alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), text_of("text").alias("text")).withColumn("h", F.xxhash64("text"))
     sizes = rows.select("id", "h", F.length("text").alias("n")).groupBy("id", "h").agg(F.max("n").alias("n"))
     order = materialize(following(sizes.select("id", "h"), ["id", "h"]).join(sizes, ["id", "h"]), "pairs")
-    # What each row lends to the row before it, which says how much it takes.
-    wanted = order.select(F.col("next.id").alias("id"), F.col("next.h").alias("h"), F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.expr("n div 2").alias("m"))
-    lent = rows.select("id", "h", "text").join(wanted, ["id", "h"]).select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), F.col("m").cast("int").alias("m"), F.substring(text, F.lit(1), F.col("m").cast("int")).alias("lent"))
-    own = rows.join(lent, ["id", "h"])
+    # What each row lends to the row before it, which says how much it takes.  Every use of
+    # ``rows`` below reads the same columns dealt by the same keys, so texts are shuffled once.
+    wanted = order.select(F.col("next.id").alias("id"), F.col("next.h").alias("h"), F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.expr("cast(n div 2 as int)").alias("m"))
+    lent = rows.join(wanted, ["id", "h"]).select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), F.substring(text, F.lit(1), F.col("m")).alias("lent"))
     n = F.length(text)
-    own = own.select("id", "h", "doc_id", "text", F.concat(F.substring(text, F.lit(1), n - F.col("m")), "lent").alias("edited"))
+    own = rows.join(lent, ["id", "h"]).select("id", "h", "text", F.concat(F.substring(text, F.lit(1), n - F.floor(n / 2).cast("int")), "lent").alias("edited"))
     found = fingerprint_terms(own, ["id", "h"], lex, {"fingerprint": terms(text), "edited_fingerprint": terms(F.col("edited"))})
-    plain = own.select("id", "h", "doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), of_text(text).alias("plain"), of_text(F.col("edited")).alias("plain_edited"))
+    plain = own.select("id", "h", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), of_text(text).alias("plain"), of_text(F.col("edited")).alias("plain_edited"))
     plain = plain.dropDuplicates(["id", "h"])
     whole = plain.join(found, ["id", "h"], "left").select(
-        "id", "h", "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", "plain").alias("fingerprint"), F.coalesce("edited_fingerprint", "plain_edited").alias("edited_fingerprint")
+        "id", "h", F.nullif("id", F.lit(LAST)).alias("doc_id"), "n_chars", "edited_sha256", F.coalesce("fingerprint", "plain").alias("fingerprint"), F.coalesce("edited_fingerprint", "plain_edited").alias("edited_fingerprint")
     )
     whole = materialize(whole, "prints")
     after = order.select("id", "h", "next").join(whole.select(F.struct("id", "h").alias("next"), F.col("fingerprint").alias("after")), "next").select("id", "h", "after")
