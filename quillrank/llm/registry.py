@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, licenses, packing, quality, simhash, toxicity, warc
+from . import chat, fingerprints, licenses, packing, quality, simhash, tokencount, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_chat_formatting": chat.op3_chat_formatting,
+        "op4_token_counts": tokencount.op4_token_counts,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_document_fingerprints": fingerprints.op7_document_fingerprints,
