@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, licenses, packing, quality, simhash, tokencount, toxicity, warc
+from . import chat, fingerprints, licenses, mixing, packing, quality, simhash, tokencount, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_chat_formatting": chat.op3_chat_formatting,
         "op4_token_counts": tokencount.op4_token_counts,
