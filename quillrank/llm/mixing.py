@@ -166,10 +166,13 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], bud
         budget = float(base.sum())
     aim, scale = want * budget, np.where(live, base, 1.0)
     steps: list[np.ndarray] = []
+    before = np.full(k, np.inf)
     for _ in range(ROUNDS):
         error = np.where(live, (totals(steps) - aim) / scale, 0.0)
-        if np.abs(error).max() <= CLOSE:
+        # The floor on rates may keep the targets out of reach: then the error ends to change.
+        if np.abs(error).max() <= CLOSE or np.abs(error - before).max() <= CLOSE / 10:
             break
+        before = error
         # The Hessian in this scale has no eigenvalue over 1, so a whole step never overshoots.
         steps.append(np.round(error, 12))
     return steps

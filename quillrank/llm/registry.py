@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, fingerprints, licenses, mixing, packing, quality, simhash, tokencount, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_mixing": mixing.op1_mixing,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_chat_formatting": chat.op3_chat_formatting,
