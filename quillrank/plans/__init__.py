@@ -1,6 +1,6 @@
 """Named queries with their SQL.  Importing this package registers all of them."""
 
-from . import text_queries  # noqa: F401
+from . import graph_queries, retrieval_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
