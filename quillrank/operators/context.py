@@ -38,7 +38,7 @@ def rewrite_citations(answer: Column, sources: Column) -> Column:
         def put(m: re.Match) -> str:
             number, _, rest = m[1].partition(",")
             i = int(number.strip())
-            if not 1 <= i <= len(found or []) or not found[i - 1]["name"]:
+            if found is None or not 1 <= i <= len(found) or not found[i - 1]["name"]:
                 return m[0]
             name, article, rest = found[i - 1]["name"], found[i - 1]["article"], rest.strip()
             return f"[{name}, {rest}]" if rest else f"[{name}, Điều {article}]" if article else f"[{name}]"

@@ -67,7 +67,7 @@ def articles(lines: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mark = lambda p: F.when(F.col("line").rlike(p), F.col("line"))
-    carried = lines.withColumns({"chap": mark(r"(?i)^chương\s"), "sec": mark(r"(?i)^mục\s"), "art": F.when(F.col("line").rlike(r"(?i)^điều\s+\d+"), F.col("line_no"))})
+    carried = lines.withColumns({"chap": mark(r"(?iu)^chương\s"), "sec": mark(r"(?iu)^mục\s"), "art": F.when(F.col("line").rlike(r"(?iu)^điều\s+\d+"), F.col("line_no"))})
     filled = carried.withColumns({
         "chapter": F.coalesce(F.last("chap", True).over(order), F.lit("Chương I")),
         "chap_no": F.max(F.when(F.col("chap").isNotNull(), F.col("line_no"))).over(order),
