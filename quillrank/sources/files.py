@@ -16,7 +16,7 @@ CHUNK = (
     f"content struct<full_text:string,clause:array<struct<clause_id:string,text:string,point:array<{POINT}>>>>"
 )
 GRAPH = (
-    "bookrag_entity_graph struct<metadata:map<string,string>,entities:array<struct<id:string,name:string,type:string,description:string>>,"
+    "struct<metadata:map<string,string>,entities:array<struct<id:string,name:string,type:string,description:string>>,"
     "relations:array<struct<source:string,target:string,relation:string>>,mappings:array<struct<tree_node:string,entity:string,relation:string>>>"
 )
 ONTOLOGY = (
@@ -44,8 +44,9 @@ def chunk_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def graph_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, relations, mappings) of a graph file."""
-    root = _json(spark, path, GRAPH).select("bookrag_entity_graph.*")
+    """(entities, relations, mappings) of a graph file: one object under a single key of any name."""
+    whole = spark.read.option("wholetext", True).text(path)
+    root = whole.select(F.explode(F.from_json("value", f"map<string,{GRAPH}>")).alias("key", "graph")).select("graph.*")
     return tuple(root.select(F.inline(c)) for c in ("entities", "relations", "mappings"))
 
 
