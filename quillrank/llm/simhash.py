@@ -217,7 +217,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col)
     chosen = materialize(found.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id", "print").count(), "kept")
-    kept = docs.join(chosen.select(F.col("id").alias("__kept_id")).distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")
+    # Both sides are dealt by id at every size: the list of kept ids grows with the documents.
+    kept = docs.join(chosen.select(F.col("id").alias("__kept_id")).distinct().hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")
     if not chosen.where("count > 1 or id is null").isEmpty():  # repeated ids: take one row of each
         src = kept.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
         one = src.groupBy("id", F.when(F.col("id").isNull(), F.xxhash64("text")).alias("t")).agg(F.any_value("row").alias("row"))
