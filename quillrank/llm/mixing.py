@@ -40,6 +40,8 @@ ROUNDS = 60
 CLOSE = 1e-4
 #: Words that one worker remembers.
 MEMORY = 400_000
+#: Highest rate of the production query (none), and of the pipeline, where a document is seen so often at most.
+MOST, EPOCHS = 1e9, 4.0
 #: Target token shares of the production query.
 TARGETS = {"de": 0.15, "en": 0.5, "es": 0.15, "fr": 0.2}
 
@@ -127,17 +129,17 @@ def membership(classifier: Classifier, text: Column) -> Column:
     return F.arrow_udf(scored, "struct<tokens:bigint, posterior:array<double>>")(text)
 
 
-def rate_column(posterior: Column, steps: list[np.ndarray], least: float) -> Column:
-    """The rate after all steps: the fold of max(least, rate - posterior . step)."""
+def rate_column(posterior: Column, steps: list[np.ndarray], least: float, most: float = MOST) -> Column:
+    """The rate after all steps: the fold of rate - posterior . step, held between ``least`` and ``most``."""
     start = F.lit(1.0)
     if not steps:
         return start
     vectors = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in steps])
     dot = lambda c: reduce(lambda a, b: a + b, [posterior[i] * c[i] for i in range(len(steps[0]))])
-    return F.aggregate(vectors, start, lambda r, c: F.greatest(F.lit(float(least)), r - dot(c)))
+    return F.aggregate(vectors, start, lambda r, c: F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), r - dot(c))))
 
 
-def solve(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float | str = "total", least: float = 0.0) -> list[np.ndarray]:
+def solve(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float | str = "total", least: float = 0.0, most: float = MOST) -> list[np.ndarray]:
     """Step vectors of the descent over written (tokens, posterior) rows.
 
     ``targets`` are token shares; domains without one get none.  ``budget`` is the number of
@@ -147,7 +149,7 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], bud
     k = len(domains)
 
     def totals(steps: list[np.ndarray]) -> np.ndarray:
-        rate = rate_column(F.col("posterior"), steps, least)
+        rate = rate_column(F.col("posterior"), steps, least, most)
         row = members.select(*[(F.col("tokens") * rate * F.col("posterior")[i]).alias(f"m{i}") for i in range(k)]).agg(*[F.sum(f"m{i}") for i in range(k)]).first()
         return np.array([v or 0.0 for v in row])
 
@@ -200,12 +202,12 @@ def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """Documents repeated by their copies; no domain shrinks, so every document stays at least once."""
+    """Documents repeated by their copies, each from once to ``EPOCHS`` times; no domain shrinks."""
     classifier = fit_classifier(docs, labelled)
     names = [fresh(docs, s) for s in ("_member", "_copies", "_copy")]
     scored = docs.withColumn(names[0], membership(classifier, text_of("text")))
     members = materialize(scored.select(f"{names[0]}.*"), "members")
-    rate = rate_column(F.col(names[0])["posterior"], solve(members, classifier.domains, targets, "keep", 1.0), 1.0)
+    rate = rate_column(F.col(names[0])["posterior"], solve(members, classifier.domains, targets, "keep", 1.0, EPOCHS), 1.0, EPOCHS)
     copied = scored.withColumn(names[1], copies_column(F.round(rate, 6), F.col("doc_id")))
     return copied.withColumn(names[2], F.explode(F.array_repeat(F.lit(1), F.col(names[1])))).select(*[f"`{c}`" for c in docs.columns])
 
