@@ -76,7 +76,9 @@ def _measure(df: DataFrame, text_col: str) -> tuple[DataFrame, str]:
         "n_repeat_words": covered,
         "n_upper": long(F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))),
     }
-    df = df.withColumn(out, F.struct(*[c.alias(k) for k, c in fields.items()]))
+    # A later filter on measurements would be pushed down with all of them written out in it,
+    # again and again; it can't pass the explosion of a one-element array.
+    df = df.withColumn(out, F.explode(F.array(F.struct(*[c.alias(k) for k, c in fields.items()]))))
     return df.drop(words, windows), out
 
 
@@ -131,10 +133,7 @@ def ablation(ledgered: DataFrame, policy: str = "v1") -> DataFrame:
 def filter_stage(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The documents that a policy keeps, with their own columns."""
     df, m = _measure(docs, text_col)
-    # A filter over plain columns would be pushed down with all measurements written out in it,
-    # again and again; it can't pass the explosion of a one-element array.
-    df = df.withColumn(m, F.explode(F.array(_bits(F.col(m)))))
-    return df.where(F.col(m).bitwiseAND(mask("base") | mask(policy)) == 0).select(*[f"`{c}`" for c in docs.columns])
+    return df.where(_bits(F.col(m)).bitwiseAND(mask("base") | mask(policy)) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
