@@ -119,3 +119,14 @@ def link_articles(selected: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     linked = pairs.where(~(same & (sa == ca))).withColumn("rule", rule).where("rule is not null")
     return linked.select("query_id", "s_doc", "s_article", "c_doc", "c_article", "rule")
+
+
+def footnotes(refs: DataFrame, titles: DataFrame) -> DataFrame:
+    """Titles for footnotes: by exact number, by number and year, by the number of a law, by a part of the title."""
+    raw, so_hieu = F.col("raw"), F.col("so_hieu")
+    number, law = T.first_match(raw, r"(\d+/\d{4})"), T.first_match(raw, r"^Luật (\d+)")
+    tier = F.when(so_hieu == raw, 1).when(number.isNotNull() & F.contains(so_hieu, number), 2).when(law.isNotNull() & F.startswith(so_hieu, F.concat(law, F.lit("/"))), 3)
+    tier = tier.when((F.length(raw) > 5) & F.contains(F.lower("title"), F.lower(raw)), 4)
+    hits = refs.select("raw").distinct().join(F.broadcast(titles), tier.isNotNull()).withColumn("tier", tier)
+    best = hits.groupBy("raw").agg(F.min_by(F.struct("title", "tier"), F.struct("tier", "ord")).alias("b"))
+    return refs.join(best, "raw", "left").select("raw", F.col("b.title").alias("title"), F.coalesce("b.tier", F.lit(5)).alias("tier"))

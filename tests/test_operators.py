@@ -85,3 +85,25 @@ def test_resumable_and_index(spark, tmp_path):
     files.write_index({"t": df}, str(tmp_path / "index"))
     assert files.index_is_current(spark, df, str(tmp_path / "index"), "t")
     assert not files.index_is_current(spark, df.limit(1), str(tmp_path / "index"), "t")
+
+
+def test_models(spark):
+    from quillrank.operators import models
+
+    calls = []
+
+    def flaky(prompts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("busy")
+        return [p.upper() for p in prompts]
+
+    assert models.patiently(flaky, ["a"], (0.0, 0.0)) == (["A"], None)
+    assert models.patiently(lambda p: 1 / 0, ["a"], (0.0, 0.0))[1] == "division by zero"
+    models.register_rewriter("broken", lambda p: [""] * len(p))
+    df = spark.createDataFrame([("x",), (None,)], "p string")
+    assert [r.answer for r in models.rewrite(df, "p", "broken", waits=(0.0, 0.0)).collect()] == ["[LLM Error: empty answer]"] * 2
+    pairs = spark.createDataFrame([("a b", "b c"), (None, "x")], "q string, t string")
+    assert [r.score for r in models.score(pairs, "q", "t").collect()] == [0.5, 0.0]
+    v = models.encode(df, "p").first().embedding
+    assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-6
