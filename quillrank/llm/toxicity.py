@@ -49,6 +49,8 @@ LEET = {
 SYMBOLS = 28
 SUBSTITUTE, DROP, DROP_DIGIT, LITERAL, SHORTEN = math.log(0.5), math.log(0.3), math.log(1e-6), math.log(0.1), math.log(0.5)
 BEAM = 24
+#: Readings of a disguised word that are looked up; any of them may be a marked word.
+READINGS = 4
 #: Least log odds, at their lower bound, of a term that marks toxic texts.
 LEAST = 1.8
 
@@ -109,39 +111,50 @@ def _readings(written: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(written: str, model: np.ndarray) -> str:
-    """The likeliest plain reading of one lower-case word; a space stands for a cut."""
-    best = {(0, 0): (0.0, "")}
+def decode(written: str, model: np.ndarray, n: int = 1) -> list[str]:
+    """The n likeliest plain readings of one lower-case word; a space stands for a cut.
+
+    Viterbi over the lattice with the last two symbols as state and n hypotheses for each.
+    """
+    best: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
     for choices in _readings(written):
-        ahead: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, read) in best.items():
+        ahead: dict[tuple[int, int], list[tuple[float, str]]] = {}
+        for (a, b), held in best.items():
             for letters, cost in choices:
-                x, y, s = a, b, score + cost
+                x, y, s = a, b, cost
                 for c in letters:
                     z = 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
                     s += model[x, y, z]
                     x, y = y, z
-                if (x, y) not in ahead or s > ahead[x, y][0]:
-                    ahead[x, y] = (s, read + letters)
-        best = dict(sorted(ahead.items(), key=lambda kv: -kv[1][0])[:BEAM])
-    return max(((s + model[a, b, 0], read) for (a, b), (s, read) in best.items()), key=lambda x: x[0])[1]
+                ahead.setdefault((x, y), []).extend((score + s, read + letters) for score, read in held)
+        for state, held in ahead.items():
+            held.sort(key=lambda h: -h[0])
+            del held[n:]
+        best = dict(sorted(ahead.items(), key=lambda kv: -kv[1][0][0])[:BEAM])
+    ends = sorted(((s + model[a, b, 0], read) for (a, b), held in best.items() for s, read in held), key=lambda x: -x[0])
+    return list(dict.fromkeys(read for _, read in ends))[:n]
 
 
-def restore(word: str, model: np.ndarray) -> list[str]:
-    """The plain lower-case words that one written word stands for."""
+def readings(word: str, model: np.ndarray, n: int = READINGS) -> list[list[str]]:
+    """The likeliest plain lower-case readings of one written word, best first; each is a list of words."""
     word = word.lower()
     if PLAIN.fullmatch(word) and not RUN.search(word):
-        return [word]
+        return [[word]]
     word = EDGE.sub("", word)
     if PLAIN.fullmatch(word) and not RUN.search(word):
-        return [word]
+        return [[word]]
     if not any(c.isalpha() for c in word):
         return []
-    return decode(word, model).split()
+    return [r.split() for r in decode(word, model, n)]
+
+
+def restore(word: str, model: np.ndarray) -> list[str]:
+    """The likeliest plain words that one written word stands for."""
+    return next(iter(readings(word, model, 1)), [])
 
 
 def restored_words(text: str, model: np.ndarray, memory: dict) -> set[tuple[str, ...]]:
-    """Distinct readings of a whole text, those of spaced-out letters too."""
+    """Distinct words of a whole text, each with its likeliest readings; spaced-out letters are a word too."""
     out = set()
     written = set(text.split())
     for spaced in SPACED.finditer(text):
@@ -153,7 +166,7 @@ def restored_words(text: str, model: np.ndarray, memory: dict) -> set[tuple[str,
         if found is None:
             if len(memory) > MEMORY:
                 memory.clear()
-            found = memory[w] = tuple(restore(w, model))
+            found = memory[w] = tuple(dict.fromkeys(x for reading in readings(w, model) for x in reading))
         out.add(found)
     return out
 
@@ -164,7 +177,7 @@ def features_of(word: str) -> list[str]:
 
 
 def _terms(text: str, model: np.ndarray, memory: dict) -> set[str]:
-    return {f for reading in restored_words(text, model, memory) for w in reading for f in features_of(w)}
+    return {f for words in restored_words(text, model, memory) for w in words for f in features_of(w)}
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch], model: np.ndarray, only: set[str] | None) -> Iterator[pa.RecordBatch]:
@@ -198,19 +211,23 @@ class Scorer:
 
     def measure(self, text: str, memory: dict, label: int | None = None) -> tuple[float, float]:
         """(summed weight, share of marked words); with a label, the text's own counts are taken out."""
-        total = marked = 0.0
-        words = {w for reading in restored_words(text, self.model, memory) for w in reading}
-        for word in words:
+        def weight(f: str) -> float:
             if label is None:
-                w = max([self.weights.get(f, 0.0) for f in features_of(word)])
-            else:
-                w = 0.0
-                for f in features_of(word):
-                    if f in self.weights:
-                        a, b = self.counts[f]
-                        w = max(w, _weight(a - label, b - 1 + label, self.n[0] - label, self.n[1] - 1 + label))
-            total += w
-            marked += w > 0
+                return self.weights.get(f, 0.0)
+            if f not in self.weights:
+                return 0.0
+            a, b = self.counts[f]
+            return _weight(a - label, b - 1 + label, self.n[0] - label, self.n[1] - 1 + label)
+
+        total = marked = 0.0
+        words = restored_words(text, self.model, memory)
+        seen: set[str] = set()
+        for found in words:
+            w, word = max(((weight(f), x) for x in found for f in features_of(x)), default=(0.0, ""))
+            if w > 0 and word not in seen:
+                seen.add(word)
+                total += w
+                marked += 1
         return math.log1p(total), math.log1p(100 * marked / max(1, len(words)))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:

@@ -208,6 +208,7 @@ def test_decoder(spark):
     for written, plain in {"1d10t": "idiot", "i.d.i.o.t": "idiot", "stuuuupid": "stupid", "tr4sh!!!": "trash", "m0r0n": "moron", "the%%%": "the", "$cum": "scum", "l0$er": "loser", "plain": "plain"}.items():
         assert toxicity.restore(written, model) == [plain], written
     assert toxicity.restore("12345", model) == []
+    assert ["idiot"] in toxicity.readings("1d!0t", model)
     spaced = toxicity.restored_words("you i d i o t here", model, {})
     assert ("idiot",) in spaced
 
