@@ -86,3 +86,16 @@ def test_warc_odd(spark):
 def test_null_columns(spark):
     df = docs(spark).withColumn("text", F.lit(None).cast("string"))
     assert quality.ledger(df).agg(F.max("n_words")).first()[0] == 0
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_fingerprint_query(spark, tmp_path, rows):
+    clashing(docs(spark, rows)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = fingerprints.op7_document_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == max(0, len(rows) - 1)
+    by_id = {r.doc_id: r for r in got}
+    if rows:  # ids run down: 7, 6, .., 1, null, and then 7 again
+        assert by_id[None].n_chars == 10 and by_id[1].fingerprint == by_id[2].fingerprint and by_id[None].near_next == 0.0
+        import hashlib
+
+        assert by_id[6].edited_sha256 == hashlib.sha256((ODD[7][1][: len(ODD[7][1]) - len(ODD[7][1]) // 2] + ("word " * 4000)[: len(ODD[7][1]) // 2]).encode()).hexdigest()
