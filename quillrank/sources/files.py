@@ -102,3 +102,20 @@ def index_is_current(spark: SparkSession, df: DataFrame, path: str, name: str) -
         return False
     now = manifest(df).first()
     return kept is not None and (kept["n"], kept["content"]) == (now["n"], now["content"])
+
+
+def append_trace(lines: DataFrame, path: str) -> None:
+    """Append one text column to a log of text files."""
+    lines.select(F.col(lines.columns[0]).cast("string").alias("value")).write.mode("append").text(path)
+
+
+def rewrite_with_backup(df: DataFrame, path: str) -> None:
+    """Replace the table at ``path`` by rows that may come from it: write aside, keep the old one as ``.bak``, swap."""
+    context = df.sparkSession.sparkContext
+    place = lambda p: context._jvm.org.apache.hadoop.fs.Path(p)
+    store = place(path).getFileSystem(context._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    if store.exists(place(path)):
+        store.delete(place(f"{path}.bak"), True)
+        store.rename(place(path), place(f"{path}.bak"))
+    store.rename(place(f"{path}.new"), place(path))

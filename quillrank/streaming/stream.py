@@ -82,23 +82,24 @@ class Bucket(StatefulProcessor):
 
 
 class Cached(StatefulProcessor):
-    """A key that is known for a time after it was written; reading it doesn't renew it."""
+    """A key that is known for some seconds of event time after it was written; reading it doesn't renew it."""
 
-    def __init__(self, ttl_ms: int = 1_800_000):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_seconds: int = 1800):
+        self.ttl = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.written = handle.getValueState("written", "at timestamp", ttlDurationMs=self.ttl_ms)
+        self.written = handle.getValueState("written", "at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            hits = []
-            for ts in frame["ts"]:
-                hit = self.written.exists()
-                hits.append(hit)
-                if not hit:
-                    self.written.update((pd.Timestamp(ts).to_pydatetime(),))
-            yield pd.DataFrame({"key": key[0], "hit": hits})
+        at = pd.Timestamp(self.written.get()[0]) if self.written.exists() else None
+        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        hits = []
+        for ts in frame["ts"]:
+            hit = at is not None and (ts - at).total_seconds() < self.ttl
+            hits.append(hit)
+            at = at if hit else ts
+        self.written.update((at.to_pydatetime(),))
+        yield pd.DataFrame({"event_id": frame["event_id"], "key": key[0], "hit": hits})
 
     def close(self) -> None:
         pass
@@ -110,6 +111,7 @@ def rate_limit(stream: DataFrame, per_minute: int = 30) -> DataFrame:
     return asked.groupBy("client").transformWithStateInPandas(Bucket(per_minute), "event_id bigint, client bigint, allowed boolean", "append", "none")
 
 
-def cached(stream: DataFrame, ttl_ms: int = 1_800_000) -> DataFrame:
+def cached(stream: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
+    """(event_id, key, ts) requests become hits and misses."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return stream.select("key", "ts").groupBy("key").transformWithStateInPandas(Cached(ttl_ms), "key string, hit boolean", "append", "processingTime")
+    return stream.select("event_id", "key", "ts").groupBy("key").transformWithStateInPandas(Cached(ttl_seconds), "event_id bigint, key string, hit boolean", "append", "none")

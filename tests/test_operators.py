@@ -107,3 +107,25 @@ def test_models(spark):
     assert [r.score for r in models.score(pairs, "q", "t").collect()] == [0.5, 0.0]
     v = models.encode(df, "p").first().embedding
     assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-6
+
+
+def test_trace_and_backup(spark, tmp_path):
+    log, path = str(tmp_path / "log"), str(tmp_path / "t")
+    for word in ("one", "two"):
+        files.append_trace(spark.createDataFrame([(word,)], "line string"), log)
+    assert sorted(r.value for r in spark.read.text(log).collect()) == ["one", "two"]
+    spark.range(3).write.parquet(path)
+    files.rewrite_with_backup(spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2 and spark.read.parquet(f"{path}.bak").count() == 3
+
+
+def test_streamed_cache_and_bucket(spark, sf_dir):
+    from quillrank.streaming import stream
+
+    key = F.concat("event_type", F.lit(":"), F.col("user_id").cast("string"))
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet").withColumns({"key": key, "client": F.col("user_id")})
+    events = stream.events(spark, sf_dir)
+    hits = stream.drain(stream.cached(events.withColumn("key", key)), "append")
+    assert sorted(hits.collect()) == sorted(sessions.cache_hits(batch).collect())
+    passed = stream.drain(stream.rate_limit(events, 2), "append")
+    assert sorted(passed.collect()) == sorted(sessions.rate_limit(batch, 2).collect())
