@@ -34,11 +34,11 @@ def search(catalog: DataFrame, dense: DataFrame, sparse: DataFrame, pool: int =
     Ranks count rows that the thresholds then drop.  Fewer than three common documents leave the
     whole filtered catalog.  The list is cut in catalog order, not by rank.
     """
-    def ranked(scored: DataFrame, least: float, name: int) -> DataFrame:
+    def ranked(scored: DataFrame, least: float) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return scored.withColumn("rank", F.row_number().over(order) - 1).where((F.col("rank") < 2 * pool) & (F.col("score") > least)).select("query_id", "id", "rank")
 
-    lists = ranked(dense, 0.15, 0).union(ranked(sparse, 0.0, 1))
+    lists = ranked(dense, 0.15).union(ranked(sparse, 0.0))
     fused = lists.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (61 + F.col("rank"))), 9).alias("rrf"))
     best = fused.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "id"))).where(F.col("n") <= pool)
     asked = dense.select("query_id").union(sparse.select("query_id")).distinct()

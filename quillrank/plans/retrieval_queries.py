@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import fusion, lexical, retrieve, vector
 from ..sources import tables as S
 from . import sql as Q

@@ -8,7 +8,6 @@ from ..functions import text as T
 from ..operators import metrics, sessions
 from ..sources import tables as S
 from ..streaming import stream
-from . import sql as Q
 from .registry import Rows, query
 
 LONG = "::BIGINT"
@@ -20,7 +19,6 @@ RESULTS = Rows("qid int, kind string, expected array<string>, found array<string
 _REC = "CASE WHEN len(expected) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(expected, found))::DOUBLE / len(expected) END"
 _REL = "CASE WHEN len(expected) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(expected, lambda e: len(list_filter(found, lambda f: contains(e, f) OR contains(f, e))) > 0))::DOUBLE / len(expected) END"
 _GRADE = """CASE WHEN contains(label, 'Bia_Luat') THEN CASE WHEN contains(lower(coalesce(answer, '')), '99/2099') OR confidence < 0.7 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END WHEN contains(label, 'Suy_Dien') THEN 1.0::DOUBLE WHEN contains(label, 'Vien_Dan_Bo_Sung') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END"""
-E_, F_ = F.col, F
 
 
 def recall():
