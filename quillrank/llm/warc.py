@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import struct
 import uuid
 from collections.abc import Iterator
