@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import mixing, packing, quality, simhash, toxicity
+from quillrank.llm import mixing, packing, quality, shingles, toxicity
 from quillrank.llm.common import materialize, table
 
 
@@ -25,8 +25,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
-    return simhash.keep_one(docs)
+    """One document of each class of near copies: five-word shingles, likeness 0.8 or more."""
+    return shingles.keep_one_copy(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("toxicity", toxicity_filter),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("mixing to target weights", mix_sources),
     ("best-fit packing", pack),
 ]

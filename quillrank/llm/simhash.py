@@ -21,7 +21,7 @@ id; an empty table gives an empty result; other columns are ignored, whatever th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -194,10 +194,13 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_join_roots, "a bigint, b bigint")
 
 
-def classes(printed: DataFrame) -> DataFrame:
-    """(id, print) rows become (id, print, class_id): the smallest id reachable over links."""
+def classes(printed: DataFrame, link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """(id, print) rows become (id, print, class_id): the smallest id reachable over links.
+
+    ``link`` turns the distinct prints into (a, b) rows.
+    """
     by_print = materialize(printed.groupBy("print").agg(F.min("id").alias("first")), "prints")
-    found = components(links(by_print.select("print")))
+    found = components(link(by_print.select("print")))
     members = by_print.join(found, F.col("print") == F.col("node")).select("print", "first", "component")
     least = members.groupBy("component").agg(F.min("first").alias("least"))
     moved = members.join(least, "component").select("print", "least")
@@ -210,12 +213,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes(materialize(prints(docs, id_col, text_col), "simhash"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """One row of each class: that of the smallest id (of rows that repeat it, any one).
 
-    Rows with a null id in a class without ids: one for each fingerprint.
+    Rows with a null id in a class without ids: one for each fingerprint.  ``find`` gives the classes.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = find(docs, id_col, text_col)
     chosen = materialize(found.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id", "print").count(), "kept")
     # Both sides are dealt by id at every size: the list of kept ids grows with the documents.
     kept = docs.join(chosen.select(F.col("id").alias("__kept_id")).distinct().hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")
