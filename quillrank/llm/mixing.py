@@ -20,6 +20,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,12 +41,17 @@ ROUNDS = 60
 CLOSE = 1e-4
 #: Words that one worker remembers.
 MEMORY = 400_000
-#: Highest rate of the production query (none), and of the pipeline, where a document is seen so often at most.
+#: Highest rate, which is none, and the rate beyond which the pipeline's stage reports a domain.
 MOST, EPOCHS = 1e9, 4.0
+#: Difference of an achieved share from its target beyond which it is reported.
+OFF = 0.005
 #: Target token shares of the production query.
 TARGETS = {"de": 0.15, "en": 0.5, "es": 0.15, "fr": 0.2}
 
 
+LOG = logging.getLogger(__name__)
+
+
 class Buckets(dict):
     """Hash buckets of words, kept as they are asked for."""
 
@@ -170,16 +176,28 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], bud
     steps: list[np.ndarray] = []
     before = np.full(k, np.inf)
     for _ in range(ROUNDS):
-        error = np.where(live, (totals(steps) - aim) / scale, 0.0)
+        got = totals(steps)
+        error = np.where(live, (got - aim) / scale, 0.0)
         # The floor on rates may keep the targets out of reach: then the error ends to change.
         if np.abs(error).max() <= CLOSE or np.abs(error - before).max() <= CLOSE / 10:
             break
         before = error
         # The Hessian in this scale has no eigenvalue over 1, so a whole step never overshoots.
         steps.append(np.round(error, 12))
+    else:
+        got = totals(steps)
+    report(domains, base, got, want)
     return steps
 
 
+def report(domains: list[str], base: np.ndarray, got: np.ndarray, want: np.ndarray) -> None:
+    """Log achieved and target shares, as a warning where a target is missed or a domain is repeated over ``EPOCHS`` times."""
+    share, times = got / max(got.sum(), 1e-9), got / np.maximum(base, 1e-9)
+    missed = np.abs(share - want).max() > OFF
+    text = ", ".join(f"{d} {s:.4f} of {w:.4f} ({t:.2f} times)" for d, s, w, t in zip(domains, share, want, times))
+    LOG.log(logging.WARNING if missed or times.max() > EPOCHS else logging.INFO, "mixing %s: token shares achieved of target (repeats) %s", "misses its targets" if missed else "meets its targets", text)
+
+
 def copies_column(rate: Column, id_: Column) -> Column:
     """Whole copies of a document, decided by its id."""
     chance = F.pmod(F.xxhash64(id_, F.lit("copies")), F.lit(1_000_000)) / 1_000_000.0
@@ -201,13 +219,13 @@ def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")).join(labels, "doc_id")
 
 
-def mix_stage(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """Documents repeated by their copies, each from once to ``EPOCHS`` times; no domain shrinks."""
+def mix_stage(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST) -> DataFrame:
+    """Documents repeated by their copies, each at least once and as often as the targets take; no domain shrinks."""
     classifier = fit_classifier(docs, labelled)
     names = [fresh(docs, s) for s in ("_member", "_copies", "_copy")]
     scored = docs.withColumn(names[0], membership(classifier, text_of("text")))
     members = materialize(scored.select(f"{names[0]}.*"), "members")
-    rate = rate_column(F.col(names[0])["posterior"], solve(members, classifier.domains, targets, "keep", 1.0, EPOCHS), 1.0, EPOCHS)
+    rate = rate_column(F.col(names[0])["posterior"], solve(members, classifier.domains, targets, "keep", 1.0, most), 1.0, most)
     copied = scored.withColumn(names[1], copies_column(F.round(rate, 6), F.col("doc_id")))
     return copied.withColumn(names[2], F.explode(F.array_repeat(F.lit(1), F.col(names[1])))).select(*[f"`{c}`" for c in docs.columns])
 

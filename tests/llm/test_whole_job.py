@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import combinations
 
-from quillrank.llm import shingles
+from quillrank.llm import mixing, shingles
 from tests.llm.helpers import docs
 
 
@@ -32,3 +33,16 @@ def test_near_copies_of_five_word_shingles(spark, monkeypatch):
     df = docs(spark, [(i, t, "en", "s", len(t)) for i, t in texts.items()])
     assert {r.id: r.class_id for r in shingles.near_copies(df).collect()} == up
     assert {r.doc_id for r in shingles.keep_one_copy(df).collect()} == set(up.values())
+
+
+def test_mixing_stage_meets_targets_of_a_rare_domain(spark):
+    """A domain of 4 % of the tokens has to be repeated six times to get 15 %."""
+    rng = random.Random(4)
+    rows = []
+    for lang, n in {"en": 400, "de": 40, "fr": 40, "es": 20}.items():
+        for _ in range(n):
+            rows.append((len(rows), " ".join(f"{lang}{rng.randrange(200)}" for _ in range(60)), lang, "s", 60))
+    df = docs(spark, rows)
+    got = Counter({r.lang: r["count"] for r in mixing.mix_stage(df, df.selectExpr("doc_id", "lang as domain")).groupBy("lang").count().collect()})
+    for lang, share in mixing.TARGETS.items():
+        assert abs(got[lang] / got.total() - share) < 0.02
