@@ -124,11 +124,11 @@ def links(sketches: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, print, class_id) for each row of ``docs``."""
+    """(id, h, print, class_id, root) for each row of ``docs``."""
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
     schema = f"id {texts.schema['id'].dataType.simpleString()}, h bigint, print bigint, n bigint, bands array<bigint>"
     sketches = materialize(texts.mapInArrow(_sketch_batches, schema), "sketches")
-    return classes(sketches.select("id", "print"), lambda _: links(sketches, texts.select("h", "text")))
+    return classes(sketches.select("id", "h", "print"), lambda _: links(sketches, texts.select("h", "text")))
 
 
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -69,13 +69,14 @@ def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         found = pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], found], ["id", *batch.schema.names[2:], "print"])
 
 
-def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, print) for each row."""
+def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(id, print) for each row; with ``hashed`` (id, h, print), where h is a hash of the text."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
-    return src.mapInArrow(_print_batches, f"id {src.schema['id'].dataType.simpleString()}, print bigint")
+    src = src.withColumn("h", F.xxhash64("text")) if hashed else src
+    return src.mapInArrow(_print_batches, f"id {src.schema['id'].dataType.simpleString()}, {'h bigint, ' * hashed}print bigint")
 
 
 class _Classes:
@@ -195,7 +196,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def classes(printed: DataFrame, link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
-    """(id, print) rows become (id, print, class_id): the smallest id reachable over links.
+    """(id, print) rows get a class_id, the smallest id reachable over links, and the class's smallest print, root.
 
     ``link`` turns the distinct prints into (a, b) rows.
     """
@@ -203,29 +204,32 @@ def classes(printed: DataFrame, link: Callable[[DataFrame], DataFrame] = links)
     found = components(link(by_print.select("print")))
     members = by_print.join(found, F.col("print") == F.col("node")).select("print", "first", "component")
     least = members.groupBy("component").agg(F.min("first").alias("least"))
-    moved = members.join(least, "component").select("print", "least")
-    place = by_print.join(moved, "print", "left").select("print", F.coalesce("least", "first").alias("class_id"))
-    return printed.join(place, "print").select("id", "print", "class_id")
+    moved = members.join(least, "component").select("print", "component", "least")
+    place = by_print.join(moved, "print", "left").select("print", F.coalesce("least", "first").alias("class_id"), F.coalesce("component", "print").alias("root"))
+    return printed.join(place, "print").select(*printed.columns, "class_id", "root")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, print, class_id) for each row of ``docs``; texts are read once."""
-    return classes(materialize(prints(docs, id_col, text_col), "simhash"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(id, print, class_id, root), with ``hashed`` also h, for each row of ``docs``; texts are read once."""
+    return classes(materialize(prints(docs, id_col, text_col, hashed), "simhash"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """One row of each class: that of the smallest id (of rows that repeat it, any one).
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """One row of each class: that of the smallest id; of several texts of this id, that of the smallest hash.
 
-    Rows with a null id in a class without ids: one for each fingerprint.  ``find`` gives the classes.
+    A row is known by its id and a hash of its text, so only exact repeats of a kept row are folded.
+    ``find`` gives (id, h, class_id, root) of each row.
     """
-    found = find(docs, id_col, text_col)
-    chosen = materialize(found.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id", "print").count(), "kept")
-    # Both sides are dealt by id at every size: the list of kept ids grows with the documents.
-    kept = docs.join(chosen.select(F.col("id").alias("__kept_id")).distinct().hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")
-    if not chosen.where("count > 1 or id is null").isEmpty():  # repeated ids: take one row of each
-        src = kept.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
-        one = src.groupBy("id", F.when(F.col("id").isNull(), F.xxhash64("text")).alias("t")).agg(F.any_value("row").alias("row"))
-        kept = one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    found = find(docs, id_col, text_col) if find else near_duplicates(docs, id_col, text_col, hashed=True)
+    first = found.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("root", "id", "h").count()
+    chosen = materialize(first.groupBy("root").agg(F.min_by(F.struct("id", "h", "count"), "h").alias("row")).select("row.*"), "kept")
+    # Both sides are dealt by id and hash at every size: the list of kept rows grows with the documents.
+    key, text_hash = F.col(f"`{id_col}`"), F.xxhash64(text_of(text_col))
+    keys = chosen.select(F.col("id").alias("__kept_id"), F.col("h").alias("__kept_h")).hint("merge")
+    kept = docs.join(keys, key.eqNullSafe(F.col("__kept_id")) & (text_hash == F.col("__kept_h")), "left_semi")
+    if not chosen.where("count > 1").isEmpty():  # repeated rows: take one of each
+        src = kept.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), key.alias("id"), text_hash.alias("h"))
+        kept = src.groupBy("id", "h").agg(F.any_value("row").alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
     return kept
 
 

@@ -6,7 +6,9 @@ import random
 from collections import Counter
 from itertools import combinations
 
-from quillrank.llm import mixing, shingles
+import pytest
+
+from quillrank.llm import mixing, shingles, simhash
 from tests.llm.helpers import docs
 
 
@@ -46,3 +48,13 @@ def test_mixing_stage_meets_targets_of_a_rare_domain(spark):
     got = Counter({r.lang: r["count"] for r in mixing.mix_stage(df, df.selectExpr("doc_id", "lang as domain")).groupBy("lang").count().collect()})
     for lang, share in mixing.TARGETS.items():
         assert abs(got[lang] / got.total() - share) < 0.02
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one, shingles.keep_one_copy])
+def test_keep_one_of_shared_ids(spark, keep):
+    """One row of each class, though ids stand on several texts, repeat or are null."""
+    text = {c: " ".join(f"{c}{i}" for i in range(400)) for c in "abcde"}
+    near = text["e"].upper()
+    rows = [(1, text["a"]), (1, text["b"]), (1, text["b"]), (2, text["c"]), (3, text["c"]), (3, text["d"]), (None, text["e"]), (None, near), (None, text["d"])]
+    kept = keep(docs(spark, [(i, t, "en", "s", len(t)) for i, t in rows])).collect()
+    assert sorted((r.doc_id or 0, r.text[0].lower()) for r in kept) == [(0, "e"), (1, "a"), (1, "b"), (2, "c"), (3, "d")]
