@@ -21,7 +21,7 @@ id; an empty table gives an empty result; other columns are ignored, whatever th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_of
+from .common import fresh, materialize, table, text_of
 from .components import components
 
 DISTANCE = 3
@@ -44,25 +44,30 @@ FRONT = 1_000_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes, k: int = SHINGLE) -> int:
-    """The fingerprint of one UTF-8 text as a signed 64-bit number.
-
-    A bit is 1 if it is set in over half of the XXH64 values of all k-word shingles.
-    """
+def hashes(text: bytes, k: int) -> list[int]:
+    """XXH64 values of all k-word shingles of a UTF-8 text, of the whole text if it has fewer words."""
     words = text.translate(LOWER).split()  # bytes.split() takes the same six white-space bytes
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= k:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-        hashes = [xxhash.xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, starts[k:])]
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+    return [xxhash.xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, starts[k:])]
+
+
+def majority(found: Sequence[int]) -> int:
+    """The bits that are set in over half of the values, as a signed 64-bit number."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65_536):
-        part = np.array(hashes[at : at + 65_536], "<u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(found), 65_536):
+        part = np.asarray(found[at : at + 65_536], "<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: bytes, k: int = SHINGLE) -> int:
+    """The fingerprint of one UTF-8 text: the majority over all its k-word shingles, repeats included."""
+    return majority(hashes(text, k))
 
 
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +230,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     chosen = materialize(first.groupBy("root").agg(F.min_by(F.struct("id", "h", "count"), "h").alias("row")).select("row.*"), "kept")
     # Both sides are dealt by id and hash at every size: the list of kept rows grows with the documents.
     key, text_hash = F.col(f"`{id_col}`"), F.xxhash64(text_of(text_col))
-    keys = chosen.select(F.col("id").alias("__kept_id"), F.col("h").alias("__kept_h")).hint("merge")
-    kept = docs.join(keys, key.eqNullSafe(F.col("__kept_id")) & (text_hash == F.col("__kept_h")), "left_semi")
+    kept_id, kept_h = fresh(docs, "_kept_id"), fresh(docs, "_kept_h")
+    keys = chosen.select(F.col("id").alias(kept_id), F.col("h").alias(kept_h)).hint("merge")
+    kept = docs.join(keys, key.eqNullSafe(F.col(kept_id)) & (text_hash == F.col(kept_h)), "left_semi")
     if not chosen.where("count > 1").isEmpty():  # repeated rows: take one of each
         src = kept.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), key.alias("id"), text_hash.alias("h"))
         kept = src.groupBy("id", "h").agg(F.any_value("row").alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
