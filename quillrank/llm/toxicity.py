@@ -2,15 +2,18 @@
 
 A word that someone disguised (``1d10t``, ``i d i o t``, ``idiooot``) becomes a lattice: each
 written character may stand for one or more plain letters, or for nothing.  The most likely
-plain reading under a letter trigram model is found with Viterbi's algorithm.  A word of plain
-letters without a run of three equal ones has a lattice with one path, and is read as it is.
+plain readings under a letter trigram model are found with Viterbi's algorithm over all states, in
+time and memory that grow with the word's length.  A word of plain letters without a run of three
+equal ones has a lattice with one path, and is read as it is.  A word of digits alone is a number;
+one without a letter is read if all its characters may stand for letters.
 
 The letter model counts the trigrams of every text of the table.  The scorer learns which
 restored words, and which word beginnings of four and five letters, mark toxic texts, from at
 most ``FIT_ROWS`` labelled rows (those of the smallest id hash); labels of rows outside the
 training folds are never read.  Two numbers of a text, the summed weight of its marked words
 and their share, enter a logistic model, which is calibrated on the same rows with each row's
-own counts taken out of the weights.
+own counts taken out of the weights.  The driver gets the marked words alone, which are few: the
+cluster counts all terms and weighs them.
 
 Defined results: a null text is empty and gets the score of a text without marked words;
 repeated rows get equal scores; without labelled rows of both classes every score is the
@@ -25,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -48,7 +52,6 @@ LEET = {
 #: Symbols of the letter model: 0 is anything between words, 1-26 are a-z, 27 is any other letter.
 SYMBOLS = 28
 SUBSTITUTE, DROP, DROP_DIGIT, LITERAL, SHORTEN = math.log(0.5), math.log(0.3), math.log(1e-6), math.log(0.1), math.log(0.5)
-BEAM = 24
 #: Readings of a disguised word that are looked up; any of them may be a marked word.
 READINGS = 4
 #: Least log odds, at their lower bound, of a term that marks toxic texts.
@@ -59,7 +62,7 @@ CLASS[ord("a") : ord("z") + 1] = CLASS[ord("A") : ord("Z") + 1] = np.arange(1, 2
 CLASS[[c for c in range(0xC0, 0x250) if chr(c).isalpha()]] = 27
 
 PLAIN = re.compile(r"[^\W\d_]+")
-EDGE = re.compile(r"^[^\w@$!|+(<€£¡]+|[^\w]+$")
+EDGE = re.compile(r"^[^\w@$!|+(<€£¡]+|[^\w@$]+$")
 RUN = re.compile(r"(.)\1\1")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 
@@ -111,28 +114,42 @@ def _readings(written: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(written: str, model: np.ndarray, n: int = 1) -> list[str]:
-    """The n likeliest plain readings of one lower-case word; a space stands for a cut.
+def decode(written: str, model: np.ndarray | list, n: int = 1) -> list[str]:
+    """The plain readings of the n likeliest paths of one lower-case word, or fewer; a space stands for a cut.
 
-    Viterbi over the lattice with the last two symbols as state and n hypotheses for each.
+    Viterbi over the lattice with the last two symbols as state and n hypotheses for each.  A
+    hypothesis is (score, what it came from, letters), so nothing is copied along the way.
     """
-    best: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
+    best: dict[tuple[int, int], list[tuple]] = {(0, 0): [(0.0, None, "")]}
     for choices in _readings(written):
-        ahead: dict[tuple[int, int], list[tuple[float, str]]] = {}
+        ahead: dict[tuple[int, int], list[tuple]] = {}
         for (a, b), held in best.items():
             for letters, cost in choices:
                 x, y, s = a, b, cost
                 for c in letters:
                     z = 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
-                    s += model[x, y, z]
+                    s += model[x][y][z]
                     x, y = y, z
-                ahead.setdefault((x, y), []).extend((score + s, read + letters) for score, read in held)
-        for state, held in ahead.items():
-            held.sort(key=lambda h: -h[0])
-            del held[n:]
-        best = dict(sorted(ahead.items(), key=lambda kv: -kv[1][0][0])[:BEAM])
-    ends = sorted(((s + model[a, b, 0], read) for (a, b), held in best.items() for s, read in held), key=lambda x: -x[0])
-    return list(dict.fromkeys(read for _, read in ends))[:n]
+                ahead.setdefault((x, y), []).extend([(h[0] + s, h, letters) for h in held])
+        for held in ahead.values():
+            if len(held) > n:
+                held.sort(key=_score, reverse=True)
+                del held[n:]
+        best = ahead
+    ends = sorted(((h[0] + model[a][b][0], h) for (a, b), held in best.items() for h in held), key=_score, reverse=True)
+    out: dict[str, None] = {}
+    for _, h in ends:
+        parts = []
+        while h is not None:
+            parts.append(h[2])
+            h = h[1]
+        out[" ".join("".join(reversed(parts)).split())] = None
+        if len(out) == n:
+            break
+    return list(out)
+
+
+_score = itemgetter(0)
 
 
 def readings(word: str, model: np.ndarray, n: int = READINGS) -> list[list[str]]:
@@ -143,7 +160,7 @@ def readings(word: str, model: np.ndarray, n: int = READINGS) -> list[list[str]]
     word = EDGE.sub("", word)
     if PLAIN.fullmatch(word) and not RUN.search(word):
         return [[word]]
-    if not any(c.isalpha() for c in word):
+    if not any(c.isalpha() for c in word) and (word.isdigit() or not all(c in LEET for c in word)):
         return []
     return [r.split() for r in decode(word, model, n)]
 
@@ -180,12 +197,11 @@ def _terms(text: str, model: np.ndarray, memory: dict) -> set[str]:
     return {f for words in restored_words(text, model, memory) for w in words for f in features_of(w)}
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch], model: np.ndarray, only: set[str] | None) -> Iterator[pa.RecordBatch]:
+def _count_terms(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:
     toxic, clean, memory = Counter(), Counter(), {}
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1)):
-            terms = _terms(text.as_py(), model, memory)
-            (toxic if label.as_py() else clean).update(terms if only is None else terms & only)
+            (toxic if label.as_py() else clean).update(_terms(text.as_py(), model, memory))
     keys = list(toxic.keys() | clean.keys())
     for at in range(0, len(keys), 50_000):
         part = keys[at : at + 50_000]
@@ -203,7 +219,7 @@ class Scorer:
     """What a worker needs to score texts."""
 
     def __init__(self, model: np.ndarray, counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int):
-        self.model, self.counts, self.n = model, counts, (n_toxic, n_clean)
+        self.model, self.counts, self.n = model.tolist(), counts, (n_toxic, n_clean)
         self.weights = {t: w for t, (a, b) in counts.items() if (w := _weight(a, b, n_toxic, n_clean)) > 0}
         rows = n_toxic + n_clean
         self.fit_to: np.ndarray | None = None
@@ -270,12 +286,10 @@ def fit(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     rows = materialize(src.join(F.broadcast(ids), "id").select("text", (F.col("label") > 0).cast("int").alias("label")), "labelled")
     n = dict(rows.groupBy("label").count().collect())
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    count = lambda df, only: df.mapInArrow(partial(_count_terms, model=model, only=only), "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Only terms that several toxic rows share can mark anything; the clean rows count just these.
-    toxic = {t: a for t, a, _ in count(rows.where("label = 1"), None).where("toxic >= 2").collect()}
-    clean = {t: b for t, _, b in count(rows.where("label = 0"), set(toxic)).collect()} if toxic else {}
-    scorer = Scorer(model, {t: (a, clean.get(t, 0)) for t, a in toxic.items()}, n_toxic, n_clean)
-    scorer.counts = {t: scorer.counts[t] for t in scorer.weights}  # no other term is looked up again
+    counted = rows.mapInArrow(partial(_count_terms, model=model.tolist()), "term string, toxic bigint, clean bigint")
+    counted = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 2")
+    weight = F.expr(f"ln((toxic + 0.5D) / {n_toxic + 1}D / (clean + 0.5D) * {n_clean + 1}D) - 1.645D * sqrt(1 / (toxic + 0.5D) + 1 / (clean + 0.5D))")
+    scorer = Scorer(model, {t: (a, b) for t, a, b in counted.where(weight > LEAST).collect()}, n_toxic, n_clean)
     got = np.array(rows.mapInArrow(partial(_measure_batches, scorer=scorer), "a double, b double, label double").collect()).reshape(-1, 3)
     scorer.calibrate(got[:, :2], got[:, 2])
     return scorer
