@@ -25,12 +25,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: five-word shingles, likeness 0.8 or more."""
+    """One document of each class of near copies: five-word shingles, likeness 0.8 or more, candidates by the SimHash trie and by bands."""
     return shingles.keep_one_copy(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated until their languages have the target shares; none is dropped."""
+    """Documents repeated until their languages have the target shares, four times at most."""
     labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     return mixing.mix_stage(docs, labelled)
 
@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("toxicity", toxicity_filter),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("mixing to target weights", mix_sources),
     ("best-fit packing", pack),
 ]
