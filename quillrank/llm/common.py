@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the setting is missing, as in local tests.
+    A folder of our own is made only where the setting is missing and all tasks run in the driver,
+    as in local tests; on a cluster a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillrank-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

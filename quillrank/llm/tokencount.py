@@ -6,13 +6,18 @@ descending the tree, cuts again from the pre-token before it, and stops as soon
 pre-token starts where an old one started: from there on the text is the same, and a pre-token
 depends on nothing before it and on two characters after it (white space leaves its last
 character to the word that follows).  Only new pre-tokens are encoded,
-and only the sums above the blocks they are in change.
+and only the sums above the blocks they are in change.  The vocabulary's special string is a
+pre-token of its own that cuts the text around it; where an edit makes or breaks one, the context
+is longer by its length.
+
+``stored`` keeps the trees as rows of (text, tokens) blocks, and ``edit_stored`` takes a batch of
+edits to them: a block that no edit meets is neither cut nor encoded again, so batch after batch
+costs what its edits touch.
 
 Defined results: a null text is empty and has no tokens; a null list of edits is none; an edit
-outside the text is moved to its nearest place and null parts of it count as 0 or empty; texts
-with the vocabulary's special string are counted whole, before and after; repeated rows are
-counted each; an empty table gives an empty result; other columns are ignored, whatever their
-names.
+outside the text is moved to its nearest place and null parts of it count as 0 or empty; null
+blocks are none; repeated rows are counted each; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,10 +45,16 @@ def _cutter():
 
 
 def pretokens(text: str, paths: tuple[str, str]) -> list[str]:
-    """The vocabulary's pre-tokens of a text without its special string."""
-    if tokens.is_common(text):
-        return _cutter()(text)
-    return [text[a:b] for _, (a, b) in tokens._slow(paths[0]).pre_tokenizer.pre_tokenize_str(text)]
+    """The vocabulary's pre-tokens of a text; the special string is one."""
+    out: list[str] = []
+    for i, part in enumerate(text.split(tokens.SPECIAL)):
+        if i:
+            out.append(tokens.SPECIAL)
+        if tokens.is_common(part):
+            out += _cutter()(part)
+        elif part:
+            out += [part[a:b] for _, (a, b) in tokens._slow(paths[0]).pre_tokenizer.pre_tokenize_str(part)]
+    return out
 
 
 class Counts(dict):
@@ -60,21 +71,63 @@ class Counts(dict):
 
 
 class TokenTree:
-    """One text's pre-tokens under a segment tree of sums."""
+    """One text's pre-tokens under a segment tree of sums; a block that came from storage is cut when an edit meets it."""
 
     def __init__(self, text: str, counts: Counts):
         self.counts, self.encoded = counts, 0
-        self._build(pretokens(text, counts.paths))
-
-    def _build(self, pieces: list[str]) -> None:
-        self.blocks = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)] or [[]]
+        pieces = pretokens(text, counts.paths)
+        blocks = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)]
+        self._build([(b, sum(map(counts.__getitem__, b))) for b in blocks])
+
+    @classmethod
+    def stored(cls, blocks: list[tuple[str, int]], counts: Counts) -> TokenTree:
+        """A tree from its blocks' texts and token counts."""
+        tree = cls.__new__(cls)
+        tree.counts, tree.encoded = counts, 0
+        tree._build([(text, n) for text, n in blocks if text])
+        return tree
+
+    def _build(self, blocks: list[tuple[list[str] | str, int]]) -> None:
+        self.blocks = [b for b, _ in blocks] or [[]]
         self.width = 1 << (len(self.blocks) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, block in enumerate(self.blocks):
-            self._leaf(i, block)
+        for i, (block, n) in enumerate(blocks):
+            self.chars[self.width + i] = len(block) if isinstance(block, str) else sum(map(len, block))
+            self.tokens[self.width + i] = n
         for i in range(self.width - 1, 0, -1):
             self._sum(i)
 
+    def _pieces(self, i: int) -> list[str]:
+        """Block i's pre-tokens."""
+        block = self.blocks[i]
+        if isinstance(block, str):
+            ahead = next((b if isinstance(b, str) else "".join(b) for b in self.blocks[i + 1 :] if b), "")
+            ahead = tokens.SPECIAL if ahead.startswith(tokens.SPECIAL) else ahead[:2]
+            pieces, size = [], 0
+            for piece in pretokens(block + ahead, self.counts.paths):
+                if size == len(block):
+                    break
+                pieces.append(piece)
+                size += len(piece)
+            self.blocks[i] = block = pieces
+        return block
+
+    def kept(self) -> list[tuple[str, int]]:
+        """The blocks' texts and token counts, for storage."""
+        texts = (b if isinstance(b, str) else "".join(b) for b in self.blocks)
+        return [(t, self.tokens[self.width + i]) for i, t in enumerate(texts) if t]
+
+    def _around(self, a: int, b: int) -> str:
+        """Characters a to b of the text, from the blocks they lie in."""
+        a = max(0, a)
+        i, start = self._find(a)
+        parts, end = [], start
+        while end < b and i < len(self.blocks):
+            parts.append(self.blocks[i] if isinstance(self.blocks[i], str) else "".join(self.blocks[i]))
+            end += len(parts[-1])
+            i += 1
+        return "".join(parts)[a - start : max(a, b) - start]
+
     def _leaf(self, i: int, block: list[str]) -> None:
         self.chars[self.width + i] = sum(map(len, block))
         self.tokens[self.width + i] = sum(map(self.counts.__getitem__, block))
@@ -102,7 +155,7 @@ class TokenTree:
         return self.tokens[1]
 
     def text(self) -> str:
-        return "".join(p for b in self.blocks for p in b)
+        return "".join("".join(b) for b in self.blocks)
 
     def edit(self, at: int, drop: int, put: str) -> None:
         """Take ``drop`` characters out at ``at`` and put ``put`` there."""
@@ -110,28 +163,32 @@ class TokenTree:
         drop = max(0, min(drop, self.n_chars - at))
         if not drop and not put:
             return
-        first, before = self._find(max(0, at - 2))
-        # A pre-token that ends two characters before the edit stays; the next is cut again.
+        near = len(tokens.SPECIAL) - 1
+        before, after = self._around(at - near, at), self._around(at + drop, at + drop + near)
+        special = tokens.SPECIAL in before + put + after or tokens.SPECIAL in before + self._around(at, at + drop) + after
+        ahead = 2 + (len(tokens.SPECIAL) if special else 0)  # characters that a pre-token's end may depend on
+        first, before = self._find(max(0, at - ahead))
+        # A pre-token that ends so many characters before the edit stays; the next is cut again.
         head, start = 0, before
-        for piece in self.blocks[first]:
-            if start + len(piece) > at - 2:
+        for piece in self._pieces(first):
+            if start + len(piece) > at - ahead:
                 break
             start += len(piece)
             head += 1
         old = list(self.blocks[first][head:])
         last, end = first, start + sum(map(len, old))
         while True:
-            while end < at + drop + 2 and last + 1 < len(self.blocks):  # the text after the edit, to cut on
+            while end < at + drop + ahead and last + 1 < len(self.blocks):  # the text after the edit, to cut on
                 last += 1
-                old += self.blocks[last]
+                old += self._pieces(last)
                 end += self.chars[self.width + last]
             whole = "".join(old)
             changed = whole[: at - start] + put + whole[at - start + drop :]
-            found = self._meet(changed, old, at - start, drop, len(put), last + 1 == len(self.blocks))
+            found = self._meet(changed, old, at - start, drop, len(put), ahead, last + 1 == len(self.blocks))
             if found is not None:
                 break
             last += 1  # no common start yet: take in one block more
-            old += self.blocks[last]
+            old += self._pieces(last)
             end += self.chars[self.width + last]
         new, kept = found
         self.encoded += len(new)
@@ -139,7 +196,11 @@ class TokenTree:
         for i in range(first + 1, last + 1):
             self.blocks[i] = []
         if len(self.blocks[first]) > FULL:
-            self._build([p for b in self.blocks for p in b])
+            full = self.blocks[first]
+            parts = [full[i : i + BLOCK] for i in range(0, len(full), BLOCK)]
+            kept = [(b, self.tokens[self.width + i]) for i, b in enumerate(self.blocks)]
+            own = [(p, sum(map(self.counts.__getitem__, p))) for p in parts]
+            self._build([x for x in [*kept[:first], *own, *kept[last + 1 :]] if x[0]])
             return
         nodes = {self.width + i for i in range(first, last + 1)}
         for i in nodes:
@@ -148,7 +209,7 @@ class TokenTree:
             for i in nodes:
                 self._sum(i)
 
-    def _meet(self, changed: str, old: list[str], at: int, drop: int, put: int, ends: bool) -> tuple[list[str], list[str]] | None:
+    def _meet(self, changed: str, old: list[str], at: int, drop: int, put: int, ahead: int, ends: bool) -> tuple[list[str], list[str]] | None:
         """New pre-tokens up to where an old one starts too, and the old ones from there; None if there is no such place."""
         old_at, start = {}, 0
         for k, piece in enumerate(old):
@@ -157,26 +218,22 @@ class TokenTree:
             start += len(piece)
         new, start = [], 0
         for piece in pretokens(changed, self.counts.paths):
-            if start >= at + put and start in old_at and (ends or start + 2 <= len(changed)):
+            if start >= at + put and start in old_at and (ends or start + ahead <= len(changed)):
                 return new, old[old_at[start] :]
             new.append(piece)
             start += len(piece)
         return (new, []) if ends else None
 
 
+def _plan(edits: list[dict] | None) -> list[tuple[int, int, str]]:
+    return [(e["at"] or 0, e["drop"] or 0, e["put"] or "") for e in edits or [] if e is not None]
+
+
 def _recount(text: str, edits: list[dict], counts: Counts) -> tuple[int, int, int, int, int]:
     """(tokens, tokens after the edits, pre-tokens encoded again, pre-tokens, characters after)."""
-    plan = [(e["at"] or 0, e["drop"] or 0, e["put"] or "") for e in edits or [] if e is not None]
-    if tokens.SPECIAL in text or any("<" in p or "|" in p or ">" in p or tokens.SPECIAL[1:-1] in p for _, _, p in plan) or (plan and "endoftext" in text):
-        before = text
-        for at, drop, put in plan:
-            at = max(0, min(at, len(text)))
-            text = text[:at] + put + text[at + max(0, drop) :]
-        a, b = (len(tokens.encode(t, counts.paths)) for t in (before, text))
-        return a, b, b, a, len(text)
     tree = TokenTree(text, counts)
     n, pieces = tree.n_tokens, sum(map(len, tree.blocks))
-    for at, drop, put in plan:
+    for at, drop, put in _plan(edits):
         tree.edit(at, drop, put)
     return n, tree.n_tokens, tree.encoded, pieces, tree.n_chars
 
@@ -201,6 +258,47 @@ def count_with_edits(docs: DataFrame, edits: Column, id_col: str = "doc_id", tex
     return src.mapInArrow(count, f"id {kind}, n_tokens bigint, n_tokens_edited bigint, n_reencoded bigint, n_pretokens bigint, n_chars_edited bigint")
 
 
+BLOCKS = "array<struct<text: string, tokens: bigint>>"
+
+
+def _rows(trees: list[TokenTree]) -> pa.Array:
+    return pa.array([[{"text": t, "tokens": n} for t, n in tree.kept()] for tree in trees], pa.list_(pa.struct([("text", pa.string()), ("tokens", pa.int64())])))
+
+
+def _tree_batches(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    counts = Counts(paths)
+    for batch in batches:
+        trees = [TokenTree(t.as_py(), counts) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _rows(trees), pa.array([t.n_tokens for t in trees], pa.int64())], ["id", "blocks", "n_tokens"])
+
+
+def _edit_batches(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    counts = Counts(paths)
+    for batch in batches:
+        trees, before = [], []
+        for blocks, edits in zip(batch.column(1), batch.column(2)):
+            tree = TokenTree.stored([(b["text"], b["tokens"]) for b in blocks.as_py() or []], counts)
+            before.append(tree.n_tokens)
+            for at, drop, put in _plan(edits.as_py()):
+                tree.edit(at, drop, put)
+            trees.append(tree)
+        numbers = [[t.n_tokens for t in trees], before, [t.encoded for t in trees]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _rows(trees), *[pa.array(x, pa.int64()) for x in numbers]], ["id", "blocks", "n_tokens", "n_tokens_before", "n_reencoded"])
+
+
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
+    """(id, blocks, n_tokens): the tree of each text, to be written and edited later."""
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
+    return src.mapInArrow(partial(_tree_batches, paths=paths or tokens.vocabulary_paths()), f"id {src.schema['id'].dataType.simpleString()}, blocks {BLOCKS}, n_tokens bigint")
+
+
+def edit_stored(trees: DataFrame, edits: Column, paths: tuple[str, str] | None = None) -> DataFrame:
+    """(id, blocks, n_tokens, n_tokens_before, n_reencoded) of ``stored`` trees after a batch of edits; texts are not encoded again."""
+    src = trees.select("id", F.col("blocks").cast(BLOCKS).alias("blocks"), edits.alias("edits"))
+    schema = f"id {src.schema['id'].dataType.simpleString()}, blocks {BLOCKS}, n_tokens bigint, n_tokens_before bigint, n_reencoded bigint"
+    return src.mapInArrow(partial(_edit_batches, paths=paths or tokens.vocabulary_paths()), schema)
+
+
 def standard_edits(text: Column) -> Column:
     """Three edits: a title put before the text, some words amid it replaced, its last characters cut."""
     n = F.length(text)
