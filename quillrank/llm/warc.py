@@ -1,17 +1,23 @@
 """WARC archives with a Zstandard dictionary.
 
-Every archive starts with a skippable frame that holds the dictionary; then each record is a
-frame of its own, so a reader can start at any record with the dictionary alone.  The
-dictionary of an archive is built from its own first records.  Of records with equal payloads
-one is a response and the others revisit it.
+Every archive starts with a skippable frame that holds the dictionary; then a warcinfo record and
+each page's record are a frame of their own, so a reader can start at any record with the
+dictionary alone.  The dictionary of an archive is built from its own records: all of them wait
+until the archive is full, and parts at equal distances over all of it are the sample.  Of records
+with equal payloads one is a response and the others revisit it.
+
+Records are those of WARC/1.1: a response holds an HTTP status line, headers and the payload, a
+revisit the status line and headers alone; both have a date, a target and an id of their own.  The
+tables have no fetch date, so ``WARC-Date`` is the time of writing.
 
 Archives go to a folder that the executors share.  A task writes under a new name each time it
 is tried, and what it reports names the archives that count; archives of lost tasks are never
 read.
 
 Defined results: a null html is an empty payload; empty payloads revisit each other like any
-others; rows that repeat a page id are records each, and those with equal payloads revisit the
-page id; a null url is written as an empty target; a null page id comes after all others as
+others; rows that repeat a page id are records each, and of those with equal payloads the first is
+what it is without the others, and the others revisit; a null or empty url is written as the page's
+urn, characters that no URI may hold are percent-encoded; a null page id comes after all others as
 response; an empty table gives no archive; other columns are ignored, whatever their names.
 """
 
@@ -22,12 +28,14 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from functools import partial
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path, table, text_of
@@ -36,10 +44,11 @@ from .common import materialize, new_path, table, text_of
 SKIPPABLE = 0x184D2A5D
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Written bytes after which a task starts its next archive.
-ARCHIVE_BYTES = 16 << 20
-#: Bytes of an archive's first records that its dictionary is built from, and the dictionary's size.
-SAMPLE_BYTES = 1 << 20
+#: Characters of a target URI that stay as they are, beside letters and digits.
+URI = "%/:?#[]@!$&'()*+,;=~-._"
+#: Bytes of records that an archive holds before compression, of its dictionary's sample, and of the dictionary.
+ARCHIVE_BYTES = 32 << 20
+SAMPLE_BYTES, SAMPLE_PART = 2 << 20, 8 << 10
 DICTIONARY_BYTES = 64 << 10
 #: Records below this payload size are always responses.
 MIN_REVISIT_BYTES = 0
@@ -50,23 +59,51 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(page_id, url: str, payload: bytes, sha1: str, refers_to, profile: str = PROFILE) -> bytes:
-    """One WARC record: headers, then the payload unless it is a revisit."""
-    kind = "response" if refers_to is None else "revisit"
+def record_id(page_id, sha1: str) -> str:
+    """The id of a page's response; revisits, which nothing refers to, have random ones."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha1}')}>"
+
+
+def target(page_id, url: str) -> str:
+    return quote(url.strip(), safe=URI) or f"urn:page:{'' if page_id is None else page_id}"
+
+
+def now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _record(head: list[tuple[str, str]], block: bytes) -> bytes:
+    lines = [b"WARC/1.1"] + [f"{k}: {v}".encode() for k, v in [*head, ("Content-Length", str(len(block)))]]
+    return CRLF.join(lines) + CRLF * 2 + block + CRLF * 2
+
+
+def info_bytes(date: str) -> bytes:
+    """The warcinfo record that an archive starts with."""
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
+    return _record(head, b"software: quillrank\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record_bytes(page_id, url: str, payload: bytes, sha1: str, refers_to, date: str | None = None, profile: str = PROFILE) -> bytes:
+    """One page's record: the HTTP head, then the payload unless it is a revisit."""
     head = [
-        ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"),
-        ("WARC-Target-URI", "".join(url.split())),
+        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Record-ID", record_id(page_id, sha1) if refers_to is None else f"<urn:uuid:{uuid.uuid4()}>"),
+        ("WARC-Date", date or now()),
+        ("WARC-Target-URI", target(page_id, url)),
         ("X-Page-ID", "" if page_id is None else str(page_id)),
         ("WARC-Payload-Digest", f"sha1:{sha1}"),
         ("X-Payload-Length", str(len(payload))),
     ]
     if refers_to is not None:
-        head += [("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>"), ("X-Refers-To-Page", str(refers_to)), ("WARC-Profile", profile)]
-    body = payload if refers_to is None else b""
-    head += [("Content-Type", "text/html"), ("Content-Length", str(len(body)))]
-    lines = [b"WARC/1.1"] + [f"{k}: {v}".encode() for k, v in head]
-    return CRLF.join(lines) + CRLF * 2 + body + CRLF * 2
+        head += [("WARC-Refers-To", record_id(refers_to, sha1)), ("X-Refers-To-Page", str(refers_to)), ("WARC-Profile", profile)]
+    http = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload)]
+    block = CRLF.join(http) + CRLF * 2 + (payload if refers_to is None else b"")
+    return _record([*head, ("Content-Type", "application/http; msgtype=response")], block)
+
+
+def payload_of(block: bytes) -> bytes:
+    """What follows the HTTP head of a response's block."""
+    return block.partition(CRLF * 2)[2]
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -83,50 +120,48 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 class Archive:
-    """Writes one archive; records wait until the dictionary has its sample."""
+    """Writes one archive; records wait until it is closed, for the dictionary is built from all of them."""
 
-    def __init__(self, out):
-        self.out, self.waiting, self.size, self.written, self.records = out, [], 0, 0, 0
-        self.compressor = None
+    def __init__(self, out, date: str | None = None):
+        self.out, self.info = out, info_bytes(date or now())
+        self.waiting: list[bytes] = []
+        self.size = self.written = self.records = 0
 
     def add(self, record: bytes) -> None:
         self.records += 1
-        if self.compressor is None:
-            self.waiting.append(record)
-            self.size += len(record)
-            if self.size >= SAMPLE_BYTES:
-                self._begin()
-        else:
-            self._write(self.compressor.compress(record))
-
-    def _begin(self) -> None:
-        data = b""
-        if len(self.waiting) >= 16:
+        self.waiting.append(record)
+        self.size += len(record)
+
+    def _sample(self) -> list[bytes]:
+        """Parts at equal distances over all records; a long record can't fill the dictionary by itself."""
+        parts = [r[i : i + SAMPLE_PART] for r in self.waiting for i in range(0, len(r), SAMPLE_PART)]
+        return parts[:: max(1, self.size // SAMPLE_BYTES)]
+
+    def _dictionary(self) -> bytes:
+        sample, data = self._sample(), b""
+        if len(sample) >= 16:
             try:
-                # Parts of at most 16 KB, so that a long record can't fill the dictionary by itself.
-                parts = [r[i : i + 16384] for r in self.waiting for i in range(0, len(r), 16384)]
-                data = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, self.size // 10)), parts, k=256, d=8).as_bytes()
+                data = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, sample)) // 10)), sample, k=256, d=8).as_bytes()
             except zstandard.ZstdError:  # too little or too uniform: plain content serves as dictionary
                 data = b""
-        data = data or b"".join(self.waiting)[:DICTIONARY_BYTES] or b"WARC/1.1\r\n"
-        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=True)
-        self._write(struct.pack("<II", SKIPPABLE, len(data)) + data)
-        for record in self.waiting:
-            self._write(self.compressor.compress(record))
-        self.waiting = []
+        return data or b"".join(sample)[:DICTIONARY_BYTES] or b"WARC/1.1\r\n"
 
     def _write(self, data: bytes) -> None:
         self.out.write(data)
         self.written += len(data)
 
     def close(self) -> None:
-        if self.compressor is None:
-            self._begin()
+        data = self._dictionary()
+        self._write(struct.pack("<II", SKIPPABLE, len(data)) + data)
+        compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=True)
+        for record in [self.info, *self.waiting]:
+            self._write(compressor.compress(record))
+        self.waiting = []
         self.out.close()
 
 
-def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of an open archive, one at a time."""
+def records(source) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of an open archive, one at a time: headers and block."""
     magic, size = struct.unpack("<II", source.read(8))
     if magic != SKIPPABLE:
         raise ValueError("the archive doesn't start with a dictionary frame")
@@ -144,7 +179,12 @@ def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
         yield parse_record(b"".join(parts))
 
 
-def _write_batches(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and payload of each page's record of an open archive."""
+    return ((head, payload_of(block)) for head, block in records(source) if head["WARC-Type"] != "warcinfo")
+
+
+def _write_batches(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterator[pa.RecordBatch]:
     store, root = pafs.FileSystem.from_uri(folder)
     archive = path = None
     done: list[tuple[str, int, int]] = []
@@ -158,10 +198,10 @@ def _write_batches(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[p
         for i in range(batch.num_rows):
             if archive is None:
                 path = f"{root}/{uuid.uuid4().hex}.warc.zst"
-                archive = Archive(store.open_output_stream(path))
+                archive = Archive(store.open_output_stream(path), date)
             sha1 = base64.b32encode(bytes.fromhex(digests[i].as_py())).decode()
-            archive.add(record_bytes(ids[i].as_py(), urls[i].as_py(), payloads[i].as_py(), sha1, firsts[i].as_py()))
-            if archive.written > ARCHIVE_BYTES:
+            archive.add(record_bytes(ids[i].as_py(), urls[i].as_py(), payloads[i].as_py(), sha1, firsts[i].as_py(), date))
+            if archive.size > ARCHIVE_BYTES:
                 finish()
                 archive = None
     if archive is not None:
@@ -205,10 +245,14 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
     first = digests.where(F.col("size") >= min_revisit).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     back = digests.join(first, "sha1").where("page_id <> first or page_id is null").select("page_id", "sha1", "first").distinct()
     key = F.coalesce("page_id", F.lit(-(2**63))).alias("key")
-    rows = src.select("*", key).join(back.select(key, F.col("sha1"), "first"), ["key", "sha1"], "left").select("page_id", "url", html.alias("html"), "sha1", "first")
+    rows = src.select("*", key).join(back.select(key, F.col("sha1"), "first"), ["key", "sha1"], "left")
+    # A further row of a page with an equal payload revisits the page; null ids have nothing to refer to.
+    again = F.row_number().over(Window.partitionBy("key", "sha1").orderBy("key")) > 1
+    small = F.octet_length("html") < min_revisit
+    rows = rows.withColumn("first", F.coalesce("first", F.when(again & ~small, F.col("page_id")))).select("page_id", "url", html.alias("html"), "sha1", "first")
     store, root = pafs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    return materialize(rows.mapInArrow(partial(_write_batches, folder=folder), "path string, records bigint, bytes bigint"), "manifest")
+    return materialize(rows.mapInArrow(partial(_write_batches, folder=folder, date=now()), "path string, records bigint, bytes bigint"), "manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
