@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, text_of, words_of
+from .common import fresh, materialize, table, text_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -35,6 +35,7 @@ RULES = {
 POLICIES = {
     "base": ("few_words", "repeated_windows"),
     "v1": ("few_words", "repeated_windows", "many_symbols", "duplicate_lines", "word_length", "upper_case"),
+    "v2": ("few_words", "repeated_windows", "many_symbols", "duplicate_lines"),
 }
 
 
@@ -130,19 +131,45 @@ def ablation(ledgered: DataFrame, policy: str = "v1") -> DataFrame:
     )
 
 
+def policies(ledgered: DataFrame) -> DataFrame:
+    """Documents that each policy keeps and rejects, by bitwise work on the groups of a stored ledger."""
+    spark = ledgered.sparkSession
+    groups = ledgered.groupBy("failed_bits").agg(F.count("*").alias("n"))
+    masks = spark.createDataFrame([(p, mask(p)) for p in POLICIES], "policy string, mask bigint")
+    kept = F.col("failed_bits").bitwiseAND(F.col("mask")) == 0
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    # At most 2 ** rules groups meet a row for each policy.
+    return masks.join(F.broadcast(groups), F.lit(True), "left").groupBy("policy", "mask").agg(count(kept).alias("n_kept"), count(~kept).alias("n_rejected"))
+
+
 def filter_stage(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The documents that a policy keeps, with their own columns."""
     df, m = _measure(docs, text_col)
     return df.where(_bits(F.col(m)).bitwiseAND(mask("base") | mask(policy)) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
+def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all documents, written down once; policies read it and no text again."""
+    return materialize(ledger(table(spark, sf_dir, "documents")), "ledger")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under policy v1."""
-    return verdict(ledger(table(spark, sf_dir, "documents"))).select(
+    return verdict(stored_ledger(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "failed_bits"
     )
 
 
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each version of the policy does to all documents."""
+    return policies(stored_ledger(spark, sf_dir))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What policy v1 would do without each of its rules."""
+    return ablation(stored_ledger(spark, sf_dir))
+
+
 ORACLE = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
@@ -167,3 +194,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, n_lines, n_upper, failed_bits
 FROM b
 """
+
+_BITS = ORACLE[: ORACLE.rindex("SELECT doc_id, n_words")]
+POLICIES_ORACLE = _BITS + f"""
+SELECT policy, mask::BIGINT AS mask, count(*) FILTER (WHERE failed_bits & mask = 0) AS n_kept, count(*) FILTER (WHERE failed_bits & mask <> 0) AS n_rejected
+FROM (VALUES {", ".join(f"('{p}', {mask(p)})" for p in POLICIES)}) v(policy, mask), b GROUP BY policy, mask
+"""
+ABLATION_ORACLE = _BITS + f"""
+SELECT rule, bit::BIGINT AS bit, count(*) FILTER (WHERE failed_bits & bit <> 0) AS n_failed,
+  count(*) FILTER (WHERE failed_bits & bit <> 0 AND failed_bits & ({mask("v1")} - bit) = 0) AS n_only_rule,
+  count(*) FILTER (WHERE failed_bits & ({mask("v1")} - bit) = 0) AS n_kept_without
+FROM (VALUES {", ".join(f"('{r}', {1 << RULES[r]})" for r in POLICIES["v1"])}) v(rule, bit), b GROUP BY rule, bit
+"""

@@ -20,6 +20,8 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_quality_rules": quality.op10_quality_rules,
+        "quality_policies": quality.quality_policies,
+        "quality_ablation": quality.quality_ablation,
     }
 
 
@@ -29,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": warc.ORACLE,
         "op9_license_scan": licenses.ORACLE,
         "op10_quality_rules": quality.ORACLE,
+        "quality_policies": quality.POLICIES_ORACLE,
+        "quality_ablation": quality.ABLATION_ORACLE,
     }
