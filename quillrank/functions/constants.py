@@ -140,12 +140,27 @@ ROUTING_RULES = [
         (1, ["tiểu học"], "all", ["02/2021/TT-BGDĐT", "08/2023/TT-BGDĐT"]),
         (2, [], "all", ["01/2021/TT-BGDĐT", "08/2023/TT-BGDĐT"]),
     ]),
-    (2, ["chuyển đổi"], [], [(0, ["đại học"], "all", ["34/2018/QH14", "99/2019/NĐ-CP"])]),
-    (3, ["đại học tư thục", "không vì lợi nhuận", "hội đồng trường", "đại học y"], ["34/2018/QH14", "99/2019/NĐ-CP"], []),
-    (4, ["học bổng", "cử tuyển", "dự bị đại học", "nội trú"], ["84/2020/NĐ-CP"], []),
-    (5, ["sinh viên sư phạm", "hỗ trợ sinh hoạt phí", "bồi hoàn", "116/2020", "bảo lưu sư phạm"], ["116/2020/NĐ-CP"], []),
-    (6, ["nhiệm kỳ", "hiệu trưởng", "nhiệm kỳ của hiệu trưởng"], ["08/2012/QH13", "34/2018/QH14"], []),
-    (7, ["trường học an toàn", "tai nạn thương tích"], [], [
+    (2, ["giữa kỳ", "cuối kỳ", "bài kiểm tra", "kiểm tra định kỳ", "kiểm tra thường xuyên", "nghỉ học nhiều", "ở lại lớp", "lên lớp", "tai nạn", "kiểm tra giữa kỳ", "nghỉ học quá 45 buổi"], ["22/2021/TT-BGDĐT"], []),
+    (3, ["chuyển đổi"], [], [(0, ["đại học"], "all", ["34/2018/QH14", "99/2019/NĐ-CP"])]),
+    (4, ["đại học tư thục", "không vì lợi nhuận", "hội đồng trường", "đại học y"], ["34/2018/QH14", "99/2019/NĐ-CP"], []),
+    (5, ["thi tốt nghiệp", "tốt nghiệp thpt", "2026", "24/2024"], ["24/2024/TT-BGDĐT"], []),
+    (6, ["tuyển sinh năm 2022", "tuyển sinh 2022", "tuyển sinh đại học"], ["08/2022/TT-BGDĐT"], []),
+    (7, ["học bổng", "cử tuyển", "dự bị đại học", "nội trú"], ["84/2020/NĐ-CP"], []),
+    (8, ["du học", "nghiên cứu khoa học nước ngoài", "gia hạn du học", "sinh viên cử đi học", "giảng viên đại học cử ra nước ngoài"], ["86/2021/NĐ-CP"], []),
+    (9, ["sinh viên sư phạm", "hỗ trợ sinh hoạt phí", "bồi hoàn", "116/2020", "bảo lưu sư phạm"], ["116/2020/NĐ-CP"], []),
+    (10, ["chuyển trường khác tỉnh", "giấy giới thiệu", "thủ tục chuyển trường"], ["43/2019/QH14"], []),
+    (11, ["ngoại ngữ", "dạy ngoại ngữ", "ngoại ngữ 1", "chương trình giáo dục phổ thông 2018", "chương trình 2018"], ["32/2018/TT-BGDĐT"], []),
+    (12, ["ngày pháp luật", "ngày pháp luật việt nam"], ["14/2012/QH13"], []),
+    (13, ["học phí", "tiểu học", "không phải đóng học phí", "trường công lập"], ["43/2019/QH14"], []),
+    (14, ["giảng viên", "chuẩn giảng viên", "chuẩn tối thiểu"], ["34/2018/QH14"], []),
+    (15, ["chế độ làm việc", "nghỉ hè hằng năm", "nghỉ hè của nhà giáo", "tuổi nghỉ hưu của nhà giáo"], ["Luật 73/2025/QH15"], []),
+    (16, ["hòa nhập", "giáo dục hòa nhập", "trung tâm hỗ trợ", "phạm vi điều chỉnh"], ["20/2022/TT-BGDĐT"], []),
+    (17, ["nhiệm kỳ", "hiệu trưởng", "nhiệm kỳ của hiệu trưởng"], ["08/2012/QH13", "34/2018/QH14"], []),
+    (18, ["quốc phòng", "an ninh", "quốc phòng và an ninh", "chính khóa"], ["30/2013/QH13"], []),
+    (19, ["giảm 02 tiết", "giảm 2 tiết", "hội đồng trường", "kiêm nhiệm chủ tịch"], ["05/2025/TT-BGDĐT"], []),
+    (20, ["05 năm ở nước ngoài", "ít nhất 05 năm", "liên kết giáo dục", "bên nước ngoài"], ["124/2024/NĐ-CP", "202/2025/NĐ-CP"], []),
+    (21, ["sáp nhập", "chia, tách", "chia tách trường tiểu học", "ubnd cấp huyện"], ["07/BGDĐT-VBHN"], []),
+    (22, ["trường học an toàn", "tai nạn thương tích"], [], [
         (0, ["mầm non"], "all", ["45/2021/TT-BGDĐT"]),
         (1, ["phổ thông", "thường xuyên", "thcs", "thpt", "tiểu học", "cấp 1", "cấp 2", "cấp 3"], "any", ["18/2023/TT-BGDĐT"]),
     ]),

@@ -67,7 +67,7 @@ def title(name: Column, body: Column) -> Column:
 def snippet(body: Column, n: int) -> Column:
     """What follows the first line, on one line, cut to n characters."""
     lines = F.split(text(body), "\n")
-    rest = F.filter(F.transform(F.slice(lines, 2, 1_000_000), lambda x: F.trim(x)), lambda x: x != "")
+    rest = F.filter(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x)), lambda x: x != "")
     joined = F.array_join(rest, " ")
     return F.when(F.length(joined) > n, F.concat(F.substring(joined, 1, n), F.lit("..."))).otherwise(joined)
 

@@ -83,7 +83,7 @@ def articles(lines: DataFrame) -> DataFrame:
 
 def clauses(chunks: DataFrame) -> DataFrame:
     """(id, full_text) become (id, clause_id, text): numbered lines open clauses below the first line."""
-    body = F.array_join(F.slice(F.split("full_text", "\n"), 2, 1_000_000), "\n")
+    body = F.array_join(F.slice(F.split("full_text", "\n"), F.lit(2), F.size(F.split("full_text", "\n"))), "\n")
     part = F.explode(F.filter(F.split(body, r"(?m)(?=^\d+\.\s)"), lambda p: p.rlike(r"^\d+\.\s"))).alias("part")
     return chunks.select("id", part).select("id", F.regexp_extract("part", r"^(\d+)\.", 1).alias("clause_id"), F.trim(F.regexp_replace("part", r"^\d+\.\s+|\n+$", "")).alias("text"))
 

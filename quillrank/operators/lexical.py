@@ -47,10 +47,11 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "node_id", text_col:
     return rows.groupBy("query_id", "node_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "node_id", rank: str = "rank") -> DataFrame:
-    """The k best of each query with a rank from 0; ties go to the smaller id."""
+def top_k(scored: DataFrame, k: int | None, by: str = "query_id", score: str = "score", tie: str = "node_id", rank: str = "rank") -> DataFrame:
+    """The k best of each query, or all, with a rank from 0; ties go to the smaller id."""
     order = Window.partitionBy(by).orderBy(F.desc(score), F.asc(tie))
-    return scored.withColumn(rank, (F.row_number().over(order) - 1).cast("bigint")).where(F.col(rank) < k)
+    ranked = scored.withColumn(rank, (F.row_number().over(order) - 1).cast("bigint"))
+    return ranked if k is None else ranked.where(F.col(rank) < k)
 
 
 def scoped(scored: DataFrame, members: DataFrame, k: int) -> DataFrame:

@@ -32,7 +32,7 @@ def sub_query_depth(k: Column, n: Column) -> Column:
     return F.greatest(F.lit(3), F.floor(k / n)).cast("bigint")
 
 
-def rerank(lists: DataFrame, queries: DataFrame, chunks: DataFrame, n: int, scorer=lexical.score_column, cut: int | None = None) -> DataFrame:
+def rerank(lists: DataFrame, queries: DataFrame, chunks: DataFrame, n: int | None, scorer=lexical.score_column, cut: int | None = None) -> DataFrame:
     """Score the distinct candidates of each query with an injected scorer and keep the n best."""
     seen = lists.select("query_id", "node_id").where(F.col("node_id").startswith("node:")).distinct()
     body = F.substring("full_text", 1, cut) if cut else F.col("full_text")
@@ -51,10 +51,10 @@ def retrieve_as_docs(lists: DataFrame, queries: DataFrame, chunks: DataFrame, ed
 
 def wide(chunks: DataFrame, asked: DataFrame, main: int = 20, extra: int = 8) -> DataFrame:
     """(query_id, list_id, query): the query itself as list 0 and wider ones, fused by rank."""
-    one = asked.withColumn("query_id", F.col("query_id") * 10 + F.col("list_id")).select("query_id", "query")
+    one = asked.select(F.struct("query_id", "list_id").alias("query_id"), "query")
     ranked = lexical.top_k(lexical.bm25(chunks, one).where("score > 0"), main)
-    ranked = ranked.where((F.col("query_id") % 10 == 0) | (F.col("rank") < extra))
-    return fusion.rrf(ranked.select(F.floor(F.col("query_id") / 10).alias("query_id"), "node_id", "rank"))
+    ranked = ranked.where((F.col("query_id.list_id") == 0) | (F.col("rank") < extra))
+    return fusion.rrf(ranked.select("query_id.query_id", "node_id", "rank"))
 
 
 def dispatch(lists: DataFrame, chosen: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -63,7 +63,7 @@ def dispatch(lists: DataFrame, chosen: DataFrame, queries: DataFrame, chunks: Da
     known = chosen.join(depths.select("strategy", F.lit(True).alias("known")), "strategy", "left").select("query_id", F.when(F.col("known"), F.col("strategy")).otherwise("default").alias("strategy"))
     plan = F.broadcast(known.join(depths, "strategy").select("query_id", "dense", "sparse", "cut"))
     taken = lists.join(plan, "query_id").where(((F.col("list_id") == 0) & (F.col("rank") < F.col("dense"))) | ((F.col("list_id") == 1) & (F.col("rank") < F.col("sparse"))))
-    return rerank(taken, queries, chunks, 1_000_000).join(plan, "query_id").where(F.col("rank") < F.col("cut")).select("query_id", "node_id", "score", "rank")
+    return rerank(taken, queries, chunks, None).join(plan, "query_id").where(F.col("rank") < F.col("cut")).select("query_id", "node_id", "score", "rank")
 
 
 def legacy(lists: DataFrame, typed: DataFrame, queries: DataFrame, chunks: DataFrame, edges: DataFrame, k: int) -> DataFrame:
@@ -73,7 +73,7 @@ def legacy(lists: DataFrame, typed: DataFrame, queries: DataFrame, chunks: DataF
     plan = F.broadcast(typed.join(depths, "kind").select("query_id", "dense", "sparse", "cut", "hops"))
     taken = lists.join(plan, "query_id").where(((F.col("list_id") == 0) & (F.col("rank") < F.col("dense"))) | ((F.col("list_id") == 1) & (F.col("rank") < F.col("sparse"))))
     near = graph.expand(taken.select("query_id", F.col("node_id").alias("node")).distinct(), edges, 2).join(plan, "query_id").where(F.col("hop") <= F.col("hops"))
-    best = rerank(near.select("query_id", F.col("node").alias("node_id")), queries, chunks, 1_000_000)
+    best = rerank(near.select("query_id", F.col("node").alias("node_id")), queries, chunks, None)
     return best.join(plan, "query_id").where(F.col("rank") < F.col("cut")).select("query_id", "node_id", "score", "rank")
 
 

@@ -27,15 +27,16 @@ def multi_query_retrieve(spark, sf):
 
 
 @query("legacy_retrieve", f"""
-WITH {_LISTS}, t(query_id, dense, sparse, cut, hops) AS (VALUES (0, 5, 10, 10, 1), (1, 10, 5, 10, 2), (2, 5, 5, 10, 1), (3, 10, 5, 10, 1), (4, 5, 10, 10, 1)),
+WITH {_LISTS}, kinds(kind, dense, sparse, cut, hops) AS (VALUES (0, 5, 10, 10, 1), (1, 10, 5, 10, 2), (2, 5, 5, 10, 1), (3, 10, 5, 10, 1), (4, 5, 10, 10, 1)), t AS (SELECT query_id, dense, sparse, cut, hops FROM queries JOIN kinds ON query_id % 5 = kind),
 h0 AS (SELECT DISTINCT l.query_id, node_id, hops FROM lists l JOIN t USING (query_id) WHERE (list_id = 0 AND rank < dense) OR (list_id = 1 AND rank < sparse)),
 h AS (SELECT query_id, node_id FROM h0 UNION SELECT query_id, 'node:' || (replace(node_id, 'node:', '')::BIGINT + 20) FROM h0 UNION SELECT query_id, 'node:' || (replace(node_id, 'node:', '')::BIGINT + 40) FROM h0 WHERE hops = 2),
 s AS (SELECT h.query_id, node_id, {_SCORE} AS score FROM h JOIN queries q USING (query_id) JOIN chunks c USING (node_id)), {Q.top('s', 10, 'best')} SELECT query_id, node_id, score, rank FROM best""")
 def legacy_retrieve(spark, sf):
     chunks = S.chunks(spark, sf)
     edges = chunks.select(F.col("node_id").alias("src"), F.concat(F.lit("node:"), (F.col("doc_id") + 20).cast("string")).alias("dst"))
-    typed = spark.createDataFrame([(0, "tra_cuu"), (1, "so_sanh"), (2, "thu_tuc"), (3, "other"), (4, "tra_cuu")], "query_id bigint, kind string")
-    return retrieve.legacy(lists(spark, sf), typed, S.query_texts(spark, sf), chunks, edges, 5)
+    kinds = F.array(*map(F.lit, ["tra_cuu", "so_sanh", "thu_tuc", "other", "tra_cuu"]))
+    asked = S.query_texts(spark, sf)
+    return retrieve.legacy(lists(spark, sf), asked.select("query_id", kinds[(F.col("query_id") % 5).cast("int")].alias("kind")), asked, chunks, edges, 5)
 
 
 @query("summary_flow", f"""
@@ -80,14 +81,14 @@ def footnote_titles(spark, sf):
 
 
 @query("prompt_history", f"""
-SELECT conv_id, turn, 'History of ' || (SELECT count(*) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn) || ' turns: ' || substr(coalesce(text, ''), 1, 50) AS prompt FROM conversations c WHERE role = 'user'""")
+SELECT conv_id, turn, 'History of ' || (SELECT count(*) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn) || ' turns: ' || coalesce(text, '') AS prompt FROM conversations c WHERE role = 'user'""")
 def prompt_history(spark, sf):
     """Prompts that a rewriter gets; the default rewriter gives them back."""
     from pyspark.sql import Window
 
     before = (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("string")
     turns = S.load(spark, sf, "conversations").withColumn("before", before).where("role = 'user'")
-    made = turns.select("conv_id", "turn", F.concat(F.lit("History of "), "before", F.lit(" turns: "), F.substring(T.text(F.col("text")), 1, 50)).alias("p"))
+    made = turns.select("conv_id", "turn", F.concat(F.lit("History of "), "before", F.lit(" turns: "), T.text(F.col("text"))).alias("p"))
     return models.rewrite(made, "p", out="prompt").select("conv_id", "turn", "prompt")
 
 

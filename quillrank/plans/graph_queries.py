@@ -175,7 +175,7 @@ cat AS (SELECT id, row_number() OVER (ORDER BY id)::INTEGER AS ord, text FROM c)
 @query("catalog_query", f"""
 WITH {_SOURCES}, {Q.queries()}, {Q.bm25('SELECT id AS node_id, text FROM cat')},
 v AS (SELECT source AS id, arg_min(embedding, doc_id) AS e FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY source),
-dn AS (SELECT q.vec_id AS query_id, v.id, round(list_inner_product(v.e::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM v, embeddings q WHERE q.vec_id < 5),
+dn AS (SELECT q.vec_id // 50 AS query_id, v.id, round(list_inner_product(v.e::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM v, embeddings q WHERE q.vec_id % 50 = 0),
 dr AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM dn) WHERE rank < 40 AND score > 0.15),
 sr AS (SELECT query_id, id, rank FROM (SELECT query_id, node_id AS id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) - 1 AS rank FROM bm25) WHERE rank < 40 AND score > 0),
 fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS rrf FROM (SELECT * FROM dr UNION ALL SELECT * FROM sr) GROUP BY ALL),

@@ -37,12 +37,12 @@ def bm25_topk(spark, sf):
     return lexical.top_k(bm25_scores(spark, sf).where("score > 0"), 10)
 
 
-MEMBERS = "members AS (SELECT q.query_id, c.node_id FROM queries q JOIN chunks c ON c.canonical = 'src' || q.query_id)"
+MEMBERS = "members AS (SELECT q.query_id, c.node_id FROM queries q JOIN chunks c ON c.canonical = 'src' || (q.query_id % 20))"
 
 
 def members(spark, sf) -> DataFrame:
     """The chunks of the document that each query is about."""
-    q = S.query_texts(spark, sf).select("query_id", F.concat(F.lit("src"), F.col("query_id").cast("string")).alias("canonical"))
+    q = S.query_texts(spark, sf).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("canonical"))
     return S.chunks(spark, sf).join(F.broadcast(q), "canonical").select("query_id", "node_id")
 
 
@@ -109,12 +109,12 @@ def top_documents(spark, sf):
 
 @query("target_front", f"""
 WITH {_VOTE}, r AS (SELECT query_id, document, (row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, document) - 1){LONG} AS rank FROM vote),
-t AS (SELECT query_id, 'src' || (query_id + o) AS document, o AS ord FROM queries, (VALUES (0), (1)) x(o))
+t AS (SELECT query_id, 'src' || ((query_id + o) % 20) AS document, o AS ord FROM queries, (VALUES (0), (1)) x(o))
 SELECT query_id, document, (row_number() OVER (PARTITION BY query_id ORDER BY ord DESC NULLS LAST, rank ASC NULLS LAST, document) - 1){LONG} AS place FROM r FULL JOIN t USING (query_id, document)""")
 def target_front(spark, sf):
-    ranked = lexical.top_k(votes(spark, sf), 1_000_000, score="rank_score", tie="document").select("query_id", "document", "rank")
+    ranked = lexical.top_k(votes(spark, sf), None, score="rank_score", tie="document").select("query_id", "document", "rank")
     targets = S.query_texts(spark, sf).select("query_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"))
-    targets = targets.select("query_id", F.concat(F.lit("src"), (F.col("query_id") + F.col("ord")).cast("string")).alias("document"), "ord")
+    targets = targets.select("query_id", F.concat(F.lit("src"), ((F.col("query_id") + F.col("ord")) % 20).cast("string")).alias("document"), "ord")
     return fusion.targets_first(ranked, targets)
 
 
@@ -177,14 +177,14 @@ def document_chunks(spark, sf):
 
 
 @query("wide_retrieval", f"""
-WITH {Q.CHUNKS}, {Q.queries()}, wide AS (SELECT query_id, 0 AS list_id, query FROM queries UNION ALL SELECT query_id, 1, query || ' the' FROM queries WHERE query_id < 3),
+WITH {Q.CHUNKS}, {Q.queries()}, wide AS (SELECT query_id, 0 AS list_id, query FROM queries UNION ALL SELECT query_id, 1, query || ' the' FROM queries),
 asked AS (SELECT query_id * 10 + list_id AS query_id, query FROM wide), {Q.bm25(asked='asked')}, {Q.top('(SELECT * FROM bm25 WHERE score > 0)', 20, 'r')},
 cut AS (SELECT query_id // 10 AS query_id, node_id, rank FROM r WHERE rank < CASE WHEN query_id % 10 = 0 THEN 20 ELSE 8 END),
 f AS (SELECT query_id, node_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS rrf FROM cut GROUP BY ALL)
 SELECT query_id, node_id, rrf, (row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, node_id) - 1){LONG} AS rank FROM f""")
 def wide_retrieval(spark, sf):
     asked = S.query_texts(spark, sf)
-    wider = asked.where("query_id < 3").select("query_id", F.lit(1).alias("list_id"), F.concat("query", F.lit(" the")).alias("query"))
+    wider = asked.select("query_id", F.lit(1).alias("list_id"), F.concat("query", F.lit(" the")).alias("query"))
     return retrieve.wide(S.chunks(spark, sf), asked.select("query_id", F.lit(0).alias("list_id"), "query").unionByName(wider))
 
 
@@ -195,14 +195,16 @@ def strategy_parameters(spark, sf):
 
 
 @query("strategy_dispatch", f"""
-WITH {_LISTS.replace(', 20, ', ', 40, ')}, s(query_id, dense, sparse, cut) AS (VALUES (0, 5, 10, 10), (1, 8, 8, 8), (2, 5, 15, 10), (3, 10, 8, 8), (4, 10, 10, 10)),
+WITH {_LISTS.replace(', 20, ', ', 40, ')}, kinds(kind, dense, sparse, cut) AS (VALUES (0, 5, 10, 10), (1, 8, 8, 8), (2, 5, 15, 10), (3, 10, 8, 8), (4, 10, 10, 10)), s AS (SELECT query_id, dense, sparse, cut FROM queries JOIN kinds ON query_id % 5 = kind),
 u AS (SELECT DISTINCT l.query_id, node_id FROM lists l JOIN s USING (query_id) WHERE (list_id = 0 AND rank < dense) OR (list_id = 1 AND rank < sparse)),
 x AS (SELECT u.query_id, u.node_id, {_SCORE} AS score FROM u JOIN queries q USING (query_id) JOIN chunks c USING (node_id)),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) - 1){LONG} AS rank FROM x)
 SELECT query_id, node_id, score, rank FROM r JOIN s USING (query_id) WHERE rank < cut""")
 def strategy_dispatch(spark, sf):
-    chosen = spark.createDataFrame([(0, "single_lookup"), (1, "listing"), (2, "procedure"), (3, "cross_document"), (4, "default")], "query_id bigint, strategy string")
-    return retrieve.dispatch(lists(spark, sf, 40), chosen, S.query_texts(spark, sf), S.chunks(spark, sf), 5)
+    kinds = F.array(*map(F.lit, ["single_lookup", "listing", "procedure", "cross_document", "default"]))
+    asked = S.query_texts(spark, sf)
+    chosen = asked.select("query_id", kinds[(F.col("query_id") % 5).cast("int")].alias("strategy"))
+    return retrieve.dispatch(lists(spark, sf, 40), chosen, asked, S.chunks(spark, sf), 5)
 
 
 @query("sub_query_depth", f"SELECT n, greatest(3, 20 // n){LONG} AS depth FROM (VALUES (1), (2), (4), (9)) v(n)")

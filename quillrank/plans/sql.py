@@ -39,27 +39,27 @@ CHUNKS = f"""chunks AS (SELECT 'node:' || doc_id AS node_id, doc_id, source AS c
 NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY doc_id)::INTEGER AS article FROM chunks)"
 
 
-def queries(n: int = 5, words: int = 8) -> str:
-    return f"queries AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:{words}], ' ') AS query FROM benchmark WHERE item_id < {n})"
+def queries() -> str:
+    return "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
 def bm25(docs: str = "SELECT node_id, full_text AS text FROM chunks", asked: str = "queries", name: str = "bm25") -> str:
     """A CTE of (query_id, node_id, score) for every pair that shares a term."""
     p = name
     return f"""
-{p}_d AS (SELECT node_id, {tok('text')} AS t FROM ({docs})),
-{p}_tf AS (SELECT node_id, term, count(*)::DOUBLE AS tf FROM (SELECT node_id, unnest(t) AS term FROM {p}_d) GROUP BY ALL),
+{p}_d AS MATERIALIZED (SELECT node_id, {tok('text')} AS t FROM ({docs})),
+{p}_tf AS MATERIALIZED (SELECT node_id, term, count(*)::DOUBLE AS tf FROM (SELECT node_id, unnest(t) AS term FROM {p}_d) GROUP BY ALL),
 {p}_n AS (SELECT count(*)::DOUBLE AS n, avg(len(t))::DOUBLE AS avgdl FROM {p}_d),
-{p}_raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*)::DOUBLE AS df FROM {p}_tf GROUP BY term), {p}_n),
-{p}_idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT sum(raw) / count(*) FROM {p}_raw) ELSE raw END AS idf FROM {p}_raw),
-{p}_q AS (SELECT query_id, term, count(*)::DOUBLE AS qtf FROM (SELECT query_id, unnest({tok('query')}) AS term FROM {asked}) GROUP BY ALL),
+{p}_raw AS MATERIALIZED (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*)::DOUBLE AS df FROM {p}_tf GROUP BY term), {p}_n),
+{p}_idf AS MATERIALIZED (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT sum(raw) / count(*) FROM {p}_raw) ELSE raw END AS idf FROM {p}_raw),
+{p}_q AS MATERIALIZED (SELECT query_id, term, count(*)::DOUBLE AS qtf FROM (SELECT query_id, unnest({tok('query')}) AS term FROM {asked}) GROUP BY ALL),
 {name} AS (SELECT query_id, tf.node_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(d.t) / avgdl))), 6) AS score
   FROM {p}_q q JOIN {p}_tf tf USING (term) JOIN {p}_idf USING (term) JOIN {p}_d d ON d.node_id = tf.node_id, {p}_n GROUP BY query_id, tf.node_id)"""
 
 
-def dense(n: int = 5, name: str = "dense") -> str:
-    return f"""{name} AS (SELECT q.vec_id AS query_id, 'node:' || v.vec_id AS node_id, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings v, embeddings q WHERE q.vec_id < {n})"""
+def dense(name: str = "dense") -> str:
+    return f"""{name} AS (SELECT q.vec_id // 50 AS query_id, 'node:' || v.vec_id AS node_id, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)"""
 
 
 def top(source: str, k: int, name: str, rank: str = "rank") -> str:

@@ -37,9 +37,9 @@ def slug_source(spark, sf):
     return own.union(PHRASES.df(spark).select("text")).select("text", T.slug(F.col("text")).alias("slug"))
 
 
-@query("normalize_text", f"WITH t AS (SELECT substr(text, 1, 200) AS text FROM documents UNION ALL SELECT text FROM {PHRASES.sql} UNION ALL SELECT source FROM {LAWS.sql}) SELECT text, {Q.norm('text')} AS normalized FROM t")
+@query("normalize_text", f"WITH t AS (SELECT text FROM documents UNION ALL SELECT text FROM {PHRASES.sql} UNION ALL SELECT source FROM {LAWS.sql}) SELECT text, {Q.norm('text')} AS normalized FROM t")
 def normalize_text(spark, sf):
-    own = S.load(spark, sf, "documents").select(F.substring("text", 1, 200).alias("text"))
+    own = S.load(spark, sf, "documents").select("text")
     rows = own.union(PHRASES.df(spark).select("text")).union(LAWS.df(spark).select("source"))
     return rows.select("text", T.normalize(F.col("text")).alias("normalized"))
 

@@ -30,14 +30,19 @@ def numbered(chunks_: DataFrame) -> DataFrame:
     return chunks_.withColumn("article", F.row_number().over(Window.partitionBy("canonical").orderBy("doc_id")))
 
 
-def query_texts(spark: SparkSession, sf_dir: str, n: int = 5, words: int = 8) -> DataFrame:
-    """The first words of the first benchmark items as queries."""
-    items = load(spark, sf_dir, "benchmark").where(F.col("item_id") < n)
-    return items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("query"))
+#: The stated set of query vectors: those whose id is divisible by this.
+EVERY = 50
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    return load(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items as queries, each with its whole text."""
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated set of vectors as queries, numbered from 0 in the order of their ids."""
+    asked = load(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0)
+    return asked.select((F.col("vec_id") / EVERY).cast("bigint").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
