@@ -160,7 +160,7 @@ def readings(word: str, model: np.ndarray, n: int = READINGS) -> list[list[str]]
     word = EDGE.sub("", word)
     if PLAIN.fullmatch(word) and not RUN.search(word):
         return [[word]]
-    if not any(c.isalpha() for c in word) and (word.isdigit() or not all(c in LEET for c in word)):
+    if not any(c.isalpha() for c in word) and (not word or word.isdigit() or not all(c in LEET for c in word)):
         return []
     return [r.split() for r in decode(word, model, n)]
 
