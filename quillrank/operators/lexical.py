@@ -20,11 +20,27 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("node_id"), T.tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
 
 
+def term_counts(tokens: DataFrame) -> DataFrame:
+    """term, df, words: one pass over the texts; the null term stands for all texts, with their number and words."""
+    some = F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term")
+    return tokens.select(some, "dl").groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words"))
+
+
+def corpus_size(counts: DataFrame) -> DataFrame:
+    """One row: n texts of avgdl words on average."""
+    whole = F.col("words").isNotNull()
+    return counts.agg(F.max(F.when(whole, F.col("df"))).alias("n"), F.max("words").alias("words")).select("n", (F.col("words") / F.col("n")).alias("avgdl"))
+
+
 def term_stats(tokens: DataFrame) -> DataFrame:
     """term, df and idf; a negative idf becomes epsilon times the mean over all terms."""
-    size = tokens.agg(F.count("*").alias("n"))
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(size), F.lit(True)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return _idf(term_counts(tokens))
+
+
+def _idf(counts: DataFrame) -> DataFrame:
+    # A filter on the term itself would be pushed below the shuffle, which is then made anew.
+    df = counts.where(F.col("words").isNull())
+    raw = df.join(F.broadcast(corpus_size(counts)), F.lit(True)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg((F.sum("raw") / F.count("*")).alias("mean"))
     return raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -38,10 +54,11 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "node_id", text_col:
     """query_id, node_id and score, rounded to 6 digits, for every pair that shares a term."""
     tokens = tokenized(docs, id_col, text_col)
     asked = query_terms(queries)
-    mean = tokens.agg((F.sum("dl") / F.count("*")).alias("avgdl"))
+    counts = term_counts(tokens)
+    mean = corpus_size(counts).select("avgdl")
     terms = asked.select("term").distinct()
     tf = tokens.select("node_id", "dl", F.explode("tokens").alias("term")).join(F.broadcast(terms), "term").groupBy("node_id", "dl", "term").agg(F.count("*").alias("tf"))
-    idf = term_stats(tokens).join(F.broadcast(terms), "term", "left_semi")
+    idf = _idf(counts).join(F.broadcast(terms), "term", "left_semi")
     rows = tf.join(F.broadcast(idf), "term").join(F.broadcast(asked), "term").join(F.broadcast(mean), F.lit(True))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy("query_id", "node_id").agg(F.round(F.sum(part), 6).alias("score"))
