@@ -35,10 +35,11 @@ def first_neighbour(edges: DataFrame, type_: str) -> DataFrame:
 
 
 def structure(chunks: DataFrame) -> DataFrame:
-    """Edges between chunks, chapters and documents, and back."""
+    """Edges between chunks, chapters and documents, and back; a null or empty chapter makes no node."""
     doc, chap = F.concat(F.lit("doc:"), "canonical"), F.concat(F.lit("chap:"), "canonical", F.lit(":"), "chapter")
     up = chunks.select(F.col("node_id").alias("source"), doc.alias("target"), F.lit("THUOC_VAN_BAN").alias("relation"))
-    up = up.union(chunks.select("node_id", chap, F.lit("THUOC_CHUONG"))).union(chunks.select(chap, doc, F.lit("THUOC_VAN_BAN")).distinct())
+    within = chunks.where("chapter <> ''")
+    up = up.union(within.select("node_id", chap, F.lit("THUOC_CHUONG"))).union(within.select(chap, doc, F.lit("THUOC_VAN_BAN")).distinct())
     return with_reverse(up.withColumn("ord", F.lit(0)))
 
 
@@ -69,6 +70,13 @@ def resolve(entities: DataFrame, relations: DataFrame, aliases: DataFrame) -> tu
     return dedupe_entities(moved), rel.where("source <> target").distinct()
 
 
+def missing_by_file(chunks: DataFrame, covered: DataFrame, key: str, file: str, top: int = 20) -> DataFrame:
+    """The ``top`` files with the most chunks that ``covered`` doesn't name, most first, then by name."""
+    marked = chunks.join(covered.select(key, F.lit(True).alias("hit")).distinct(), key, "left")
+    counted = marked.groupBy(file).agg(F.count_if(F.col("hit").isNull()).alias("missing"), F.count("*").alias("total"))
+    return counted.where("missing > 0").orderBy(F.desc("missing"), file).limit(top)
+
+
 def coverage(chunks: DataFrame, mapped: DataFrame) -> DataFrame:
     """Chunks that no mapping names, by anti join."""
     return chunks.join(mapped.select(F.regexp_replace("tree_node", "^node:", "").alias("chunk")).distinct(), F.col("doc_id").cast("string") == F.col("chunk"), "left_anti")

@@ -40,6 +40,19 @@ def relaxed(expected: Column, found: Column, rule: str = "strict") -> Column:
     return F.when(F.size(expected) == 0, 1.0).otherwise(hits / F.size(expected))
 
 
+def cited_articles(found: Column) -> Column:
+    """The distinct article numbers named in the found items; items without one, or null, name none."""
+    numbers = F.flatten(F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: F.transform(F.slice(F.regexp_extract_all(x, F.lit(r"Điều\s+(\d+)"), F.lit(1)), 1, 1), lambda n: n.cast("int"))))
+    return F.array_distinct(numbers)
+
+
+def requirement_recall(required: Column, found: Column) -> Column:
+    """Share of requirements of which any one article was found; 1 if nothing was required."""
+    articles = cited_articles(found)
+    met = F.size(F.filter(required, lambda r: F.arrays_overlap(r, articles)))
+    return F.when(F.size(required) == 0, 1.0).otherwise(met / F.size(required))
+
+
 def keyword_coverage(keywords: Column, answer: Column) -> Column:
     low = F.lower(T.text(answer))
     return F.when(F.size(keywords) == 0, 1.0).otherwise(F.size(F.filter(keywords, lambda k: F.contains(low, F.lower(k)))) / F.size(keywords))

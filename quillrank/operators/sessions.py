@@ -13,6 +13,11 @@ def latest(versions: DataFrame, key: str, at: str) -> DataFrame:
     return versions.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def by_recency(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """Each session once with its last update, latest first; equal times by key, sessions without a time last."""
+    return rows.groupBy(key).agg(F.max(at).alias("updated_at"), F.count("*").alias("n")).orderBy(F.desc_nulls_last("updated_at"), key)
+
+
 def pairs(messages: DataFrame) -> DataFrame:
     """Messages 0 and 1, 2 and 3, .. of a conversation without its system turns, if user then assistant."""
     order = Window.partitionBy("conv_id").orderBy("turn")
@@ -42,8 +47,8 @@ def sse(kind: Column, content: Column) -> Column:
 def cache_hits(requests: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
     """(key, ts): a request hits if the key was written within the time to live; a miss writes.
 
-    Whether a request writes depends on the one before it, so a key's requests are folded in
-    order; hot keys are folded in batches that carry only the last write.
+    Whether a request writes depends on the one before it, so a key's requests are gathered and
+    folded in order: one key's history is one task's work and is held by it whole.
     """
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:

@@ -1,11 +1,13 @@
 """Exact inner-product search for batches of query vectors.
 
-Query vectors are the broadcast side: their number is that of the batch and is checked against
-``MAX_QUERIES``; larger batches are joined by a shuffle of the queries and not of the vectors.
+Query vectors are the broadcast side, in blocks of ``MAX_QUERIES`` or so: their number is counted,
+and each block meets all vectors in a scan of its own.  The vectors are never shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,11 @@ MAX_QUERIES = 10_000
 
 def scores(vectors: DataFrame, queries: DataFrame, id_col: str = "node_id") -> DataFrame:
     """query_id, node_id and score of every vector for each of a stated set of queries."""
-    held = queries.limit(MAX_QUERIES + 1)
-    side = F.broadcast(queries) if held.count() <= MAX_QUERIES else queries
-    # One row for each vector and query of the batch; only the k best go on.
-    pairs = vectors.join(side, F.lit(True))
+    n = max(1, -(-queries.count() // MAX_QUERIES))
+    block = F.pmod(F.xxhash64("query_id", "query"), F.lit(n))
+    sides = [queries.where(block == i) for i in range(n)] if n > 1 else [queries]
+    # One row for each vector and query of a block; only the k best of a query go on.
+    pairs = reduce(DataFrame.unionByName, [vectors.join(F.broadcast(side), F.lit(True)) for side in sides])
     return pairs.select("query_id", F.col(id_col).alias("node_id"), F.round(T.dot(F.col("embedding"), F.col("query")), 6).alias("score"))
 
 

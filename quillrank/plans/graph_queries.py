@@ -32,8 +32,8 @@ def edge_last_writer(spark, sf):
     return graph.with_reverse(RELATIONS.df(spark))
 
 
-_STRUCTURE = f"""{Q.CHUNKS}, u AS (SELECT node_id AS a, 'doc:' || canonical AS b, 'THUOC_VAN_BAN' AS t FROM chunks UNION ALL SELECT node_id, 'chap:' || canonical || ':' || chapter, 'THUOC_CHUONG' FROM chunks
-  UNION ALL SELECT DISTINCT 'chap:' || canonical || ':' || chapter, 'doc:' || canonical, 'THUOC_VAN_BAN' FROM chunks), edges AS (SELECT a AS src, b AS dst, t AS type FROM u UNION ALL SELECT b, a, 'REV_' || t FROM u)"""
+_STRUCTURE = f"""{Q.CHUNKS}, u AS (SELECT node_id AS a, 'doc:' || canonical AS b, 'THUOC_VAN_BAN' AS t FROM chunks UNION ALL SELECT node_id, 'chap:' || canonical || ':' || chapter, 'THUOC_CHUONG' FROM chunks WHERE chapter <> ''
+  UNION ALL SELECT DISTINCT 'chap:' || canonical || ':' || chapter, 'doc:' || canonical, 'THUOC_VAN_BAN' FROM chunks WHERE chapter <> ''), edges AS (SELECT a AS src, b AS dst, t AS type FROM u UNION ALL SELECT b, a, 'REV_' || t FROM u)"""
 
 
 @query("structural_edges", f"WITH {_STRUCTURE} SELECT src, dst, type FROM edges")
@@ -124,6 +124,12 @@ def coverage_by_group(spark, sf):
     return S.load(spark, sf, "documents").join(marked, "doc_id", "left").groupBy("source").agg(F.count("*").alias("total"), covered.alias("covered"), F.round(covered * 100.0 / F.count("*"), 2).alias("percent"))
 
 
+@query("coverage_files", f"""SELECT source, count(*) FILTER (WHERE l.doc_id IS NULL){LONG} AS missing, count(*){LONG} AS total
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source HAVING missing > 0 ORDER BY missing DESC, source LIMIT 20""")
+def coverage_files(spark, sf):
+    return graph.missing_by_file(S.load(spark, sf, "documents").select("doc_id", "source"), S.load(spark, sf, "labels"), "doc_id", "source")
+
+
 # --- Tables of contents --------------------------------------------------------------------------
 
 

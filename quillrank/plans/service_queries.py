@@ -51,6 +51,20 @@ def relaxed_recall(spark, sf):
     return rows.select("qid", *[F.round(metrics.relaxed(F.col("e"), F.col("f"), r), 6).alias(r) for r in ("strict", "wide")])
 
 
+REQUIRED = Rows("qid int, ord int, articles array<int>", [(0, 0, [5, 6]), (0, 1, [9]), (1, 0, [3]), (1, 1, [4, 12]), (3, 0, [7])])
+ITEMS = Rows("qid int, item string", [(0, "43/2019 Điều 6. Nhiệm vụ"), (0, "Khoản 9"), (1, "Điều  12"), (1, "Điều 3, Điều 4"), (2, "Điều 1"), (3, None)])
+
+
+@query("requirement_recall", f"""WITH r AS (SELECT * FROM {REQUIRED.sql}), i AS (SELECT qid, try_cast(regexp_extract(item, 'Điều\\s+(\\d+)', 1) AS INTEGER) AS article FROM {ITEMS.sql}),
+m AS (SELECT qid, ord, EXISTS (SELECT 1 FROM i WHERE i.qid = r.qid AND list_contains(r.articles, i.article)) AS met FROM r)
+SELECT q.qid, coalesce(round(avg(met::INT), 6), 1.0)::DOUBLE AS recall FROM (SELECT DISTINCT qid FROM i) q LEFT JOIN m USING (qid) GROUP BY q.qid""")
+def requirement_recall(spark, sf):
+    found = ITEMS.df(spark).groupBy("qid").agg(F.collect_list("item").alias("found"))
+    needed = REQUIRED.df(spark).groupBy("qid").agg(F.collect_list("articles").alias("required"))
+    required = F.coalesce("required", F.array().cast("array<array<int>>"))
+    return found.join(needed, "qid", "left").select("qid", F.round(metrics.requirement_recall(required, F.col("found")), 6).alias("recall"))
+
+
 @query("precision_recall", f"""SELECT qid, round({_REC}, 6) AS recall, CASE WHEN len(found) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(expected, found))::DOUBLE / len(found), 6) END AS precision,
 list_sort(list_filter(expected, lambda x: NOT list_contains(found, x))) AS missing, list_sort(list_filter(found, lambda x: NOT list_contains(expected, x))) AS extra FROM {RESULTS.sql}""")
 def precision_recall(spark, sf):
@@ -131,6 +145,11 @@ def session_listing(spark, sf):
     return S.load(spark, sf, "conversations").groupBy("conv_id").agg(first.alias("first"), F.count("*").alias("n")).select("conv_id", F.when(F.col("first").isNotNull(), T.cut_title(F.col("first"))).alias("title"), "n")
 
 
+@query("history_order", f"SELECT user_id, max(ts) AS updated_at, count(*){LONG} AS n FROM events GROUP BY user_id ORDER BY updated_at DESC NULLS LAST, user_id")
+def history_order(spark, sf):
+    return sessions.by_recency(S.load(spark, sf, "events").select("user_id", "ts"), "user_id", "ts")
+
+
 @query("session_latest", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
 def session_latest(spark, sf):
     return sessions.latest(S.load(spark, sf, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")

@@ -123,6 +123,11 @@ def min_length_filter(spark, sf):
     return S.load(spark, sf, "documents").where(n >= 30).select("doc_id", n.cast("bigint").alias("n"))
 
 
+@query("search_text_nodes", "SELECT doc_id FROM documents WHERE text <> ''")
+def search_text_nodes(spark, sf):
+    return S.load(spark, sf, "documents").where("text <> ''").select("doc_id")
+
+
 @query("keyword_boost", "SELECT doc_id, CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'und') THEN n_chars * 1.2::DOUBLE ELSE n_chars::DOUBLE END AS score FROM documents")
 def keyword_boost(spark, sf):
     return S.load(spark, sf, "documents").select("doc_id", T.boost(F.col("n_chars").cast("double"), F.col("text"), F.array(F.lit("the"), F.lit("und")), 1.2).alias("score"))

@@ -104,6 +104,25 @@ def index_is_current(spark: SparkSession, df: DataFrame, path: str, name: str) -
     return kept is not None and (kept["n"], kept["content"]) == (now["n"], now["content"])
 
 
+def write_report(rows: DataFrame, path: str, form: str = "json") -> None:
+    """Replace the report at ``path``: JSON lines, one text column as it is, or a Markdown table in the order of the rows.
+
+    A table goes to one file: reports are aggregates, and the head must come before the rows.
+    """
+    if form == "json":
+        rows.write.mode("overwrite").json(path)
+    elif form == "text":
+        rows.select(F.col(f"`{rows.columns[0]}`").cast("string").alias("value")).write.mode("overwrite").text(path)
+    elif form == "markdown":
+        cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ")
+        line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in rows.columns]), F.lit(" |"))
+        head = rows.sparkSession.createDataFrame([(-2, "| " + " | ".join(rows.columns) + " |"), (-1, "|" + " --- |" * len(rows.columns))], "place bigint, value string")
+        body = rows.select(F.monotonically_increasing_id().alias("place"), line.alias("value"))
+        head.union(body).coalesce(1).sortWithinPartitions("place").select("value").write.mode("overwrite").text(path)
+    else:
+        raise ValueError(f"no report form {form!r}")
+
+
 def append_trace(lines: DataFrame, path: str) -> None:
     """Append one text column to a log of text files."""
     lines.select(F.col(lines.columns[0]).cast("string").alias("value")).write.mode("append").text(path)
