@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from .sizing import meet
 
 
 def fast_intent(query: Column) -> Column:
@@ -36,7 +37,7 @@ def decided(query: Column) -> Column:
 
 def expansions(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(query_id, query) and rules (ord, keywords, expansion): one wider query for each rule that applies."""
-    hit = queries.join(F.broadcast(rules), F.exists(F.col("keywords"), lambda k: F.contains(F.lower("query"), k)))
+    hit = meet(queries, rules, F.exists(F.col("keywords"), lambda k: F.contains(F.lower("query"), k)))
     return hit.select("query_id", "ord", F.concat("query", F.lit(" "), "expansion").alias("expanded"))
 
 
@@ -55,9 +56,9 @@ def targets(queries: DataFrame, titles: DataFrame, rules: DataFrame) -> DataFram
     with cond -1 for a rule's own targets.
     """
     q = F.lower("query")
-    named = queries.join(F.broadcast(titles), title_match(q, F.col("title"))).select("query_id", F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.col("ord").alias("c")).alias("at"), F.col("so_hieu").alias("target"))
+    named = meet(queries, titles, title_match(q, F.col("title"))).select("query_id", F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.col("ord").alias("c")).alias("at"), F.col("so_hieu").alias("target"))
     met = F.when(F.col("match") == "any", F.exists(F.col("requires"), lambda r: F.contains(q, r))).otherwise(F.forall(F.col("requires"), lambda r: F.contains(q, r)))
-    hit = queries.join(F.broadcast(rules), F.exists(F.col("keywords"), lambda k: F.contains(q, k)) & ((F.size("requires") == 0) | met))
+    hit = meet(queries, rules, F.exists(F.col("keywords"), lambda k: F.contains(q, k)) & ((F.size("requires") == 0) | met))
     ruled = hit.select("query_id", F.col("ord").alias("a"), F.col("cond").alias("b"), F.posexplode("targets").alias("c", "target")).select("query_id", F.struct("a", "b", "c").alias("at"), "target")
     once = named.union(ruled).groupBy("query_id", "target").agg(F.min("at").alias("at"))
     order = Window.partitionBy("query_id").orderBy("at")

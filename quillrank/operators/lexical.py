@@ -2,8 +2,8 @@
 
 Texts are tokenised once.  Document frequencies come from the distinct tokens of each row, so
 the shuffle holds a row for each (task, term); term frequencies are counted only for terms that
-some query has, after a join with the queries' terms, which are broadcast: their number is
-bounded by the batch of queries.
+some query has, after a join with the queries' terms.  These are counted, broadcast up to
+``MAX_TERMS`` and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: (query, term) rows of a batch that are broadcast.
+MAX_TERMS = 200_000
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,9 +59,11 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "node_id", text_col:
     counts = term_counts(tokens)
     mean = corpus_size(counts).select("avgdl")
     terms = asked.select("term").distinct()
-    tf = tokens.select("node_id", "dl", F.explode("tokens").alias("term")).join(F.broadcast(terms), "term").groupBy("node_id", "dl", "term").agg(F.count("*").alias("tf"))
-    idf = _idf(counts).join(F.broadcast(terms), "term", "left_semi")
-    rows = tf.join(F.broadcast(idf), "term").join(F.broadcast(asked), "term").join(F.broadcast(mean), F.lit(True))
+    # The terms and their idf are no more rows than what is asked, so one count tells for all three.
+    sent = F.broadcast if asked.limit(MAX_TERMS + 1).count() <= MAX_TERMS else lambda df: df
+    tf = tokens.select("node_id", "dl", F.explode("tokens").alias("term")).join(sent(terms), "term").groupBy("node_id", "dl", "term").agg(F.count("*").alias("tf"))
+    idf = _idf(counts).join(sent(terms), "term", "left_semi")
+    rows = tf.join(sent(idf), "term").join(sent(asked), "term").join(F.broadcast(mean), F.lit(True))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy("query_id", "node_id").agg(F.round(F.sum(part), 6).alias("score"))
 

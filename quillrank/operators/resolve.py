@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from .sizing import bounded, meet
 
 
 def registry(documents: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def resolve(refs: DataFrame, registry_: DataFrame) -> DataFrame:
     two = first(left.join(reg, left["norm"] == reg["bare"]), 2)
     left = left.join(two, "raw", "left_anti")
     near = (F.length("bare") > 3) & (F.length("norm") > 3) & (F.contains(F.col("norm"), F.col("bare")) | F.contains(F.col("bare"), F.col("norm")))
-    three = first(left.join(reg, near), 3)
+    three = first(meet(reg, left, near), 3)
     found = one.unionByName(two).unionByName(three)
     return refs.join(found, "raw", "left").select("raw", F.coalesce("canonical", "raw").alias("canonical"), F.coalesce("tier", F.lit(4)).alias("tier"))
 
@@ -52,7 +53,7 @@ def route(refs: DataFrame, registry_: DataFrame) -> DataFrame:
     raw, alias = F.col("raw"), F.col("alias")
     tier = F.when(alias == raw, 1).when(alias == F.lower(raw), 2).when(alias == F.translate(raw, "-/", "/-"), 3)
     tier = tier.when(alias.startswith(raw) & (F.length(alias) - F.length(raw) < 5), 4)
-    hits = refs.select("raw").distinct().join(registry_, tier.isNotNull()).withColumn("tier", tier)
+    hits = meet(registry_, refs.select("raw").distinct(), tier.isNotNull()).withColumn("tier", tier)
     best = hits.groupBy("raw").agg(F.min_by(F.struct("canonical", "tier"), F.struct("tier", "ord", "alias")).alias("b"))
     return refs.join(best, "raw", "left").select("raw", F.coalesce("b.canonical", "raw").alias("canonical"), F.coalesce("b.tier", F.lit(5)).alias("tier"))
 
@@ -60,7 +61,7 @@ def route(refs: DataFrame, registry_: DataFrame) -> DataFrame:
 def inject_parents(ranked: DataFrame, cross: DataFrame) -> DataFrame:
     """(query_id, place, document): each document followed by its parents, each bare number once, first wins."""
     own = ranked.select("query_id", "document", F.struct("place", F.lit(0).alias("k"), F.lit(0).alias("n")).alias("at"))
-    parents = ranked.join(F.broadcast(cross), ranked["document"] == cross["child"]).select("query_id", F.col("parent").alias("document"), F.struct("place", F.lit(1).alias("k"), F.col("n")).alias("at"))
+    parents = ranked.join(bounded(cross), ranked["document"] == cross["child"]).select("query_id", F.col("parent").alias("document"), F.struct("place", F.lit(1).alias("k"), F.col("n")).alias("at"))
     rows = own.union(parents).withColumn("bare", T.bare_number(F.col("document")))
     once = rows.groupBy("query_id", "bare").agg(F.min_by("document", "at").alias("document"), F.min("at").alias("at"))
     order = Window.partitionBy("query_id").orderBy("at")
@@ -70,8 +71,9 @@ def inject_parents(ranked: DataFrame, cross: DataFrame) -> DataFrame:
 def canonical_number(numbers: DataFrame, rules: DataFrame) -> DataFrame:
     """(raw) becomes (raw, canonical) by the first rule whose text an upper-case number contains."""
     up = F.upper("raw")
-    hits = numbers.join(F.broadcast(rules), F.contains(up, F.col("needle")) & F.contains(up, F.col("also")), "left")
-    return hits.groupBy("raw").agg(F.coalesce(F.min_by("target", "ord"), F.col("raw")).alias("canonical"))
+    raw = numbers.select("raw").distinct()
+    best = meet(raw, rules, F.contains(up, F.col("needle")) & F.contains(up, F.col("also"))).groupBy("raw").agg(F.min_by("target", "ord").alias("target"))
+    return raw.join(best, "raw", "left").select("raw", F.coalesce("target", "raw").alias("canonical"))
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -127,6 +129,6 @@ def footnotes(refs: DataFrame, titles: DataFrame) -> DataFrame:
     number, law = T.first_match(raw, r"(\d+/\d{4})"), T.first_match(raw, r"^Luật (\d+)")
     tier = F.when(so_hieu == raw, 1).when(number.isNotNull() & F.contains(so_hieu, number), 2).when(law.isNotNull() & F.startswith(so_hieu, F.concat(law, F.lit("/"))), 3)
     tier = tier.when((F.length(raw) > 5) & F.contains(F.lower("title"), F.lower(raw)), 4)
-    hits = refs.select("raw").distinct().join(F.broadcast(titles), tier.isNotNull()).withColumn("tier", tier)
+    hits = meet(refs.select("raw").distinct(), titles, tier.isNotNull()).withColumn("tier", tier)
     best = hits.groupBy("raw").agg(F.min_by(F.struct("title", "tier"), F.struct("tier", "ord")).alias("b"))
     return refs.join(best, "raw", "left").select("raw", F.col("b.title").alias("title"), F.coalesce("b.tier", F.lit(5)).alias("tier"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import fusion, graph, lexical
+from .sizing import bounded
 
 #: Depths as (times k, plus) for dense and sparse search and for the rerank cut.
 STRATEGIES = {
@@ -36,7 +37,7 @@ def rerank(lists: DataFrame, queries: DataFrame, chunks: DataFrame, n: int | Non
     """Score the distinct candidates of each query with an injected scorer and keep the n best."""
     seen = lists.select("query_id", "node_id").where(F.col("node_id").startswith("node:")).distinct()
     body = F.substring("full_text", 1, cut) if cut else F.col("full_text")
-    scored = seen.join(F.broadcast(queries), "query_id").join(chunks, "node_id").select("query_id", "node_id", scorer(F.col("query"), body).alias("score"))
+    scored = seen.join(bounded(queries), "query_id").join(chunks, "node_id").select("query_id", "node_id", scorer(F.col("query"), body).alias("score"))
     return lexical.top_k(scored, n)
 
 
@@ -61,7 +62,7 @@ def dispatch(lists: DataFrame, chosen: DataFrame, queries: DataFrame, chunks: Da
     """Each query takes the depths of its strategy; unknown strategies take the default's."""
     depths = strategy_depths(lists.sparkSession, k)
     known = chosen.join(depths.select("strategy", F.lit(True).alias("known")), "strategy", "left").select("query_id", F.when(F.col("known"), F.col("strategy")).otherwise("default").alias("strategy"))
-    plan = F.broadcast(known.join(depths, "strategy").select("query_id", "dense", "sparse", "cut"))
+    plan = bounded(known.join(depths, "strategy").select("query_id", "dense", "sparse", "cut"))
     taken = lists.join(plan, "query_id").where(((F.col("list_id") == 0) & (F.col("rank") < F.col("dense"))) | ((F.col("list_id") == 1) & (F.col("rank") < F.col("sparse"))))
     return rerank(taken, queries, chunks, None).join(plan, "query_id").where(F.col("rank") < F.col("cut")).select("query_id", "node_id", "score", "rank")
 
@@ -70,7 +71,7 @@ def legacy(lists: DataFrame, typed: DataFrame, queries: DataFrame, chunks: DataF
     """The older flow: (query_id, kind) choose depths and hops; texts are scored whole."""
     rows = [(t, d * k, s * k, c * k, h) for t, (d, s, c, h) in LEGACY.items()]
     depths = lists.sparkSession.createDataFrame(rows, "kind string, dense int, sparse int, cut int, hops int")
-    plan = F.broadcast(typed.join(depths, "kind").select("query_id", "dense", "sparse", "cut", "hops"))
+    plan = bounded(typed.join(depths, "kind").select("query_id", "dense", "sparse", "cut", "hops"))
     taken = lists.join(plan, "query_id").where(((F.col("list_id") == 0) & (F.col("rank") < F.col("dense"))) | ((F.col("list_id") == 1) & (F.col("rank") < F.col("sparse"))))
     near = graph.expand(taken.select("query_id", F.col("node_id").alias("node")).distinct(), edges, 2).join(plan, "query_id").where(F.col("hop") <= F.col("hops"))
     best = rerank(near.select("query_id", F.col("node").alias("node_id")), queries, chunks, None)

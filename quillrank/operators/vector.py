@@ -6,24 +6,20 @@ and each block meets all vectors in a scan of its own.  The vectors are never sh
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .lexical import top_k
+from .sizing import bounded, meet
 
 MAX_QUERIES = 10_000
 
 
 def scores(vectors: DataFrame, queries: DataFrame, id_col: str = "node_id") -> DataFrame:
     """query_id, node_id and score of every vector for each of a stated set of queries."""
-    n = max(1, -(-queries.count() // MAX_QUERIES))
-    block = F.pmod(F.xxhash64("query_id", "query"), F.lit(n))
-    sides = [queries.where(block == i) for i in range(n)] if n > 1 else [queries]
     # One row for each vector and query of a block; only the k best of a query go on.
-    pairs = reduce(DataFrame.unionByName, [vectors.join(F.broadcast(side), F.lit(True)) for side in sides])
+    pairs = meet(vectors, queries, F.lit(True), MAX_QUERIES)
     return pairs.select("query_id", F.col(id_col).alias("node_id"), F.round(T.dot(F.col("embedding"), F.col("query")), 6).alias("score"))
 
 
@@ -33,6 +29,6 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def dense_scoped(vectors: DataFrame, queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """Only members of the query's document, positive scores only."""
-    near = vectors.join(members, "node_id").join(F.broadcast(queries), "query_id")
+    near = vectors.join(members, "node_id").join(bounded(queries, MAX_QUERIES), "query_id")
     scored = near.select("query_id", "node_id", F.round(T.dot(F.col("embedding"), F.col("query")), 6).alias("score"))
     return top_k(scored.where("score > 0"), k)

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.operators import graph, metrics, sessions, vector
+from quillrank.operators import graph, lexical, metrics, resolve, sessions, sizing, vector
 from quillrank.sources import files
 
 
@@ -58,3 +58,29 @@ def test_reports(spark, tmp_path):
     assert read(tmp_path / "markdown") == ["| k | v |", "| --- | --- |", "| 1 | a\\|b |", "| 2 |  |", "| 3 | c d |"]
     with pytest.raises(ValueError):
         files.write_report(rows, str(tmp_path / "x"), "pdf")
+
+
+def test_joins_by_checked_size(spark):
+    large = spark.createDataFrame([(i, f"w{i % 7} x") for i in range(40)] + [(None, None)], "i int, text string")
+    small = spark.createDataFrame([(f"w{j}",) for j in range(9)] + [(None,), ("w1",)], "word string")
+    near = F.contains(F.col("text"), F.col("word"))
+    plain = sorted(map(tuple, large.join(small, near).collect()))
+    assert sorted(map(tuple, sizing.meet(large, small, near, 3).collect())) == plain and plain
+    assert sizing.meet(large, small.limit(0), near, 3).count() == 0
+    for rows in (3, 100):
+        held = sizing.bounded(small.withColumnRenamed("word", "w"), rows)
+        assert large.join(held, F.substring("text", 1, 2) == F.col("w")).count() == 46
+
+
+def test_bm25_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"n{i}", f"a{i % 3} b{i % 5} common") for i in range(20)], "node_id string, full_text string")
+    asked = spark.createDataFrame([(0, "a1 b2"), (1, "common a0 a0"), (2, "")], "query_id int, query string")
+    whole = sorted(map(tuple, lexical.bm25(docs, asked).collect()))
+    monkeypatch.setattr(lexical, "MAX_TERMS", 1)
+    assert sorted(map(tuple, lexical.bm25(docs, asked).collect())) == whole and whole
+
+
+def test_canonical_numbers(spark):
+    rules = spark.createDataFrame([("X", "1", "t0", 0), ("X", "", "t1", 1)], "needle string, also string, target string, ord int")
+    numbers = spark.createDataFrame([("x1",), ("x2",), ("y",), ("y",), (None,)], "raw string")
+    assert sorted(map(tuple, resolve.canonical_number(numbers, rules).collect()), key=str) == [("x1", "t0"), ("x2", "t1"), ("y", "y"), (None, None)]
