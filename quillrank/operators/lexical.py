@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: (query, term) rows of a batch that are broadcast.
+#: Words of a batch of queries up to which their terms are broadcast.
 MAX_TERMS = 200_000
 
 
@@ -59,8 +59,9 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "node_id", text_col:
     counts = term_counts(tokens)
     mean = corpus_size(counts).select("avgdl")
     terms = asked.select("term").distinct()
-    # The terms and their idf are no more rows than what is asked, so one count tells for all three.
-    sent = F.broadcast if asked.limit(MAX_TERMS + 1).count() <= MAX_TERMS else lambda df: df
+    # The words of the queries bound the rows of all three sides, and are counted without a shuffle.
+    words = queries.agg(F.sum(F.size(T.tokens(F.col("query"))))).first()[0] or 0
+    sent = F.broadcast if words <= MAX_TERMS else lambda df: df
     tf = tokens.select("node_id", "dl", F.explode("tokens").alias("term")).join(sent(terms), "term").groupBy("node_id", "dl", "term").agg(F.count("*").alias("tf"))
     idf = _idf(counts).join(sent(terms), "term", "left_semi")
     rows = tf.join(sent(idf), "term").join(sent(asked), "term").join(F.broadcast(mean), F.lit(True))
