@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, fingerprints, licenses, mixing, packing, quality, simhash, tokencount, toxicity, warc
+from . import balance, chat, filters, fingerprints, licenses, mixing, packing, quality, ranking, simhash, tokencount, toxicity, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,9 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_filter_interactions": filters.op11_filter_interactions,
+        "op12_balanced_packing": balance.op12_balanced_packing,
+        "op13_ranked_search": ranking.op13_ranked_search,
         "quality_policies": quality.quality_policies,
         "quality_ablation": quality.quality_ablation,
     }
@@ -31,6 +34,8 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": warc.ORACLE,
         "op9_license_scan": licenses.ORACLE,
         "op10_quality_rules": quality.ORACLE,
+        "op11_filter_interactions": filters.ORACLE,
+        "op13_ranked_search": ranking.ORACLE,
         "quality_policies": quality.POLICIES_ORACLE,
         "quality_ablation": quality.ABLATION_ORACLE,
     }
