@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import table, text_of
+from .common import new_path, table, text_of
 
 #: Pre-tokens in a block when a tree is built, and how many make it be built anew.
 BLOCK, FULL = 64, 1024
@@ -101,17 +101,28 @@ class TokenTree:
         """Block i's pre-tokens."""
         block = self.blocks[i]
         if isinstance(block, str):
-            ahead = next((b if isinstance(b, str) else "".join(b) for b in self.blocks[i + 1 :] if b), "")
-            ahead = tokens.SPECIAL if ahead.startswith(tokens.SPECIAL) else ahead[:2]
             pieces, size = [], 0
-            for piece in pretokens(block + ahead, self.counts.paths):
-                if size == len(block):
+            for piece in pretokens(block + self._ahead(i), self.counts.paths):
+                if size >= len(block):
                     break
                 pieces.append(piece)
                 size += len(piece)
+            if size != len(block):
+                raise ValueError(f"a stored block of {len(block)} characters isn't cut at a pre-token")
             self.blocks[i] = block = pieces
         return block
 
+    def _ahead(self, i: int) -> str:
+        """The text behind block i that the end of its last pre-token may depend on, from as many blocks as that takes."""
+        near, parts, size = len(tokens.SPECIAL), [], 0
+        for b in self.blocks[i + 1 :]:
+            if size >= near:
+                break
+            parts.append(b if isinstance(b, str) else "".join(b))
+            size += len(parts[-1])
+        text = "".join(parts)
+        return tokens.SPECIAL if text.startswith(tokens.SPECIAL) else text[:2]
+
     def kept(self) -> list[tuple[str, int]]:
         """The blocks' texts and token counts, for storage."""
         texts = (b if isinstance(b, str) else "".join(b) for b in self.blocks)
@@ -269,10 +280,11 @@ def _tree_batches(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) ->
     counts = Counts(paths)
     for batch in batches:
         trees = [TokenTree(t.as_py(), counts) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), _rows(trees), pa.array([t.n_tokens for t in trees], pa.int64())], ["id", "blocks", "n_tokens"])
+        numbers = [[t.n_tokens for t in trees], [sum(map(len, t.blocks)) for t in trees], [t.n_chars for t in trees]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _rows(trees), *[pa.array(x, pa.int64()) for x in numbers]], ["id", "blocks", "n_tokens", "n_pretokens", "n_chars"])
 
 
-def _edit_batches(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+def _edit_batches(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], keep: bool) -> Iterator[pa.RecordBatch]:
     counts = Counts(paths)
     for batch in batches:
         trees, before = [], []
@@ -282,31 +294,41 @@ def _edit_batches(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) ->
             for at, drop, put in _plan(edits.as_py()):
                 tree.edit(at, drop, put)
             trees.append(tree)
-        numbers = [[t.n_tokens for t in trees], before, [t.encoded for t in trees]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), _rows(trees), *[pa.array(x, pa.int64()) for x in numbers]], ["id", "blocks", "n_tokens", "n_tokens_before", "n_reencoded"])
+        numbers = [[t.n_tokens for t in trees], before, [t.encoded for t in trees], [t.n_chars for t in trees]]
+        rows = [_rows(trees)] if keep else []
+        yield pa.RecordBatch.from_arrays([batch.column(0), *rows, *[pa.array(x, pa.int64()) for x in numbers]], ["id", *["blocks"] * keep, "n_tokens", "n_tokens_before", "n_reencoded", "n_chars"])
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
-    """(id, blocks, n_tokens): the tree of each text, to be written and edited later."""
+    """(id, blocks, n_tokens, n_pretokens, n_chars): the tree of each text, to be written and edited later."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
-    return src.mapInArrow(partial(_tree_batches, paths=paths or tokens.vocabulary_paths()), f"id {src.schema['id'].dataType.simpleString()}, blocks {BLOCKS}, n_tokens bigint")
+    schema = f"id {src.schema['id'].dataType.simpleString()}, blocks {BLOCKS}, n_tokens bigint, n_pretokens bigint, n_chars bigint"
+    return src.mapInArrow(partial(_tree_batches, paths=paths or tokens.vocabulary_paths()), schema)
 
 
-def edit_stored(trees: DataFrame, edits: Column, paths: tuple[str, str] | None = None) -> DataFrame:
-    """(id, blocks, n_tokens, n_tokens_before, n_reencoded) of ``stored`` trees after a batch of edits; texts are not encoded again."""
+def edit_stored(trees: DataFrame, edits: Column, paths: tuple[str, str] | None = None, keep: bool = True) -> DataFrame:
+    """(id, blocks, n_tokens, n_tokens_before, n_reencoded, n_chars) of ``stored`` trees after a batch of edits; texts are not encoded again.
+
+    Without ``keep`` the edited blocks are not given back.
+    """
     src = trees.select("id", F.col("blocks").cast(BLOCKS).alias("blocks"), edits.alias("edits"))
-    schema = f"id {src.schema['id'].dataType.simpleString()}, blocks {BLOCKS}, n_tokens bigint, n_tokens_before bigint, n_reencoded bigint"
-    return src.mapInArrow(partial(_edit_batches, paths=paths or tokens.vocabulary_paths()), schema)
+    schema = f"id {src.schema['id'].dataType.simpleString()}, {f'blocks {BLOCKS}, ' if keep else ''}n_tokens bigint, n_tokens_before bigint, n_reencoded bigint, n_chars bigint"
+    return src.mapInArrow(partial(_edit_batches, paths=paths or tokens.vocabulary_paths(), keep=keep), schema)
 
 
-def standard_edits(text: Column) -> Column:
-    """Three edits: a title put before the text, some words amid it replaced, its last characters cut."""
-    n = F.length(text)
+def standard_edits(n: Column) -> Column:
+    """Three edits of a text of n characters: a title put before it, some words amid it replaced, its last characters cut."""
     edit = lambda at, drop, put: F.struct(at.cast("int").alias("at"), F.lit(drop).alias("drop"), F.lit(put).alias("put"))
     return F.array(edit(F.lit(0), 0, "Second draft:\n"), edit(F.floor(n / 2), 40, " these words stand in for others "), edit(F.greatest(n - 10, F.lit(0)), 25, "."))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document and of its edited text."""
-    docs = table(spark, sf_dir, "documents")
-    return count_with_edits(docs, standard_edits(text_of("text"))).withColumnRenamed("id", "doc_id")
+    """Write the tree of every document, apply the edits to the stored trees, and report both counts."""
+    path = new_path(spark, "trees")
+    stored(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    trees = spark.read.parquet(path)
+    edited = edit_stored(trees.select(F.struct("id", "n_pretokens").alias("id"), "blocks", "n_chars"), standard_edits(F.col("n_chars")), keep=False)
+    return edited.select(
+        F.col("id.id").alias("doc_id"), F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_reencoded",
+        F.col("id.n_pretokens").alias("n_pretokens"), F.col("n_chars").alias("n_chars_edited"),
+    )

@@ -60,7 +60,9 @@ def digest(payload: bytes) -> str:
 
 
 def record_id(page_id, sha1: str) -> str:
-    """The id of a page's response; revisits, which nothing refers to, have random ones."""
+    """The id of a page's response; revisits and pages without an id, which nothing refers to, have random ones."""
+    if page_id is None:
+        return f"<urn:uuid:{uuid.uuid4()}>"
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha1}')}>"
 
 

@@ -39,6 +39,58 @@ def test_special_strings(counts, again):
             assert (tree.text(), tree.n_tokens, tree.n_chars) == (text, len(slow_ids(text)), len(text))
 
 
+@pytest.mark.parametrize("block,full", [(2, 8), (1, 3), (5, 20)])
+def test_small_blocks(counts, monkeypatch, block, full):
+    """Trees that are rebuilt all the time and stored before every edit, over texts of white space and single letters."""
+    monkeypatch.setattr(tokencount, "BLOCK", block)
+    monkeypatch.setattr(tokencount, "FULL", full)
+    rng = random.Random(11)
+    parts = [*PARTS, " ", "  ", "\n", "\n\n", "x", " x", "'", "'s"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 80)))
+        tree = tokencount.TokenTree(text, counts)
+        for _ in range(6):
+            tree = tokencount.TokenTree.stored(tree.kept(), counts)
+            at, drop = rng.randint(0, len(text)), rng.choice([0, 0, 1, 2, 5, 20])
+            put = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+            tree.edit(at, drop, put)
+            text = text[:at] + put + text[at + drop :]
+            assert (tree.text(), tree.n_tokens, tree.n_chars) == (text, len(slow_ids(text)), len(text))
+
+
+def test_one_pre_token_left_over(counts):
+    """A rebuild leaves a block of one line feed between a block that ends in spaces and one that starts with a letter."""
+    text = "w" + " w" * 61 + "  " + "\nx y z" + " q" * 200
+    tree = tokencount.TokenTree(text, counts)
+    tree.edit(0, 0, put := "b" + " b" * 1025)
+    text = put + text
+    tree = tokencount.TokenTree.stored(tree.kept(), counts)
+    tree.edit(2154, 1, "k")
+    text = text[:2154] + "k" + text[2155:]
+    assert (tree.text(), tree.n_chars, tree.n_tokens) == (text, len(text), len(slow_ids(text)))
+
+
+def test_a_block_that_is_no_pre_token_is_refused(counts):
+    tree = tokencount.TokenTree.stored([("ab", 1), ("cd ef", 2)], counts)
+    with pytest.raises(ValueError, match="isn't cut"):
+        tree.edit(0, 1, "x")
+
+
+def test_query(spark, sf_dir):
+    """The query's counts against whole texts edited by hand; the edits are met in the stored trees."""
+    from quillrank.llm.common import table
+
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}
+    got = {r.doc_id: r for r in tokencount.op4_token_counts(spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        n, after = len(t), "Second draft:\n" + t
+        after = after[: n // 2] + " these words stand in for others " + after[n // 2 + 40 :]
+        at = max(n - 10, 0)
+        after = after[:at] + "." + after[at + 25 :]
+        assert (got[i].n_tokens, got[i].n_tokens_edited, got[i].n_chars_edited) == (len(slow_ids(t)), len(slow_ids(after)), len(after))
+
+
 def test_markup_edits_encode_little(counts):
     text = " ".join(f"word{i % 700} <b>x</b>" for i in range(2000))
     for put in ("a < b", "<p>", "|x|", "endoftext", tokens.SPECIAL):

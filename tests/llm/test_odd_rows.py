@@ -27,7 +27,7 @@ def toxic(spark, df):
 OPERATORS = {
     "mixing": lambda s, d: mixing.mix(d, domains(s), {"en": 0.6, "de": 0.2, "fr": 0.2}),
     "packing": lambda s, d: packing.pack_documents(d),
-    "counts": lambda s, d: tokencount.count_with_edits(d, tokencount.standard_edits(text_of("text"))),
+    "counts": lambda s, d: tokencount.count_with_edits(d, tokencount.standard_edits(F.length(text_of("text")))),
     "simhash": lambda s, d: simhash.near_duplicates(d),
     "toxicity": toxic,
     "fingerprints": lambda s, d: fingerprints.fingerprints(d),
