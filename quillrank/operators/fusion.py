@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF = 60
@@ -48,24 +46,29 @@ def ordered_union(lists: DataFrame, key: str) -> DataFrame:
     return once.withColumn("place", (F.row_number().over(order) - 1).cast("bigint"))
 
 
-def mmr(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
-    """Greedy choice of relevant and unlike texts; (query_id, node_id, score, text) rows, a bounded list for each query."""
+def mmr(candidates: DataFrame, k: int | Column, weight: float = 0.7) -> DataFrame:
+    """Greedy choice of relevant and unlike texts; (query_id, node_id, score, text) rows, a bounded list for each query.
+
+    ``k`` is a number or a column of the query's rows.
+    """
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(frame.itertuples(index=False), key=lambda r: (-r.score, r.node_id))
         words = {r.node_id: set(r.text.lower().split()) for r in rows}
         near = dict.fromkeys(words, 0.0)
         out: list = []
-        while rows and len(out) < k:
+        most = rows[0].k
+        while rows and len(out) < most:
             best = min(rows, key=lambda r: (-(weight * r.score - (1 - weight) * near[r.node_id]) if out else -r.score, r.node_id))
             rows.remove(best)
             for r in rows:
                 a, b = words[r.node_id], words[best.node_id]
                 near[r.node_id] = max(near[r.node_id], len(a & b) / max(1, len(a | b)))
-            out.append((best.query_id, best.node_id, len(out)))
-        return pd.DataFrame(out, columns=["query_id", "node_id", "place"])
+            out.append((best.query_id, best.node_id, best.score, len(out)))
+        return pd.DataFrame(out, columns=["query_id", "node_id", "score", "place"])
 
-    return candidates.groupBy("query_id").applyInPandas(pick, "query_id bigint, node_id string, place bigint")
+    src = candidates.select("query_id", "node_id", "score", "text", (F.lit(k) if isinstance(k, int) else k).alias("k"))
+    return src.groupBy("query_id").applyInPandas(pick, f"query_id {src.schema['query_id'].dataType.simpleString()}, node_id string, score double, place bigint")
 
 
 def budget_skip(rows: DataFrame, limit: int) -> DataFrame:
@@ -79,13 +82,3 @@ def budget_skip(rows: DataFrame, limit: int) -> DataFrame:
         lambda a: a["taken"],
     )
     return rows.groupBy("query_id").agg(fold.alias("taken")).select("query_id", F.explode("taken").alias("place"))
-
-
-def scored_in_batches(df: DataFrame, scorer, columns: list[str], schema: str) -> DataFrame:
-    """Run an injected model over Arrow batches: ``scorer(frame) -> frame``."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield scorer(frame)
-
-    return df.select(*columns).mapInPandas(run, schema)

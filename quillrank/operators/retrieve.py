@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import fusion, graph, lexical
+from .inverted import Index
 from .sizing import bounded
 
 #: Depths as (times k, plus) for dense and sparse search and for the rerank cut.
@@ -50,12 +51,20 @@ def retrieve_as_docs(lists: DataFrame, queries: DataFrame, chunks: DataFrame, ed
     return best.join(chunks, "node_id").select("query_id", F.col("node_id").alias("chunk_id"), "rank", "score", crumb.alias("breadcrumb"))
 
 
-def wide(chunks: DataFrame, asked: DataFrame, main: int = 20, extra: int = 8) -> DataFrame:
+def sub_searches(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, list_id, query) rows become (query_id, list_id, node_id, rank): each list's k best by the stored index."""
+    kind = asked.schema["query_id"].dataType.simpleString()
+    one = asked.select(F.concat_ws(":", F.col("query_id").cast("string"), F.col("list_id").cast("string")).alias("query_id"), "query")
+    best = lexical.top_k(index.search(one, k, positive=True), k)
+    cut = lambda i: F.substring_index("query_id", ":", i)
+    whole = F.substr("query_id", F.lit(1), F.length("query_id") - F.length(cut(-1)) - 1)
+    return best.select(whole.cast(kind).alias("query_id"), cut(-1).cast("int").alias("list_id"), "node_id", "rank")
+
+
+def wide(index: Index, asked: DataFrame, main: int = 20, extra: int = 8) -> DataFrame:
     """(query_id, list_id, query): the query itself as list 0 and wider ones, fused by rank."""
-    one = asked.select(F.struct("query_id", "list_id").alias("query_id"), "query")
-    ranked = lexical.top_k(lexical.bm25(chunks, one).where("score > 0"), main)
-    ranked = ranked.where((F.col("query_id.list_id") == 0) | (F.col("rank") < extra))
-    return fusion.rrf(ranked.select("query_id.query_id", "node_id", "rank"))
+    ranked = sub_searches(index, asked, main).where((F.col("list_id") == 0) | (F.col("rank") < extra))
+    return fusion.rrf(ranked.select("query_id", "node_id", "rank"))
 
 
 def dispatch(lists: DataFrame, chosen: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

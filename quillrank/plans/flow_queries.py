@@ -21,9 +21,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, no
 SELECT DISTINCT query_id // 10 AS query_id, node_id FROM r WHERE n <= greatest(3, 10 // 2)""")
 def multi_query_retrieve(spark, sf):
     q = S.query_texts(spark, sf)
-    subs = q.select((F.col("query_id") * 10).alias("query_id"), "query").union(q.select(F.col("query_id") * 10 + 1, F.concat("query", F.lit(" of"))))
-    best = lexical.top_k(lexical.bm25(S.chunks(spark, sf), subs).where("score > 0"), max(3, 10 // 2))
-    return best.select(F.floor(F.col("query_id") / 10).alias("query_id"), "node_id").distinct()
+    subs = q.select("query_id", F.lit(0).alias("list_id"), "query").union(q.select("query_id", F.lit(1), F.concat("query", F.lit(" of"))))
+    return retrieve.sub_searches(S.lexical_index(spark, sf), subs, max(3, 10 // 2)).select("query_id", "node_id").distinct()
 
 
 @query("legacy_retrieve", f"""
@@ -54,7 +53,7 @@ def summary_flow(spark, sf):
 @query("listing_flow", f"""
 WITH {Q.CHUNKS}, {Q.queries()}, {Q.bm25()}, {Q.top('(SELECT * FROM bm25 WHERE score > 0)', 10, 'best')} SELECT DISTINCT query_id, canonical FROM best JOIN chunks USING (node_id)""")
 def listing_flow(spark, sf):
-    best = lexical.top_k(bm25_scores(spark, sf).where("score > 0"), 10)
+    best = lexical.top_k(bm25_scores(spark, sf, 10), 10)
     return best.join(S.chunks(spark, sf), "node_id").select("query_id", "canonical").distinct()
 
 

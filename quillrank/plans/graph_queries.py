@@ -13,25 +13,6 @@ from .registry import Rows, query, quote
 from .text_queries import LAWS
 
 LONG = "::BIGINT"
-RELATIONS = Rows("source string, target string, relation string, ord int", [
-    ("a", "b", "R1", 0), ("b", "a", "R2", 1), ("b", "c", "R1", 2), ("c", "d", "R3", 3), ("a", "b", "R4", 4), ("d", "a", "R1", 5), ("e", "e", "R1", 6), ("c", "d", "R3", 7),
-])
-PATCH = Rows("source string, target string, relation string, ord int", [("a", "b", "R1", 0), ("x", "a", "R9", 1), ("c", "d", "R3", 2)])
-ENTITIES = Rows("id string, name string, type string, description string, ord int", [
-    ("ent:a", "A", "Organization", "short", 0), ("ent:a", "A", "Organization", "much longer", 1), ("ent:b", "B", "Role", None, 2), ("ent:b", "B2", "Role", "", 3), ("ent:c", "C", "Policy", "equal", 4), ("ent:c", "C3", "Policy", "same!", 5),
-])
-MORE = Rows("id string, name string, type string, description string, ord int", [("ent:c", "C", "Policy", "a longer text", 0), ("ent:d", "D", "Concept", "new", 1), ("ent:a", "A9", "Role", "much longe", 2)])
-GROUPS = Rows("canonical string, aliases array<string>", [("ent:a", ["ent:b", "ent:a"]), ("ent:d", ["ent:c"])])
-
-_EDGES = f"""r AS (SELECT * FROM {RELATIONS.sql}), w AS (SELECT source AS src, target AS dst, relation AS type, ord * 2 AS ord FROM r UNION ALL SELECT target, source, 'REV_' || relation, ord * 2 + 1 FROM r),
-edges AS (SELECT src, dst, arg_max(type, (ord, type)) AS type FROM w GROUP BY ALL)"""
-
-
-@query("edge_last_writer", f"WITH {_EDGES} SELECT src, dst, type FROM edges")
-def edge_last_writer(spark, sf):
-    return graph.with_reverse(RELATIONS.df(spark))
-
-
 _STRUCTURE = f"""{Q.CHUNKS}, u AS (SELECT node_id AS a, 'doc:' || canonical AS b, 'THUOC_VAN_BAN' AS t FROM chunks UNION ALL SELECT node_id, 'chap:' || canonical || ':' || chapter, 'THUOC_CHUONG' FROM chunks WHERE chapter <> ''
   UNION ALL SELECT DISTINCT 'chap:' || canonical || ':' || chapter, 'doc:' || canonical, 'THUOC_VAN_BAN' FROM chunks WHERE chapter <> ''), edges AS (SELECT a AS src, b AS dst, t AS type FROM u UNION ALL SELECT b, a, 'REV_' || t FROM u)"""
 
@@ -71,42 +52,6 @@ def hop2_expand(spark, sf):
     return graph.expand(seeds(spark), graph.structure(S.chunks(spark, sf)), 2)
 
 
-_LONGEST = "SELECT id, name, type, description FROM ({}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(coalesce(description, '')) DESC, ord) = 1"
-
-
-@query("entity_dedupe", _LONGEST.format(f"SELECT * FROM {ENTITIES.sql}"))
-def entity_dedupe(spark, sf):
-    return graph.dedupe_entities(ENTITIES.df(spark)).drop("ord")
-
-
-@query("graph_merge", _LONGEST.format(f"SELECT * FROM {ENTITIES.sql} UNION ALL SELECT id, name, type, description, ord + 1000 FROM {MORE.sql}"))
-def graph_merge(spark, sf):
-    return graph.merge((ENTITIES.df(spark), RELATIONS.df(spark)), (MORE.df(spark), PATCH.df(spark)))[0].drop("ord")
-
-
-@query("relation_merge", f"SELECT DISTINCT source, target, relation FROM (SELECT * FROM {RELATIONS.sql} UNION ALL SELECT * FROM {PATCH.sql})")
-def relation_merge(spark, sf):
-    return graph.merge((ENTITIES.df(spark), RELATIONS.df(spark)), (MORE.df(spark), PATCH.df(spark)))[1].drop("ord")
-
-
-@query("alias_resolution", f"""
-WITH a AS (SELECT alias, min(canonical) AS canonical FROM (SELECT canonical, unnest(aliases) AS alias FROM {GROUPS.sql}) WHERE alias <> canonical GROUP BY alias)
-SELECT id, name, type, description FROM (SELECT coalesce(a.canonical, e.id) AS id, name, type, description, ord FROM (SELECT * FROM {ENTITIES.sql} UNION ALL SELECT * FROM {MORE.sql}) e LEFT JOIN a ON a.alias = e.id)
-QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(coalesce(description, '')) DESC, ord) = 1""")
-def alias_resolution(spark, sf):
-    both = ENTITIES.df(spark).unionByName(MORE.df(spark))
-    return graph.resolve(both, RELATIONS.df(spark), graph.alias_map(GROUPS.df(spark)))[0].drop("ord")
-
-
-@query("relation_resolution", f"""
-WITH a(alias, canonical) AS (VALUES ('b', 'a'), ('d', 'c'))
-SELECT DISTINCT coalesce(x.canonical, source) AS source, coalesce(y.canonical, target) AS target, relation FROM {RELATIONS.sql} r LEFT JOIN a x ON x.alias = source LEFT JOIN a y ON y.alias = target
-WHERE coalesce(x.canonical, source) <> coalesce(y.canonical, target)""")
-def relation_resolution(spark, sf):
-    aliases = spark.createDataFrame([("b", "a"), ("d", "c")], "alias string, canonical string")
-    return graph.resolve(ENTITIES.df(spark), RELATIONS.df(spark), aliases)[1]
-
-
 def mapped(spark, sf):
     return S.load(spark, sf, "labels").select(F.concat(F.lit("node:"), F.col("doc_id").cast("string")).alias("tree_node"))
 

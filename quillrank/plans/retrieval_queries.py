@@ -24,17 +24,18 @@ def doc_frequency(spark, sf):
 @query("bm25_statistics", f"""
 WITH {Q.CHUNKS}, {Q.queries()}, {Q.bm25()} SELECT term, round(idf, 6) AS idf FROM bm25_idf""")
 def bm25_statistics(spark, sf):
-    return lexical.term_stats(lexical.tokenized(S.chunks(spark, sf), "node_id", "full_text")).select("term", F.round("idf", 6).alias("idf"))
+    return S.lexical_index(spark, sf).statistics().select("term", F.round("idf", 6).alias("idf"))
 
 
-def bm25_scores(spark, sf) -> DataFrame:
-    return lexical.bm25(S.chunks(spark, sf), S.query_texts(spark, sf))
+def bm25_scores(spark, sf, k: int | None = None) -> DataFrame:
+    """Positive scores of all benchmark items from the stored index: all of them, or each task's k best of an item."""
+    return S.lexical_index(spark, sf).search(S.query_texts(spark, sf), k, positive=True)
 
 
 @query("bm25_topk", f"""
 WITH {Q.CHUNKS}, {Q.queries()}, {Q.bm25()}, {Q.top('(SELECT * FROM bm25 WHERE score > 0)', 10, 'best')} SELECT query_id, node_id, score, rank FROM best""")
 def bm25_topk(spark, sf):
-    return lexical.top_k(bm25_scores(spark, sf).where("score > 0"), 10)
+    return lexical.top_k(bm25_scores(spark, sf, 10), 10)
 
 
 MEMBERS = "members AS (SELECT q.query_id, c.node_id FROM queries q JOIN chunks c ON c.canonical = 'src' || (q.query_id % 20))"
@@ -50,7 +51,7 @@ def members(spark, sf) -> DataFrame:
 WITH {Q.CHUNKS}, {Q.queries()}, {MEMBERS}, {Q.bm25()}, {Q.top('(SELECT * FROM bm25 WHERE score > 0)', 50, 'wide', 'wide')},
 kept AS (SELECT query_id, node_id, score, wide FROM wide SEMI JOIN members USING (query_id, node_id)), {Q.top('kept', 10, 'best')} SELECT query_id, node_id, score, wide, rank FROM best""")
 def bm25_scoped(spark, sf):
-    return lexical.scoped(bm25_scores(spark, sf), members(spark, sf), 10)
+    return lexical.scoped(bm25_scores(spark, sf, 50), members(spark, sf), 10)
 
 
 @query("dense_topk", f"WITH {Q.dense()}, {Q.top('dense', 10, 'best')} SELECT query_id, node_id, score, rank FROM best")
@@ -70,7 +71,7 @@ lists AS (SELECT query_id, 0 AS list_id, rank, node_id FROM dense_k UNION ALL SE
 
 def lists(spark, sf, k: int = 20) -> DataFrame:
     dense = vector.dense_top_k(S.vectors(spark, sf), S.query_vectors(spark, sf), k).select("query_id", F.lit(0).alias("list_id"), "rank", "node_id")
-    sparse = lexical.top_k(bm25_scores(spark, sf).where("score > 0"), k).select("query_id", F.lit(1).alias("list_id"), "rank", "node_id")
+    sparse = lexical.top_k(bm25_scores(spark, sf, k), k).select("query_id", F.lit(1).alias("list_id"), "rank", "node_id")
     return dense.unionByName(sparse)
 
 
@@ -123,13 +124,13 @@ WITH {Q.CHUNKS}, {Q.queries()}, {Q.bm25()}, s AS (SELECT query_id, node_id, scor
 o AS (SELECT *, (row_number() OVER (PARTITION BY query_id, document ORDER BY score DESC, node_id) > 2)::INTEGER AS overflow FROM s)
 SELECT query_id, node_id, score, document, overflow, place FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY overflow, score DESC, node_id) - 1){LONG} AS place FROM o) WHERE place < 12""")
 def balanced_slots(spark, sf):
-    scored = bm25_scores(spark, sf).where("score > 0").join(S.chunks(spark, sf).select("node_id", F.col("canonical").alias("document")), "node_id")
+    scored = bm25_scores(spark, sf).join(S.chunks(spark, sf).select("node_id", F.col("canonical").alias("document")), "node_id")
     return fusion.balanced_slots(scored, 2, 12).select("query_id", "node_id", "score", "document", "overflow", "place")
 
 
 @query("mmr_select")
 def mmr_select(spark, sf):
-    best = lexical.top_k(bm25_scores(spark, sf).where("score > 0"), 20)
+    best = lexical.top_k(bm25_scores(spark, sf, 20), 20)
     return fusion.mmr(best.join(S.chunks(spark, sf).select("node_id", F.col("full_text").alias("text")), "node_id"), 5)
 
 
@@ -185,7 +186,7 @@ SELECT query_id, node_id, rrf, (row_number() OVER (PARTITION BY query_id ORDER B
 def wide_retrieval(spark, sf):
     asked = S.query_texts(spark, sf)
     wider = asked.select("query_id", F.lit(1).alias("list_id"), F.concat("query", F.lit(" the")).alias("query"))
-    return retrieve.wide(S.chunks(spark, sf), asked.select("query_id", F.lit(0).alias("list_id"), "query").unionByName(wider))
+    return retrieve.wide(S.lexical_index(spark, sf), asked.select("query_id", F.lit(0).alias("list_id"), "query").unionByName(wider))
 
 
 @query("strategy_parameters", """SELECT s AS strategy, k, d, p, c FROM (VALUES ('single_lookup', 5, 5, 10, 10), ('comparison', 5, 8, 5, 10), ('listing', 5, 8, 8, 8), ('eligibility_check', 5, 5, 5, 8),

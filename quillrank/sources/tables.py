@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import extract, graph
+from ..operators.inverted import Index
+from .shared import exists, home, version
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +53,57 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("node:"), F.col("vec_id").cast("string")).alias("node_id"), "embedding", "label")
+
+
+def _named(spark: SparkSession, sf_dir: str, stem: str) -> str:
+    return f"{home(spark, stem)}-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made from a given one: written once for each version of its source, and read from then on."""
+    path = f"{_named(spark, sf_dir, name)}/{version(load(spark, sf_dir, source))}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored inverted index of all chunks, brought up to date with the table's files."""
+    found = Index(spark, _named(spark, sf_dir, "bm25"))
+    found.refresh(chunks(spark, sf_dir), version(load(spark, sf_dir, "documents")))
+    return found
+
+
+def graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's answers for all chunks: (node_id, ord, entities, relations)."""
+    return stored(spark, sf_dir, "graphs", "documents", lambda: extract.answers(chunks(spark, sf_dir).withColumn("ord", F.col("doc_id"))))
+
+
+def node_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored inverted index of the whole graph's nodes by their search texts."""
+    rows = extract.entity_rows(graphs(spark, sf_dir))
+    found = Index(spark, _named(spark, sf_dir, "nodes"))
+    found.refresh(graph.nodes(extract.entities(rows), chunks(spark, sf_dir)), version(load(spark, sf_dir, "documents")), text_col="search_text")
+    return found
+
+
+def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an understanding model would say of each benchmark item, by rules that stand in for it.
+
+    The item's lines are its sub-queries and its first words the topic; by its id it names no
+    document, one, two (one of them twice) or an unknown one.
+    """
+    c, i = F.col, F.col("query_id")
+    src = lambda n: F.concat(F.lit("src"), F.pmod(i + n, F.lit(20)).cast("string"))
+    asked = query_texts(spark, sf_dir).withColumn("query", T.text(c("query"))).withColumn("w", F.split("query", " "))
+    none = F.array().cast("array<string>")
+    return asked.select(
+        "query_id", "query",
+        F.when(i % 4 == 0, none).when(i % 4 == 1, F.array(src(0))).when(i % 4 == 2, F.array(src(0), src(7), src(0))).otherwise(F.array(F.lit("no such document"))).alias("documents"),
+        F.when(i % 5 == 1, (i % 30 + 1).cast("string")).alias("article_hint"),
+        F.filter(F.split("query", "\n"), lambda x: x != "").alias("sub_queries"),
+        F.array_join(F.slice("w", 1, 3), " ").alias("topic"),
+        F.slice(F.filter(F.split(F.lower("query"), " "), lambda x: F.length(x) >= 8), 1, 2).alias("keywords"),
+        F.slice("w", 4, 4).alias("check_aspects"), F.slice("w", 1, 1).alias("procedure_keywords"),
+        F.get("w", F.lit(1)).alias("term"), (i % 2 == 0).alias("expand_search"),
+    )
