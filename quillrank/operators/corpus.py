@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "title"}
@@ -60,16 +60,26 @@ def html_lines(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, line_no bigint, line string")
 
 
-def articles(lines: DataFrame) -> DataFrame:
+def _starts(pattern: str) -> Callable[[Column], Column]:
+    return lambda line: line.rlike(pattern)
+
+
+#: Which lines are headings of chapters and sections and first lines of articles.
+HEADINGS = {"chapter": _starts(r"(?iu)^chương\s"), "section": _starts(r"(?iu)^mục\s"), "article": _starts(r"(?iu)^điều\s+\d+")}
+
+
+def articles(lines: DataFrame, headings: dict[str, Callable[[Column], Column]] | None = None, first: str = "Chương I") -> DataFrame:
     """(page_id, line_no, line) become articles under carried chapter and section headings.
 
-    Lines before the first article header belong to none; a new chapter ends the section.
+    Lines before the first article header belong to none; a new chapter ends the section; ``first`` is the chapter
+    before the first heading.
     """
+    headings = headings or HEADINGS
     order = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = lambda p: F.when(F.col("line").rlike(p), F.col("line"))
-    carried = lines.withColumns({"chap": mark(r"(?iu)^chương\s"), "sec": mark(r"(?iu)^mục\s"), "art": F.when(F.col("line").rlike(r"(?iu)^điều\s+\d+"), F.col("line_no"))})
+    hit = lambda kind: F.coalesce(headings[kind](F.col("line")), F.lit(False))
+    carried = lines.withColumns({"chap": F.when(hit("chapter"), F.col("line")), "sec": F.when(hit("section"), F.col("line")), "art": F.when(hit("article"), F.col("line_no"))})
     filled = carried.withColumns({
-        "chapter": F.coalesce(F.last("chap", True).over(order), F.lit("Chương I")),
+        "chapter": F.coalesce(F.last("chap", True).over(order), F.lit(first)),
         "chap_no": F.max(F.when(F.col("chap").isNotNull(), F.col("line_no"))).over(order),
         "sec_no": F.max(F.when(F.col("sec").isNotNull(), F.col("line_no"))).over(order),
         "sec_line": F.last("sec", True).over(order),
@@ -81,6 +91,16 @@ def articles(lines: DataFrame) -> DataFrame:
     return body.withColumn("section", section).groupBy("page_id", "article_no").agg(F.min_by("chapter", "line_no").alias("chapter"), F.min_by("section", "line_no").alias("section"), text.alias("full_text"))
 
 
+def as_chunks(found: DataFrame) -> DataFrame:
+    """Articles as chunks of their page: node_id, canonical, chapter, section, article (its place), name (its first line), full_text."""
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("article_no"))
+    page = F.col("page_id").cast("string")
+    return found.select(
+        F.concat(F.lit("node:"), page, F.lit("_D"), place.cast("string")).alias("node_id"), page.alias("canonical"), "chapter", "section", place.alias("article"),
+        F.substring(F.trim(F.split("full_text", "\n")[0]), 1, 120).alias("name"), "full_text",
+    )
+
+
 def clauses(chunks: DataFrame) -> DataFrame:
     """(id, full_text) become (id, clause_id, text): numbered lines open clauses below the first line."""
     body = F.array_join(F.slice(F.split("full_text", "\n"), F.lit(2), F.size(F.split("full_text", "\n"))), "\n")

@@ -74,6 +74,13 @@ def first_neighbour(edges: DataFrame, type_: str) -> DataFrame:
     return edges.where(F.col("type") == type_).groupBy("src").agg(F.min("dst").alias("dst"))
 
 
+def parents(edges: DataFrame) -> DataFrame:
+    """(src, document, chapter, section): each node's first parent of each kind, null without one."""
+    first = lambda kind, name: F.min(F.when(F.col("type") == kind, F.col("dst"))).alias(name)
+    up = edges.where(F.col("type").isin("THUOC_VAN_BAN", "THUOC_CHUONG", "THUOC_MUC"))
+    return up.groupBy("src").agg(first("THUOC_VAN_BAN", "document"), first("THUOC_CHUONG", "chapter"), first("THUOC_MUC", "section"))
+
+
 def structure(chunks: DataFrame) -> DataFrame:
     """Edges between chunks, sections, chapters and documents, and back; a null or empty heading makes no node.
 

@@ -21,11 +21,13 @@ hands on the k best of a query, so neither scored pairs nor texts are shuffled.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,20 +88,16 @@ class Index:
         return self._add(src, 0, version)
 
     def _add(self, src: DataFrame, batch: int, version: str | None) -> int:
-        # Numbers come from the written table, so both tables that are made from it agree on them.
-        staged, no = f"{self.path}/staged", F.monotonically_increasing_id()
-        src.select(no.alias("no"), "node_id", "h", T.tokens(F.col("text")).alias("tokens")).write.mode("overwrite").option("compression", "zstd").parquet(staged)
-        row = F.col("no").bitwiseAND((1 << 33) - 1)
-        segment = F.lit(batch << 48) + F.shiftleft(F.shiftright("no", 33), 24) + F.shiftright(row, 10)
-        rows = self.spark.read.parquet(staged).select(segment.alias("segment"), row.bitwiseAND(SEGMENT - 1).cast("int").alias("place"), "node_id", "h", "tokens")
-        each = F.sort_array(F.collect_list(F.struct("place", "node_id", "h", F.size("tokens").alias("dl"))))
-        packed = rows.groupBy("segment").agg(each.alias("x")).select("segment", F.col("x.node_id").alias("ids"), F.col("x.h").alias("hashes"), F.col("x.dl").alias("lengths"))
-        packed.write.mode("overwrite").parquet(f"{self.path}/segments/batch={batch}")
-        counted = rows.select("segment", "place", F.explode("tokens").alias("term")).groupBy("term", "segment", "place").agg(F.count("*").cast("int").alias("count"))
-        packed = counted.groupBy("term", "segment").agg(F.sort_array(F.collect_list(F.struct("place", "count"))).alias("x"))
-        packed = packed.select("term", "segment", F.col("x.place").alias("places"), F.col("x.count").alias("counts"), bucket("term").alias("bucket"))
+        # A task packs its own chunks; segments and postings are two parts of what it wrote, so they agree.
+        staged = f"{self.path}/staged"
+        rows = src.select("node_id", "h", T.tokens(F.col("text")).alias("tokens"))
+        packed = rows.mapInArrow(partial(_pack, first=batch << 48), f"{_POSTINGS}, ids array<string>, hashes array<bigint>, lengths array<int>")
+        packed.write.mode("overwrite").option("compression", "zstd").parquet(staged)
+        packed = self.spark.read.schema(packed.schema).parquet(staged)
+        packed.where("term is null").select("segment", "ids", "hashes", "lengths").write.mode("overwrite").parquet(f"{self.path}/segments/batch={batch}")
+        dealt = packed.where("term is not null").select("term", "segment", "places", "counts", bucket("term").alias("bucket"))
         # By ranges, so that a term of all chunks is several tasks' work.
-        dealt = packed.repartitionByRange("bucket", "term", "segment").sortWithinPartitions("bucket", "term", "segment")
+        dealt = dealt.repartitionByRange("bucket", "term", "segment").sortWithinPartitions("bucket", "term", "segment")
         dealt.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/postings/batch={batch}")
         made = self.spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{self.path}/postings/batch={batch}")
         df = made.groupBy("bucket", "term").agg(F.sum(F.size("places")).alias("df"))
@@ -154,6 +152,45 @@ class Index:
         return dealt.mapInArrow(work, f"query_id {kind}, node_id string, score double")
 
 
+def _pack(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """(node_id, hash, tokens) rows to segments: one row of its chunks without a term, then a row for each term."""
+    number = first + (TaskContext.get().partitionId() << 24)
+    ids, hashes, lengths, term, place, count = [], [], [], [], [], []
+    known: dict[str, int] = {}
+    names = ["term", "segment", "places", "counts", "ids", "hashes", "lengths"]
+    none = lambda n, kind: pa.nulls(n, pa.list_(kind))
+
+    def done() -> Iterator[pa.RecordBatch]:
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        head = [pa.array([None], pa.string()), pa.array([number], pa.int64()), none(1, pa.int32()), none(1, pa.int32()), one(ids, pa.string()), one(hashes, pa.int64()), one(lengths, pa.int32())]
+        yield pa.RecordBatch.from_arrays(head, names)
+        at = np.array(term, np.int64)
+        by = np.argsort(at, kind="stable")  # places ascend within a term
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(known)))]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(ends, np.array(x, np.int32)[by]) for x in (place, count)]
+        n = len(known)
+        rows = [pa.array(list(known), pa.string()), pa.array(np.full(n, number)), *lists, none(n, pa.string()), none(n, pa.int64()), none(n, pa.int32())]
+        whole = pa.RecordBatch.from_arrays(rows, names)
+        for i in range(0, n, 20_000):
+            yield whole.slice(i, 20_000)
+
+    for batch in batches:
+        for node, h, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            tokens = tokens.as_py()
+            for name, n in Counter(tokens).items():
+                term.append(known.setdefault(name, len(known)))
+                place.append(len(ids))
+                count.append(n)
+            ids.append(node), hashes.append(h), lengths.append(len(tokens))
+            if len(ids) == SEGMENT:
+                yield from done()
+                number += 1
+                for x in (ids, hashes, lengths, term, place, count, known):
+                    x.clear()
+    if ids:
+        yield from done()
+
+
 def _raw(n: int) -> Column:
     return F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 

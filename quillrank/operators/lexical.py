@@ -69,6 +69,26 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "node_id", text_col:
     return rows.groupBy("query_id", "node_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def local_bm25(named: DataFrame, asked: DataFrame, scope: str = "canonical") -> DataFrame:
+    """(query_id, scope, node_id, score): BM25 within each scope alone, of the scopes that are asked for.
+
+    ``named`` has (scope, node_id, name) rows and ``asked`` (query_id, scope, query).  Number, mean length, document
+    frequencies and the mean idf are those of the scope; all scopes are scored in one pass.
+    """
+    wanted = asked.select(scope).distinct()
+    tokens = named.join(wanted, scope, "left_semi").select(scope, "node_id", T.tokens(F.col("name")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    own = tokens.groupBy(scope).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = tokens.select(scope, "node_id", "dl", F.explode("tokens").alias("term")).groupBy(scope, "node_id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy(scope, "term").agg(F.count("*").alias("df")).join(own, scope)
+    df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = df.groupBy(scope).agg((F.sum("raw") / F.count("*")).alias("mean"))
+    idf = df.join(mean, scope).select(scope, "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    terms = asked.select("query_id", scope, F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", scope, "term").agg(F.count("*").alias("qtf"))
+    rows = terms.join(idf, [scope, "term"]).join(tf, [scope, "term"])
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return rows.groupBy("query_id", scope, "node_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
 def top_k(scored: DataFrame, k: int | None, by: str = "query_id", score: str = "score", tie: str = "node_id", rank: str = "rank") -> DataFrame:
     """The k best of each query, or all, with a rank from 0; ties go to the smaller id."""
     order = Window.partitionBy(by).orderBy(F.desc(score), F.asc(tie))

@@ -1,11 +1,18 @@
 """Exact inner-product search for batches of query vectors.
 
-Query vectors are the broadcast side, in blocks of ``MAX_QUERIES`` or so: their number is counted,
-and each block meets all vectors in a scan of its own.  The vectors are never shuffled.
+Query vectors are counted and go to all tasks as a matrix, ``MAX_QUERIES`` at a time.  A task
+multiplies each Arrow batch of vectors with it and keeps the k best of each query as it goes, so no
+row is made for a pair and the vectors are never shuffled; only each task's k best are.  Products
+are in double precision and rounded to 6 digits before they are ranked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +21,62 @@ from .lexical import top_k
 from .sizing import bounded, meet
 
 MAX_QUERIES = 10_000
+#: Vectors of a batch that meet all queries at once.
+ROWS = 1024
 
 
 def scores(vectors: DataFrame, queries: DataFrame, id_col: str = "node_id") -> DataFrame:
-    """query_id, node_id and score of every vector for each of a stated set of queries."""
-    # One row for each vector and query of a block; only the k best of a query go on.
+    """query_id, node_id and score of every vector for each of a stated set of queries: a row for each pair."""
     pairs = meet(vectors, queries, F.lit(True), MAX_QUERIES)
     return pairs.select("query_id", F.col(id_col).alias("node_id"), F.round(T.dot(F.col("embedding"), F.col("query")), 6).alias("score"))
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as rows of doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def _best(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
+    """Each query's k best of a task; equal scores by node id."""
+    query_ids, queries = sent.value
+    best: list[list[tuple[float, str]]] = [[] for _ in query_ids]
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            names = part.column(0).to_pylist()
+            score = np.round(queries @ matrix(part.column(1)).T, 6)
+            least = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
+            for i, (row, bound) in enumerate(zip(score, least)):
+                own = best[i]
+                if len(own) == k:
+                    bound = max(bound, -own[-1][0])
+                found = np.flatnonzero(row >= bound)
+                if len(found):
+                    best[i] = sorted(own + [(-float(row[j]), names[j]) for j in found])[:k]
+    rows = [(i, name, -minus) for i, own in enumerate(best) for minus, name in own]
+    if rows:
+        i, name, score = zip(*rows)
+        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(i)), pa.array(name), pa.array(score)], ["query_id", "node_id", "score"])
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return top_k(scores(vectors, queries), k)
+    """(query_id, node_id, score, rank): the k best vectors of each query; null vectors are none."""
+    spark, kind = vectors.sparkSession, queries.schema["query_id"].dataType.simpleString()
+    asked = queries.select("query_id", "query").where("query is not null")
+    n = max(1, -(-asked.count() // MAX_QUERIES))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    src, out = vectors.select("node_id", "embedding").where("embedding is not null"), []
+    for i in range(n):  # a block of about ``MAX_QUERIES`` vectors at a time
+        own = asked.where(block == i).toArrow().combine_chunks()
+        if not own.num_rows:
+            continue
+        ids, rows = own.column(0).combine_chunks(), own.column(1).combine_chunks()
+        sent = spark.sparkContext.broadcast((ids if isinstance(ids, pa.Array) else ids.chunk(0), matrix(rows if isinstance(rows, pa.Array) else rows.chunk(0))))
+        out.append(src.mapInArrow(lambda batches, sent=sent: _best(batches, sent, k), f"query_id {kind}, node_id string, score double"))
+    if not out:
+        return spark.createDataFrame([], f"query_id {kind}, node_id string, score double, rank bigint")
+    return top_k(reduce(DataFrame.union, out), k)
 
 
 def dense_scoped(vectors: DataFrame, queries: DataFrame, members: DataFrame, k: int) -> DataFrame:

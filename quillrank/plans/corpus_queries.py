@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..operators import context, corpus, fusion, intent
+from ..operators import context, corpus, fusion, graph, intent, toc
 from ..sources import tables as S
 from . import sql as Q
 from .registry import Rows, query, quote
@@ -75,18 +75,60 @@ def amendment_files(spark, sf):
     return ARTICLES.df(spark).withColumn("n", n).where((F.col("n") < 15) & (F.contains(F.col("title"), F.lit("Sửa đổi")) | F.contains(F.col("title"), F.lit("Bổ sung")))).select("id", "file")
 
 
-LINES = Rows("page_id bigint, line_no bigint, line string", [
-    (1, 0, "QUỐC HỘI"), (1, 1, "Điều 1. Một"), (1, 2, "nội dung"), (1, 3, "Chương II"), (1, 4, "Mục 1"), (1, 5, "Điều 2. Hai"), (1, 6, "tiếp"), (1, 7, "Chương III"), (1, 8, "Điều 3. Ba"), (2, 0, "không có điều"),
-])
+#: A document's lines by length: up to two words are a chapter's heading, up to five a section's; longer ones that start with A to M open an article.
+BY_LENGTH = {
+    "chapter": lambda c: c.rlike(r"^\S+( \S+)?$"),
+    "section": lambda c: c.rlike(r"^\S+( \S+){2,4}$"),
+    "article": lambda c: c.rlike(r"^[A-M]\S*( \S+){5,}$"),
+}
+_FILL = """l AS (SELECT doc_id AS page_id, no - 1 AS line_no, l[no] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+m AS (SELECT *, regexp_full_match(line, '\\S+( \\S+)?') AS c, regexp_full_match(line, '\\S+( \\S+){2,4}') AS s, regexp_full_match(line, '[A-M]\\S*( \\S+){5,}') AS a FROM l),
+f AS (SELECT *, coalesce(last_value(CASE WHEN c THEN line END IGNORE NULLS) OVER w, '') AS chapter, last_value(CASE WHEN s THEN line END IGNORE NULLS) OVER w AS sl, max(CASE WHEN c THEN line_no END) OVER w AS cn,
+  max(CASE WHEN s THEN line_no END) OVER w AS sn, last_value(CASE WHEN a THEN line_no END IGNORE NULLS) OVER w AS article_no FROM m WINDOW w AS (PARTITION BY page_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+filled AS MATERIALIZED (SELECT page_id, article_no, arg_min(chapter, line_no) AS chapter, arg_min(CASE WHEN coalesce(sn, -1) > coalesce(cn, -1) THEN sl ELSE '' END, line_no) AS section, string_agg(line, chr(10) ORDER BY line_no) AS full_text
+FROM f WHERE article_no IS NOT NULL AND NOT c AND NOT s GROUP BY page_id, article_no)"""
+_ARTICLES = _FILL + """, arts AS MATERIALIZED (SELECT 'node:' || page_id || '_D' || article AS node_id, page_id::VARCHAR AS canonical, chapter, section, article, substr(trim(string_split(full_text, chr(10))[1]), 1, 120) AS name, full_text
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY article_no) AS article FROM filled))"""
+
+
+def filled(spark, sf):
+    line = F.posexplode(F.split(T.text(F.col("text")), "\n")).alias("line_no", "line")
+    return corpus.articles(S.load(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), line).withColumn("line_no", F.col("line_no").cast("bigint")), BY_LENGTH, first="")
 
 
-@query("segment_fill", f"""WITH l AS (SELECT *, regexp_matches(lower(line), '^chương\\s') AS c, regexp_matches(lower(line), '^mục\\s') AS s, regexp_matches(lower(line), '^điều\\s+\\d+') AS a FROM {LINES.sql}),
-f AS (SELECT *, coalesce(last_value(CASE WHEN c THEN line END IGNORE NULLS) OVER w, 'Chương I') AS chapter, last_value(CASE WHEN s THEN line END IGNORE NULLS) OVER w AS sl, max(CASE WHEN c THEN line_no END) OVER w AS cn,
-  max(CASE WHEN s THEN line_no END) OVER w AS sn, last_value(CASE WHEN a THEN line_no END IGNORE NULLS) OVER w AS article_no FROM l WINDOW w AS (PARTITION BY page_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))
-SELECT page_id, article_no, arg_min(chapter, line_no) AS chapter, arg_min(CASE WHEN coalesce(sn, -1) > coalesce(cn, -1) THEN sl ELSE '' END, line_no) AS section, string_agg(line, chr(10) ORDER BY line_no) AS full_text
-FROM f WHERE article_no IS NOT NULL AND NOT c AND NOT s GROUP BY page_id, article_no""")
+@query("segment_fill", f"WITH {_FILL} SELECT page_id, article_no, chapter, section, full_text FROM filled")
 def segment_fill(spark, sf):
-    return corpus.articles(LINES.df(spark))
+    return filled(spark, sf)
+
+
+_SECTIONED = f"""{_ARTICLES}, hung AS (SELECT 'sec:' || canonical || ':' || section AS sec, arg_min(canonical, node_id) AS canonical, arg_min(chapter, node_id) AS chapter FROM arts WHERE section <> '' GROUP BY ALL),
+up AS (SELECT node_id AS a, 'doc:' || canonical AS b, 'THUOC_VAN_BAN' AS t FROM arts UNION ALL SELECT node_id, 'chap:' || canonical || ':' || chapter, 'THUOC_CHUONG' FROM arts WHERE chapter <> ''
+  UNION ALL SELECT DISTINCT 'chap:' || canonical || ':' || chapter, 'doc:' || canonical, 'THUOC_VAN_BAN' FROM arts WHERE chapter <> '' UNION ALL SELECT node_id, 'sec:' || canonical || ':' || section, 'THUOC_MUC' FROM arts WHERE section <> ''
+  UNION ALL SELECT sec, CASE WHEN chapter <> '' THEN 'chap:' || canonical || ':' || chapter ELSE 'doc:' || canonical END, CASE WHEN chapter <> '' THEN 'THUOC_CHUONG' ELSE 'THUOC_VAN_BAN' END FROM hung),
+edges AS MATERIALIZED (SELECT a AS src, b AS dst, t AS type FROM up UNION ALL SELECT b, a, 'REV_' || t FROM up)"""
+
+
+@query("section_edges", f"WITH {_SECTIONED} SELECT src, dst, type FROM edges")
+def section_edges(spark, sf):
+    return graph.structure(corpus.as_chunks(filled(spark, sf)))
+
+
+@query("section_parents", f"""WITH {_SECTIONED}, p AS (SELECT src, type, min(dst) AS dst FROM edges WHERE type IN ('THUOC_VAN_BAN', 'THUOC_CHUONG', 'THUOC_MUC') AND starts_with(src, 'node:') GROUP BY ALL)
+SELECT src, max(dst) FILTER (WHERE type = 'THUOC_VAN_BAN') AS document, max(dst) FILTER (WHERE type = 'THUOC_CHUONG') AS chapter, max(dst) FILTER (WHERE type = 'THUOC_MUC') AS section FROM p GROUP BY src""")
+def section_parents(spark, sf):
+    """The first parent of each kind; a missing one is null."""
+    return graph.parents(section_edges(spark, sf).where(F.col("src").startswith("node:")))
+
+
+@query("toc_sections", f"""WITH {_ARTICLES}, n AS (SELECT canonical, node_id, article, name, nullif(chapter, '') AS chapter, nullif(section, '') AS section FROM arts WHERE NOT contains(node_id, '_CAN_CU')),
+c AS (SELECT *, coalesce(chapter <> coalesce(last_value(chapter IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY article ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), false) AS new_chapter FROM n),
+r AS (SELECT *, sum(new_chapter::INT) OVER (PARTITION BY canonical ORDER BY article) AS run FROM c),
+s AS (SELECT *, coalesce(section <> coalesce(last_value(section IGNORE NULLS) OVER (PARTITION BY canonical, run ORDER BY article ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), false) AS new_section,
+  last_value(section IGNORE NULLS) OVER (PARTITION BY canonical, run ORDER BY article) IS NOT NULL AS in_section FROM r)
+SELECT canonical, node_id, (article - 1)::BIGINT AS place, new_chapter, new_section, CASE WHEN new_chapter THEN chr(10) || chapter || chr(10) ELSE '' END || CASE WHEN new_section THEN '  ' || section || chr(10) ELSE '' END
+  || CASE WHEN in_section THEN '    - ' ELSE '  - ' END || name AS line FROM s""")
+def toc_sections(spark, sf):
+    return toc.outline(corpus.as_chunks(filled(spark, sf)))
 
 
 @query("html_lines")

@@ -96,6 +96,21 @@ def toc_enriched(spark, sf):
     return toc.render(toc.lines(S.numbered(S.chunks(spark, sf)), 200)).select("canonical", F.md5("toc").alias("digest"), "n_articles")
 
 
+@query("toc_local", f"""WITH {Q.CHUNKS}, {Q.NUMBERED}, {Q.queries()}, a AS (SELECT canonical, node_id, article, name, {Q.tok('name')} AS t FROM numbered WHERE name <> '' AND NOT contains(node_id, '_CAN_CU')),
+o AS (SELECT canonical, count(*) AS n, avg(len(t)) AS avgdl FROM a GROUP BY canonical), asked AS (SELECT query_id, 'src' || (query_id % 20) AS canonical, query FROM queries WHERE len({Q.tok('query')}) > 0),
+tf AS (SELECT canonical, node_id, len(t) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(t) AS term FROM a) GROUP BY ALL),
+d AS (SELECT canonical, term, ln(n - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw, avgdl FROM tf JOIN o USING (canonical) GROUP BY canonical, term, n, avgdl),
+idf AS (SELECT canonical, term, avgdl, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (sum(raw) OVER (PARTITION BY canonical) / count(*) OVER (PARTITION BY canonical)) ELSE raw END AS idf FROM d),
+q AS (SELECT query_id, canonical, term, count(*) AS qtf FROM (SELECT query_id, canonical, unnest({Q.tok('query')}) AS term FROM asked) GROUP BY ALL),
+s AS (SELECT query_id, canonical, node_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN idf USING (canonical, term) JOIN tf USING (canonical, term) GROUP BY ALL),
+x AS (SELECT asked.query_id, canonical, a.node_id, article, n, CASE WHEN n > 15 THEN coalesce(score, 0) END AS score FROM asked JOIN a USING (canonical) JOIN o USING (canonical) LEFT JOIN s USING (query_id, canonical, node_id))
+SELECT query_id, canonical, node_id, score, article FROM x QUALIFY n <= 15 OR row_number() OVER (PARTITION BY query_id, canonical ORDER BY score DESC, article, node_id) <= 20""")
+def toc_local(spark, sf):
+    """The part of a document's table of contents that a query is about."""
+    asked = S.query_texts(spark, sf).withColumn("canonical", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    return toc.locally_ranked(S.numbered(S.chunks(spark, sf)), asked)
+
+
 # --- Catalog ------------------------------------------------------------------------------------
 
 FILES = Rows("file string, source string, so_hieu string, article string, full_text string, ord int", [
