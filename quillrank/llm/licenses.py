@@ -11,8 +11,12 @@ window for it.  A text without any telling word or phrase (at least one of which
 template is) is not taken apart at all.  Templates are a fixed short list, held as a literal, or the caller's; rows
 never move.  DataFrame functions only.
 
-The built-in templates are notices and the whole texts of short licences.  Long licences (Apache,
-GPL, MPL and others) are known by their notices; pass their texts as ``templates`` to find those too.
+A version or a name that differs vetoes a match: the bigrams of a notice that hold a number or a word of
+``NAMED`` all have to be there, within a window and a quarter of its length around it.  Where several
+licences share a wording (``SHARED``), it counts only if nothing else matches.
+
+The built-in templates are notices, identifiers, the heads of long licences (GPL, LGPL, AGPL, Apache, MPL), by which
+their whole texts are known, and the whole texts of short ones.  Pass further texts as ``templates``.
 
 Defined results: a null or empty text has no licence; units that repeat count once; of equal
 coefficients the longer template wins, then the name that comes first; repeated rows are scanned each; an empty
@@ -38,22 +42,42 @@ LINED_UP = 4
 #: Fixed values: (name, wording) of public licence notices, then of whole short licences.
 TEMPLATES = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-1.1", 'The end-user documentation included with the redistribution, if any, must include the following acknowledgment: "This product includes software developed by the Apache Software Foundation (http://www.apache.org/)."'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "under the AGPL v3"),
+    ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "under the GPL v2"),
+    ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "under the GPL v3"),
+    ("GPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License."),
+    ("LGPL-2.0-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "under the LGPL v2.1"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "under the LGPL v3"),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-1.1", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/'),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -68,6 +92,27 @@ TEMPLATES = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
+#: Words that tell licences of one family apart; a notice's bigrams with one of them or with a number have to be in a match.
+NAMED = {"affero", "attribution", "by", "eclipse", "general", "gnu", "identifier", "lesser", "library", "mozilla", "nc", "nd", "noncommercial", "noderivatives", "noderivs", "only", "sa", "sharealike"}
+#: Words up to which a template is a notice, whose numbers are versions.
+NOTICE = 60
+#: Wordings that other licences have too.
+SHARED = {"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"}
+
+
+def _creative_commons() -> list[tuple[str, str]]:
+    """The two usual notices of each of the six licences in each version."""
+    out = []
+    for version, ported in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        parts = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives" if version == "4.0" else "NoDerivs"}
+        for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+            out.append((f"CC-{kind}-{version}", f"Licensed under CC {kind} {version}."))
+            out.append((f"CC-{kind}-{version}", f"This work is licensed under a Creative Commons {'-'.join(parts[p] for p in kind.split('-'))} {version} {ported} License."))
+    return out
+
+
+TEMPLATES += _creative_commons()
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES})]
 #: Frequent words, which tell little.
 COMMON = set("a an all and any are as at be but by for from has have his i if in into is it its no not of on or our that the their this to under up was we with without you your 0 1 2 3 4 about above after also before being following including express provided possible related purpose subject version published products connection contract conditions".split())
 BREAK = r"[^\p{L}\p{N}]+"
@@ -77,6 +122,13 @@ def words_of_template(wording: str) -> list[str]:
     return re.sub(r"[^a-z0-9]+", " ", wording.lower()).split()
 
 
+def key_bigrams(words: list[str]) -> set[tuple[str, str]]:
+    """Bigrams of a notice that have to be in every match."""
+    telling = {w for w in words if w in NAMED or any(c.isdigit() for c in w)} if len(words) <= NOTICE else set()
+    # An address says nothing of the version.
+    return {(a, b) for a, b in zip(words, words[1:]) if (a in telling or b in telling) and not {"html", "http", "https", "org", "www"} & {a, b}}
+
+
 def _bounds(n: int, least: float) -> tuple[int, int]:
     """Bigram counts that a unit may have beside a template of n bigrams."""
     return math.ceil(n * least / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9)
@@ -142,8 +194,9 @@ def _templates(templates: list[tuple[str, str]], least: float) -> tuple[Column,
         own = [_pair_hash(a, b) for a, b in zip(words, words[1:])]
         every.update(own)
         # A unit or window that reaches ``least`` shares ``low`` bigrams, so at least so many distinct ones.
-        fields = {"name": name, "n": n, "low": low, "high": high, "need": max(1, low - (n - len(set(own)))), "start": max(1, -(-n // LINED_UP))}
-        rows.append(F.struct(*[F.lit(v).alias(k) for k, v in fields.items()], _longs(own).alias("pairs")))
+        keys = [_pair_hash(a, b) for a, b in sorted(key_bigrams(words))]
+        fields = {"name": name, "weak": int(wording in SHARED), "n": n, "low": low, "high": high, "need": max(1, low - (n - len(set(own)))), "start": max(1, -(-n // LINED_UP))}
+        rows.append(F.struct(*[F.lit(v).alias(k) for k, v in fields.items()], _longs(own).alias("pairs"), (_longs(keys) if keys else F.array().cast("array<bigint>")).alias("keys")))
     return F.array(*rows), _longs(sorted(every))
 
 
@@ -178,17 +231,20 @@ def scan(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col
     df = df.select("id", F.filter(F.transform(units, _words), lambda w: F.size(w).between(low, high)).alias("units"), "words")
     df = df.select("id", F.transform("units", _pairs).alias("units"), _let(F.col("words"), _pairs).alias("whole"))
     known, every = _templates(templates, least)
-    hit = lambda unit, n, t: F.struct((-_dice(unit, n, t)).alias("minus"), (-t["n"]).alias("size"), t["name"].alias("name"))
+
+    def hit(unit: Column, n: Column, t: Column, around: Column) -> Column:
+        has_keys = F.size(F.array_except(t["keys"], around)) == 0
+        return F.struct(t["weak"].alias("weak"), F.when(has_keys, -_dice(unit, n, t)).otherwise(0.0).alias("minus"), (-t["n"]).alias("size"), t["name"].alias("name"))
 
     def of_unit(unit: Column) -> Column:
         n = F.size(unit)
         near = F.filter(known, lambda t: n.between(t["low"], t["high"]) & F.arrays_overlap(unit, t["pairs"]))
-        return F.transform(near, lambda t: hit(unit, n, t))
+        return F.transform(near, lambda t: hit(unit, n, t, unit))
 
     def of_window(pairs: Column, start: Column, t: Column) -> Column:
         # Picked one by one: slice() would read the whole array again for each window.
-        window = F.transform(F.sequence(F.greatest(start, F.lit(0)), F.least(start + t["n"], F.size(pairs)) - 1), lambda i: pairs[i])
-        return _let(window, lambda u: hit(u, F.size(u), t))
+        window = lambda more: F.transform(F.sequence(F.greatest(start - more, F.lit(0)), F.least(start + t["n"] + more, F.size(pairs)) - 1), lambda i: pairs[i])
+        return _let(window(F.lit(0)), lambda u: hit(u, F.size(u), t, window(t["start"])))
 
     def of_whole(pairs: Column) -> Column:
         near = lambda common: F.filter(known, lambda t: F.size(F.array_intersect(t["pairs"], common)) >= t["need"])
@@ -209,29 +265,31 @@ def _oracle() -> str:
     rows, places, longest = [], [], 0
     for k, (name, wording) in enumerate(TEMPLATES):
         words = words_of_template(wording)
-        n, longest = len(words) - 1, max(longest, len(words))
+        n, longest, keys = len(words) - 1, max(longest, len(words)), key_bigrams(words)
         for pair, times in Counter(zip(words, words[1:])).items():
-            rows.append(f"({k}, '{name}', {n}, '{pair[0]} {pair[1]}', {times})")
+            rows.append(f"({k}, '{name}', {n}, '{pair[0]} {pair[1]}', {times}, {pair in keys}, {len(keys)}, {int(wording in SHARED)})")
         places += [f"({k}, {n}, {j}, '{a} {b}')" for j, (a, b) in enumerate(zip(words, words[1:]))]
     return f"""
-WITH t(k, name, n, pair, times) AS (VALUES {", ".join(rows)}),
+WITH t(k, name, n, pair, times, key, keys, weak) AS (VALUES {", ".join(rows)}),
 l(k, n, j, pair) AS (VALUES {", ".join(places)}),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n[\\x20\\t\\r]*\\n'), [text])) AS unit FROM d),
 w AS (SELECT doc_id, unit, list_filter(string_split_regex(lower(unit), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM u),
 p AS (SELECT doc_id, unit, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM w WHERE len(w) BETWEEN 2 AND {2 * longest}),
 c AS (SELECT doc_id, unit, n, pair, count(*) AS times FROM p GROUP BY ALL),
-s AS (SELECT doc_id, any_value(t.n) AS size, name, 2.0::DOUBLE * sum(least(c.times, t.times)) / any_value(c.n + t.n) AS dice FROM c JOIN t USING (pair) GROUP BY doc_id, unit, k, name),
+s AS (SELECT doc_id, any_value(t.n) AS size, any_value(weak) AS weak, name, 2.0::DOUBLE * sum(least(c.times, t.times)) / any_value(c.n + t.n) AS dice FROM c JOIN t USING (pair) GROUP BY doc_id, unit, k, name HAVING count(*) FILTER (key) = any_value(keys)),
 a AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM d),
 b AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM a)),
 g AS MATERIALIZED (SELECT b.* FROM b SEMI JOIN l ON b.pair = l.pair),
 v AS (SELECT doc_id, k, l.n, pos - j AS st FROM g JOIN l USING (pair) GROUP BY doc_id, k, l.n, pos - j HAVING count(*) >= greatest(1, ceil(l.n / {LINED_UP}.0))),
 x AS (SELECT doc_id, k, st, any_value(v.n) AS n, pair, count(*) AS times FROM v JOIN g USING (doc_id) WHERE pos >= st AND pos < st + v.n GROUP BY doc_id, k, st, pair),
 z AS (SELECT doc_id, max(pos) + 1 AS n FROM b GROUP BY doc_id),
-y AS (SELECT x.doc_id, any_value(t.n) AS size, name, 2.0::DOUBLE * sum(least(x.times, t.times)) / any_value(least(z.n, x.st + x.n) - greatest(x.st, 0) + t.n) AS dice
-      FROM x JOIN t ON x.pair = t.pair AND x.k = t.k JOIN z ON x.doc_id = z.doc_id GROUP BY x.doc_id, x.k, x.st, name),
+kk AS (SELECT DISTINCT v.doc_id, v.k, st, g.pair FROM v JOIN g USING (doc_id) JOIN t ON t.k = v.k AND t.pair = g.pair AND t.key WHERE pos >= st - greatest(1, ceil(v.n / {LINED_UP}.0)) AND pos < st + v.n + greatest(1, ceil(v.n / {LINED_UP}.0))),
+ok AS (SELECT v.doc_id, v.k, v.st FROM v JOIN (SELECT k, any_value(keys) AS keys FROM t GROUP BY k) e USING (k) LEFT JOIN kk USING (doc_id, k, st) GROUP BY v.doc_id, v.k, v.st, keys HAVING count(kk.pair) = keys),
+y AS (SELECT x.doc_id, any_value(t.n) AS size, any_value(weak) AS weak, name, 2.0::DOUBLE * sum(least(x.times, t.times)) / any_value(least(z.n, x.st + x.n) - greatest(x.st, 0) + t.n) AS dice
+      FROM x SEMI JOIN ok ON x.doc_id = ok.doc_id AND x.k = ok.k AND x.st = ok.st JOIN t ON x.pair = t.pair AND x.k = t.k JOIN z ON x.doc_id = z.doc_id GROUP BY x.doc_id, x.k, x.st, name),
 h AS (SELECT * FROM s WHERE dice >= {LEAST} UNION ALL SELECT * FROM y WHERE dice >= {LEAST}),
-r AS (SELECT doc_id, arg_min(name, (-dice, -size, name)) AS license, round(max(dice), 6) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM h GROUP BY doc_id)
+r AS (SELECT doc_id, arg_min(name, (weak, -dice, -size, name)) AS license, round(arg_min(dice, (weak, -dice, -size, name)), 6) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM h GROUP BY doc_id)
 SELECT d.doc_id, license, dice, coalesce(licenses, '') AS licenses FROM d LEFT JOIN r USING (doc_id)
 """
 
