@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import metrics, sessions
 from ..sources import tables as S
-from ..streaming import stream
+from ..sources.shared import remove, shared_dir
+from ..streaming import keyed, stream
 from .registry import Rows, query
 
 LONG = "::BIGINT"
@@ -279,3 +283,67 @@ def stream_metrics(spark, sf):
 @query("stream_rate_limit")
 def stream_rate_limit(spark, sf):
     return stream.drain(stream.rate_limit(stream.events(spark, sf), 2), "append")
+
+
+# --- Keyed state --------------------------------------------------------------------------------
+
+
+def operations(df):
+    """Events as requests to a store: clicks and views read, purchases write, errors delete, the rest ask for existence."""
+    op = F.when(F.col("event_type").isin("click", "view"), "get").when(F.col("event_type") == "purchase", "set").when(F.col("event_type") == "error", "delete").otherwise("exists")
+    return df.select("event_id", F.col("user_id").cast("string").alias("key"), "ts", op.alias("op"), "value")
+
+
+_STORE = """o AS (SELECT event_id, user_id::VARCHAR AS key, ts, CASE event_type WHEN 'click' THEN 'get' WHEN 'view' THEN 'get' WHEN 'purchase' THEN 'set' WHEN 'error' THEN 'delete' ELSE 'exists' END AS op, value FROM events),
+l AS (SELECT *, last_value(CASE WHEN op IN ('set', 'delete') THEN {'op': op, 'value': value, 'ts': ts} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM o),
+f AS (SELECT *, coalesce(last.op = 'set' AND ts - last.ts < INTERVAL 1800 SECOND, false) AS found FROM l)"""
+
+
+@query("store_replay", f"WITH {_STORE} SELECT event_id, key, op, found, CASE WHEN found AND op = 'get' THEN last.value END AS value FROM f")
+def store_replay(spark, sf):
+    return keyed.replay(operations(S.load(spark, sf, "events")))
+
+
+@query("stream_store", f"WITH {_STORE} SELECT event_id, key, op, found, CASE WHEN found AND op = 'get' THEN last.value END AS value FROM f")
+def stream_store(spark, sf):
+    """The store as a stream with timers, into a file sink."""
+    return stream.drain(keyed.store(operations(stream.events(spark, sf))), "append")
+
+
+@query("stream_turns", f"""WITH {_PAIRS}, h AS (SELECT conv_id, pair, question, coalesce(string_agg('User: ' || question || chr(10) || 'Assistant: ' || substr(answer, 1, 200), chr(10)) OVER (PARTITION BY conv_id ORDER BY pair ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history FROM pairs),
+late AS (SELECT conv_id, (pos // 2)::BIGINT AS pair FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations WHERE role <> 'system') WHERE pos % 2 = 1 AND turn >= 3)
+SELECT conv_id, pair, question, history FROM h SEMI JOIN late USING (conv_id, pair)""")
+def stream_turns(spark, sf):
+    """History for every answer of turn 3 or later, as it arrives; what was said before is the initial state."""
+    before = S.load(spark, sf, "conversations").where("turn < 3")
+    return stream.drain(keyed.turns(stream.messages(spark, sf).where("turn >= 3"), before), "append")
+
+
+def session_table(spark, sf):
+    """All conversations streamed into a session table, one version for each micro-batch's messages; those of users with errors are deleted, then some return."""
+    path = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    table = keyed.SessionTable(spark, f"{path}/table")
+    said = F.array(F.struct("turn", "role", "text")).alias("messages")
+    rows = stream.messages(spark, sf).select(F.col("conv_id").alias("session_id"), F.col("turn").alias("version"), F.lit(False).alias("deleted"), said)
+    table.sink(rows, f"{path}/checkpoint").awaitTermination()
+    gone = S.load(spark, sf, "events").where("event_type = 'error' and value > 40").select(F.col("user_id").alias("session_id")).distinct()
+    table.delete(gone.where("session_id % 3 <> 0"), 1_000_000, 1_000_000)
+    # A session may be deleted between its messages: what comes later starts it anew.
+    table.delete(gone.where("session_id % 3 = 0"), 1, 1_000_001)
+    return table
+
+
+_SESSIONS = """gone AS (SELECT DISTINCT user_id AS conv_id, CASE WHEN user_id % 3 <> 0 THEN 1000000 ELSE 1 END AS since FROM events WHERE event_type = 'error' AND value > 40),
+alive AS (SELECT c.* FROM conversations c LEFT JOIN gone USING (conv_id) WHERE since IS NULL OR turn > since)"""
+
+
+@query("session_store", f"""WITH {_SESSIONS}, s AS (SELECT conv_id AS session_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS first, count(*) FILTER (WHERE role = 'user') AS asked, count(*){LONG} AS n, max(turn) AS version FROM alive GROUP BY conv_id)
+SELECT session_id, CASE WHEN length(first) > 40 THEN substr(first, 1, 40) || '...' ELSE first END AS title, n, version FROM s""")
+def session_store(spark, sf):
+    return session_table(spark, sf).listing()
+
+
+@query("session_fetch", f"WITH {_SESSIONS} SELECT conv_id AS session_id, turn, role, text FROM alive WHERE conv_id IN (SELECT item_id FROM benchmark)")
+def session_fetch(spark, sf):
+    return session_table(spark, sf).fetch(S.load(spark, sf, "benchmark").select(F.col("item_id").alias("session_id")))

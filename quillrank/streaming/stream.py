@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.shared import exists, remove, shared_dir
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -20,6 +23,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations table as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*")
+
+
 def _folder(spark: SparkSession, sf_dir: str) -> str:
     """A folder to stream from: a table that is one file is matched by its name."""
     return f"{sf_dir}/events.parquet*"
@@ -47,11 +56,25 @@ def metrics(stream: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is and give the result table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what there is and give the result table, which the executors write and nothing collects.
+
+    New rows go to a file sink; a complete result replaces the one of the micro-batch before.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/drained-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    out, options = f"{path}/out", {"checkpointLocation": f"{path}/checkpoint"}
+    if mode == "append":
+        stream.writeStream.format("parquet").options(path=out, **options).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out) if exists(spark, out) else spark.createDataFrame([], stream.schema)
+    last: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/{batch}")
+        last.append(batch)
+
+    stream.writeStream.foreachBatch(write).options(**options).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/{last[-1]}") if last else spark.createDataFrame([], stream.schema)
 
 
 class Bucket(StatefulProcessor):
