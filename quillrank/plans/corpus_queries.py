@@ -9,13 +9,14 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..operators import context, corpus, fusion, graph, intent, toc
 from ..sources import tables as S
+from . import inputs
 from . import sql as Q
 from .registry import Rows, query, quote
 from .retrieval_queries import _RRF, lists
 from .text_queries import ASKED, TITLES
 
 LONG = "::BIGINT"
-ARTICLES = Rows("id string, full_text string, article_number string, is_base boolean, title string, file string", [
+ARTICLES = inputs.articles([
     ("a1", "Điều 1. Phạm vi\nLời dẫn\n1. Khoản một:\na) Điểm a;\nb) Điểm b\ntiếp b;\nđ) Điểm đ\n2. Khoản hai\n10. Khoản mười", "1", False, "Điều 1. Phạm vi", "x.json"),
     ("a2", "Điều 2. Không khoản\nChỉ một đoạn", "2", False, "Điều 2. Sửa đổi, bổ sung", "x.json"),
     ("a3", "Điều 1. Sửa đổi\nLời mở đầu\n1. Sửa đổi, bổ sung Điều 3 như sau:\nnội dung\n2. Bãi bỏ khoản 2 Điều 16a.\n3. Không liên quan", "1", None, "Điều 1. Sửa đổi một số điều", "y.json"),
@@ -34,7 +35,7 @@ parts AS (SELECT {keep}, part, string_agg(line, chr(10) ORDER BY n) AS body FROM
 @query("clause_split", f"""WITH {_parts(ARTICLES.sql, _BODY, '^[0-9]+[.][ ]', 'id')}
 SELECT id, regexp_extract(body, '^(\\d+)\\.', 1) AS clause_id, trim(regexp_replace(body, '^\\d+\\.\\s+|\\n+$', '', 'g')) AS text FROM parts""")
 def clause_split(spark, sf):
-    return corpus.clauses(ARTICLES.df(spark))
+    return corpus.clauses(ARTICLES.df(spark, sf))
 
 
 @query("point_split", f"""WITH c0 AS (WITH {_parts(ARTICLES.sql, _BODY, '^[0-9]+[.][ ]', 'id')}
@@ -42,13 +43,13 @@ SELECT id, regexp_extract(body, '^(\\d+)\\.', 1) AS clause_id, trim(regexp_repla
 {_parts('c0', 'text', '^[a-zđ][)][ ]', 'id, clause_id')}
 SELECT id, clause_id, regexp_extract(body, '^([a-zđ])\\)', 1) AS label, trim(regexp_replace(body, '^[a-zđ]\\)\\s+|\\n+$', '', 'g')) AS text FROM parts""")
 def point_split(spark, sf):
-    return corpus.points(corpus.clauses(ARTICLES.df(spark)))
+    return corpus.points(corpus.clauses(ARTICLES.df(spark, sf)))
 
 
 @query("chunk_statistics", f"""WITH {_parts(ARTICLES.sql, _BODY, '^[0-9]+[.][ ]', 'id')}, n AS (SELECT id, count(*) AS n FROM parts GROUP BY id)
 SELECT count(*){LONG} AS n_articles, count(*) FILTER (WHERE n IS NULL){LONG} AS n_without, coalesce(sum(n), 0){LONG} AS n_clauses FROM {ARTICLES.sql} a LEFT JOIN n USING (id)""")
 def chunk_statistics(spark, sf):
-    a = ARTICLES.df(spark)
+    a = ARTICLES.df(spark, sf)
     n = corpus.clauses(a).groupBy("id").agg(F.count("*").alias("n"))
     return a.join(n, "id", "left").agg(F.count("*").alias("n_articles"), F.count_if(F.col("n").isNull()).alias("n_without"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_clauses"))
 
@@ -60,19 +61,19 @@ _AMEND = "^(\\d+)\\.\\s*(?:Sửa đổi|Bổ sung|Bãi bỏ).*?Điều\\s*(\\d+[
 pt AS (SELECT *, nullif(regexp_extract(line, '{_AMEND}', 2), '') AS target FROM ln), gr AS (SELECT *, sum((target IS NOT NULL)::INT) OVER (PARTITION BY id ORDER BY n){LONG} AS part FROM pt)
 SELECT id, part, coalesce(max(target), 'Lời dẫn/Mở đầu') AS target, string_agg(line, chr(10) ORDER BY n) AS text FROM gr GROUP BY id, part""")
 def amendment_split(spark, sf):
-    return corpus.amendments(ARTICLES.df(spark))
+    return corpus.amendments(ARTICLES.df(spark, sf))
 
 
 @query("legal_basis", f"SELECT id, CASE WHEN is_base OR article_number = 'CAN_CU' THEN 'basis' ELSE 'article' END AS prompt FROM {ARTICLES.sql}")
 def legal_basis(spark, sf):
     base = F.coalesce("is_base", F.lit(False)) | (F.col("article_number") == "CAN_CU")
-    return ARTICLES.df(spark).select("id", F.when(base, "basis").otherwise("article").alias("prompt"))
+    return ARTICLES.df(spark, sf).select("id", F.when(base, "basis").otherwise("article").alias("prompt"))
 
 
 @query("amendment_files", f"SELECT id, file FROM {ARTICLES.sql} QUALIFY count(*) OVER (PARTITION BY file) < 15 AND (contains(title, 'Sửa đổi') OR contains(title, 'Bổ sung'))")
 def amendment_files(spark, sf):
     n = F.count("*").over(Window.partitionBy("file"))
-    return ARTICLES.df(spark).withColumn("n", n).where((F.col("n") < 15) & (F.contains(F.col("title"), F.lit("Sửa đổi")) | F.contains(F.col("title"), F.lit("Bổ sung")))).select("id", "file")
+    return ARTICLES.df(spark, sf).withColumn("n", n).where((F.col("n") < 15) & (F.contains(F.col("title"), F.lit("Sửa đổi")) | F.contains(F.col("title"), F.lit("Bổ sung")))).select("id", "file")
 
 
 #: A document's lines by length: up to two words are a chapter's heading, up to five a section's; longer ones that start with A to M open an article.
@@ -160,13 +161,13 @@ _LEGAL = " + ".join(f"contains({_q}, {quote(w)})::INT" for w in K.LEGAL_KEYWORDS
   WHEN {_has('LISTING')} THEN 'LISTING' WHEN {_has('COMPARISON')} THEN 'COMPARISON' ELSE 'LOOKUP' END) AS intent,
   {_FAST} IS NOT NULL OR {_has('SUMMARY')} OR {_has('STATISTICAL')} OR {_has('LISTING')} OR {_has('COMPARISON')} OR (({_LEGAL}) >= 2 AND length({_q}) > 20) AS decided FROM {ASKED.sql}""")
 def intent_cascade(spark, sf):
-    return ASKED.df(spark).select("query_id", intent.intent(F.col("query")).alias("intent"), intent.decided(F.col("query")).alias("decided"))
+    return ASKED.df(spark, sf).select("query_id", intent.intent(F.col("query")).alias("intent"), intent.decided(F.col("query")).alias("decided"))
 
 
 @query("instant_answers", f"SELECT query_id, CASE {_FAST} WHEN 'GREETING' THEN 'hello' WHEN 'THANKS' THEN 'welcome' END AS answer FROM {ASKED.sql}")
 def instant_answers(spark, sf):
     fast = intent.fast_intent(F.col("query"))
-    return ASKED.df(spark).select("query_id", F.when(fast == "GREETING", "hello").when(fast == "THANKS", "welcome").alias("answer"))
+    return ASKED.df(spark, sf).select("query_id", F.when(fast == "GREETING", "hello").when(fast == "THANKS", "welcome").alias("answer"))
 
 
 _pat = lambda ps: f"regexp_matches({_q}, {quote('|'.join(f'(?:{p})' for p in ps))})"
@@ -175,13 +176,13 @@ _pat = lambda ps: f"regexp_matches({_q}, {quote('|'.join(f'(?:{p})' for p in ps)
 @query("question_patterns", f"SELECT query_id, {_pat(K.SUMMARY_PATTERNS)} AS summary, {_pat(K.STATISTICAL_PATTERNS)} AS statistical FROM {ASKED.sql}")
 def question_patterns(spark, sf):
     q = F.lower(F.trim("query"))
-    return ASKED.df(spark).select("query_id", T.matches_any(q, K.SUMMARY_PATTERNS).alias("summary"), T.matches_any(q, K.STATISTICAL_PATTERNS).alias("statistical"))
+    return ASKED.df(spark, sf).select("query_id", T.matches_any(q, K.SUMMARY_PATTERNS).alias("summary"), T.matches_any(q, K.STATISTICAL_PATTERNS).alias("statistical"))
 
 
 @query("year_type_extract", f"""SELECT query_id, nullif(regexp_extract({_q}, '(20\\d{{2}})', 1), '') AS year, CASE WHEN contains({_q}, 'nghị định') THEN 'Nghị định' WHEN contains({_q}, 'thông tư') THEN 'Thông tư' WHEN contains({_q}, 'luật') THEN 'Luật' END AS doc_type FROM {ASKED.sql}""")
 def year_type_extract(spark, sf):
     year, kind = intent.year_and_type(F.col("query"))
-    return ASKED.df(spark).select("query_id", year.alias("year"), kind.alias("doc_type"))
+    return ASKED.df(spark, sf).select("query_id", year.alias("year"), kind.alias("doc_type"))
 
 
 EXPANSIONS = Rows("ord int, keywords array<string>, expansion string", [(0, ["học phí", "bồi hoàn"], "mức thu học phí"), (1, ["hiệu trưởng"], "nhiệm kỳ hiệu trưởng"), (2, ["giáo viên", "nhà giáo"], "chuẩn nghề nghiệp")])
@@ -189,7 +190,7 @@ EXPANSIONS = Rows("ord int, keywords array<string>, expansion string", [(0, ["h
 
 @query("query_expansion", f"SELECT query_id, ord, query || ' ' || expansion AS expanded FROM {ASKED.sql} q, {EXPANSIONS.sql} e WHERE len(list_filter(keywords, lambda k: contains(lower(query), k))) > 0")
 def query_expansion(spark, sf):
-    return intent.expansions(ASKED.df(spark), EXPANSIONS.df(spark))
+    return intent.expansions(ASKED.df(spark, sf), EXPANSIONS.df(spark, sf))
 
 
 ROUTES = Rows("ord int, cond int, keywords array<string>, requires array<string>, match string, targets array<string>", [
@@ -206,15 +207,15 @@ r AS (SELECT query_id, ord AS a, cond AS b, generate_subscripts(targets, 1) - 1
 o AS (SELECT * FROM (SELECT * FROM n UNION ALL SELECT * FROM r) QUALIFY row_number() OVER (PARTITION BY query_id, target ORDER BY a, b, c) = 1)
 SELECT query_id, target, (row_number() OVER (PARTITION BY query_id ORDER BY a, b, c) - 1){LONG} AS place FROM o""")
 def target_routing(spark, sf):
-    return intent.targets(ASKED.df(spark), TITLES.df(spark), ROUTES.df(spark))
+    return intent.targets(ASKED.df(spark, sf), TITLES.df(spark, sf), ROUTES.df(spark, sf))
 
 
-REFLECT = Rows("id int, original array<int>, answered array<int>", [(0, [1, 2, 3], [1]), (1, [1, 2], [1, 2, 5]), (2, [4], []), (3, [1, 2, 3, 4], [1, 2])])
+REFLECT = inputs.reflections([(0, [1, 2, 3], [1]), (1, [1, 2], [1, 2, 5]), (2, [4], []), (3, [1, 2, 3, 4], [1, 2])])
 
 
-@query("reflection_trigger", f"SELECT id, len(list_filter(original, lambda x: NOT list_contains(answered, x)))::DOUBLE / len(original) > 0.5 AS again FROM {REFLECT.sql}")
+@query("reflection_trigger", f"SELECT id, len(list_filter(list_distinct(original), lambda x: NOT list_contains(answered, x)))::DOUBLE / len(list_distinct(original)) > 0.5 AS again FROM {REFLECT.sql}")
 def reflection_trigger(spark, sf):
-    return REFLECT.df(spark).select("id", (F.size(F.array_except("original", "answered")) / F.size("original") > 0.5).alias("again"))
+    return REFLECT.df(spark, sf).select("id", (F.size(F.array_except("original", "answered")) / F.size(F.array_distinct("original")) > 0.5).alias("again"))
 
 
 # --- Contexts -----------------------------------------------------------------------------------
@@ -254,7 +255,7 @@ def hierarchical_context(spark, sf):
     return S.chunks(spark, sf).where("canonical = 'src1'").select(block.alias("block")).distinct()
 
 
-OUTPUTS = Rows("id int, output string", [
+OUTPUTS = inputs.outputs([
     (0, '<selected_clauses>[{"so_hieu": "43/2019/QH14", "dieu": 12}]</selected_clauses>'), (1, '```json\n[{"so_hieu": "71/2020", "dieu": "16a"}, {"so_hieu": "08/2023", "dieu": 1}]\n```'),
     (2, "[{'so_hieu': '22/2021', 'dieu': 3}]"), (3, 'text {"so_hieu": "05/2023", "dieu": 7} and {"so_hieu": "06", "dieu": "8"} tail'), (4, "nothing"),
 ])
@@ -266,7 +267,7 @@ _FOUND = f"""regexp_extract_all({_PLAIN}, '"so_hieu"\\s*:\\s*"[^"]*"\\s*,\\s*"di
 @query("selection_parse", f"""SELECT id, pos, trim(regexp_extract(m, '"so_hieu"\\s*:\\s*"([^"]*)"', 1)) AS so_hieu, trim(regexp_extract(m, '"dieu"\\s*:\\s*"?([^",}}\\]]+)"?', 1)) AS dieu
 FROM (SELECT id, (generate_subscripts(f, 1) - 1)::INTEGER AS pos, unnest(f) AS m FROM (SELECT id, {_FOUND} AS f FROM {OUTPUTS.sql}))""")
 def selection_parse(spark, sf):
-    return OUTPUTS.df(spark).select("id", F.posexplode(context.selection(F.col("output"))).alias("pos", "s")).select("id", "pos", "s.so_hieu", "s.dieu")
+    return OUTPUTS.df(spark, sf).select("id", F.posexplode(context.selection(F.col("output"))).alias("pos", "s")).select("id", "pos", "s.so_hieu", "s.dieu")
 
 
 @query("citation_rewrite")

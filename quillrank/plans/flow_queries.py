@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import context, fusion, lexical, models, resolve, retrieve
 from ..sources import tables as S
+from . import inputs
 from . import sql as Q
 from .graph_queries import _REGISTRY, registry
 from .registry import Rows, query
@@ -66,7 +67,7 @@ def comparison_flow(spark, sf):
     return fusion.ordered_union(cut, "node_id").select("query_id", "node_id", "place")
 
 
-NOTES = Rows("raw string", [("43/2019/QH14",), ("71/2020",), ("Luật 34",), ("giáo dục đại học",), ("zz",)])
+NOTES = inputs.references([("43/2019/QH14",), ("71/2020",), ("Luật 34",), ("giáo dục đại học",), ("zz",)])
 TITLED = Rows("ord int, so_hieu string, title string", [(0, "43/2019/QH14", "Luật Giáo dục"), (1, "71/2020/NĐ-CP", "Nâng chuẩn"), (2, "34/2018/QH14", "Luật 34 sửa đổi, luật giáo dục đại học")])
 
 
@@ -76,7 +77,7 @@ WITH h AS (SELECT raw, title, ord, CASE WHEN so_hieu = raw THEN 1 WHEN regexp_ex
 b AS (SELECT * FROM h WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY raw ORDER BY tier, ord) = 1)
 SELECT raw, title, coalesce(tier, 5)::INTEGER AS tier FROM {NOTES.sql} LEFT JOIN b USING (raw)""")
 def footnote_titles(spark, sf):
-    return resolve.footnotes(NOTES.df(spark), TITLED.df(spark))
+    return resolve.footnotes(NOTES.df(spark, sf), TITLED.df(spark, sf))
 
 
 @query("prompt_history", f"""
@@ -103,7 +104,7 @@ def answer_plan(spark, sf):
     return kept.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.count_distinct("canonical").alias("n_documents"), F.max("used").alias("n_chars"))
 
 
-@query("registry_members", f"""WITH {_REGISTRY} SELECT alias, count(*){LONG} AS n FROM registry JOIN documents ON documents.source = 'src' || (ord % 20) GROUP BY alias""")
+@query("registry_members", f"""WITH {_REGISTRY} SELECT alias, count(*){LONG} AS n FROM registry JOIN documents ON documents.source = canonical GROUP BY alias""")
 def registry_members(spark, sf):
     docs = S.load(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return registry(spark).withColumn("source", F.concat(F.lit("src"), (F.col("ord") % 20).cast("string"))).join(docs, "source").select("alias", "n")
+    return registry(spark, sf).join(docs, F.col("source") == F.col("canonical")).select("alias", "n")

@@ -8,9 +8,10 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..operators import catalog, graph, lexical, resolve, toc, vector
 from ..sources import tables as S
+from . import inputs
 from . import sql as Q
 from .registry import Rows, query, quote
-from .text_queries import LAWS
+from .text_queries import SOURCES
 
 LONG = "::BIGINT"
 _STRUCTURE = f"""{Q.CHUNKS}, u AS (SELECT node_id AS a, 'doc:' || canonical AS b, 'THUOC_VAN_BAN' AS t FROM chunks UNION ALL SELECT node_id, 'chap:' || canonical || ':' || chapter, 'THUOC_CHUONG' FROM chunks WHERE chapter <> ''
@@ -113,7 +114,7 @@ def toc_local(spark, sf):
 
 # --- Catalog ------------------------------------------------------------------------------------
 
-FILES = Rows("file string, source string, so_hieu string, article string, full_text string, ord int", [
+FILES = inputs.files([
     ("a.json", "Luật Giáo dục", "43/2019/QH14", "CAN_CU", "Căn cứ", 0), ("a.json", "Luật Giáo dục", "43/2019/QH14", "2", "Điều 2. Đối tượng", 1), ("a.json", "Luật Giáo dục", "43/2019/QH14", "1", "Điều 1. Phạm vi", 2),
     ("b.json", "Nghị định 71/2020/NĐ-CP", "", "3", "", 0), ("b.json", "Nghị định 71/2020/NĐ-CP", "", "4", "Điều 4. Lộ trình", 1), ("c.json", "", "x", "1", "Không có nguồn", 0), ("d.json", "Thông tư liên tịch", None, "CAN_CU", "Căn cứ", 0),
 ])
@@ -126,12 +127,12 @@ catalog AS (SELECT file, source, so_hieu, coalesce(nullif(so_hieu, ''), nullif(r
 
 @query("catalog_build", f"WITH {_CATALOG} SELECT file, source, so_hieu, canonical, doc_type, year, summary FROM catalog")
 def catalog_build(spark, sf):
-    return catalog.build(FILES.df(spark))
+    return catalog.build(FILES.df(spark, sf))
 
 
 @query("catalog_filter", f"WITH {_CATALOG} SELECT canonical FROM catalog WHERE lower(doc_type) = 'luật' AND year = '2019'")
 def catalog_filter(spark, sf):
-    return catalog.metadata_filter(catalog.build(FILES.df(spark)), "LUẬT", "2019").select("canonical")
+    return catalog.metadata_filter(catalog.build(FILES.df(spark, sf)), "LUẬT", "2019").select("canonical")
 
 
 _SOURCES = """c AS (SELECT source AS id, row_number() OVER (ORDER BY source) AS ord, lang || ' ' || substr(text, 1, 300) AS text FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1),
@@ -166,23 +167,23 @@ def catalog_query(spark, sf):
 # --- References ---------------------------------------------------------------------------------
 
 _CANON = f"coalesce(nullif(trim(coalesce(so_hieu, '')), ''), nullif(regexp_extract(source, '{Q.NUMBER}', 1), ''), source)"
-_REGISTRY = f"""docs AS (SELECT id AS ord, source, {_CANON} AS canonical FROM {LAWS.sql}),
+_REGISTRY = f"""docs AS (SELECT id AS ord, source, {_CANON} AS canonical FROM {SOURCES.sql}),
 forms AS (SELECT alias, arg_max(canonical, ord) AS canonical, max(ord) AS ord FROM (SELECT canonical, ord, unnest([canonical, lower(canonical), source, lower(source),
   CASE WHEN contains(canonical, '/') THEN string_split(canonical, '/')[1] || '/' || regexp_extract(string_split(canonical, '/')[2], '^([^-]*)', 1) END]) AS alias FROM docs) WHERE alias <> '' GROUP BY alias),
 bare AS (SELECT alias, arg_min(canonical, ord) AS canonical, min(ord) AS ord FROM (SELECT canonical, ord, regexp_extract(canonical, '^(\\d+)', 1) AS alias FROM docs) WHERE length(alias) >= 2 GROUP BY alias),
 registry AS (SELECT * FROM forms UNION ALL SELECT * FROM bare ANTI JOIN forms USING (alias))"""
 
 
-def registry(spark):
-    return resolve.registry(LAWS.df(spark).withColumnRenamed("id", "ord"))
+def registry(spark, sf):
+    return resolve.registry(SOURCES.df(spark, sf).withColumnRenamed("id", "ord"))
 
 
 @query("registry_build", f"WITH {_REGISTRY} SELECT alias, canonical, ord FROM registry")
 def registry_build(spark, sf):
-    return registry(spark)
+    return registry(spark, sf)
 
 
-REFS = Rows("raw string", [("43/2019/QH14",), ("Luật số 43/2019/QH14 về giáo dục",), ("71/2020/ND-CP",), ("08/2023",), ("luật giáo dục đại học",), ("xyz",), ("34-2018-QH14",), ("71",), ("43/2019/qh14",), ("71-2020-NĐ-CP",), ("71/2020/",)])
+REFS = inputs.references([("43/2019/QH14",), ("Luật số 43/2019/QH14 về giáo dục",), ("71/2020/ND-CP",), ("08/2023",), ("luật giáo dục đại học",), ("xyz",), ("34-2018-QH14",), ("71",), ("43/2019/qh14",), ("71-2020-NĐ-CP",), ("71/2020/",)])
 
 
 @query("registry_resolve", f"""
@@ -191,7 +192,7 @@ hits AS (SELECT raw, canonical, ord, alias, CASE WHEN alias = raw THEN 1 WHEN ba
 best AS (SELECT raw, canonical, tier FROM hits WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY raw ORDER BY tier, ord, alias) = 1)
 SELECT raw, coalesce(canonical, raw) AS canonical, coalesce(tier, 4)::INTEGER AS tier FROM {REFS.sql} LEFT JOIN best USING (raw)""")
 def registry_resolve(spark, sf):
-    return resolve.resolve(REFS.df(spark), registry(spark))
+    return resolve.resolve(REFS.df(spark, sf), registry(spark, sf))
 
 
 @query("router_resolve", f"""
@@ -199,11 +200,11 @@ WITH {_REGISTRY}, hits AS (SELECT raw, canonical, ord, alias, CASE WHEN alias =
 best AS (SELECT raw, canonical, tier FROM hits WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY raw ORDER BY tier, ord, alias) = 1)
 SELECT raw, coalesce(canonical, raw) AS canonical, coalesce(tier, 5)::INTEGER AS tier FROM {REFS.sql} LEFT JOIN best USING (raw)""")
 def router_resolve(spark, sf):
-    return resolve.route(REFS.df(spark), registry(spark))
+    return resolve.route(REFS.df(spark, sf), registry(spark, sf))
 
 
 CROSS = Rows("child string, parent string, n int", K.CROSS_REFERENCES)
-RANKED = Rows("query_id int, place int, document string", [(0, 0, "71/2020/NĐ-CP"), (0, 1, "08/2023/TT-BGDĐT"), (0, 2, "43/2019/QH14"), (1, 0, "34/2018/QH14"), (1, 1, "08/2012/QH13"), (1, 2, "99/2019/ND-CP")])
+RANKED = inputs.ranked_documents([(0, 0, "71/2020/NĐ-CP"), (0, 1, "08/2023/TT-BGDĐT"), (0, 2, "43/2019/QH14"), (1, 0, "34/2018/QH14"), (1, 1, "08/2012/QH13"), (1, 2, "99/2019/ND-CP")])
 
 
 @query("xref_inject", f"""
@@ -211,14 +212,14 @@ WITH r AS (SELECT * FROM {RANKED.sql}), x AS (SELECT query_id, document, place,
 b AS (SELECT *, {Q.bare('document')} AS bare FROM x), o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, bare ORDER BY place, k, n) = 1)
 SELECT query_id, document, (row_number() OVER (PARTITION BY query_id ORDER BY place, k, n) - 1){LONG} AS place FROM o""")
 def xref_inject(spark, sf):
-    return resolve.inject_parents(RANKED.df(spark), CROSS.df(spark))
+    return resolve.inject_parents(RANKED.df(spark, sf), CROSS.df(spark, sf))
 
 
-SELECTED = Rows("query_id int, query string, label string, doc string, article int, text string, doc_text string", [
+SELECTED = inputs.selected([
     (0, "quyền của nhà giáo", "Điều 5 (43/2019/QH14)", "43/2019/QH14", 5, "Điều 5. Quyền của nhà giáo theo Điều 9", "Luật 43/2019/QH14"),
     (1, "giáo viên mầm non", "Điều 3 (71/2020/NĐ-CP)", "71/2020/NĐ-CP", 3, "Điều 3. Giáo viên mầm non theo 43/2019/QH14 Điều 7", "Nghị định dẫn 43/2019/QH14"),
 ])
-CANDIDATES = Rows("query_id int, doc string, article int, text string, doc_text string, top boolean", [
+CANDIDATES = inputs.linked([
     (0, "43/2019/QH14", 5, "Điều 5. Quyền của nhà giáo theo Điều 9", "Luật 43/2019/QH14", True), (0, "43/2019/QH14", 9, "Điều 9. Khác", "Luật 43/2019/QH14", True),
     (0, "43/2019/QH14", 12, "Điều 12. Hành vi bị nghiêm cấm đối với nhà giáo", "Luật 43/2019/QH14", True), (0, "43/2019/QH14", 13, "Điều 13. Học phí", "Luật 43/2019/QH14", True),
     (1, "43/2019/QH14", 7, "Điều 7. Trình độ", "Luật", True), (1, "43/2019/QH14", 8, "Điều 8. Trường mầm non", "Luật", True), (1, "08/2023/TT-BGDĐT", 1, "Điều 1. Sửa đổi 71/2020/NĐ-CP", "Thông tư dẫn 71/2020/NĐ-CP", False),
@@ -241,11 +242,11 @@ r AS (SELECT *, CASE WHEN sb = cb AND ({_word('ct', 's_article')} OR {_word('st'
   WHEN top AND {_three(K.CONCEPTS)} THEN 'B4' END AS rule FROM p WHERE NOT (sb = cb AND s_article = c_article))
 SELECT query_id, s_doc, s_article, c_doc, c_article, rule FROM r WHERE rule IS NOT NULL""")
 def article_linking(spark, sf):
-    return resolve.link_articles(SELECTED.df(spark), CANDIDATES.df(spark))
+    return resolve.link_articles(SELECTED.df(spark, sf), CANDIDATES.df(spark, sf))
 
 
-PICKED = Rows("so_hieu string, dieu string", [("43/2019/QH14", "12"), ("71/2020/NĐ-CP", "16a"), ("43/2019/QH14", "99")])
-ARTICLES = Rows("node_id string, canonical string, name string", [
+PICKED = inputs.picked([("43/2019/QH14", "12"), ("71/2020/NĐ-CP", "16a"), ("43/2019/QH14", "99")])
+ARTICLES = inputs.named_articles([
     ("n1", "43/2019/QH14", "Điều 12. Tên"), ("n2", "43/2019/QH14", "Điều 120. Khác"), ("n3", "71/2020/NĐ-CP", "Điều 16a. Bổ sung"), ("n4", "71/2020/NĐ-CP", "Điều 16. Gốc"), ("n5", "43/2019/QH14", "điều 12 viết thường"),
 ])
 
@@ -253,7 +254,7 @@ ARTICLES = Rows("node_id string, canonical string, name string", [
 @query("selection_nodes", f"""SELECT so_hieu, dieu, node_id FROM {PICKED.sql} p JOIN {ARTICLES.sql} a ON a.canonical = p.so_hieu
 WHERE CASE WHEN regexp_full_match(dieu, '\\d+') THEN nullif(regexp_extract(name, 'Điều\\s+(\\d+)', 1), '')::INTEGER = dieu::VARCHAR::INTEGER ELSE regexp_matches(lower(name), 'điều\\s+' || lower(dieu)) END""".replace("dieu::VARCHAR::INTEGER", "try_cast(dieu AS INTEGER)"))
 def selection_nodes(spark, sf):
-    joined = PICKED.df(spark).join(ARTICLES.df(spark), F.col("canonical") == F.col("so_hieu"))
+    joined = PICKED.df(spark, sf).join(ARTICLES.df(spark, sf), F.col("canonical") == F.col("so_hieu"))
     exact = T.article_number(F.col("name")) == F.expr("try_cast(dieu as int)")
     suffix = F.regexp_like(F.lower("name"), F.concat(F.lit(r"điều\s+"), F.lower("dieu")))
     return joined.where(F.when(F.col("dieu").rlike(r"^\d+$"), exact).otherwise(suffix)).select("so_hieu", "dieu", "node_id")

@@ -189,10 +189,16 @@ def wide_retrieval(spark, sf):
     return retrieve.wide(S.lexical_index(spark, sf), asked.select("query_id", F.lit(0).alias("list_id"), "query").unionByName(wider))
 
 
-@query("strategy_parameters", """SELECT s AS strategy, k, d, p, c FROM (VALUES ('single_lookup', 5, 5, 10, 10), ('comparison', 5, 8, 5, 10), ('listing', 5, 8, 8, 8), ('eligibility_check', 5, 5, 5, 8),
- ('procedure', 5, 5, 15, 10), ('cross_document', 5, 10, 8, 8), ('definition', 5, 5, 10, 10), ('default', 5, 10, 10, 10)) v(s, k, d, p, c)""")
+_STRATEGY = "CASE query_id % 8 WHEN 0 THEN 'single_lookup' WHEN 1 THEN 'comparison' WHEN 2 THEN 'listing' WHEN 3 THEN 'eligibility_check' WHEN 4 THEN 'procedure' WHEN 5 THEN 'cross_document' WHEN 6 THEN 'definition' ELSE 'default' END"
+
+
+@query("strategy_parameters", f"""WITH {Q.queries()}, v(s, k, d, p, c) AS (VALUES ('single_lookup', 5, 5, 10, 10), ('comparison', 5, 8, 5, 10), ('listing', 5, 8, 8, 8), ('eligibility_check', 5, 5, 5, 8),
+ ('procedure', 5, 5, 15, 10), ('cross_document', 5, 10, 8, 8), ('definition', 5, 5, 10, 10), ('default', 5, 10, 10, 10)) SELECT query_id, s AS strategy, k, d, p, c FROM queries JOIN v ON s = {_STRATEGY}""")
 def strategy_parameters(spark, sf):
-    return retrieve.strategy_depths(spark, 5).select("strategy", "k", F.col("dense").alias("d"), F.col("sparse").alias("p"), F.col("cut").alias("c"))
+    """The depths that each benchmark item is searched with."""
+    depths = retrieve.strategy_depths(spark, 5).select("strategy", "k", F.col("dense").alias("d"), F.col("sparse").alias("p"), F.col("cut").alias("c"))
+    names = F.array(*map(F.lit, retrieve.STRATEGIES))
+    return S.query_texts(spark, sf).select("query_id", names[(F.col("query_id") % 8).cast("int")].alias("strategy")).join(F.broadcast(depths), "strategy")
 
 
 @query("strategy_dispatch", f"""
@@ -208,9 +214,11 @@ def strategy_dispatch(spark, sf):
     return retrieve.dispatch(lists(spark, sf, 40), chosen, asked, S.chunks(spark, sf), 5)
 
 
-@query("sub_query_depth", f"SELECT n, greatest(3, 20 // n){LONG} AS depth FROM (VALUES (1), (2), (4), (9)) v(n)")
+@query("sub_query_depth", f"SELECT query_id, n, greatest(3, 20 // n){LONG} AS depth FROM (SELECT item_id AS query_id, greatest(1, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')))::INTEGER AS n FROM benchmark)")
 def sub_query_depth(spark, sf):
-    return spark.createDataFrame([(1,), (2,), (4,), (9,)], "n int").select("n", retrieve.sub_query_depth(F.lit(20), F.col("n")).alias("depth"))
+    """How deep each of an item's lines is searched as a sub-query."""
+    n = F.greatest(F.lit(1), F.size("sub_queries")).alias("n")
+    return S.intents(spark, sf).select("query_id", n).select("query_id", "n", retrieve.sub_query_depth(F.lit(20), F.col("n")).alias("depth"))
 
 
 @query("sub_query_dedupe", "SELECT DISTINCT ON (lower(trim(lang))) lower(trim(lang)) AS sub_query, min(doc_id) OVER (PARTITION BY lower(trim(lang))) AS first_id FROM documents")

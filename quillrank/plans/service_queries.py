@@ -12,10 +12,11 @@ from ..operators import metrics, sessions
 from ..sources import tables as S
 from ..sources.shared import remove, shared_dir
 from ..streaming import keyed, stream
-from .registry import Rows, query
+from . import inputs
+from .registry import query
 
 LONG = "::BIGINT"
-RESULTS = Rows("qid int, kind string, expected array<string>, found array<string>, keywords array<string>, answer string, g double, car double, sim double, label string, confidence double", [
+RESULTS = inputs.results([
     (0, "lookup", ["43/2019", "71/2020"], ["43/2019", "08/2023"], ["Học phí", "miễn"], "Học sinh được miễn học phí.", 4.0, 1.0, 0.9, "Khong", 0.9),
     (1, "lookup", ["34/2018"], ["34/2018/QH14"], [], "Theo 34/2018", 3.0, 0.5, 0.8, "Bia_Luat", 0.95), (2, "multi", [], ["x"], ["a"], None, 2.0, 0.0, 0.2, "Bia_Luat", 0.5),
     (3, "multi", ["a", "b", "c"], [], ["xyz"], "không có", 1.0, 0.25, 0.0, "Suy_Dien", 0.8), (4, "temporal", ["a", "b"], ["b", "a"], ["b"], "ab", 4.0, 1.0, 1.0, "Vien_Dan_Bo_Sung", 1.0), (5, "temporal", ["q"], ["z"], ["q"], "q 99/2099", 4.0, 1.0, 1.0, "Bia_Luat", 0.9),
@@ -31,15 +32,15 @@ def recall():
 
 @query("stage_recall", f"SELECT qid, round({_REC}, 6) AS recall, CASE WHEN {_REC} >= 1 THEN 'perfect' WHEN {_REC} > 0 THEN 'partial' ELSE 'zero' END AS status FROM {RESULTS.sql}")
 def stage_recall(spark, sf):
-    return RESULTS.df(spark).select("qid", F.round(recall(), 6).alias("recall"), metrics.status(recall()).alias("status"))
+    return RESULTS.df(spark, sf).select("qid", F.round(recall(), 6).alias("recall"), metrics.status(recall()).alias("status"))
 
 
 @query("document_hit", f"SELECT qid, {_REL} >= 1 AS hit FROM {RESULTS.sql}")
 def document_hit(spark, sf):
-    return RESULTS.df(spark).select("qid", metrics.doc_hit(F.col("expected"), F.col("found")).alias("hit"))
+    return RESULTS.df(spark, sf).select("qid", metrics.doc_hit(F.col("expected"), F.col("found")).alias("hit"))
 
 
-PAIRS = Rows("qid int, side string, doc string, article int", [
+PAIRS = inputs.cited_pairs([
     (0, "e", "43/2019/QH14", 5), (0, "e", "34/2018/QH14", 9), (0, "f", "43/2019", 5), (0, "f", "34/2018/QH14", 1), (1, "e", "71/2020/NĐ-CP", 3), (1, "f", "71/2020/NĐ-CP", 6), (2, "f", "x", 1), (3, "e", "a", 1), (3, "e", "a", 2), (3, "f", "a", 2),
 ])
 
@@ -51,20 +52,20 @@ m AS (SELECT e.qid, e.doc, e.article, count(f.qid) FILTER (WHERE (contains(e.doc
 SELECT qid, coalesce(round(avg((s > 0)::INT), 6), 1.0)::DOUBLE AS strict, coalesce(round(avg((w > 0)::INT), 6), 1.0)::DOUBLE AS wide FROM q LEFT JOIN m USING (qid) GROUP BY qid""")
 def relaxed_recall(spark, sf):
     side = lambda s: F.filter(F.collect_list(F.when(F.col("side") == s, F.struct("doc", "article"))), lambda x: x.isNotNull())
-    rows = PAIRS.df(spark).groupBy("qid").agg(side("e").alias("e"), side("f").alias("f"))
+    rows = PAIRS.df(spark, sf).groupBy("qid").agg(side("e").alias("e"), side("f").alias("f"))
     return rows.select("qid", *[F.round(metrics.relaxed(F.col("e"), F.col("f"), r), 6).alias(r) for r in ("strict", "wide")])
 
 
-REQUIRED = Rows("qid int, ord int, articles array<int>", [(0, 0, [5, 6]), (0, 1, [9]), (1, 0, [3]), (1, 1, [4, 12]), (3, 0, [7])])
-ITEMS = Rows("qid int, item string", [(0, "43/2019 Điều 6. Nhiệm vụ"), (0, "Khoản 9"), (1, "Điều  12"), (1, "Điều 3, Điều 4"), (2, "Điều 1"), (3, None)])
+REQUIRED = inputs.required([(0, 0, [5, 6]), (0, 1, [9]), (1, 0, [3]), (1, 1, [4, 12]), (3, 0, [7])])
+ITEMS = inputs.found_items([(0, "43/2019 Điều 6. Nhiệm vụ"), (0, "Khoản 9"), (1, "Điều  12"), (1, "Điều 3, Điều 4"), (2, "Điều 1"), (3, None)])
 
 
 @query("requirement_recall", f"""WITH r AS (SELECT * FROM {REQUIRED.sql}), i AS (SELECT qid, try_cast(regexp_extract(item, 'Điều\\s+(\\d+)', 1) AS INTEGER) AS article FROM {ITEMS.sql}),
 m AS (SELECT qid, ord, EXISTS (SELECT 1 FROM i WHERE i.qid = r.qid AND list_contains(r.articles, i.article)) AS met FROM r)
 SELECT q.qid, coalesce(round(avg(met::INT), 6), 1.0)::DOUBLE AS recall FROM (SELECT DISTINCT qid FROM i) q LEFT JOIN m USING (qid) GROUP BY q.qid""")
 def requirement_recall(spark, sf):
-    found = ITEMS.df(spark).groupBy("qid").agg(F.collect_list("item").alias("found"))
-    needed = REQUIRED.df(spark).groupBy("qid").agg(F.collect_list("articles").alias("required"))
+    found = ITEMS.df(spark, sf).groupBy("qid").agg(F.collect_list("item").alias("found"))
+    needed = REQUIRED.df(spark, sf).groupBy("qid").agg(F.collect_list("articles").alias("required"))
     required = F.coalesce("required", F.array().cast("array<array<int>>"))
     return found.join(needed, "qid", "left").select("qid", F.round(metrics.requirement_recall(required, F.col("found")), 6).alias("recall"))
 
@@ -73,27 +74,27 @@ def requirement_recall(spark, sf):
 list_sort(list_filter(expected, lambda x: NOT list_contains(found, x))) AS missing, list_sort(list_filter(found, lambda x: NOT list_contains(expected, x))) AS extra FROM {RESULTS.sql}""")
 def precision_recall(spark, sf):
     e, f = F.col("expected"), F.col("found")
-    return RESULTS.df(spark).select("qid", F.round(recall(), 6).alias("recall"), F.round(metrics.precision(e, f), 6).alias("precision"), F.array_sort(F.array_except(e, f)).alias("missing"), F.array_sort(F.array_except(f, e)).alias("extra"))
+    return RESULTS.df(spark, sf).select("qid", F.round(recall(), 6).alias("recall"), F.round(metrics.precision(e, f), 6).alias("precision"), F.array_sort(F.array_except(e, f)).alias("missing"), F.array_sort(F.array_except(f, e)).alias("extra"))
 
 
 @query("keyword_coverage", f"SELECT qid, round(CASE WHEN len(keywords) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(keywords, lambda k: contains(lower(coalesce(answer, '')), lower(k))))::DOUBLE / len(keywords) END, 6) AS coverage FROM {RESULTS.sql}")
 def keyword_coverage(spark, sf):
-    return RESULTS.df(spark).select("qid", F.round(metrics.keyword_coverage(F.col("keywords"), F.col("answer")), 6).alias("coverage"))
+    return RESULTS.df(spark, sf).select("qid", F.round(metrics.keyword_coverage(F.col("keywords"), F.col("answer")), 6).alias("coverage"))
 
 
 @query("context_score", f"SELECT qid, round(0.6::DOUBLE * {_REC} + 0.4::DOUBLE * sim, 2) AS score FROM {RESULTS.sql}")
 def context_score(spark, sf):
-    return RESULTS.df(spark).select("qid", metrics.context_score(recall(), F.col("sim")).alias("score"))
+    return RESULTS.df(spark, sf).select("qid", metrics.context_score(recall(), F.col("sim")).alias("score"))
 
 
 @query("composite_score", f"SELECT qid, round(0.25::DOUBLE * g + 0.25::DOUBLE * car + 0.2::DOUBLE * sim + 0.2::DOUBLE * confidence + 0.1::DOUBLE * g, 6) AS score FROM {RESULTS.sql}")
 def composite_score(spark, sf):
-    return RESULTS.df(spark).select("qid", F.round(metrics.composite(*map(F.col, ("g", "car", "sim", "confidence", "g"))), 6).alias("score"))
+    return RESULTS.df(spark, sf).select("qid", F.round(metrics.composite(*map(F.col, ("g", "car", "sim", "confidence", "g"))), 6).alias("score"))
 
 
 @query("hallucination_grade", f"SELECT qid, {_GRADE} AS grade FROM {RESULTS.sql}")
 def hallucination_grade(spark, sf):
-    return RESULTS.df(spark).select("qid", grade().alias("grade"))
+    return RESULTS.df(spark, sf).select("qid", grade().alias("grade"))
 
 
 def grade():
@@ -105,29 +106,29 @@ p AS (SELECT *, CASE WHEN grade >= 2 THEN base * 0.5::DOUBLE WHEN grade = 1 THEN
 scored AS (SELECT *, CASE WHEN rec = 0 AND len(expected) > 0 THEN least(f, 0.5::DOUBLE * base) ELSE f END AS final FROM p)"""
 
 
-def scored(spark):
+def scored(spark, sf):
     final = metrics.final_score(recall(), F.col("sim"), F.col("g"), F.col("car"), grade(), F.size("expected") > 0)
-    return RESULTS.df(spark).withColumns({"rec": recall(), "grade": grade(), "final": final})
+    return RESULTS.df(spark, sf).withColumns({"rec": recall(), "grade": grade(), "final": final})
 
 
 @query("final_score", f"WITH {_SCORED} SELECT qid, round(final, 6) AS final FROM scored")
 def final_score(spark, sf):
-    return scored(spark).select("qid", F.round("final", 6).alias("final"))
+    return scored(spark, sf).select("qid", F.round("final", 6).alias("final"))
 
 
 @query("eval_rollup", f"""WITH {_SCORED} SELECT kind, count(*){LONG} AS n, count(*) FILTER (WHERE rec >= 1){LONG} AS perfect, count(*) FILTER (WHERE rec > 0 AND rec < 1){LONG} AS partial, count(*) FILTER (WHERE rec = 0){LONG} AS zero, round(avg(rec), 6) AS recall FROM scored GROUP BY ROLLUP (kind)""")
 def eval_rollup(spark, sf):
     r = F.col("rec")
-    return scored(spark).rollup("kind").agg(F.count("*").alias("n"), F.count_if(r >= 1).alias("perfect"), F.count_if((r > 0) & (r < 1)).alias("partial"), F.count_if(r == 0).alias("zero"), F.round(F.avg(r), 6).alias("recall"))
+    return scored(spark, sf).rollup("kind").agg(F.count("*").alias("n"), F.count_if(r >= 1).alias("perfect"), F.count_if((r > 0) & (r < 1)).alias("partial"), F.count_if(r == 0).alias("zero"), F.round(F.avg(r), 6).alias("recall"))
 
 
 @query("score_summary", f"WITH {_SCORED} SELECT kind, round(avg(final), 6) AS mean_score, round(avg((final >= 0.95)::INT)::DOUBLE, 6) AS high, round(avg((grade >= 2)::INT)::DOUBLE, 6) AS severe FROM scored GROUP BY ROLLUP (kind)")
 def score_summary(spark, sf):
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return scored(spark).rollup("kind").agg(F.round(F.avg("final"), 6).alias("mean_score"), share(F.col("final") >= 0.95).alias("high"), share(F.col("grade") >= 2).alias("severe"))
+    return scored(spark, sf).rollup("kind").agg(F.round(F.avg("final"), 6).alias("mean_score"), share(F.col("final") >= 0.95).alias("high"), share(F.col("grade") >= 2).alias("severe"))
 
 
-TIMES = Rows("qid int, retrieve double, choose double, pick double, write double", [(0, 8.0, 12.5, 20.0, 30.0), (1, 8.0, 10.0, 62.5, 25.0), (2, 8.0, 9.0, 41.0, 50.0), (3, 8.0, 40.0, 5.0, 1.0)])
+TIMES = inputs.stage_times([(0, 8.0, 12.5, 20.0, 30.0), (1, 8.0, 10.0, 62.5, 25.0), (2, 8.0, 9.0, 41.0, 50.0), (3, 8.0, 40.0, 5.0, 1.0)])
 
 
 @query("latency_breakdown", f"""WITH t AS (SELECT *, greatest(retrieve, choose, pick, write) AS top FROM {TIMES.sql}),
@@ -137,7 +138,7 @@ def latency_breakdown(spark, sf):
     names = ["retrieve", "choose", "pick", "write"]
     top, total = F.greatest(*names), F.col("retrieve") + F.col("choose") + F.col("pick") + F.col("write")
     which = F.when(F.col("retrieve") == top, "retrieve").when(F.col("choose") == top, "choose").when(F.col("pick") == top, "pick").otherwise("write")
-    return TIMES.df(spark).groupBy((F.col("pick") > 40).alias("retried"), which.alias("bottleneck")).agg(F.count("*").alias("n"), F.round(F.avg(total), 6).alias("mean_total"), F.round(F.sum("pick") / F.sum(total), 6).alias("pick_share"))
+    return TIMES.df(spark, sf).groupBy((F.col("pick") > 40).alias("retried"), which.alias("bottleneck")).agg(F.count("*").alias("n"), F.round(F.avg(total), 6).alias("mean_total"), F.round(F.sum("pick") / F.sum(total), 6).alias("pick_share"))
 
 
 # --- Sessions -----------------------------------------------------------------------------------

@@ -8,15 +8,17 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..operators import intent, resolve
 from ..sources import tables as S
+from . import inputs
 from . import sql as Q
 from .registry import Rows, query, quote
 
-LAWS = Rows("id int, so_hieu string, source string", [
+_LAWS = [
     (0, "43/2019/QH14", "Luật Giáo dục 43/2019/QH14"), (1, "71/2020/NĐ-CP", "Nghị định 71/2020/NĐ-CP nâng trình độ chuẩn"),
     (2, "", "Thông tư 08/2023/TT-BGDĐT sửa đổi"), (3, "07/BGDĐT-VBHN", "Văn bản hợp nhất"), (4, "  01-2021-TT ", "thông tư 01-2021-TT"),
     (5, "ĐIỀU LỆ", "Quyết định không số"), (6, "34/2018/QH14", "luật giáo dục đại học"), (7, None, "Nghị định về học phí năm 2021"),
-])
-PHRASES = Rows("id int, text string", [
+]
+LAWS, SOURCES = inputs.laws(_LAWS), inputs.sources(_LAWS)
+PHRASES = inputs.texts([
     (0, "Trường Đại học Sư phạm"), (1, "  HỌC  PHÍ năm 2022 "), (2, ""), (3, "Điều 16. Quyền của nhà giáo\nNội dung thứ nhất\n\n  Nội dung thứ hai  "),
     (4, "a/b: c*d? \"e\" <f>|g"), (5, "**Đậm** và # tiêu đề\n- mục một\n- mục hai"), (6, "```json\n{\"a\": 1}\n```"), (7, "suy nghĩ</think> {\"b\": 2}"),
     (8, "không  dấu​cách"), (9, "Điều 7a về lương"), (10, "__gạch__ dưới__"), (11, None),
@@ -30,40 +32,39 @@ def tokenize_count(spark, sf):
 
 
 @query("slug_source", f"""
-WITH t AS (SELECT DISTINCT source || ' - ' || lang || ' Đạo!' AS text FROM documents UNION ALL SELECT text FROM {PHRASES.sql})
+WITH t AS (SELECT DISTINCT source || ' - ' || lang || ' Đạo!' AS text FROM documents UNION ALL SELECT substr(text, 1, 200) FROM {PHRASES.sql})
 SELECT text, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(text, ''))), '\\s+', '_', 'g'), '[^\\p{{L}}\\p{{N}}_]', '', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS slug FROM t""")
 def slug_source(spark, sf):
     own = S.load(spark, sf, "documents").select(F.concat("source", F.lit(" - "), "lang", F.lit(" Đạo!")).alias("text")).distinct()
-    return own.union(PHRASES.df(spark).select("text")).select("text", T.slug(F.col("text")).alias("slug"))
+    return own.union(PHRASES.df(spark, sf).select(F.substring("text", 1, 200))).select("text", T.slug(F.col("text")).alias("slug"))
 
 
-@query("normalize_text", f"WITH t AS (SELECT text FROM documents UNION ALL SELECT text FROM {PHRASES.sql} UNION ALL SELECT source FROM {LAWS.sql}) SELECT text, {Q.norm('text')} AS normalized FROM t")
+@query("normalize_text", f"WITH t AS (SELECT text FROM {PHRASES.sql} UNION ALL SELECT source FROM {LAWS.sql}) SELECT text, {Q.norm('text')} AS normalized FROM t")
 def normalize_text(spark, sf):
-    own = S.load(spark, sf, "documents").select("text")
-    rows = own.union(PHRASES.df(spark).select("text")).union(LAWS.df(spark).select("source"))
+    rows = PHRASES.df(spark, sf).select("text").union(LAWS.df(spark, sf).select("source"))
     return rows.select("text", T.normalize(F.col("text")).alias("normalized"))
 
 
 @query("bare_number", f"SELECT id, {Q.bare('so_hieu')} AS bare, {Q.bare('source', False)} AS bare_source FROM {LAWS.sql}")
 def bare_number(spark, sf):
-    return LAWS.df(spark).select("id", T.bare_number(F.col("so_hieu")).alias("bare"), T.bare_number(F.col("source"), False).alias("bare_source"))
+    return LAWS.df(spark, sf).select("id", T.bare_number(F.col("so_hieu")).alias("bare"), T.bare_number(F.col("source"), False).alias("bare_source"))
 
 
 @query("canonical_source", f"SELECT id, coalesce(nullif(trim(coalesce(so_hieu, '')), ''), nullif(regexp_extract(source, '{Q.NUMBER}', 1), ''), source) AS canonical FROM {LAWS.sql}")
 def canonical_source(spark, sf):
     c = F.coalesce(F.nullif(F.trim(T.text(F.col("so_hieu"))), F.lit("")), T.first_match(F.col("source"), T.U + K.NUMBER), F.col("source"))
-    return LAWS.df(spark).select("id", c.alias("canonical"))
+    return LAWS.df(spark, sf).select("id", c.alias("canonical"))
 
 
 @query("doc_type_year", f"""SELECT id, CASE WHEN starts_with(lower(trim(source)), 'nghị định') THEN 'Nghị định' WHEN starts_with(lower(trim(source)), 'thông tư') THEN 'Thông tư'
   WHEN starts_with(lower(trim(source)), 'luật') THEN 'Luật' ELSE 'Khác' END AS doc_type, regexp_extract(coalesce(so_hieu, ''), '(\\d{{4}})', 1) AS year FROM {LAWS.sql}""")
 def doc_type_year(spark, sf):
-    return LAWS.df(spark).select("id", T.doc_type(F.col("source")).alias("doc_type"), T.year(F.col("so_hieu")).alias("year"))
+    return LAWS.df(spark, sf).select("id", T.doc_type(F.col("source")).alias("doc_type"), T.year(F.col("so_hieu")).alias("year"))
 
 
 @query("article_number", f"SELECT id, nullif(regexp_extract(coalesce(text, ''), 'Điều\\s+(\\d+)', 1), '')::INTEGER AS article FROM {PHRASES.sql}")
 def article_number(spark, sf):
-    return PHRASES.df(spark).select("id", T.article_number(F.col("text")).alias("article"))
+    return PHRASES.df(spark, sf).select("id", T.article_number(F.col("text")).alias("article"))
 
 
 @query("title_fallback", f"SELECT doc_id, {Q.title('text')} AS title FROM documents")
@@ -81,12 +82,12 @@ def breadcrumb(spark, sf):
     return S.chunks(spark, sf).select("node_id", T.breadcrumb(F.col("node_id"), F.col("canonical"), F.col("chapter"), F.col("name")).alias("breadcrumb"))
 
 
-NODES = Rows("id int, node_id string", [(0, "node:ND71_D5"), (1, "Luat_2019_QH14_D12"), (2, "plain"), (3, "a_1b_2c_D33_x"), (4, None)])
+NODES = inputs.node_ids([(0, "node:ND71_D5"), (1, "Luat_2019_QH14_D12"), (2, "plain"), (3, "a_1b_2c_D33_x"), (4, None)])
 
 
 @query("node_doc_id", f"SELECT id, nullif(regexp_extract(coalesce(node_id, ''), '^([^_]+(?:_\\d+[^_]*)*?)_D\\d+', 1), '') AS doc FROM {NODES.sql}")
 def node_doc_id(spark, sf):
-    return NODES.df(spark).select("id", T.doc_of_node(F.col("node_id")).alias("doc"))
+    return NODES.df(spark, sf).select("id", T.doc_of_node(F.col("node_id")).alias("doc"))
 
 
 @query("cache_key", "SELECT item_id, 'qcache:' || md5(lower(trim(text))) AS cache_key FROM benchmark")
@@ -137,7 +138,7 @@ TITLES = Rows("ord int, so_hieu string, title string", [
     (0, "22/2021/TT-BGDĐT", "Thông tư quy định về đánh giá học sinh trung học cơ sở và phổ thông"), (1, "116/2020/NĐ-CP", "Nghị định quy định về chính sách hỗ trợ tiền đóng học phí sinh viên sư phạm"),
     (2, "43/2019/QH14", "Luật Giáo dục"), (3, "86/2021/NĐ-CP", "Nghị định quy định việc công dân Việt Nam ra nước ngoài học tập"),
 ])
-ASKED = Rows("query_id int, query string", [
+ASKED = inputs.questions([
     (0, "Xin chào"), (1, "Cảm ơn bạn nhiều"), (2, "Tóm tắt nội dung chính của Luật Giáo dục"), (3, "Có bao nhiêu thông tư năm 2021"), (4, "Mức học phí là bao nhiêu"),
     (5, "Liệt kê các loại trường"), (6, "So sánh nghị định 71 và thông tư 08"), (7, "Bao nhiêu trường top 100 thế giới"), (8, "Nhiệm kỳ của hiệu trưởng trường đại học công lập"), (9, "abc"),
     (10, "Đánh giá học sinh trung học phổ thông thế nào"), (11, "Tai nạn thương tích ở trường mầm non"), (12, "thăng hạng giáo viên tiểu học và bồi hoàn học phí"),
@@ -151,17 +152,17 @@ _KEYS = f"list_filter(string_split_regex({_CLEAN}, '\\s+'), lambda w: w <> '' AN
 @query("title_match", f"""SELECT query_id, so_hieu FROM {ASKED.sql} q, {TITLES.sql} t WHERE length({_CLEAN}) >= 15 AND len({_KEYS}) >= 4
   AND (len(list_filter({_KEYS}, lambda w: contains(lower(query), w)))::DOUBLE / len({_KEYS}) >= 0.8 OR (length({_CLEAN}) > 20 AND contains(lower(query), {_CLEAN})))""")
 def title_match(spark, sf):
-    return ASKED.df(spark).join(F.broadcast(TITLES.df(spark)), intent.title_match(F.lower("query"), F.col("title"))).select("query_id", "so_hieu")
+    return ASKED.df(spark, sf).join(F.broadcast(TITLES.df(spark, sf)), intent.title_match(F.lower("query"), F.col("title"))).select("query_id", "so_hieu")
 
 
 @query("json_fence_clean", f"""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)^.*</think>', ''), '^\\s+|\\s+$', '', 'g'), '^```(?:json)?\\s*', ''), '\\s*```$', '') AS clean FROM {PHRASES.sql}""")
 def json_fence_clean(spark, sf):
-    return PHRASES.df(spark).select("id", T.clean_json(F.col("text")).alias("clean"))
+    return PHRASES.df(spark, sf).select("id", T.clean_json(F.col("text")).alias("clean"))
 
 
 @query("markdown_clean", f"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\*\\*|#+', '', 'g'), '(?m)^[ \\t]*[-*•][ \\t]+', '', 'g'), '\\n+', ' ', 'g'), ' +', ' ', 'g')) AS clean FROM {PHRASES.sql}""")
 def markdown_clean(spark, sf):
-    return PHRASES.df(spark).select("id", T.clean_markdown(F.col("text")).alias("clean"))
+    return PHRASES.df(spark, sf).select("id", T.clean_markdown(F.col("text")).alias("clean"))
 
 
 @query("token_estimate", "SELECT doc_id, (length(coalesce(text, '')) // 4)::BIGINT AS tokens FROM documents")
@@ -176,12 +177,12 @@ def title_cut(spark, sf):
 
 @query("whitespace_clean", f"SELECT id, trim(regexp_replace(translate(coalesce(text, ''), chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279), ' '), '[ \\t\\r\\n\\f\\x0b]+', ' ', 'g')) AS clean FROM {PHRASES.sql}")
 def whitespace_clean(spark, sf):
-    return PHRASES.df(spark).select("id", T.clean_space(F.col("text")).alias("clean"))
+    return PHRASES.df(spark, sf).select("id", T.clean_space(F.col("text")).alias("clean"))
 
 
 @query("safe_file_name", f"SELECT id, regexp_replace(coalesce(text, ''), '[/\\\\:*?\"<>|]', '_', 'g') AS name FROM {PHRASES.sql}")
 def safe_file_name(spark, sf):
-    return PHRASES.df(spark).select("id", T.safe_file_name(F.col("text")).alias("name"))
+    return PHRASES.df(spark, sf).select("id", T.safe_file_name(F.col("text")).alias("name"))
 
 
 _HEAD = "regexp_replace(string_split(coalesce(source, ''), '/')[1], '[^\\p{L}\\p{N}_]+', '', 'g')"
@@ -190,7 +191,7 @@ _HEAD = "regexp_replace(string_split(coalesce(source, ''), '/')[1], '[^\\p{L}\\p
 @query("chunk_id", f"SELECT id, {_HEAD} || '_D' || coalesce(so_hieu, '') AS chunk_id, {_HEAD} || '_Mod_D' || regexp_replace(coalesce(so_hieu, ''), '\\D', '', 'g') AS amended_id FROM {LAWS.sql}")
 def chunk_id(spark, sf):
     a, b = F.col("source"), F.col("so_hieu")
-    return LAWS.df(spark).select("id", T.chunk_id(a, b).alias("chunk_id"), T.chunk_id(a, b, True).alias("amended_id"))
+    return LAWS.df(spark, sf).select("id", T.chunk_id(a, b).alias("chunk_id"), T.chunk_id(a, b, True).alias("amended_id"))
 
 
 @query("status_note", "SELECT doc_id, CASE WHEN toxic = 1 THEN ' [BỊ BÃI BỎ]' WHEN quality = 0 THEN ' [ĐÃ SỬA ĐỔI]' ELSE '' END AS note FROM labels")
@@ -200,15 +201,15 @@ def status_note(spark, sf):
 
 
 RULES = Rows("ord int, needle string, also string, target string", K.CANONICAL_NUMBERS)
-NUMBERS = Rows("raw string", [("07/BGDĐT",), ("luật 43/2019",), ("04/2021/nđ-cp",), ("04/2021/tt-bgdđt",), ("99/1999/XX",), ("34-2018",), ("34/2018/qh14 và 08/2012",)])
+NUMBERS = inputs.numbers([("07/BGDĐT",), ("luật 43/2019",), ("04/2021/nđ-cp",), ("04/2021/tt-bgdđt",), ("99/1999/XX",), ("34-2018",), ("34/2018/qh14 và 08/2012",)])
 
 
 @query("legal_number_canonical", f"SELECT raw, coalesce(arg_min(target, ord), raw) AS canonical FROM {NUMBERS.sql} n LEFT JOIN {RULES.sql} r ON contains(upper(raw), needle) AND contains(upper(raw), also) GROUP BY raw")
 def legal_number_canonical(spark, sf):
-    return resolve.canonical_number(NUMBERS.df(spark), RULES.df(spark))
+    return resolve.canonical_number(NUMBERS.df(spark, sf), RULES.df(spark, sf))
 
 
-ANSWERS = Rows("id int, answer string", [
+ANSWERS = inputs.answers([
     (0, "Theo Điều 16, 17 và 20 của Luật, và điều 7a khoản 2."), (1, "Không có."), (2, None), (3, "Điều 5 Nghị định 71/2020/NĐ-CP; Điều 12, 13 Luật 43/2019/QH14"),
 ])
 
@@ -220,4 +221,4 @@ def _cited(x: str, cls: str) -> str:
 @query("citation_extract", f"""SELECT id, {_cited('answer', '[\\d\\sa-zA-Z,và]')} AS articles, {_cited('answer', '[\\d\\s,và]')} AS strict_articles, regexp_extract_all(coalesce(answer, ''), '{Q.NUMBER}', 1) AS numbers FROM {ANSWERS.sql}""")
 def citation_extract(spark, sf):
     a = F.col("answer")
-    return ANSWERS.df(spark).select("id", T.cited_articles(a).alias("articles"), T.cited_articles(a, False).alias("strict_articles"), T.sha_list(a).alias("numbers"))
+    return ANSWERS.df(spark, sf).select("id", T.cited_articles(a).alias("articles"), T.cited_articles(a, False).alias("strict_articles"), T.sha_list(a).alias("numbers"))
