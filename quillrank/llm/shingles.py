@@ -40,8 +40,8 @@ SHINGLE = 5
 #: Least likeness of a link, as a fraction so that the check is one of whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS = 20, 4
-#: Pairs of one print beyond which its set is sent to all tasks and not dealt.
-HOT = 5_000
+#: Pairs of one print for each copy of its set; prints of several copies whose list is broadcast, 16 bytes each.
+HOT, LISTED = 5_000, 100_000
 #: Prints, and shingles, that a block of a cell holds on average; shingles that one matrix has as columns.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 1_024, 2_000_000, 8_192
 
@@ -84,13 +84,20 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["print", "shingles"])
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """``pairs`` with the set of the print in column ``side``; sets of many pairs go to all tasks."""
+def _with_set(rows: DataFrame, sets: DataFrame, side: str, pairs: DataFrame) -> DataFrame:
+    """``rows`` of ``pairs`` with the set of the print in column ``side``.
+
+    A print of many pairs has a copy of its set for every ``HOT`` of them, and its pairs are dealt to these, so
+    neither a set nor its pairs are one task's work.  The list of such prints is counted before it is broadcast.
+    """
     own = sets.select(F.col("print").alias(side), F.col("shingles").alias(f"{side}_set"))
-    hot = own.join(F.broadcast(pairs.groupBy(side).count().where(F.col("count") > HOT).select(side)), side, "left_semi")
-    both = pairs.join(F.broadcast(hot), side, "left")
-    dealt = both.where(f"{side}_set is null").drop(f"{side}_set").join(own.hint("merge"), side)
-    return both.where(f"{side}_set is not null").select(*dealt.columns).union(dealt)
+    hot = pairs.groupBy(side).count().where(F.col("count") > HOT)
+    hot = materialize(hot.select(side, F.ceil(F.col("count") / HOT).cast("int").alias("copies")), "hot")
+    small = F.broadcast if hot.count() <= LISTED else lambda df: df
+    n = F.coalesce("copies", F.lit(1))
+    dealt = rows.join(small(hot), side, "left").withColumn("copy", F.pmod(F.xxhash64("a", "b"), n).cast("int")).drop("copies")
+    copies = own.join(small(hot), side, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1))).drop("copies")
+    return dealt.join(copies.hint("merge"), [side, "copy"]).drop("copy")
 
 
 def sets_of(wanted: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
@@ -103,7 +110,7 @@ def sets_of(wanted: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFra
 def alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the distinct (a, b) prints whose likeness is at least ``LEAST``."""
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct(), sketches, texts)
-    both = _with_set(_with_set(pairs.select("a", "b"), sets, "a"), sets, "b")
+    both = _with_set(_with_set(pairs.select("a", "b"), sets, "a", pairs), sets, "b", pairs)
     common = F.size(F.array_intersect("a_set", "b_set"))
     return both.where(common * LEAST[1] >= (F.size("a_set") + F.size("b_set") - common) * LEAST[0]).select("a", "b")
 
