@@ -97,9 +97,14 @@ def top_k(scored: DataFrame, k: int | None, by: str = "query_id", score: str = "
 
 
 def scoped(scored: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """Within a document: of the 5k best overall, the k best members; positive scores only."""
+    """Within a document: of the 5k best overall, the k best members; positive scores only.
+
+    A query whose document has no members is about an unknown one and takes the k best overall.
+    """
     wide = top_k(scored.where("score > 0"), 5 * k, rank="wide")
-    return top_k(wide.join(members, ["query_id", "node_id"], "left_semi"), k)
+    own = wide.join(members, ["query_id", "node_id"], "left_semi")
+    free = wide.join(members.select("query_id").distinct(), "query_id", "left_anti").where(F.col("wide") < k)
+    return top_k(own.union(free), k)
 
 
 def score_column(query: Column, body: Column) -> Column:

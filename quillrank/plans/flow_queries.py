@@ -51,22 +51,6 @@ def summary_flow(spark, sf):
     return retrieve.dominant(found).drop("n").join(S.numbered(S.chunks(spark, sf)), "canonical").select("query_id", "node_id", (F.row_number().over(order) - 1).cast("bigint").alias("place"))
 
 
-@query("listing_flow", f"""
-WITH {Q.CHUNKS}, {Q.queries()}, {Q.bm25()}, {Q.top('(SELECT * FROM bm25 WHERE score > 0)', 10, 'best')} SELECT DISTINCT query_id, canonical FROM best JOIN chunks USING (node_id)""")
-def listing_flow(spark, sf):
-    best = lexical.top_k(bm25_scores(spark, sf, 10), 10)
-    return best.join(S.chunks(spark, sf), "node_id").select("query_id", "canonical").distinct()
-
-
-@query("comparison_flow", f"""
-WITH {_LISTS}, c AS (SELECT query_id, list_id, rank, node_id FROM lists WHERE rank < CASE WHEN list_id = 0 THEN 6 ELSE 5 END),
-o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, node_id ORDER BY list_id, rank) = 1)
-SELECT query_id, node_id, (row_number() OVER (PARTITION BY query_id ORDER BY list_id, rank) - 1){LONG} AS place FROM o""")
-def comparison_flow(spark, sf):
-    cut = lists(spark, sf).where(F.col("rank") < F.when(F.col("list_id") == 0, 6).otherwise(5))
-    return fusion.ordered_union(cut, "node_id").select("query_id", "node_id", "place")
-
-
 NOTES = inputs.references([("43/2019/QH14",), ("71/2020",), ("Luật 34",), ("giáo dục đại học",), ("zz",)])
 TITLED = Rows("ord int, so_hieu string, title string", [(0, "43/2019/QH14", "Luật Giáo dục"), (1, "71/2020/NĐ-CP", "Nâng chuẩn"), (2, "34/2018/QH14", "Luật 34 sửa đổi, luật giáo dục đại học")])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fusion, lexical, retrieve, vector
+from ..operators.sizing import bounded
 from ..sources import tables as S
 from . import sql as Q
 from .registry import query
@@ -41,17 +42,17 @@ def bm25_topk(spark, sf):
 MEMBERS = "members AS (SELECT q.query_id, c.node_id FROM queries q JOIN chunks c ON c.canonical = 'src' || (q.query_id % 20))"
 
 
-def members(spark, sf) -> DataFrame:
-    """The chunks of the document that each query is about."""
-    q = S.query_texts(spark, sf).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("canonical"))
-    return S.chunks(spark, sf).join(F.broadcast(q), "canonical").select("query_id", "node_id")
+def members(spark, sf, documents: int = 20) -> DataFrame:
+    """The chunks of the document that each query is about; beyond 20 documents there are unknown ones."""
+    q = S.query_texts(spark, sf).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % documents).cast("string")).alias("canonical"))
+    return S.chunks(spark, sf).join(bounded(q), "canonical").select("query_id", "node_id")
 
 
 @query("bm25_scoped", f"""
-WITH {Q.CHUNKS}, {Q.queries()}, {MEMBERS}, {Q.bm25()}, {Q.top('(SELECT * FROM bm25 WHERE score > 0)', 50, 'wide', 'wide')},
-kept AS (SELECT query_id, node_id, score, wide FROM wide SEMI JOIN members USING (query_id, node_id)), {Q.top('kept', 10, 'best')} SELECT query_id, node_id, score, wide, rank FROM best""")
+WITH {Q.CHUNKS}, {Q.queries()}, {MEMBERS.replace("% 20", "% 25")}, {Q.bm25()}, {Q.top('(SELECT * FROM bm25 WHERE score > 0)', 50, 'wide', 'wide')},
+kept AS (SELECT query_id, node_id, score, wide FROM wide SEMI JOIN members USING (query_id, node_id) UNION ALL SELECT query_id, node_id, score, wide FROM wide WHERE wide < 10 AND query_id NOT IN (SELECT query_id FROM members)), {Q.top('kept', 10, 'best')} SELECT query_id, node_id, score, wide, rank FROM best""")
 def bm25_scoped(spark, sf):
-    return lexical.scoped(bm25_scores(spark, sf, 50), members(spark, sf), 10)
+    return lexical.scoped(bm25_scores(spark, sf, 50), members(spark, sf, 25), 10)
 
 
 @query("dense_topk", f"WITH {Q.dense()}, {Q.top('dense', 10, 'best')} SELECT query_id, node_id, score, rank FROM best")
