@@ -35,10 +35,10 @@ from ..functions import text as T
 from ..sources.shared import exists, remove
 from . import lexical
 
-SEGMENT = 1024
+SEGMENT = 4096
 BUCKETS = 32
 #: Queries that are scored at once; a task holds a number for each of them and each chunk of a segment.
-QUERIES = 4096
+QUERIES = 2048
 
 _MANIFEST = "batch int, version string, n bigint, words bigint, mean double"
 _SEGMENTS = "segment bigint, ids array<string>, hashes array<bigint>, lengths array<int>"
