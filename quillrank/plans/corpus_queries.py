@@ -77,13 +77,14 @@ def amendment_files(spark, sf):
 
 
 #: A document's lines by length: up to two words are a chapter's heading, up to five a section's; longer ones that start with A to M open an article.
+_words = lambda c: F.size(F.split(c, " "))
 BY_LENGTH = {
-    "chapter": lambda c: c.rlike(r"^\S+( \S+)?$"),
-    "section": lambda c: c.rlike(r"^\S+( \S+){2,4}$"),
-    "article": lambda c: c.rlike(r"^[A-M]\S*( \S+){5,}$"),
+    "chapter": lambda c: (c != "") & (_words(c) <= 2),
+    "section": lambda c: _words(c).between(3, 5),
+    "article": lambda c: (_words(c) > 5) & F.substring(c, 1, 1).between("A", "M"),
 }
 _FILL = """l AS (SELECT doc_id AS page_id, no - 1 AS line_no, l[no] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
-m AS (SELECT *, regexp_full_match(line, '\\S+( \\S+)?') AS c, regexp_full_match(line, '\\S+( \\S+){2,4}') AS s, regexp_full_match(line, '[A-M]\\S*( \\S+){5,}') AS a FROM l),
+m AS (SELECT page_id, line_no, line, line <> '' AND n <= 2 AS c, n BETWEEN 3 AND 5 AS s, n > 5 AND substr(line, 1, 1) BETWEEN 'A' AND 'M' AS a FROM (SELECT *, len(string_split(line, ' ')) AS n FROM l)),
 f AS (SELECT *, coalesce(last_value(CASE WHEN c THEN line END IGNORE NULLS) OVER w, '') AS chapter, last_value(CASE WHEN s THEN line END IGNORE NULLS) OVER w AS sl, max(CASE WHEN c THEN line_no END) OVER w AS cn,
   max(CASE WHEN s THEN line_no END) OVER w AS sn, last_value(CASE WHEN a THEN line_no END IGNORE NULLS) OVER w AS article_no FROM m WINDOW w AS (PARTITION BY page_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
 filled AS MATERIALIZED (SELECT page_id, article_no, arg_min(chapter, line_no) AS chapter, arg_min(CASE WHEN coalesce(sn, -1) > coalesce(cn, -1) THEN sl ELSE '' END, line_no) AS section, string_agg(line, chr(10) ORDER BY line_no) AS full_text
