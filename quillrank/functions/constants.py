@@ -189,3 +189,12 @@ def accent_table() -> tuple[str, str]:
             src.append(c)
             dst.append(base)
     return "".join(src), "".join(dst)
+
+#: Replies to questions that need no search, by intent.
+REPLIES = {
+    "GREETING": "Xin chào! 👋 Tôi là trợ lý AI chuyên về pháp luật giáo dục Việt Nam.\nBạn có thể hỏi tôi về Luật, Nghị định, Thông tư liên quan đến giáo dục.\nHãy đặt câu hỏi để tôi giúp bạn!",
+    "THANKS": "Không có gì! 😊 Nếu bạn có thêm câu hỏi, đừng ngần ngại hỏi nhé.",
+    "UNANSWERABLE": "Câu hỏi này nằm ngoài phạm vi cơ sở dữ liệu pháp luật giáo dục VN.",
+}
+#: Numbers of procedural documents, whose tables of contents have no snippets.
+DISTRACTORS = ["13/2024", "125/2024", "238/2025", "04/2021"]

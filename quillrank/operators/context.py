@@ -60,3 +60,12 @@ def selection(output: Column) -> Column:
     found = F.regexp_extract_all(plain, F.lit(r'"so_hieu"\s*:\s*"([^"]*)"\s*,\s*"dieu"\s*:\s*"?[^",}\]]+"?'), F.lit(0))
     fallback = F.transform(found, lambda m: F.struct(F.regexp_extract(m, r'"so_hieu"\s*:\s*"([^"]*)"', 1).alias("so_hieu"), F.trim(F.regexp_extract(m, r'"dieu"\s*:\s*"?([^",}\]]+)"?', 1)).alias("dieu")))
     return F.coalesce(parsed, fallback)
+
+
+def sources(rows: DataFrame) -> DataFrame:
+    """Chunks with article and status as the seven fields of an answer's source."""
+    crumb = T.breadcrumb(F.col("node_id"), F.col("canonical"), F.col("chapter"), F.col("name"))
+    return rows.select(
+        F.col("node_id").alias("doc_id"), F.col("canonical").alias("so_hieu"), F.col("name").alias("ten_van_ban"), F.col("article").alias("so_dieu"), crumb.alias("breadcrumb"),
+        F.col("status").alias("tinh_trang"), F.col("full_text").alias("content"),
+    )

@@ -71,6 +71,25 @@ def mmr(candidates: DataFrame, k: int | Column, weight: float = 0.7) -> DataFram
     return src.groupBy("query_id").applyInPandas(pick, f"query_id {src.schema['query_id'].dataType.simpleString()}, node_id string, score double, place bigint")
 
 
+def prompt_budget(rows: DataFrame, most: int = 3, limit: int = 25_000, shrink: int = 10_000) -> DataFrame:
+    """(query_id, canonical, first, large, small): of a query's ``most`` first documents those whose tables of contents fit.
+
+    One takes its large form while less than ``shrink`` characters are used, else its small one; one that
+    doesn't fit is passed over, but the first is always taken.
+    """
+    order = Window.partitionBy("query_id").orderBy("first")
+    ranked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+    def step(a, x):
+        size = F.when(a["used"] < shrink, x["large"]).otherwise(x["small"])
+        fits = (F.size(a["documents"]) == 0) | (a["used"] + size <= limit)
+        return F.when(fits, F.struct((a["used"] + size).alias("used"), F.concat(a["documents"], F.array(x["canonical"])).alias("documents"))).otherwise(a)
+
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("documents"))
+    taken = F.aggregate(F.sort_array(F.collect_list(F.struct("place", "canonical", "large", "small"))), start, step)
+    return ranked.groupBy("query_id").agg(taken.alias("t")).select("query_id", "t.documents", "t.used")
+
+
 def budget_skip(rows: DataFrame, limit: int) -> DataFrame:
     """(query_id, place, size): what a budget takes when it passes over what doesn't fit, but always takes the first."""
     fold = F.aggregate(

@@ -127,6 +127,13 @@ def missing_by_file(chunks: DataFrame, covered: DataFrame, key: str, file: str,
     return counted.where("missing > 0").orderBy(F.desc("missing"), file).limit(top)
 
 
+def coverage_summary(chunks: DataFrame, covered: DataFrame, key: str, by: str) -> DataFrame:
+    """Totals, covered, missing and percentage for each value of ``by``, and for all under null."""
+    marked = chunks.join(covered.select(key, F.lit(True).alias("hit")).distinct(), key, "left")
+    n, hit = F.count("*"), F.count("hit")
+    return marked.rollup(by).agg(n.alias("total"), hit.alias("covered"), (n - hit).alias("missing"), F.round(hit * 100.0 / n, 2).alias("percent"))
+
+
 def coverage(chunks: DataFrame, mapped: DataFrame) -> DataFrame:
     """Chunks that no mapping names, by anti join."""
     return chunks.join(mapped.select(F.regexp_replace("tree_node", "^node:", "").alias("chunk")).distinct(), F.col("doc_id").cast("string") == F.col("chunk"), "left_anti")

@@ -27,6 +27,15 @@ def intent(query: Column) -> Column:
     return F.coalesce(fast, F.when(has("SUMMARY"), "SUMMARY").when(has("STATISTICAL"), counted).when(has("LISTING"), "LISTING").when(has("COMPARISON"), "COMPARISON").otherwise("LOOKUP"))
 
 
+def instant_reply(query: Column) -> Column:
+    """The reply to a question that needs no search, null for others."""
+    kind = intent(query)
+    out = F.lit(None).cast("string")
+    for name, reply in K.REPLIES.items():
+        out = F.when(kind == name, reply).otherwise(out)
+    return out
+
+
 def decided(query: Column) -> Column:
     """Whether a rule decides; a model is asked about the rest only."""
     q = F.lower(F.trim(query))

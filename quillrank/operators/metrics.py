@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -80,5 +80,10 @@ def final_score(citation: Column, similarity: Column, g: Column, car: Column, gr
     return F.when((citation == 0) & has_citations, F.least(final, 0.5 * base)).otherwise(final)
 
 
+def service(requests: DataFrame, intent: str, time: str, failed: Column, cached: Column) -> DataFrame:
+    """(intent, n, mean_value, errors, cache_hits) of each intent, and of all requests under a null intent."""
+    return requests.rollup(intent).agg(F.count("*").alias("n"), F.round(F.avg(time), 6).alias("mean_value"), F.count_if(failed).alias("errors"), F.count_if(cached).alias("cache_hits"))
+
+
 def status(recall_: Column) -> Column:
     return F.when(recall_ >= 1, "perfect").when(recall_ > 0, "partial").otherwise("zero")

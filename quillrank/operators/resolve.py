@@ -58,6 +58,18 @@ def route(refs: DataFrame, registry_: DataFrame) -> DataFrame:
     return refs.join(best, "raw", "left").select("raw", F.coalesce("b.canonical", "raw").alias("canonical"), F.coalesce("b.tier", F.lit(5)).alias("tier"))
 
 
+def evaluate(refs: DataFrame, registry_: DataFrame) -> DataFrame:
+    """The evaluation's resolver: (raw) becomes (raw, canonical, tier), 1 equal without accents and case, 2 equal bare number, 3 itself."""
+    known = registry_.select("canonical", "ord", "alias", T.normalize(F.col("alias")).alias("plain"), T.bare_number(F.col("alias")).alias("bare"))
+    asked = refs.select("raw", T.normalize(F.col("raw")).alias("plain"), T.bare_number(F.col("raw")).alias("bare"))
+    pick = lambda on: F.min(F.struct("ord", "alias", "canonical"))["canonical"].alias(on)
+    same = known.groupBy("plain").agg(pick("by_plain"))
+    number = known.groupBy("bare").agg(pick("by_bare"))
+    rows = asked.join(same, "plain", "left").join(number, "bare", "left")
+    tier = F.when(F.col("by_plain").isNotNull(), 1).when(F.col("by_bare").isNotNull(), 2).otherwise(3)
+    return rows.select("raw", F.coalesce("by_plain", "by_bare", "raw").alias("canonical"), tier.alias("tier"))
+
+
 def inject_parents(ranked: DataFrame, cross: DataFrame) -> DataFrame:
     """(query_id, place, document): each document followed by its parents, each bare number once, first wins."""
     own = ranked.select("query_id", "document", F.struct("place", F.lit(0).alias("k"), F.lit(0).alias("n")).alias("at"))

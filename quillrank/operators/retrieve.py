@@ -96,11 +96,21 @@ def direct_article(members: DataFrame, number: int) -> DataFrame:
     return hits.join(best, "canonical").where("tier = best")
 
 
-def document_chunks(numbered: DataFrame, canonical: str) -> DataFrame:
-    """All chunks of one document in article order; a missing number counts as 999."""
-    own = numbered.where(F.col("canonical") == canonical)
+def direct_articles(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each (query_id, canonical, number): the document's members whose id ends with the article, in either spelling; the first spelling goes first."""
+    met = members.join(bounded(asked), "canonical")
+    low, number = F.lower("node_id"), F.col("number").cast("string")
+    tier = F.when(F.endswith(low, F.concat(F.lit("_d"), number)), 0).when(F.endswith(low, F.concat(F.lit(":d"), number)), 1)
+    hits = met.withColumn("tier", tier).where("tier is not null")
+    best = hits.groupBy("query_id").agg(F.min("tier").alias("best"))
+    return hits.join(best, "query_id").where("tier = best")
+
+
+def document_chunks(numbered: DataFrame, canonical: str | None = None) -> DataFrame:
+    """All chunks of one document, or of each, in article order; a missing number counts as 999."""
+    own = numbered if canonical is None else numbered.where(F.col("canonical") == canonical)
     order = Window.partitionBy("canonical").orderBy(F.coalesce("article", F.lit(999)), "node_id")
-    return own.select("node_id", (F.row_number().over(order) - 1).cast("bigint").alias("place"))
+    return own.select("canonical", "node_id", (F.row_number().over(order) - 1).cast("bigint").alias("place"))
 
 
 def dominant(found: DataFrame, least: int = 3) -> DataFrame:

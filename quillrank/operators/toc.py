@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import text as T
 from . import lexical
 from .sizing import bounded
 
 
-def lines(articles: DataFrame, snippet: int = 0) -> DataFrame:
+def lines(articles: DataFrame, snippet: int = 0, distractors: list[str] | None = None) -> DataFrame:
     """(canonical, node_id, chapter, article, name, full_text) rows become ordered lines.
 
     A chapter heading precedes the first article of each run of one chapter; articles of the
-    legal basis stay out.
+    legal basis stay out.  A document whose name has one of ``distractors`` in it gets no snippets.
     """
     order = Window.partitionBy("canonical").orderBy(F.coalesce("article", F.lit(0)), "node_id")
     kept = articles.where(~F.contains(F.col("node_id"), F.lit("_CAN_CU")))
@@ -22,7 +23,8 @@ def lines(articles: DataFrame, snippet: int = 0) -> DataFrame:
     fresh = F.coalesce(F.nullif("chapter", F.lit("")) != F.coalesce(before, F.lit("")), F.lit(False))
     line = F.concat(F.lit("- "), "name")
     if snippet:
-        line = F.concat(line, F.lit(": "), T.snippet(F.col("full_text"), snippet))
+        plain = T.contains_any(F.upper("canonical"), K.DISTRACTORS if distractors is None else distractors)
+        line = F.when(plain, line).otherwise(F.concat(line, F.lit(": "), T.snippet(F.col("full_text"), snippet)))
     line = F.when(fresh, F.concat(F.lit("## "), "chapter", F.lit("\n"), line)).otherwise(line)
     return kept.select("canonical", "node_id", (F.row_number().over(order) - 1).cast("bigint").alias("place"), fresh.alias("heading"), line.alias("line"))
 

@@ -46,12 +46,15 @@ def point_split(spark, sf):
     return corpus.points(corpus.clauses(ARTICLES.df(spark, sf)))
 
 
-@query("chunk_statistics", f"""WITH {_parts(ARTICLES.sql, _BODY, '^[0-9]+[.][ ]', 'id')}, n AS (SELECT id, count(*) AS n FROM parts GROUP BY id)
-SELECT count(*){LONG} AS n_articles, count(*) FILTER (WHERE n IS NULL){LONG} AS n_without, coalesce(sum(n), 0){LONG} AS n_clauses FROM {ARTICLES.sql} a LEFT JOIN n USING (id)""")
+@query("chunk_statistics", f"""WITH {_parts(ARTICLES.sql, _BODY, '^[0-9]+[.][ ]', 'id')}, n AS (SELECT id, count(*) AS n FROM parts GROUP BY id),
+c0 AS (SELECT id, part AS clause_id, trim(regexp_replace(body, '^\\d+\\.\\s+|\\n+$', '', 'g')) AS text FROM parts),
+pp AS (SELECT id, clause_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[a-zđ][)][ ]'))) AS points FROM c0)
+SELECT count(*){LONG} AS n_articles, count(*) FILTER (WHERE n IS NULL){LONG} AS n_without, coalesce(sum(n), 0){LONG} AS n_clauses, coalesce((SELECT sum(points) FROM pp), 0){LONG} AS n_points FROM {ARTICLES.sql} a LEFT JOIN n USING (id)""")
 def chunk_statistics(spark, sf):
     a = ARTICLES.df(spark, sf)
     n = corpus.clauses(a).groupBy("id").agg(F.count("*").alias("n"))
-    return a.join(n, "id", "left").agg(F.count("*").alias("n_articles"), F.count_if(F.col("n").isNull()).alias("n_without"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_clauses"))
+    points = corpus.points(corpus.clauses(a)).agg(F.count("*").alias("n_points"))
+    return a.join(n, "id", "left").agg(F.count("*").alias("n_articles"), F.count_if(F.col("n").isNull()).alias("n_without"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_clauses")).join(points, F.lit(True))
 
 
 _AMEND = "^(\\d+)\\.\\s*(?:Sửa đổi|Bổ sung|Bãi bỏ).*?Điều\\s*(\\d+[a-z]?)"
@@ -165,10 +168,14 @@ def intent_cascade(spark, sf):
     return ASKED.df(spark, sf).select("query_id", intent.intent(F.col("query")).alias("intent"), intent.decided(F.col("query")).alias("decided"))
 
 
-@query("instant_answers", f"SELECT query_id, CASE {_FAST} WHEN 'GREETING' THEN 'hello' WHEN 'THANKS' THEN 'welcome' END AS answer FROM {ASKED.sql}")
+_INTENT = f"""coalesce({_FAST}, CASE WHEN {_has('SUMMARY')} THEN 'SUMMARY' WHEN {_has('STATISTICAL')} THEN CASE WHEN {Q.any_of(_q, K.LOOKUP_CONTEXT)} THEN 'LOOKUP' WHEN {_has('UNANSWERABLE')} THEN 'UNANSWERABLE' ELSE 'STATISTICAL' END END)"""
+
+
+@query("instant_answers", f"""WITH i AS (SELECT query_id, {_INTENT} AS intent FROM {ASKED.sql})
+SELECT query_id, CASE intent {' '.join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in K.REPLIES.items())} END AS answer FROM i""")
 def instant_answers(spark, sf):
-    fast = intent.fast_intent(F.col("query"))
-    return ASKED.df(spark, sf).select("query_id", F.when(fast == "GREETING", "hello").when(fast == "THANKS", "welcome").alias("answer"))
+    """Replies to questions that need no search; null for the others."""
+    return ASKED.df(spark, sf).select("query_id", intent.instant_reply(F.col("query")).alias("answer"))
 
 
 _pat = lambda ps: f"regexp_matches({_q}, {quote('|'.join(f'(?:{p})' for p in ps))})"
@@ -234,9 +241,23 @@ def context_budget(spark, sf):
     return context.within_budget(sized(spark, sf), 16_000).select("query_id", "place", "node_id", "size", "used")
 
 
-@query("toc_budget")
+_SIZES = f"""z AS (SELECT canonical, sum(length(name)){LONG} AS names, sum(length({Q.snippet('full_text', 200)})){LONG} AS large, sum(length({Q.snippet('full_text', 100)})){LONG} AS small FROM chunks GROUP BY canonical)"""
+
+
+@query("toc_budget", f"""WITH {_RRF}, {_SIZES}, r AS (SELECT query_id, canonical, min(rank) AS first FROM rrf JOIN chunks USING (node_id) GROUP BY ALL),
+t AS (SELECT query_id, canonical, names + large AS a, names + small AS b, row_number() OVER (PARTITION BY query_id ORDER BY first) AS place FROM r JOIN z USING (canonical) QUALIFY place <= 3),
+p AS (SELECT query_id, max(canonical) FILTER (WHERE place = 1) AS c1, max(a) FILTER (WHERE place = 1) AS n1, max(canonical) FILTER (WHERE place = 2) AS c2, max(a) FILTER (WHERE place = 2) AS a2, max(b) FILTER (WHERE place = 2) AS b2,
+  max(canonical) FILTER (WHERE place = 3) AS c3, max(a) FILTER (WHERE place = 3) AS a3, max(b) FILTER (WHERE place = 3) AS b3 FROM t GROUP BY query_id),
+q AS (SELECT *, CASE WHEN n1 < 10000 THEN a2 ELSE b2 END AS n2 FROM p), s AS (SELECT *, coalesce(n1 + n2 <= 25000, false) AS take2 FROM q),
+u AS (SELECT *, n1 + CASE WHEN take2 THEN n2 ELSE 0 END AS used2 FROM s), v AS (SELECT *, CASE WHEN used2 < 10000 THEN a3 ELSE b3 END AS n3 FROM u), w AS (SELECT *, coalesce(used2 + n3 <= 25000, false) AS take3 FROM v)
+SELECT query_id, list_filter([c1, CASE WHEN take2 THEN c2 END, CASE WHEN take3 THEN c3 END], lambda x: x IS NOT NULL) AS documents, (used2 + CASE WHEN take3 THEN n3 ELSE 0 END){LONG} AS used FROM w""")
 def toc_budget(spark, sf):
-    return fusion.budget_skip(sized(spark, sf), 25_000)
+    """The tables of contents of an item's first three documents that fit into a prompt; snippets shrink past 10,000 characters."""
+    chunks = S.chunks(spark, sf)
+    size = lambda n: F.sum(F.length(T.snippet(F.col("full_text"), n)))
+    sizes = chunks.groupBy("canonical").agg(F.sum(F.length("name")).alias("names"), size(200).alias("large"), size(100).alias("small"))
+    first = fusion.rrf(lists(spark, sf)).join(chunks.select("node_id", "canonical"), "node_id").groupBy("query_id", "canonical").agg(F.min("rank").alias("first"))
+    return fusion.prompt_budget(first.join(sizes, "canonical").select("query_id", "canonical", "first", (F.col("names") + F.col("large")).alias("large"), (F.col("names") + F.col("small")).alias("small")))
 
 
 @query("context_blocks", f"""WITH {_RRF}, b AS (SELECT query_id, rank AS place, '[' || (rank + 1) || '] ' || concat_ws(' > ', canonical, chapter) || ' (Hiệu lực: ' || canonical || ')' || CASE WHEN chapter = 'de' THEN ' [ĐÃ SỬA ĐỔI]' ELSE '' END || chr(10) ||
@@ -249,11 +270,11 @@ def context_blocks(spark, sf):
     return context.assemble(docs.select("query_id", F.col("rank").alias("place"), made.alias("block"))).select("query_id", F.md5("context").alias("digest"))
 
 
-@query("hierarchical_context", f"WITH {Q.CHUNKS} SELECT DISTINCT '[' || concat_ws(' -> ', nullif(canonical, ''), nullif(chapter, ''), nullif(name, '')) || ']' || chr(10) || full_text || chr(10) AS block FROM chunks WHERE canonical = 'src1'")
+@query("hierarchical_context", f"WITH {Q.CHUNKS} SELECT DISTINCT '[' || concat_ws(' -> ', nullif(canonical, ''), nullif(chapter, ''), nullif(name, '')) || ']' || chr(10) || full_text || chr(10) AS block FROM chunks")
 def hierarchical_context(spark, sf):
     part = [F.nullif(F.col(c), F.lit("")) for c in ("canonical", "chapter", "name")]
     block = F.concat(F.lit("["), F.concat_ws(" -> ", *part), F.lit("]\n"), "full_text", F.lit("\n"))
-    return S.chunks(spark, sf).where("canonical = 'src1'").select(block.alias("block")).distinct()
+    return S.chunks(spark, sf).select(block.alias("block")).distinct()
 
 
 OUTPUTS = inputs.outputs([
@@ -279,6 +300,21 @@ def citation_rewrite(spark, sf):
     return src.select("source", context.rewrite_citations(F.lit("See [1], [2, khoản 3], [2] and [9]."), sources).alias("answer"))
 
 
-@query("answer_sources", f"WITH {Q.CHUNKS} SELECT node_id AS chunk_id, canonical AS so_hieu, name AS title, chapter, substr(full_text, 1, 200) AS preview FROM chunks WHERE canonical = 'src2'")
+@query("answer_sources", f"""WITH {Q.CHUNKS}, {Q.NUMBERED} SELECT node_id AS doc_id, canonical AS so_hieu, name AS ten_van_ban, article AS so_dieu, concat_ws(' > ', nullif(canonical, ''), nullif(chapter, ''), nullif(name, '')) AS breadcrumb,
+  CASE WHEN toxic = 1 THEN 'bi_bai_bo' WHEN quality = 0 THEN 'da_sua_doi' ELSE 'con_hieu_luc' END AS tinh_trang, full_text AS content FROM numbered LEFT JOIN labels USING (doc_id)""")
 def answer_sources(spark, sf):
-    return S.chunks(spark, sf).where("canonical = 'src2'").select(F.col("node_id").alias("chunk_id"), F.col("canonical").alias("so_hieu"), F.col("name").alias("title"), "chapter", F.substring("full_text", 1, 200).alias("preview"))
+    """Every chunk as a source of an answer, with its status."""
+    status = F.when(F.col("toxic") == 1, "bi_bai_bo").when(F.col("quality") == 0, "da_sua_doi").otherwise("con_hieu_luc")
+    rows = S.numbered(S.chunks(spark, sf)).join(S.load(spark, sf, "labels"), "doc_id", "left")
+    return context.sources(rows.withColumn("status", status))
+
+
+_WARNED = f"""{_RRF}, w AS (SELECT query_id, bool_or(coalesce(quality = 0 AND toxic = 0, false)) AS any_amended, count(*){LONG} AS n FROM rrf JOIN chunks USING (node_id) LEFT JOIN labels USING (doc_id) WHERE rank < 5 GROUP BY query_id)"""
+
+
+@query("amended_warning", f"WITH {_WARNED} SELECT query_id, any_amended, n FROM w")
+def amended_warning(spark, sf):
+    """Whether an answer has to warn that one of its five sources was amended."""
+    docs = fusion.rrf(lists(spark, sf)).where("rank < 5").join(S.chunks(spark, sf).select("node_id", "doc_id"), "node_id").join(S.load(spark, sf, "labels"), "doc_id", "left")
+    amended = F.coalesce((F.col("quality") == 0) & (F.col("toxic") == 0), F.lit(False))
+    return docs.groupBy("query_id").agg(F.bool_or(amended).alias("any_amended"), F.count("*").alias("n"))

@@ -28,11 +28,15 @@ def typed_neighbour(spark, sf):
     return graph.first_neighbour(graph.structure(S.chunks(spark, sf)), "THUOC_CHUONG")
 
 
-_SEEDS = "seeds(query_id, node) AS (VALUES (0, 'node:0'), (0, 'node:5'), (1, 'node:7'), (2, 'chap:src2:en'))"
+#: Each item starts from the chunk of its own number and from a chapter.
+_SEEDS = "seeds AS (SELECT item_id AS query_id, 'node:' || item_id AS node FROM benchmark UNION ALL SELECT item_id, 'chap:src' || (item_id % 20) || ':en' FROM benchmark WHERE item_id % 4 = 0)"
 
 
-def seeds(spark):
-    return spark.createDataFrame([(0, "node:0"), (0, "node:5"), (1, "node:7"), (2, "chap:src2:en")], "query_id int, node string")
+def seeds(spark, sf):
+    i = F.col("query_id")
+    asked = S.query_texts(spark, sf)
+    chapter = F.concat(F.lit("chap:src"), (i % 20).cast("string"), F.lit(":en"))
+    return asked.select(i, F.concat(F.lit("node:"), i.cast("string")).alias("node")).union(asked.where(i % 4 == 0).select(i, chapter))
 
 
 def _hops(n: int) -> str:
@@ -45,12 +49,12 @@ def _hops(n: int) -> str:
 
 @query("hop1_expand", _hops(1))
 def hop1_expand(spark, sf):
-    return graph.expand(seeds(spark), graph.structure(S.chunks(spark, sf)), 1)
+    return graph.expand(seeds(spark, sf), graph.structure(S.chunks(spark, sf)), 1)
 
 
 @query("hop2_expand", _hops(2))
 def hop2_expand(spark, sf):
-    return graph.expand(seeds(spark), graph.structure(S.chunks(spark, sf)), 2)
+    return graph.expand(seeds(spark, sf), graph.structure(S.chunks(spark, sf)), 2)
 
 
 def mapped(spark, sf):
@@ -70,6 +74,13 @@ def coverage_by_group(spark, sf):
     return S.load(spark, sf, "documents").join(marked, "doc_id", "left").groupBy("source").agg(F.count("*").alias("total"), covered.alias("covered"), F.round(covered * 100.0 / F.count("*"), 2).alias("percent"))
 
 
+@query("coverage_by_type", f"""SELECT lang AS type, count(*){LONG} AS total, count(l.doc_id){LONG} AS covered, count(*) FILTER (WHERE l.doc_id IS NULL){LONG} AS missing, round(count(l.doc_id) * 100.0::DOUBLE / count(*), 2) AS percent
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY ROLLUP (lang)""")
+def coverage_by_type(spark, sf):
+    """Covered and missing chunks of each type, and of all."""
+    return graph.coverage_summary(S.load(spark, sf, "documents"), S.load(spark, sf, "labels"), "doc_id", "lang").withColumnRenamed("lang", "type")
+
+
 @query("coverage_files", f"""SELECT source, count(*) FILTER (WHERE l.doc_id IS NULL){LONG} AS missing, count(*){LONG} AS total
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source HAVING missing > 0 ORDER BY missing DESC, source LIMIT 20""")
 def coverage_files(spark, sf):
@@ -79,8 +90,12 @@ def coverage_files(spark, sf):
 # --- Tables of contents --------------------------------------------------------------------------
 
 
+#: Documents without snippets: the fixed ones, and one of the given table's.
+PLAIN = [*K.DISTRACTORS, "SRC7"]
+
+
 def _toc(n: int) -> str:
-    body = f"'- ' || name" + (f" || ': ' || {Q.snippet('full_text', n)}" if n else "")
+    body = f"'- ' || name" + (f" || CASE WHEN {Q.any_of('upper(canonical)', PLAIN)} THEN '' ELSE ': ' || {Q.snippet('full_text', n)} END" if n else "")
     return f"""{Q.CHUNKS}, {Q.NUMBERED},
 p AS (SELECT *, lag(nullif(chapter, '') IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY coalesce(article, 0), node_id) AS before FROM numbered WHERE NOT contains(node_id, '_CAN_CU')),
 l AS (SELECT canonical, node_id, (row_number() OVER (PARTITION BY canonical ORDER BY coalesce(article, 0), node_id) - 1){LONG} AS place, coalesce(nullif(chapter, '') <> coalesce(before, ''), false) AS heading, chapter, {body} AS body FROM p),
@@ -94,7 +109,7 @@ def toc_lines(spark, sf):
 
 @query("toc_enriched", f"WITH {_toc(200)} SELECT canonical, md5(string_agg(line, chr(10) ORDER BY place) || chr(10) || '(' || count(*) || ' articles)') AS digest, count(*){LONG} AS n_articles FROM lines GROUP BY canonical")
 def toc_enriched(spark, sf):
-    return toc.render(toc.lines(S.numbered(S.chunks(spark, sf)), 200)).select("canonical", F.md5("toc").alias("digest"), "n_articles")
+    return toc.render(toc.lines(S.numbered(S.chunks(spark, sf)), 200, PLAIN)).select("canonical", F.md5("toc").alias("digest"), "n_articles")
 
 
 @query("toc_local", f"""WITH {Q.CHUNKS}, {Q.NUMBERED}, {Q.queries()}, a AS (SELECT canonical, node_id, article, name, {Q.tok('name')} AS t FROM numbered WHERE name <> '' AND NOT contains(node_id, '_CAN_CU')),
@@ -203,6 +218,14 @@ def router_resolve(spark, sf):
     return resolve.route(REFS.df(spark, sf), registry(spark, sf))
 
 
+@query("evaluation_resolve", f"""
+WITH {_REGISTRY}, k AS (SELECT canonical, ord, alias, {Q.norm('alias')} AS plain, {Q.bare('alias')} AS bare FROM registry), a AS (SELECT raw, {Q.norm('raw')} AS plain, {Q.bare('raw')} AS bare FROM {REFS.sql}),
+p AS (SELECT plain, arg_min(canonical, (ord, alias, canonical)) AS by_plain FROM k GROUP BY plain), b AS (SELECT bare, arg_min(canonical, (ord, alias, canonical)) AS by_bare FROM k GROUP BY bare)
+SELECT raw, coalesce(by_plain, by_bare, raw) AS canonical, CASE WHEN by_plain IS NOT NULL THEN 1 WHEN by_bare IS NOT NULL THEN 2 ELSE 3 END AS tier FROM a LEFT JOIN p USING (plain) LEFT JOIN b USING (bare)""")
+def evaluation_resolve(spark, sf):
+    return resolve.evaluate(REFS.df(spark, sf), registry(spark, sf))
+
+
 CROSS = Rows("child string, parent string, n int", K.CROSS_REFERENCES)
 RANKED = inputs.ranked_documents([(0, 0, "71/2020/NĐ-CP"), (0, 1, "08/2023/TT-BGDĐT"), (0, 2, "43/2019/QH14"), (1, 0, "34/2018/QH14"), (1, 1, "08/2012/QH13"), (1, 2, "99/2019/ND-CP")])
 

@@ -166,16 +166,19 @@ def retrieve_docs(spark, sf):
 
 
 @query("direct_article", """
-WITH c AS (SELECT node_id, canonical, article FROM (SELECT 'node:' || source || '_D' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS node_id, source AS canonical, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS article FROM documents))
-SELECT canonical, node_id FROM c WHERE ends_with(lower(node_id), '_d7')""")
+WITH c AS (SELECT 'node:' || source || '_D' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS node_id, source AS canonical FROM documents)
+SELECT item_id AS query_id, canonical, node_id FROM benchmark JOIN c ON canonical = 'src' || (item_id % 20) AND ends_with(lower(node_id), '_d' || (item_id % 30 + 1))""")
 def direct_article(spark, sf):
+    """The article that each item names, in its document."""
     c = S.numbered(S.chunks(spark, sf)).select("canonical", F.concat(F.lit("node:"), "canonical", F.lit("_D"), F.col("article").cast("string")).alias("node_id"))
-    return retrieve.direct_article(c, 7).select("canonical", "node_id")
+    i = F.col("query_id")
+    asked = S.query_texts(spark, sf).select("query_id", F.concat(F.lit("src"), (i % 20).cast("string")).alias("canonical"), (i % 30 + 1).alias("number"))
+    return retrieve.direct_articles(c, asked).select("query_id", "canonical", "node_id")
 
 
-@query("document_chunks", f"WITH {Q.CHUNKS}, {Q.NUMBERED} SELECT node_id, (row_number() OVER (ORDER BY coalesce(article, 999), node_id) - 1){LONG} AS place FROM numbered WHERE canonical = 'src3'")
+@query("document_chunks", f"WITH {Q.CHUNKS}, {Q.NUMBERED} SELECT canonical, node_id, (row_number() OVER (PARTITION BY canonical ORDER BY coalesce(article, 999), node_id) - 1){LONG} AS place FROM numbered")
 def document_chunks(spark, sf):
-    return retrieve.document_chunks(S.numbered(S.chunks(spark, sf)), "src3")
+    return retrieve.document_chunks(S.numbered(S.chunks(spark, sf)))
 
 
 @query("wide_retrieval", f"""

@@ -160,9 +160,9 @@ def session_latest(spark, sf):
     return sessions.latest(S.load(spark, sf, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
 
 
-@query("history_search", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), lower('The')) AND turn = 0")
+@query("history_search", "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), lower('The'))")
 def history_search(spark, sf):
-    return S.load(spark, sf, "conversations").where(F.contains(F.lower("text"), F.lower(F.lit("The"))) & (F.col("turn") == 0)).select("conv_id", "turn")
+    return S.load(spark, sf, "conversations").where(F.contains(F.lower("text"), F.lower(F.lit("The")))).select("conv_id", "turn")
 
 
 _PAIRS = f"""m AS (SELECT conv_id, turn, role, text, row_number() OVER w - 1 AS pos, lead(text) OVER w AS answer, lead(role) OVER w AS nxt FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -190,24 +190,27 @@ def sse_frames(spark, sf):
     return S.load(spark, sf, "events").select("event_id", sessions.sse(F.col("event_type"), F.col("user_id").cast("string")).alias("frame"))
 
 
-@query("session_frames", f"""WITH f AS (SELECT item_id AS id, 0 AS stage, 0::BIGINT AS pos, 'meta' AS type FROM benchmark UNION ALL SELECT item_id, 1, 0, 'sources' FROM benchmark
- UNION ALL SELECT item_id, 2, generate_subscripts(string_split(text, ' '), 1) - 1, 'token' FROM benchmark UNION ALL SELECT item_id, 3, 0, 'done' FROM benchmark)
+@query("session_frames", f"""WITH f AS (SELECT item_id AS id, 0 AS stage, 0::BIGINT AS pos, 'meta' AS type FROM benchmark UNION ALL SELECT item_id, 1, s, 'status' FROM benchmark, range(3) r(s) UNION ALL SELECT item_id, 2, 0, 'sources' FROM benchmark
+ UNION ALL SELECT item_id, 3, generate_subscripts(string_split(text, ' '), 1) - 1, 'token' FROM benchmark UNION ALL SELECT item_id, 4, 0, 'done' FROM benchmark)
 SELECT id, type, (row_number() OVER (PARTITION BY id ORDER BY stage, pos) - 1){LONG} AS seq FROM f""")
 def session_frames(spark, sf):
     from pyspark.sql import Window
 
     items = S.load(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("answer"))
-    plain = items.select("id", F.inline(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(0).cast("bigint").alias("pos"), F.lit(t).alias("type")) for s, t in ((0, "meta"), (1, "sources"), (3, "done"))])))
-    rows = plain.unionByName(sessions.frames(items).select("id", F.lit(2).alias("stage"), "pos", F.lit("token").alias("type")))
+    plain = items.select("id", F.inline(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(0).cast("bigint").alias("pos"), F.lit(t).alias("type")) for s, t in ((0, "meta"), (2, "sources"), (4, "done"))])))
+    # A status frame for each step: understanding, searching, writing.
+    status = items.select("id", F.lit(1).alias("stage"), F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)])).alias("pos"), F.lit("status").alias("type"))
+    rows = plain.unionByName(status).unionByName(sessions.frames(items).select("id", F.lit(3).alias("stage"), "pos", F.lit("token").alias("type")))
     return rows.select("id", "type", (F.row_number().over(Window.partitionBy("id").orderBy("stage", "pos")) - 1).cast("bigint").alias("seq"))
 
 
 # --- Service ------------------------------------------------------------------------------------
 
 
-@query("intent_metrics", f"SELECT event_type, count(*){LONG} AS n, round(avg(value), 6) AS mean_value, count(*) FILTER (WHERE event_type = 'error'){LONG} AS errors FROM events GROUP BY event_type")
+@query("intent_metrics", f"SELECT event_type, count(*){LONG} AS n, round(avg(value), 6) AS mean_value, count(*) FILTER (WHERE event_type = 'error'){LONG} AS errors, count(*) FILTER (WHERE event_type = 'view'){LONG} AS cache_hits FROM events GROUP BY ROLLUP (event_type)")
 def intent_metrics(spark, sf):
-    return S.load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    """Requests, mean time, errors and cache hits by intent, and in total (a null intent)."""
+    return metrics.service(S.load(spark, sf, "events"), "event_type", "value", F.col("event_type") == "error", F.col("event_type") == "view")
 
 
 def requests(spark, sf):
@@ -234,9 +237,10 @@ def cache_admission(spark, sf):
     return S.load(spark, sf, "conversations").where("turn <= 1 or conv_id = 0").select("conv_id", "turn")
 
 
-@query("token_budget_60s", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 60 PRECEDING AND CURRENT ROW), 4) AS used FROM (SELECT *, date_trunc('second', ts) AS s FROM events)".replace("epoch(ts)", "epoch(s)"))
+@query("token_budget_60s", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 60 PRECEDING AND CURRENT ROW), 4) AS used, used > 100 AS blocked FROM (SELECT *, date_trunc('second', ts) AS s FROM events)".replace("epoch(ts)", "epoch(s)"))
 def token_budget_60s(spark, sf):
-    return sessions.token_budget(requests(spark, sf)).select("event_id", F.round("used", 4).alias("used"))
+    """Tokens of a client's last minute, and whether the limit of 100 makes the request wait."""
+    return sessions.token_budget(requests(spark, sf)).select("event_id", F.round("used", 4).alias("used")).withColumn("blocked", F.col("used") > 100)
 
 
 @query("rate_limiter")
