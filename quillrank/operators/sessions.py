@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,24 +43,30 @@ def sse(kind: Column, content: Column) -> Column:
     return F.concat(F.lit("data: "), F.to_json(F.struct(kind.alias("type"), content.alias("content"))), F.lit("\n\n"))
 
 
-def cache_hits(requests: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
-    """(key, ts): a request hits if the key was written within the time to live; a miss writes.
+def _runs(requests: DataFrame, key: str, seconds: int, *columns: str) -> DataFrame:
+    """(key, run, rows): a key's requests in order, cut wherever nothing of ``seconds`` ago can matter any more.
 
-    Whether a request writes depends on the one before it, so a key's requests are gathered and
-    folded in order: one key's history is one task's work and is held by it whole.
+    Behind such a gap the state is known, so a key's history is as many groups as it has gaps.
     """
+    order = Window.partitionBy(key).orderBy("ts", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = F.coalesce(F.col("at") - F.lag("at").over(order) >= seconds * 1_000_000, F.lit(True))
+    cut = requests.select("event_id", key, "ts", *columns).withColumn("at", at).withColumn("gap", gap.cast("int"))
+    runs = cut.withColumn("run", F.sum("gap").over(order))
+    return runs.groupBy(key, "run").agg(F.sort_array(F.collect_list(F.struct("at", "event_id"))).alias("rows"))
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "event_id"])
-        written, hits = None, []
-        for ts in frame["ts"]:
-            hit = written is not None and (ts - written).total_seconds() < ttl_seconds
-            hits.append(hit)
-            if not hit:
-                written = ts
-        return frame.assign(hit=hits)[["event_id", "key", "hit"]]
 
-    return requests.select("event_id", "key", "ts").groupBy("key").applyInPandas(fold, "event_id bigint, key string, hit boolean")
+def cache_hits(requests: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
+    """(key, ts): a request hits if the key was written within the time to live; a miss writes.
+
+    Whether a request writes depends on the one before it.  A request that comes a time to live after the one before
+    is sure to write, so histories are cut there; each run is folded in the JVM, and only its
+    writes, of which there is one for each time to live at most, are gathered.
+    """
+    none = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("writes"))
+    fold = F.aggregate("rows", none, lambda a, x: F.when(a["last"].isNull() | (x["at"] - a["last"] >= ttl_seconds * 1_000_000), F.struct(x["at"].alias("last"), F.concat(a["writes"], F.array(x["event_id"])).alias("writes"))).otherwise(a))
+    runs = _runs(requests, "key", ttl_seconds).select("key", "rows", fold["writes"].alias("writes"))
+    return runs.select("key", "writes", F.explode("rows").alias("r")).select("r.event_id", "key", (~F.array_contains("writes", F.col("r.event_id"))).alias("hit"))
 
 
 def token_budget(requests: DataFrame, seconds: int = 60) -> DataFrame:
@@ -71,18 +76,23 @@ def token_budget(requests: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def rate_limit(requests: DataFrame, per_minute: int = 30) -> DataFrame:
-    """Token buckets by client: a request passes if a token is left; the clock moves only when tokens come in."""
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "event_id"])
-        tokens, last, out = per_minute, None, []
-        for ts in frame["ts"]:
-            last = ts if last is None else last
-            refill = int((ts - last).total_seconds() * per_minute / 60)
-            if refill > 0:
-                tokens, last = min(per_minute, tokens + refill), ts
-            out.append(tokens > 0)
-            tokens -= tokens > 0
-        return frame.assign(allowed=out)[["event_id", "client", "allowed"]]
-
-    return requests.select("event_id", "client", "ts").groupBy("client").applyInPandas(replay, "event_id bigint, client bigint, allowed boolean")
+    """Token buckets by client: a request passes if a token is left; the clock moves only when tokens come in.
+
+    A minute without a request fills the bucket, so histories are cut there and each run is folded in the
+    JVM, which gathers the requests that are refused.
+    """
+    bigint = lambda n: F.lit(n).cast("bigint")
+    start = F.struct(bigint(per_minute).alias("tokens"), F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("refused"))
+
+    def step(a, x):
+        last = F.coalesce(a["last"], x["at"])
+        refill = F.floor((x["at"] - last) * per_minute / 60_000_000)
+        tokens = F.when(refill > 0, F.least(bigint(per_minute), a["tokens"] + refill)).otherwise(a["tokens"])
+        passes = tokens > 0
+        return F.struct(
+            F.when(passes, tokens - 1).otherwise(tokens).alias("tokens"), F.when(refill > 0, x["at"]).otherwise(last).alias("last"),
+            F.when(passes, a["refused"]).otherwise(F.concat(a["refused"], F.array(x["event_id"]))).alias("refused"),
+        )
+
+    runs = _runs(requests, "client", 60).select("client", "rows", F.aggregate("rows", start, step)["refused"].alias("refused"))
+    return runs.select("client", "refused", F.explode("rows").alias("r")).select("r.event_id", "client", (~F.array_contains("refused", F.col("r.event_id"))).alias("allowed"))

@@ -243,7 +243,15 @@ def token_budget_60s(spark, sf):
     return sessions.token_budget(requests(spark, sf)).select("event_id", F.round("used", 4).alias("used")).withColumn("blocked", F.col("used") > 100)
 
 
-@query("rate_limiter")
+#: Two requests a minute: tokens before and after each request, one after the other.
+_LIMIT = """WITH RECURSIVE r AS (SELECT event_id, user_id AS client, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+c AS (SELECT event_id, client, n, 1::BIGINT AS tokens, us AS last, true AS allowed FROM r WHERE n = 1
+  UNION ALL SELECT event_id, client, n, held - (held > 0)::INT, last, held > 0 FROM (SELECT r.event_id, r.client, r.n, CASE WHEN (r.us - c.last) * 2 // 60000000 > 0 THEN least(2, c.tokens + (r.us - c.last) * 2 // 60000000) ELSE c.tokens END AS held,
+    CASE WHEN (r.us - c.last) * 2 // 60000000 > 0 THEN r.us ELSE c.last END AS last FROM c JOIN r ON r.client = c.client AND r.n = c.n + 1))
+SELECT event_id, client, allowed FROM c"""
+
+
+@query("rate_limiter", _LIMIT)
 def rate_limiter(spark, sf):
     return sessions.rate_limit(requests(spark, sf), 2)
 
@@ -285,7 +293,7 @@ def stream_metrics(spark, sf):
     return stream.drain(stream.metrics(stream.events(spark, sf))).select("event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", _LIMIT)
 def stream_rate_limit(spark, sf):
     return stream.drain(stream.rate_limit(stream.events(spark, sf), 2), "append")
 

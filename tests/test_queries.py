@@ -19,7 +19,7 @@ def test_oracle(spark, con, sf_dir, name):
 
 
 def test_without_sql(spark, sf_dir):
-    assert sorted(set(QUERIES) - set(ORACLES)) == ["citation_rewrite", "html_lines", "mmr_select", "rate_limiter", "strategy_cross_document", "strategy_listing", "stream_rate_limit"]
+    assert sorted(set(QUERIES) - set(ORACLES)) == ["citation_rewrite", "html_lines", "mmr_select", "strategy_cross_document", "strategy_listing"]
 
 
 def test_entry(spark):
