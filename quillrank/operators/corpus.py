@@ -9,6 +9,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
+def page_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((page_id, name) of every link of a page, (page_id, name) that a page answers to): a link leads to pages whose heading starts with its word."""
+    links = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1)))).alias("name"))
+    heads = pages.select("page_id", F.split_part(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit(" "), F.lit(1)).alias("name"))
+    return links.where("name <> ''"), heads.where("name <> ''")
+
+
+def crawl(links: DataFrame, heads: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(page_id, depth) of every page that the seeds lead to, in as many steps as it takes to find no more.
+
+    A step goes from new pages to the names that they link to and no page before them did, and from these to the
+    pages that answer to them, so links and pages of a common name are not multiplied.  Every step is
+    written down; the driver sees whether it found a page.
+    """
+    front = written(seeds.select("page_id", F.lit(0).alias("depth")).distinct(), "crawl")
+    reached, called, depth = front, None, 0
+    while not front.isEmpty():
+        depth += 1
+        names = links.join(front.select("page_id"), "page_id", "left_semi").select("name").distinct()
+        names = written(names if called is None else names.join(called, "name", "left_anti"), "crawl")
+        called = names if called is None else called.union(names)
+        found = heads.join(names, "name", "left_semi").select("page_id").distinct().join(reached, "page_id", "left_anti")
+        front = written(found.withColumn("depth", F.lit(depth)), "crawl")
+        reached = reached.union(front)
+    return reached
+
+
+def items(pages: DataFrame) -> DataFrame:
+    """(page_id, place, title): the texts of a page's list items, without tags."""
+    found = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1))).alias("place", "item")
+    return pages.select("page_id", found).select("page_id", "place", F.trim(F.regexp_replace("item", "<[^>]*>", "")).alias("title")).where("title <> ''")
+
+
 LEAVES = {"p", "li", "h1", "h2", "h3", "h4", "title"}
 SKIPPED = {"script", "style", "nav", "noscript"}
 

@@ -40,8 +40,10 @@ def matrix(column: pa.Array) -> np.ndarray:
 def _best(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
     """Each query's k best of a task; equal scores by node id."""
     query_ids, queries = sent.value
-    best: list[list[tuple[float, str]]] = [[] for _ in query_ids]
+    best: list[list[tuple]] = [[] for _ in query_ids]
+    node_kind = None
     for batch in batches:
+        node_kind = batch.schema.field(0).type
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
             names = part.column(0).to_pylist()
@@ -57,12 +59,12 @@ def _best(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.Record
     rows = [(i, name, -minus) for i, own in enumerate(best) for minus, name in own]
     if rows:
         i, name, score = zip(*rows)
-        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(i)), pa.array(name), pa.array(score)], ["query_id", "node_id", "score"])
+        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(i)), pa.array(name, node_kind), pa.array(score)], ["query_id", "node_id", "score"])
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, node_id, score, rank): the k best vectors of each query; null vectors are none."""
-    spark, kind = vectors.sparkSession, queries.schema["query_id"].dataType.simpleString()
+    spark, schema = vectors.sparkSession, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "query_id"), (vectors, "node_id"))) + ", score double"
     asked = queries.select("query_id", "query").where("query is not null")
     n = max(1, -(-asked.count() // MAX_QUERIES))
     block = F.pmod(F.xxhash64("query_id"), F.lit(n))
@@ -73,9 +75,9 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             continue
         ids, rows = own.column(0).combine_chunks(), own.column(1).combine_chunks()
         sent = spark.sparkContext.broadcast((ids if isinstance(ids, pa.Array) else ids.chunk(0), matrix(rows if isinstance(rows, pa.Array) else rows.chunk(0))))
-        out.append(src.mapInArrow(lambda batches, sent=sent: _best(batches, sent, k), f"query_id {kind}, node_id string, score double"))
+        out.append(src.mapInArrow(lambda batches, sent=sent: _best(batches, sent, k), schema))
     if not out:
-        return spark.createDataFrame([], f"query_id {kind}, node_id string, score double, rank bigint")
+        return spark.createDataFrame([], f"{schema}, rank bigint")
     return top_k(reduce(DataFrame.union, out), k)
 
 

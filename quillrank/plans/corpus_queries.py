@@ -147,6 +147,22 @@ def stale_filter(spark, sf):
     return S.load(spark, sf, "pages").where(~F.contains(F.col("html"), F.lit("the"))).select("page_id")
 
 
+_CRAWL = """WITH RECURSIVE p AS (SELECT page_id, html, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, split_part(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ' ', 1) AS head FROM pages),
+l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) AS name FROM p),
+r AS (SELECT min(page_id) AS page_id FROM p GROUP BY host UNION SELECT p.page_id FROM r JOIN l ON l.page_id = r.page_id JOIN p ON p.head = l.name WHERE l.name <> ''),
+i AS (SELECT page_id, x AS place, trim(regexp_replace(m, '<[^>]*>', '', 'g')) AS title FROM (SELECT page_id, unnest(range(len(f))) AS x, unnest(f) AS m FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS f FROM p)))"""
+
+
+@query("paged_crawl", f"{_CRAWL} SELECT page_id, count(i.page_id){LONG} AS n_items FROM r LEFT JOIN (SELECT * FROM i WHERE title <> '') i USING (page_id) GROUP BY page_id")
+def paged_crawl(spark, sf):
+    """The pages that each host's first page leads to, link by link, and how many list items they have."""
+    pages = S.load(spark, sf, "pages")
+    seeds = pages.groupBy(F.regexp_extract("url", "^https?://([^/?#]*)", 1)).agg(F.min("page_id").alias("page_id"))
+    reached = corpus.crawl(*corpus.page_links(pages), seeds)
+    n = corpus.items(pages).groupBy("page_id").agg(F.count("*").alias("n_items"))
+    return reached.join(n, "page_id", "left").select("page_id", F.coalesce("n_items", F.lit(0)).alias("n_items"))
+
+
 @query("crawl_links", """SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::BIGINT AS n_links, len(regexp_extract_all(html, '<li>', 0))::BIGINT AS n_items FROM pages""")
 def crawl_links(spark, sf):
     count = lambda p, g: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(g))).cast("bigint")

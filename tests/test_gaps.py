@@ -84,3 +84,80 @@ def test_canonical_numbers(spark):
     rules = spark.createDataFrame([("X", "1", "t0", 0), ("X", "", "t1", 1)], "needle string, also string, target string, ord int")
     numbers = spark.createDataFrame([("x1",), ("x2",), ("y",), ("y",), (None,)], "raw string")
     assert sorted(map(tuple, resolve.canonical_number(numbers, rules).collect()), key=str) == [("x1", "t0"), ("x2", "t1"), ("y", "y"), (None, None)]
+
+
+def test_crawl_ends_on_cycles(spark):
+    """Every page once, at the fewest steps, though links go round and names are shared."""
+    from quillrank.operators import corpus
+
+    links = spark.createDataFrame([(1, "b"), (2, "c"), (3, "a"), (3, "b"), (3, "d"), (9, "a"), (4, "d")], "page_id bigint, name string")
+    heads = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "d"), (6, "e")], "page_id bigint, name string")
+    seeds = spark.createDataFrame([(1,), (1,)], "page_id bigint")
+    assert sorted(map(tuple, corpus.crawl(links, heads, seeds).collect())) == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 3)]
+    assert corpus.crawl(links, heads, seeds.limit(0)).collect() == []
+    pages = spark.createDataFrame([(1, '<ul><li><a href="/x">One</a></li><li> </li><li>Two\nlines</li></ul>'), (2, None)], "page_id bigint, html string")
+    assert sorted(map(tuple, corpus.items(pages).collect())) == [(1, 0, "One"), (1, 2, "Two\nlines")]
+
+
+def test_outline_forgets_the_section_in_a_new_chapter(spark):
+    from quillrank.operators import corpus, graph, toc
+
+    lines = ["before", "Chương I", "Mục 1", "Điều 1. a", "text", "Điều 2. b", "Chương II", "Điều 3. c", "Mục 1", "Điều 4. d", "chương I", "Mục 1", "Điều 5. e"]
+    rows = spark.createDataFrame([(7, i, x) for i, x in enumerate(lines)], "page_id bigint, line_no bigint, line string")
+    found = corpus.as_chunks(corpus.articles(rows))
+    got = {r.name: (r.chapter, r.section) for r in found.collect()}
+    assert got == {"Điều 1. a": ("Chương I", "Mục 1"), "Điều 2. b": ("Chương I", "Mục 1"), "Điều 3. c": ("Chương II", ""), "Điều 4. d": ("Chương II", "Mục 1"), "Điều 5. e": ("chương I", "Mục 1")}
+    text = "\n".join(r.line for r in toc.outline(found).orderBy("place").collect())
+    assert text == "\nChương I\n  Mục 1\n    - Điều 1. a\n    - Điều 2. b\n\nChương II\n  - Điều 3. c\n  Mục 1\n    - Điều 4. d\n\nchương I\n  Mục 1\n    - Điều 5. e"
+    edges = graph.structure(found)
+    up = {r.src: (r.document, r.chapter, r.section) for r in graph.parents(edges.where("src like 'node:%'")).collect()}
+    assert up["node:7_D3"] == ("doc:7", "chap:7:Chương II", None) and up["node:7_D1"][2] == "sec:7:Mục 1"
+    assert {r.dst for r in edges.where("src = 'sec:7:Mục 1' and type = 'THUOC_CHUONG'").collect()} == {"chap:7:Chương I"}
+
+
+def test_dense_blocks_against_pairs(spark, monkeypatch):
+    """Block products give what a row for each pair gives: ties by id, nulls, several blocks of queries, more than there is."""
+    import random
+
+    from quillrank.operators import vector
+    from quillrank.operators.lexical import top_k
+
+    rng = random.Random(1)
+    rows = [(f"n{i}", [rng.choice([0.0, 0.5, 1.0]) for _ in range(3)] if i % 9 else None) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "node_id string, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, [rng.choice([-1.0, 0.5, 1.0]) for _ in range(3)] if i % 5 else None) for i in range(11)], "query_id bigint, query array<float>")
+    want = {k: sorted(map(tuple, top_k(vector.scores(vectors.where("embedding is not null"), queries.where("query is not null")), k).collect())) for k in (1, 7, 99)}
+    for most in (2, 10_000):
+        monkeypatch.setattr(vector, "MAX_QUERIES", most)
+        for k in (1, 7, 99):
+            assert sorted(map(tuple, vector.dense_top_k(vectors, queries, k).collect())) == want[k]
+    assert vector.dense_top_k(vectors.limit(0), queries, 3).collect() == [] and vector.dense_top_k(vectors, queries.limit(0), 3).collect() == []
+
+
+def test_service_folds_match_plain_replay(spark):
+    """Cache and limiter, cut at gaps, against requests taken one after the other."""
+    import datetime as dt
+    import random
+
+    from quillrank.operators import sessions
+
+    rng = random.Random(4)
+    start, rows, at = dt.datetime(2024, 1, 1), [], 0.0
+    for i in range(400):
+        at += rng.choice([0, 0.5, 3, 29.9, 31, 59.999, 60, 61, 700, 1799.9, 1800])
+        rows.append((i, rng.choice("ab"), rng.choice([1, 2]), start + dt.timedelta(seconds=at)))
+    frame = spark.createDataFrame(rows, "event_id bigint, key string, client bigint, ts timestamp")
+    written, hits = {}, {}
+    tokens, last, allowed = {}, {}, {}
+    for i, key, client, ts in rows:
+        hits[i] = key in written and (ts - written[key]).total_seconds() < 1800
+        if not hits[i]:
+            written[key] = ts
+        last.setdefault(client, ts)
+        refill = int((ts - last[client]) // dt.timedelta(microseconds=1) * 3 // 60_000_000)
+        if refill > 0:
+            tokens[client], last[client] = min(3, tokens.get(client, 3) + refill), ts
+        allowed[i] = tokens.setdefault(client, 3) > 0
+        tokens[client] -= allowed[i]
+    assert {r.event_id: r.hit for r in sessions.cache_hits(frame).collect()} == hits
+    assert {r.event_id: r.allowed for r in sessions.rate_limit(frame, 3).collect()} == allowed
