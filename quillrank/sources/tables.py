@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import extract, graph
 from ..operators.inverted import Index
+from ..operators.sizing import bounded
 from .shared import exists, home, version
 
 
@@ -31,9 +32,22 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Ids of a document's chunks that are numbered together.
+SPAN = 100_000
+
+
 def numbered(chunks_: DataFrame) -> DataFrame:
-    """Chunks with an article number: their place within the document."""
-    return chunks_.withColumn("article", F.row_number().over(Window.partitionBy("canonical").orderBy("doc_id")))
+    """Chunks with an article number: their place within the document.
+
+    Chunks are numbered within ranges of ids, and the counts of the ranges before are added, so no task gets a whole document.
+    """
+    span = F.floor(F.col("doc_id") / SPAN)
+    counts = chunks_.groupBy("canonical", span.alias("span")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("canonical").alias("_canonical"), F.col("span").alias("_span"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("canonical", "_span").orderBy("doc_id")
+    met = chunks_.join(bounded(before), F.col("canonical").eqNullSafe(F.col("_canonical")) & (span == F.col("_span")))
+    return met.withColumn("article", (F.row_number().over(own) + F.col("_before")).cast("int")).drop("_canonical", "_span", "_before")
 
 
 #: The stated set of query vectors: those whose id is divisible by this.

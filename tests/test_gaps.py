@@ -161,3 +161,16 @@ def test_service_folds_match_plain_replay(spark):
         tokens[client] -= allowed[i]
     assert {r.event_id: r.hit for r in sessions.cache_hits(frame).collect()} == hits
     assert {r.event_id: r.allowed for r in sessions.rate_limit(frame, 3).collect()} == allowed
+
+
+def test_articles_are_numbered_over_ranges(spark, sf_dir, monkeypatch):
+    from quillrank.sources import tables
+
+    rows = tables.chunks(spark, sf_dir)
+    whole = {r.node_id: r.article for r in tables.numbered(rows).collect()}
+    monkeypatch.setattr(tables, "SPAN", 7)
+    assert {r.node_id: r.article for r in tables.numbered(rows).collect()} == whole
+    by_doc = {}
+    for r in rows.orderBy("doc_id").collect():
+        by_doc.setdefault(r.canonical, []).append(r.node_id)
+    assert whole == {n: i for nodes in by_doc.values() for i, n in enumerate(nodes, 1)}
