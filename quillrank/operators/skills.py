@@ -136,3 +136,15 @@ def statistical(queries: DataFrame, catalog_: DataFrame, year: Column, kind: Col
     ok = (F.col("_year").isNull() | (F.col("year") == F.col("_year"))) & (F.col("_kind").isNull() | (F.lower("doc_type") == F.lower("_kind")))
     met = said.join(bounded(groups), ok, "left")
     return met.groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("found"), F.min("first").alias("first_source"))
+
+
+def injected(context: DataFrame, summaries: DataFrame, tocs: DataFrame, counted: DataFrame) -> DataFrame:
+    """(query_id, context) with what a question needs before what was found for it.
+
+    ``summaries`` are (query_id, canonical) rows of questions that ask to sum up a document: its table of contents
+    (canonical, toc) goes first.  ``counted`` are (query_id, stats) rows of questions about numbers: these go before all.
+    """
+    # One table of contents of at most one document for each question.
+    told = tocs.join(bounded(summaries), "canonical").select("query_id", "toc")
+    both = context.join(told, "query_id", "left").join(counted, "query_id", "left")
+    return both.select("query_id", F.concat_ws("\n\n", F.nullif("stats", F.lit("")), F.nullif("toc", F.lit("")), F.nullif("context", F.lit(""))).alias("context"))

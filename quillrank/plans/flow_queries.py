@@ -16,16 +16,6 @@ from .retrieval_queries import _LISTS, _RRF, _SCORE, bm25_scores, lists
 LONG = "::BIGINT"
 
 
-@query("multi_query_retrieve", f"""
-WITH {Q.CHUNKS}, {Q.queries()}, subs AS (SELECT query_id * 10 AS query_id, query FROM queries UNION ALL SELECT query_id * 10 + 1, query || ' of' FROM queries), {Q.bm25(asked='subs')},
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS n FROM bm25 WHERE score > 0)
-SELECT DISTINCT query_id // 10 AS query_id, node_id FROM r WHERE n <= greatest(3, 10 // 2)""")
-def multi_query_retrieve(spark, sf):
-    q = S.query_texts(spark, sf)
-    subs = q.select("query_id", F.lit(0).alias("list_id"), "query").union(q.select("query_id", F.lit(1), F.concat("query", F.lit(" of"))))
-    return retrieve.sub_searches(S.lexical_index(spark, sf), subs, max(3, 10 // 2)).select("query_id", "node_id").distinct()
-
-
 @query("legacy_retrieve", f"""
 WITH {_LISTS}, kinds(kind, dense, sparse, cut, hops) AS (VALUES (0, 5, 10, 10, 1), (1, 10, 5, 10, 2), (2, 5, 5, 10, 1), (3, 10, 5, 10, 1), (4, 5, 10, 10, 1)), t AS (SELECT query_id, dense, sparse, cut, hops FROM queries JOIN kinds ON query_id % 5 = kind),
 h0 AS (SELECT DISTINCT l.query_id, node_id, hops FROM lists l JOIN t USING (query_id) WHERE (list_id = 0 AND rank < dense) OR (list_id = 1 AND rank < sparse)),

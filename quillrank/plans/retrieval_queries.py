@@ -182,15 +182,17 @@ def document_chunks(spark, sf):
 
 
 @query("wide_retrieval", f"""
-WITH {Q.CHUNKS}, {Q.queries()}, wide AS (SELECT query_id, 0 AS list_id, query FROM queries UNION ALL SELECT query_id, 1, query || ' the' FROM queries),
+WITH {Q.CHUNKS}, {Q.queries()}, l AS (SELECT query_id, list_filter(string_split(coalesce(query, ''), chr(10)), lambda x: x <> '') AS l FROM queries),
+wide AS (SELECT query_id, 0 AS list_id, coalesce(query, '') AS query FROM queries UNION ALL SELECT query_id, i, l[i] FROM (SELECT *, unnest(range(1, least(4, len(l)) + 1)) AS i FROM l)),
 asked AS (SELECT query_id * 10 + list_id AS query_id, query FROM wide), {Q.bm25(asked='asked')}, {Q.top('(SELECT * FROM bm25 WHERE score > 0)', 20, 'r')},
 cut AS (SELECT query_id // 10 AS query_id, node_id, rank FROM r WHERE rank < CASE WHEN query_id % 10 = 0 THEN 20 ELSE 8 END),
 f AS (SELECT query_id, node_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS rrf FROM cut GROUP BY ALL)
 SELECT query_id, node_id, rrf, (row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, node_id) - 1){LONG} AS rank FROM f""")
 def wide_retrieval(spark, sf):
-    asked = S.query_texts(spark, sf)
-    wider = asked.select("query_id", F.lit(1).alias("list_id"), F.concat("query", F.lit(" the")).alias("query"))
-    return retrieve.wide(S.lexical_index(spark, sf), asked.select("query_id", F.lit(0).alias("list_id"), "query").unionByName(wider))
+    """Each item, and its first lines as narrower wordings."""
+    asked = S.intents(spark, sf)
+    lines = asked.select("query_id", F.posexplode(F.slice("sub_queries", 1, 4)).alias("i", "query")).select("query_id", (F.col("i") + 1).alias("list_id"), "query")
+    return retrieve.wide(S.lexical_index(spark, sf), asked.select("query_id", F.lit(0).alias("list_id"), "query").unionByName(lines))
 
 
 _STRATEGY = "CASE query_id % 8 WHEN 0 THEN 'single_lookup' WHEN 1 THEN 'comparison' WHEN 2 THEN 'listing' WHEN 3 THEN 'eligibility_check' WHEN 4 THEN 'procedure' WHEN 5 THEN 'cross_document' WHEN 6 THEN 'definition' ELSE 'default' END"

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import text as T
-from ..operators import intent, skills
+from ..operators import intent, skills, toc
 from ..sources import tables as S
 from . import sql as Q
-from .registry import query
+from .corpus_queries import _pat
+from .graph_queries import _toc
+from .registry import ORACLES, query
 from .retrieval_queries import _SCORE
 from .text_queries import ASKED
 
@@ -83,3 +86,22 @@ def statistical_flow(spark, sf):
     kind = F.when(i % 4 == 0, "Luật").when(i % 4 == 1, "Nghị định").when(i % 4 == 2, "Thông tư").otherwise("Khác")
     entries = S.load(spark, sf, "pages").select(F.concat(F.lit("page "), i.cast("string")).alias("source"), kind.alias("doc_type"), (2019 + i % 5).cast("string").alias("year"))
     return skills.statistical(ASKED.df(spark, sf), entries, *intent.year_and_type(F.col("query")))
+
+
+_FLAGS = f"flags AS (SELECT query_id, {_pat(K.SUMMARY_PATTERNS)} AS summary, {_pat(K.STATISTICAL_PATTERNS)} AS statistical FROM {ASKED.sql})"
+
+
+@query("context_injection", f"""WITH {_toc(0)}, {_FLAGS}, tocs AS (SELECT canonical, string_agg(line, chr(10) ORDER BY place) || chr(10) || '(' || count(*) || ' articles)' AS toc FROM lines GROUP BY canonical),
+stats AS ({ORACLES["statistical_flow"]})
+SELECT f.query_id, summary, statistical, md5(concat_ws(chr(10) || chr(10), CASE WHEN statistical THEN found || ' documents, first ' || coalesce(first_source, '-') END, CASE WHEN summary THEN toc END, 'question ' || f.query_id)) AS digest
+FROM flags f JOIN stats USING (query_id) LEFT JOIN tocs ON canonical = 'src' || (f.query_id % 20)""")
+def context_injection(spark, sf):
+    """What goes before the context of every question: counts for statistical ones, a table of contents for summaries."""
+    q = F.lower(F.trim("query"))
+    flags = ASKED.df(spark, sf).select("query_id", T.matches_any(q, K.SUMMARY_PATTERNS).alias("summary"), T.matches_any(q, K.STATISTICAL_PATTERNS).alias("statistical"))
+    named = flags.where("summary").select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("canonical"))
+    tocs = toc.render(toc.lines(S.numbered(S.chunks(spark, sf)))).select("canonical", "toc")
+    line = F.concat(F.col("found").cast("string"), F.lit(" documents, first "), F.coalesce("first_source", F.lit("-"))).alias("stats")
+    counted = statistical_flow(spark, sf).join(flags.where("statistical").select("query_id"), "query_id", "left_semi").select("query_id", line)
+    context = flags.select("query_id", F.concat(F.lit("question "), F.col("query_id").cast("string")).alias("context"))
+    return skills.injected(context, named, tocs, counted).join(flags, "query_id").select("query_id", "summary", "statistical", F.md5("context").alias("digest"))

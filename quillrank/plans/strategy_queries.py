@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import functions as F
+
 from ..operators import strategies
 from ..sources import tables as S
 from . import sql as Q
@@ -59,6 +61,20 @@ _PLANS = {
 }
 
 
+def _candidates(j: int, requests: str) -> list[str]:
+    """The CTEs from the intents a{j} to their candidates c{j}."""
+    return [
+        f"r{j} AS ({requests.format(left=f'a{j}')})",
+        f"k{j} AS MATERIALIZED (SELECT *, row_number() OVER () AS request FROM (SELECT DISTINCT query_id, text, document AS named, CASE WHEN document IN (SELECT canonical FROM chunks) THEN document END AS document, dense, sparse FROM r{j}))",
+        Q.bm25(asked=f"(SELECT request AS query_id, text AS query FROM k{j})", name=f"b{j}"),
+        f"w{j} AS MATERIALIZED (SELECT k.*, node_id, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, node_id) - 1 AS wide FROM b{j} JOIN k{j} k ON k.request = b{j}.query_id WHERE score > 0)",
+        f"v{j} AS (SELECT w.* FROM w{j} w JOIN chunks c USING (node_id) WHERE c.canonical = w.document AND wide < 5 * sparse QUALIFY row_number() OVER (PARTITION BY request ORDER BY score DESC, w.node_id) <= sparse)",
+        f"p{j} AS (SELECT query_id, named, document, max(dense) AS dense FROM k{j} GROUP BY ALL)",
+        f"d{j} AS (SELECT p.query_id, named, e.node_id FROM p{j} p JOIN dense e USING (query_id) LEFT JOIN chunks c USING (node_id) WHERE p.document IS NULL OR (c.canonical = p.document AND e.score > 0) QUALIFY row_number() OVER (PARTITION BY p.query_id, named ORDER BY e.score DESC, e.node_id) <= p.dense)",
+        f"c{j} AS (SELECT query_id, named, node_id FROM w{j} WHERE document IS NULL AND wide < sparse UNION SELECT query_id, named, node_id FROM v{j} UNION SELECT * FROM d{j})",
+    ]
+
+
 def _sql(name: str) -> str:
     parts, left, got = [Q.CHUNKS, Q.NUMBERED, _INTENTS, Q.dense()], "u", []
     if name == "single_lookup":
@@ -67,18 +83,11 @@ def _sql(name: str) -> str:
         left, got = "l0", ["g0"]
     for j, (attempt, requests, n, applies, boost) in enumerate(_PLANS[name], 1):
         balanced = n == "balanced"
+        parts.append(f"a{j} AS MATERIALIZED (SELECT * FROM {left} WHERE {applies})")
+        parts += _candidates(j, requests)
         score = _SCORE.replace("c.full_text", "substr(c.canonical || ' - ' || c.full_text, 1, 1024)")
         key = "x.query_id, x.named, x.node_id" if balanced else "x.query_id, x.node_id"
         parts += [
-            f"a{j} AS MATERIALIZED (SELECT * FROM {left} WHERE {applies})",
-            f"r{j} AS ({requests.format(left=f'a{j}')})",
-            f"k{j} AS MATERIALIZED (SELECT *, row_number() OVER () AS request FROM (SELECT DISTINCT query_id, text, document AS named, CASE WHEN document IN (SELECT canonical FROM chunks) THEN document END AS document, dense, sparse FROM r{j}))",
-            Q.bm25(asked=f"(SELECT request AS query_id, text AS query FROM k{j})", name=f"b{j}"),
-            f"w{j} AS MATERIALIZED (SELECT k.*, node_id, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, node_id) - 1 AS wide FROM b{j} JOIN k{j} k ON k.request = b{j}.query_id WHERE score > 0)",
-            f"v{j} AS (SELECT w.* FROM w{j} w JOIN chunks c USING (node_id) WHERE c.canonical = w.document AND wide < 5 * sparse QUALIFY row_number() OVER (PARTITION BY request ORDER BY score DESC, w.node_id) <= sparse)",
-            f"p{j} AS (SELECT query_id, named, document, max(dense) AS dense FROM k{j} GROUP BY ALL)",
-            f"d{j} AS (SELECT p.query_id, named, e.node_id FROM p{j} p JOIN dense e USING (query_id) LEFT JOIN chunks c USING (node_id) WHERE p.document IS NULL OR (c.canonical = p.document AND e.score > 0) QUALIFY row_number() OVER (PARTITION BY p.query_id, named ORDER BY e.score DESC, e.node_id) <= p.dense)",
-            f"c{j} AS (SELECT query_id, named, node_id FROM w{j} WHERE document IS NULL AND wide < sparse UNION SELECT query_id, named, node_id FROM v{j} UNION SELECT * FROM d{j})",
             f"s{j} AS MATERIALIZED (SELECT {key}, any_value(round({score} * CASE WHEN len(list_filter({boost}, lambda y: contains(lower(c.full_text), lower(y)))) > 0 THEN {1.3 if balanced else 1.2} ELSE 1 END, 6)) AS score, any_value(len(documents)) AS n_docs FROM c{j} x JOIN a{j} q USING (query_id) JOIN chunks c USING (node_id) WHERE c.full_text <> '' GROUP BY {key})",
         ]
         if balanced:
@@ -108,3 +117,13 @@ def _run(spark, sf, strategy: str):
 
 for _name, _plan in _PLANS.items():
     query(f"strategy_{_name}", _sql(_name) if _plan else None)(partial(_run, strategy=_name))
+
+
+_MULTI = ", ".join([Q.CHUNKS, Q.NUMBERED, _INTENTS, Q.dense(), "a1 AS (SELECT * FROM u)", *_candidates(1, _multi("10", "10"))])
+
+
+@query("multi_query_retrieve", f"WITH {_MULTI} SELECT DISTINCT query_id, node_id FROM c1")
+def multi_query_retrieve(spark, sf):
+    """What all sub-queries of an item find by words and by vectors, in its documents or everywhere."""
+    requests = strategies.multi_query(F.lit(10), F.lit(10))(S.intents(spark, sf))
+    return strategies.search(requests, corpus(spark, sf)).select("query_id", "node_id").distinct()
