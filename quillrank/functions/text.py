@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,9 +133,19 @@ def cut_title(c: Column, n: int = 40) -> Column:
     return F.when(F.length(text(c)) > n, F.concat(F.substring(text(c), 1, n), F.lit("..."))).otherwise(text(c))
 
 
+def nfc(c: Column) -> Column:
+    """Characters and their combining marks composed (NFC); Spark has no function for it, so this one runs over Arrow batches."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFC")
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(c)
+
+
 def clean_space(c: Column) -> Column:
-    """No-break spaces become spaces, zero-width characters go, runs of spaces shrink."""
-    s = F.translate(text(c), " ​‌‍﻿", " ")
+    """Composed characters; no-break spaces become spaces, zero-width characters go, runs of spaces shrink."""
+    s = F.translate(nfc(text(c)), " ​‌‍﻿", " ")
     return F.trim(F.regexp_replace(s, r"[ \t\r\n\f\x0b]+", " "))
 
 

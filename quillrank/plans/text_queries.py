@@ -21,7 +21,7 @@ LAWS, SOURCES = inputs.laws(_LAWS), inputs.sources(_LAWS)
 PHRASES = inputs.texts([
     (0, "Trường Đại học Sư phạm"), (1, "  HỌC  PHÍ năm 2022 "), (2, ""), (3, "Điều 16. Quyền của nhà giáo\nNội dung thứ nhất\n\n  Nội dung thứ hai  "),
     (4, "a/b: c*d? \"e\" <f>|g"), (5, "**Đậm** và # tiêu đề\n- mục một\n- mục hai"), (6, "```json\n{\"a\": 1}\n```"), (7, "suy nghĩ</think> {\"b\": 2}"),
-    (8, "không  dấu​cách"), (9, "Điều 7a về lương"), (10, "__gạch__ dưới__"), (11, None),
+    (8, "không  dấu​cách"), (9, "Điều 7a về lương"), (10, "__gạch__ dưới__"), (12, "e\u0301 a\u0302\u0323 o\u031b"), (11, None),
 ])
 
 
@@ -175,7 +175,7 @@ def title_cut(spark, sf):
     return S.load(spark, sf, "benchmark").select("item_id", T.cut_title(F.col("text")).alias("title"))
 
 
-@query("whitespace_clean", f"SELECT id, trim(regexp_replace(translate(coalesce(text, ''), chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279), ' '), '[ \\t\\r\\n\\f\\x0b]+', ' ', 'g')) AS clean FROM {PHRASES.sql}")
+@query("whitespace_clean", f"SELECT id, trim(regexp_replace(translate(nfc_normalize(coalesce(text, '')), chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279), ' '), '[ \\t\\r\\n\\f\\x0b]+', ' ', 'g')) AS clean FROM {PHRASES.sql}")
 def whitespace_clean(spark, sf):
     return PHRASES.df(spark, sf).select("id", T.clean_space(F.col("text")).alias("clean"))
 
