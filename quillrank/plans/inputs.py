@@ -135,7 +135,7 @@ def results(literal: list[tuple]) -> Over:
 
     def made(s, sf):
         first = (F.col("list_id") == 1) & (F.col("rank") == 0)
-        best = F.max(F.when(first, F.struct("chapter", "full_text", F.round(lexical.score_column(F.col("query"), F.col("full_text")), 2).alias("sim"))))
+        best = F.max(F.when(first, F.struct("chapter", "full_text", (F.floor(100 * lexical.score_column(F.col("query"), F.col("full_text"))) / 100).alias("sim"))))
         rows = retrieved(s, sf).groupBy("query_id", "query").agg(_of(0, "node_id", 3).alias("expected"), _of(1, "node_id").alias("found"), best.alias("best"))
         sim, i = F.coalesce("best.sim", F.lit(0.0)), F.col("query_id")
         label = F.when(i % 4 == 0, "Khong").when(i % 4 == 1, "Bia_Luat").when(i % 4 == 2, "Suy_Dien").otherwise("Vien_Dan_Bo_Sung")
@@ -148,7 +148,7 @@ def results(literal: list[tuple]) -> Over:
     sim = _SCORE.replace("q.query", "query").replace("c.full_text", "best.full_text")
     sql = f"""SELECT query_id + {BASE} AS qid, best.chapter AS kind, expected, found, list_filter(string_split(lower(query), ' '), lambda x: length(x) >= 8)[1:2] AS keywords, best.full_text AS answer, 4 * sim AS g,
       round(len(expected) / 3, 2) AS car, sim, CASE query_id % 4 WHEN 0 THEN 'Khong' WHEN 1 THEN 'Bia_Luat' WHEN 2 THEN 'Suy_Dien' ELSE 'Vien_Dan_Bo_Sung' END AS label, sim AS confidence
-    FROM (SELECT *, CASE WHEN best IS NULL THEN 0 ELSE round({sim}, 2) END AS sim FROM (SELECT query_id, query, {_of_sql(0, 'node_id', 3)} AS expected, {_of_sql(1, 'node_id')} AS found,
+    FROM (SELECT *, CASE WHEN best IS NULL THEN 0 ELSE floor(100 * {sim}) / 100 END AS sim FROM (SELECT query_id, query, {_of_sql(0, 'node_id', 3)} AS expected, {_of_sql(1, 'node_id')} AS found,
       max(CASE WHEN list_id = 1 AND rank = 0 THEN {{'chapter': chapter, 'full_text': full_text}} END) AS best FROM {_RETRIEVED} GROUP BY query_id, query))"""
     return Over(schema, literal, made, sql)
 
