@@ -21,12 +21,12 @@ hands on the k best of a query, so neither scored pairs nor texts are shuffled.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ from ..sources.shared import exists, remove
 from . import lexical
 
 SEGMENT = 4096
+#: Words after which a segment is closed, so that a task's memory doesn't follow the texts' lengths.
+WORDS = 4_000_000
 BUCKETS = 32
 #: Queries that are scored at once; a task holds a number for each of them and each chunk of a segment.
 QUERIES = 2048
@@ -152,43 +154,50 @@ class Index:
         return dealt.mapInArrow(work, f"query_id {kind}, node_id string, score double")
 
 
-def _pack(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], first: int, most: int = WORDS) -> Iterator[pa.RecordBatch]:
     """(node_id, hash, tokens) rows to segments: one row of its chunks without a term, then a row for each term."""
     number = first + (TaskContext.get().partitionId() << 24)
-    ids, hashes, lengths, term, place, count = [], [], [], [], [], []
-    known: dict[str, int] = {}
+    held: list[pa.RecordBatch] = []
+    chunks = words = 0
+    for batch in batches:
+        ends, at = np.cumsum(_lengths(batch.column(2)), dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            fit = int(np.searchsorted(ends, before + most - words, "right"))
+            to = min(max(fit, at if held else at + 1), at + SEGMENT - chunks)
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                chunks, words, at = chunks + to - at, words + int(ends[to - 1]) - before, to
+            if at < batch.num_rows or chunks == SEGMENT:  # no more fits
+                yield from _segment(held, number)
+                held, chunks, words, number = [], 0, 0, number + 1
+    if held:
+        yield from _segment(held, number)
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
+
+
+def _segment(held: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
+    """A segment's words are numbered by their first place and counted by a sort of (word, place) keys; no object is made for a word."""
     names = ["term", "segment", "places", "counts", "ids", "hashes", "lengths"]
     none = lambda n, kind: pa.nulls(n, pa.list_(kind))
-
-    def done() -> Iterator[pa.RecordBatch]:
-        one = lambda values, kind: pa.array([values], pa.list_(kind))
-        head = [pa.array([None], pa.string()), pa.array([number], pa.int64()), none(1, pa.int32()), none(1, pa.int32()), one(ids, pa.string()), one(hashes, pa.int64()), one(lengths, pa.int32())]
-        yield pa.RecordBatch.from_arrays(head, names)
-        at = np.array(term, np.int64)
-        by = np.argsort(at, kind="stable")  # places ascend within a term
-        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(known)))]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(ends, np.array(x, np.int32)[by]) for x in (place, count)]
-        n = len(known)
-        rows = [pa.array(list(known), pa.string()), pa.array(np.full(n, number)), *lists, none(n, pa.string()), none(n, pa.int64()), none(n, pa.int32())]
-        whole = pa.RecordBatch.from_arrays(rows, names)
-        for i in range(0, n, 20_000):
-            yield whole.slice(i, 20_000)
-
-    for batch in batches:
-        for node, h, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            tokens = tokens.as_py()
-            for name, n in Counter(tokens).items():
-                term.append(known.setdefault(name, len(known)))
-                place.append(len(ids))
-                count.append(n)
-            ids.append(node), hashes.append(h), lengths.append(len(tokens))
-            if len(ids) == SEGMENT:
-                yield from done()
-                number += 1
-                for x in (ids, hashes, lengths, term, place, count, known):
-                    x.clear()
-    if ids:
-        yield from done()
+    one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
+    column = lambda i: pa.concat_arrays([b.column(i) for b in held])
+    lengths = np.concatenate([_lengths(b.column(2)) for b in held])
+    head = [pa.array([None], pa.string()), pa.array([number], pa.int64()), none(1, pa.int32()), none(1, pa.int32()), one(column(0), pa.string()), one(column(1), pa.int64()), one(pa.array(lengths), pa.int32())]
+    yield pa.RecordBatch.from_arrays(head, names)
+    coded = pa.concat_arrays([b.column(2).flatten() for b in held]).dictionary_encode()
+    n, size = len(coded.dictionary), len(lengths)
+    keys = coded.indices.to_numpy().astype(np.int64) * size + np.repeat(np.arange(size), lengths)
+    keys, count = np.unique(keys, return_counts=True)  # places ascend within a term
+    ends = pa.array(np.searchsorted(keys, np.arange(n + 1) * size).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (keys % size, count)]
+    rows = [coded.dictionary.cast(pa.string()), pa.array(np.full(n, number)), *lists, none(n, pa.string()), none(n, pa.int64()), none(n, pa.int32())]
+    whole = pa.RecordBatch.from_arrays(rows, names)
+    for i in range(0, n, 20_000):
+        yield whole.slice(i, 20_000)
 
 
 def _raw(n: int) -> Column:
