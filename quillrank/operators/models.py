@@ -3,6 +3,8 @@
 A model is a function from a list of strings to a list of results.  A call that fails is tried
 again, three times in all, after waits of 2 and 4 seconds; a text is then marked with the error.
 The defaults are deterministic and need no network.
+
+A worker holds one Arrow batch of texts, and Python strings and answers of ``BATCH`` of them.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,32 +58,36 @@ def patiently(fn: Callable[[list], list], items: list, waits: tuple[float, ...]
     return None, error
 
 
+def answered(batches: Iterator[pa.Array], fn: Callable, waits: tuple[float, ...] = WAITS) -> Iterator[pa.Array]:
+    """Answers to Arrow arrays of prompts, ``BATCH`` at a time: no more of them are Python strings at once."""
+    for prompts in batches:
+        for at in range(0, len(prompts), BATCH):
+            part = [p or "" for p in prompts.slice(at, BATCH).to_pylist()]
+            got, error = patiently(fn, part, waits)
+            yield pa.array(got if got is not None else [f"[LLM Error: {error}]"] * len(part), pa.string())
+
+
 def rewrite(df: DataFrame, prompt: str, name: str = "echo", out: str = "answer", waits: tuple[float, ...] = WAITS) -> DataFrame:
     """Adds a rewriter's answers to the prompts of a column, in batches."""
     fn = _models["rewriter"][name]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for prompts in batches:
-            answers: list[str] = []
-            for at in range(0, len(prompts), BATCH):
-                part = [p or "" for p in prompts[at : at + BATCH]]
-                got, error = patiently(fn, part, waits)
-                answers += got if got is not None else [f"[LLM Error: {error}]"] * len(part)
-            yield pd.Series(answers, dtype="object")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from answered(batches, fn, waits)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(out, F.pandas_udf(run, "string")(F.col(prompt)))
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.withColumn(out, F.arrow_udf(run, "string")(F.col(prompt)))
 
 
 def encode(df: DataFrame, text: str, name: str = "hashed", out: str = "embedding") -> DataFrame:
     fn = _models["encoder"][name]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(fn([t or "" for t in texts]), dtype="object")
+            for at in range(0, len(texts), BATCH):
+                yield pa.array(fn([t or "" for t in texts.slice(at, BATCH).to_pylist()]), pa.list_(pa.float32()))
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(out, F.pandas_udf(run, "array<float>")(F.col(text)))
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.withColumn(out, F.arrow_udf(run, "array<float>")(F.col(text)))
 
 
 def score(df: DataFrame, query: str, text: str, name: str = "overlap", out: str = "score") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillrank.operators import inverted
+from quillrank.operators import inverted, models
 
 
 def test_segments_are_closed_by_words(spark):
@@ -18,3 +19,11 @@ def test_segments_are_closed_by_words(spark):
     assert [h.lengths for _, h in sorted(heads.items())] == [[3, 0, 1], [7], [2, 0, 1]]
     found = sorted((heads[r.segment].ids[p], r.term, n) for r in packed if r.term is not None for p, n in zip(r.places, r.counts))
     assert found == [("0", "a", 2), ("0", "b", 1), ("2", "c", 1), ("3", "b", 7), ("4", "a", 1), ("4", "c", 1), ("6", "d", 1)]
+
+
+def test_prompts_are_answered_in_slices(spark):
+    out = list(models.answered(iter([pa.array([str(i) for i in range(150)]), pa.array([None, "x"])]), lambda prompts: [f"<{p}>" for p in prompts]))
+    assert [len(a) for a in out] == [64, 64, 22, 2]
+    assert pa.concat_arrays(out).to_pylist() == [*[f"<{i}>" for i in range(150)], "<>", "<x>"]
+    asked = spark.range(500).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("p")).coalesce(1)
+    assert models.rewrite(asked, "p").where("answer <> p").isEmpty() and models.rewrite(asked, "p").count() == 500
