@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from . import constants as K
 FROM, TO = K.accent_table()
 #: Java's \\s, \\w and \\d are ASCII unless this flag is on.
 U = "(?U)"
+#: Texts that are Python strings at once.
+NFC_ROWS = 64
 
 
 def text(c: Column) -> Column:
@@ -133,14 +138,21 @@ def cut_title(c: Column, n: int = 40) -> Column:
     return F.when(F.length(text(c)) > n, F.concat(F.substring(text(c), 1, n), F.lit("..."))).otherwise(text(c))
 
 
+def composed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Arrow arrays of texts in NFC, ``NFC_ROWS`` at a time: no more of them are Python strings at once."""
+    for texts in batches:
+        for at in range(0, len(texts), NFC_ROWS):
+            yield pa.array([t and unicodedata.normalize("NFC", t) for t in texts.slice(at, NFC_ROWS).to_pylist()], pa.string())
+
+
 def nfc(c: Column) -> Column:
     """Characters and their combining marks composed (NFC); Spark has no function for it, so this one runs over Arrow batches."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFC")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from composed(batches)
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")(c)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "string")(c)
 
 
 def clean_space(c: Column) -> Column:

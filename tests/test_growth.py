@@ -7,6 +7,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillrank.functions import text as T
 from quillrank.operators import inverted, models
 
 
@@ -27,3 +28,10 @@ def test_prompts_are_answered_in_slices(spark):
     assert pa.concat_arrays(out).to_pylist() == [*[f"<{i}>" for i in range(150)], "<>", "<x>"]
     asked = spark.range(500).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("p")).coalesce(1)
     assert models.rewrite(asked, "p").where("answer <> p").isEmpty() and models.rewrite(asked, "p").count() == 500
+
+
+def test_texts_are_composed_in_slices(spark):
+    out = list(T.composed(iter([pa.array(["e\u0301", None, ""] * 50)])))
+    assert [len(a) for a in out] == [64, 64, 22] and pa.concat_arrays(out).to_pylist() == ["é", None, ""] * 50
+    texts = spark.range(500).select("id", F.concat(F.lit("e\u0301"), F.col("id").cast("string")).alias("t")).coalesce(1)
+    assert texts.where(T.nfc(F.col("t")) != F.concat(F.lit("é"), F.col("id").cast("string"))).isEmpty()
