@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lexical
+from ..operators.sizing import bounded
 from ..sources import tables as S
+from ..sources.shared import written
 from . import sql as Q
 from .registry import Over
 from .retrieval_queries import _LISTS, _SCORE, lists
@@ -110,8 +112,13 @@ def retrieved(spark, sf) -> DataFrame:
     """(query_id, query, list_id, rank, node_id, canonical, chapter, article, name, full_text): the five best of either list for each item, written once."""
 
     def made():
-        chunks = S.numbered(S.chunks(spark, sf))
-        return lists(spark, sf).where("rank < 5").join(chunks, "node_id").join(S.query_texts(spark, sf), "query_id")
+        found = written(lists(spark, sf, 5, items=True), "lists")
+        hit = bounded(found.select("node_id", F.lit(True).alias("hit")).distinct())
+        # All chunks are numbered, but only those that were found take their texts through the shuffle.
+        kept = lambda c: F.when(F.col("hit"), F.col(c)).alias(c)
+        thin = S.chunks(spark, sf).join(hit, "node_id", "left").select("node_id", "doc_id", "canonical", "chapter", kept("name"), kept("full_text"), "hit")
+        chunks = S.numbered(thin).where("hit").drop("hit")
+        return chunks.join(bounded(found), "node_id").join(bounded(S.query_texts(spark, sf)), "query_id")
 
     return S.stored(spark, sf, "retrieved", "documents", made)
 

@@ -70,8 +70,12 @@ _LISTS = f"""{Q.CHUNKS}, {Q.queries()}, {Q.bm25()}, {Q.dense()}, {Q.top('(SELECT
 lists AS (SELECT query_id, 0 AS list_id, rank, node_id FROM dense_k UNION ALL SELECT query_id, 1, rank, node_id FROM sparse_k)"""
 
 
-def lists(spark, sf, k: int = 20) -> DataFrame:
-    dense = vector.dense_top_k(S.vectors(spark, sf), S.query_vectors(spark, sf), k).select("query_id", F.lit(0).alias("list_id"), "rank", "node_id")
+def lists(spark, sf, k: int = 20, items: bool = False) -> DataFrame:
+    """The k best of either search for each item and each query vector; with ``items`` only vectors whose query is an item are asked."""
+    asked = S.query_vectors(spark, sf)
+    if items:
+        asked = asked.join(bounded(S.query_texts(spark, sf).select("query_id").distinct()), "query_id", "left_semi")
+    dense = vector.dense_top_k(S.vectors(spark, sf), asked, k).select("query_id", F.lit(0).alias("list_id"), "rank", "node_id")
     sparse = lexical.top_k(bm25_scores(spark, sf, k), k).select("query_id", F.lit(1).alias("list_id"), "rank", "node_id")
     return dense.unionByName(sparse)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import text as T
 from quillrank.operators import inverted, models
+from quillrank.plans import retrieval_queries
+from quillrank.sources import tables as S
 
 
 def test_segments_are_closed_by_words(spark):
@@ -35,3 +37,9 @@ def test_texts_are_composed_in_slices(spark):
     assert [len(a) for a in out] == [64, 64, 22] and pa.concat_arrays(out).to_pylist() == ["é", None, ""] * 50
     texts = spark.range(500).select("id", F.concat(F.lit("e\u0301"), F.col("id").cast("string")).alias("t")).coalesce(1)
     assert texts.where(T.nfc(F.col("t")) != F.concat(F.lit("é"), F.col("id").cast("string"))).isEmpty()
+
+
+def test_lists_of_items_ask_no_other_vectors(spark, sf_dir):
+    items = S.query_texts(spark, sf_dir).select("query_id")
+    asked = {tuple(r) for r in retrieval_queries.lists(spark, sf_dir, 5, items=True).collect()}
+    assert asked == {tuple(r) for r in retrieval_queries.lists(spark, sf_dir).where("rank < 5").join(items, "query_id", "left_semi").collect()}
