@@ -144,3 +144,17 @@ def footnotes(refs: DataFrame, titles: DataFrame) -> DataFrame:
     hits = meet(refs.select("raw").distinct(), titles, tier.isNotNull()).withColumn("tier", tier)
     best = hits.groupBy("raw").agg(F.min_by(F.struct("title", "tier"), F.struct("tier", "ord")).alias("b"))
     return refs.join(best, "raw", "left").select("raw", F.col("b.title").alias("title"), F.coalesce("b.tier", F.lit(5)).alias("tier"))
+
+
+def selected_nodes(picked: DataFrame, articles: DataFrame) -> DataFrame:
+    """(so_hieu, dieu, node_id): the articles of a document that a selection names; (so_hieu, dieu) and (canonical, name, node_id).
+
+    A whole number is an equality, so it meets only the articles of that number; only one with letters is looked for in all names of its document.
+    """
+    whole = F.coalesce(F.col("dieu").rlike(r"^\d+$"), F.lit(False))
+    exact = picked.where(whole).select("so_hieu", "dieu", F.expr("try_cast(dieu as int)").alias("number"))
+    numbered = articles.select(F.col("canonical").alias("so_hieu"), T.article_number(F.col("name")).alias("number"), "node_id")
+    met = numbered.join(bounded(exact), ["so_hieu", "number"]).select("so_hieu", "dieu", "node_id")
+    suffix = F.regexp_like(F.lower("name"), F.concat(F.lit(r"điều\s+"), F.lower("dieu")))
+    rest = articles.join(bounded(picked.where(~whole)), F.col("canonical") == F.col("so_hieu")).where(suffix)
+    return met.union(rest.select("so_hieu", "dieu", "node_id"))

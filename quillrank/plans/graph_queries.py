@@ -277,7 +277,4 @@ ARTICLES = inputs.named_articles([
 @query("selection_nodes", f"""SELECT so_hieu, dieu, node_id FROM {PICKED.sql} p JOIN {ARTICLES.sql} a ON a.canonical = p.so_hieu
 WHERE CASE WHEN regexp_full_match(dieu, '\\d+') THEN nullif(regexp_extract(name, 'Điều\\s+(\\d+)', 1), '')::INTEGER = dieu::VARCHAR::INTEGER ELSE regexp_matches(lower(name), 'điều\\s+' || lower(dieu)) END""".replace("dieu::VARCHAR::INTEGER", "try_cast(dieu AS INTEGER)"))
 def selection_nodes(spark, sf):
-    joined = PICKED.df(spark, sf).join(ARTICLES.df(spark, sf), F.col("canonical") == F.col("so_hieu"))
-    exact = T.article_number(F.col("name")) == F.expr("try_cast(dieu as int)")
-    suffix = F.regexp_like(F.lower("name"), F.concat(F.lit(r"điều\s+"), F.lower("dieu")))
-    return joined.where(F.when(F.col("dieu").rlike(r"^\d+$"), exact).otherwise(suffix)).select("so_hieu", "dieu", "node_id")
+    return resolve.selected_nodes(PICKED.df(spark, sf), ARTICLES.df(spark, sf))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as T
-from quillrank.operators import inverted, models
+from quillrank.operators import inverted, models, resolve
 from quillrank.plans import retrieval_queries
 from quillrank.sources import tables as S
 
@@ -43,3 +43,10 @@ def test_lists_of_items_ask_no_other_vectors(spark, sf_dir):
     items = S.query_texts(spark, sf_dir).select("query_id")
     asked = {tuple(r) for r in retrieval_queries.lists(spark, sf_dir, 5, items=True).collect()}
     assert asked == {tuple(r) for r in retrieval_queries.lists(spark, sf_dir).where("rank < 5").join(items, "query_id", "left_semi").collect()}
+
+
+def test_whole_numbers_are_an_equality(spark):
+    picked = spark.createDataFrame([("a", "12"), ("a", "16a"), ("b", "99"), ("b", None), ("a", "99999999999")], "so_hieu string, dieu string")
+    articles = spark.createDataFrame([("n1", "a", "Điều 12. X"), ("n2", "a", "Điều 120. Y"), ("n3", "a", "Điều 16a. Z"), ("n4", "b", "Điều 12. X"), ("n5", "b", None)], "node_id string, canonical string, name string")
+    found = resolve.selected_nodes(picked, articles)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "12", "n1"), ("a", "16a", "n3")]
