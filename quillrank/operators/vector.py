@@ -21,8 +21,8 @@ from .lexical import top_k
 from .sizing import bounded, meet
 
 MAX_QUERIES = 10_000
-#: Vectors of a batch that meet all queries at once.
-ROWS = 1024
+#: Vectors of a batch that meet all queries at once, and scores that a worker holds for it.
+ROWS, CELLS = 1024, 1 << 20
 
 
 def scores(vectors: DataFrame, queries: DataFrame, id_col: str = "node_id") -> DataFrame:
@@ -41,21 +41,23 @@ def _best(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.Record
     """Each query's k best of a task; equal scores by node id."""
     query_ids, queries = sent.value
     best: list[list[tuple]] = [[] for _ in query_ids]
+    full = np.full(len(query_ids), -np.inf)  # the k-th best score of each query, once it has k
+    width = max(1, min(ROWS, CELLS // len(query_ids)))
     node_kind = None
     for batch in batches:
         node_kind = batch.schema.field(0).type
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
+        for at in range(0, batch.num_rows, width):
+            part = batch.slice(at, width)
             names = part.column(0).to_pylist()
-            score = np.round(queries @ matrix(part.column(1)).T, 6)
-            least = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
-            for i, (row, bound) in enumerate(zip(score, least)):
-                own = best[i]
-                if len(own) == k:
-                    bound = max(bound, -own[-1][0])
-                found = np.flatnonzero(row >= bound)
-                if len(found):
-                    best[i] = sorted(own + [(-float(row[j]), names[j]) for j in found])[:k]
+            score = queries @ matrix(part.column(1)).T
+            np.round(score, 6, out=score)
+            # A score below the k-th best of this part or of those before is none of the best; equal ones stay until ids decide.
+            for i in np.flatnonzero(np.fmax.reduce(score, axis=1) >= full):
+                row = score[i]
+                bound = max(full[i], np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf)
+                best[i] = sorted(best[i] + [(-float(row[j]), names[j]) for j in np.flatnonzero(row >= bound)])[:k]
+                if len(best[i]) == k:
+                    full[i] = -best[i][-1][0]
     rows = [(i, name, -minus) for i, own in enumerate(best) for minus, name in own]
     if rows:
         i, name, score = zip(*rows)

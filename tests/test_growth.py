@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as T
-from quillrank.operators import inverted, models, resolve
+from quillrank.operators import inverted, models, resolve, vector
 from quillrank.plans import QUERIES, retrieval_queries
 from quillrank.sources import tables as S
 
@@ -55,3 +56,15 @@ def test_whole_numbers_are_an_equality(spark):
 def test_summary_places_need_no_window_for_each_query(spark, sf_dir):
     plan = QUERIES["summary_flow"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not any("windowspecdefinition(query_id" in line for line in plan.split("\n"))
+
+
+def test_best_vectors_in_narrow_parts(monkeypatch):
+    monkeypatch.setattr(vector, "CELLS", 30)  # three vectors at a time
+    rng = np.random.default_rng(1)
+    queries, rows = rng.integers(-2, 3, (10, 4)).astype(float), rng.integers(-2, 3, (50, 4)).astype(float)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"n{i:02}" for i in range(50)]), pa.array(rows.tolist())], ["node_id", "embedding"])
+    sent = type("Sent", (), {"value": (pa.array(range(10)), queries)})
+    out = pa.Table.from_batches(vector._best(iter([batch.slice(0, 2), batch.slice(2)]), sent, 7)).to_pylist()
+    for i in range(10):
+        best = sorted((-float(s), f"n{j:02}") for j, s in enumerate(rows @ queries[i]))[:7]
+        assert [(-r["score"], r["node_id"]) for r in out if r["query_id"] == i] == best
