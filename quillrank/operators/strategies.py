@@ -32,6 +32,8 @@ INTENT = (
 )
 #: Aspects that are searched for, characters that a reranker reads, factors of a matched keyword.
 ASPECTS, READ, BOOST, BALANCED_BOOST = 3, 1024, 1.2, 1.3
+#: Candidates, each with its query's text, up to which they are broadcast to the texts.
+CANDIDATES = 50_000
 
 
 @dataclass
@@ -188,7 +190,9 @@ def choose(found: DataFrame, intents: DataFrame, corpus: Corpus, attempt: Attemp
     texts = corpus.chunks.where("full_text <> ''").select("node_id", "canonical", "full_text")
     body = F.substring(F.concat("canonical", F.lit(" - "), "full_text"), 1, READ)
     score = T.boost(scorer(F.col("query"), body), F.col("full_text"), F.col("boost"), BALANCED_BOOST if balanced else BOOST)
-    scored = seeds.join(bounded(about), "query_id").join(texts, "node_id").withColumn("score", F.round(score, 6))
+    # The candidates are written and counted, so the texts aren't shuffled to meet a few of them.
+    met = bounded(written(seeds.join(bounded(about), "query_id"), "candidates"), CANDIDATES)
+    scored = texts.join(met, "node_id").withColumn("score", F.round(score, 6))
     if attempt.mode == "mmr":
         picked = fusion.mmr(scored.select("query_id", "node_id", "score", "n", F.col("full_text").alias("text")), F.col("n"))
         return picked.select("query_id", "node_id", "score", F.col("place").alias("rank"))
