@@ -38,7 +38,8 @@ def all_edges(relations: DataFrame, mentions: DataFrame, chunks: DataFrame) -> D
         edge(mentions, "entity", "tree_node", F.lit("MENTIONED_IN"), order(1, *place, step(1))),
         edge(structure(chunks), "src", "dst", F.col("type"), order(2, *none, step(0))),
     ]
-    return last_writer(reduce(DataFrame.unionByName, written))
+    # Pairs hardly repeat within a task, so a sort of what it reads would combine nothing: edges are dealt first and sorted once, by pairs.
+    return last_writer(reduce(DataFrame.unionByName, written).repartition("src", "dst"))
 
 
 def nodes(entities: DataFrame, chunks: DataFrame, titles: DataFrame | None = None) -> DataFrame:

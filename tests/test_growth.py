@@ -68,3 +68,8 @@ def test_best_vectors_in_narrow_parts(monkeypatch):
     for i in range(10):
         best = sorted((-float(s), f"n{j:02}") for j, s in enumerate(rows @ queries[i]))[:7]
         assert [(-r["score"], r["node_id"]) for r in out if r["query_id"] == i] == best
+
+
+def test_edges_are_dealt_before_they_are_sorted(spark, sf_dir):
+    plan = QUERIES["graph_edges"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [src" in plan
