@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,6 +19,15 @@ FROM, TO = K.accent_table()
 U = "(?U)"
 #: Texts that are Python strings at once.
 NFC_ROWS = 64
+#: Bytes of texts that are cut into words at once.
+CUT_BYTES = 4 << 20
+#: What a byte is to ``words``: 0 part of a word, 1 deleted, 2 white space.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[ord(c) for c in K.PUNCTUATION]] = 1
+_KINDS[[9, 10, 11, 12, 13, 32]] = 2
+#: White space beyond ASCII in UTF-8, and the bytes that it starts with.
+_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_LEADS = np.isin(np.arange(256), [s[0] for s in _SPACES])
 
 
 def text(c: Column) -> Column:
@@ -35,6 +45,43 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(text(c)), K.PUNCTUATION, ""), U + r"[\s\p{Z}]+"), lambda w: w != "")
 
 
+def words(lowered: pa.Array) -> Iterator[pa.Array]:
+    """The words of ``tokens`` for texts that are in lower case and not null, in slices of about ``CUT_BYTES``; no object is made for a word."""
+    ends = np.frombuffer(lowered.buffers()[1], np.int32)[lowered.offset : lowered.offset + len(lowered) + 1] if len(lowered) else np.zeros(1, np.int32)
+    data = np.frombuffer(lowered.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(lowered):
+        to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + CUT_BYTES, "right")) - 1)
+        yield _cut(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+        at = to
+
+
+def _cut(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    kinds = _KINDS[data]
+    leads = np.flatnonzero(_LEADS[data])
+    if len(leads):
+        padded = np.concatenate([data, np.zeros(2, np.uint8)])
+        for space in _SPACES:
+            found = leads[np.all([padded[leads + i] == b for i, b in enumerate(space)], axis=0)]
+            for i in range(len(space)):
+                kinds[found + i] = 2
+    stay = kinds != 1
+    before = np.concatenate([np.zeros(1, np.int32), np.cumsum(stay, dtype=np.int32)])
+    data, inside, ends = data[stay], kinds[stay] == 0, before[ends]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    starts = ends[:-1][ends[:-1] < len(data)]
+    first[starts] = inside[starts]  # a word ends with its text
+    stops = ends[1:][ends[1:] > 0] - 1
+    last[stops] = inside[stops]
+    starts = np.flatnonzero(first)
+    lengths = np.flatnonzero(last) + 1 - starts
+    offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(lengths, dtype=np.int32)])
+    found = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, ends).astype(np.int32)), found)
+
+
 def slug(c: Column) -> Column:
     s = F.regexp_replace(F.lower(F.trim(text(c))), U + r"\s+", "_")
     s = F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}_]", ""), "^_+|_+$", "")

@@ -4,8 +4,9 @@ Chunks are numbered by segment and place: a segment has up to ``SEGMENT`` chunks
 Below the index's path lie
 
 * ``segments``: for each segment its chunks' ids, text hashes and lengths,
-* ``postings``: for each term and segment the places that have the term, ascending, and how often;
-  cut into ``BUCKETS`` folders by a hash of the term and sorted by term within a file,
+* ``postings``: for each term and segment the places that have the term, ascending, how often, and
+  how many they are; cut into ``BUCKETS`` folders by a hash of the term, by the task that read the chunks.
+  Places and counts are bytes of whole numbers, so Spark moves a row's lists as they are,
 * ``terms``: for each batch the document frequency of each term, in the same buckets,
 * ``manifest``: one row for each batch of chunks that was added, with the version of the source,
   the corpus' size and the mean idf after it.  It is written last: a batch without it doesn't exist.
@@ -39,12 +40,19 @@ SEGMENT = 4096
 #: Words after which a segment is closed, so that a task's memory doesn't follow the texts' lengths.
 WORDS = 4_000_000
 BUCKETS = 32
+#: A term is scored by a matrix product if its pairs of a query and a chunk are this fraction of all pairs; so many terms at once.
+WIDE, TERMS = 64, 256
 #: Queries that are scored at once; a task holds a number for each of them and each chunk of a segment.
 QUERIES = 2048
 
 _MANIFEST = "batch int, version string, n bigint, words bigint, mean double"
-_SEGMENTS = "segment bigint, ids array<string>, hashes array<bigint>, lengths array<int>"
-_POSTINGS = "term string, segment bigint, places array<int>, counts array<int>"
+_HEAD = "ids array<string>, hashes array<bigint>, lengths array<int>"
+_SEGMENTS = f"segment bigint, {_HEAD}"
+_POSTINGS = "term string, segment bigint, n int, places array<int>, counts array<int>"
+#: As they are stored: places take two bytes each and counts four, least first.
+_STORED = _POSTINGS.replace("array<int>", "binary")
+#: Where a batch's segments lie among its postings until they have their own folder.
+_HEADS = -1
 
 
 def bucket(term: str | Column) -> Column:
@@ -71,7 +79,7 @@ class Index:
         return self._read("segments", f"{_SEGMENTS}, batch int")
 
     def postings(self) -> DataFrame:
-        return self._read("postings", f"{_POSTINGS}, batch int, bucket int")
+        return self._read("postings", f"{_STORED}, batch int, bucket int")
 
     def terms(self) -> DataFrame:
         return self._read("terms", "term string, df bigint, batch int, bucket int")
@@ -90,19 +98,19 @@ class Index:
         return self._add(src, 0, version)
 
     def _add(self, src: DataFrame, batch: int, version: str | None) -> int:
-        # A task packs its own chunks; segments and postings are two parts of what it wrote, so they agree.
-        staged = f"{self.path}/staged"
-        rows = src.select("node_id", "h", T.tokens(F.col("text")).alias("tokens"))
-        packed = rows.mapInArrow(partial(_pack, first=batch << 48), f"{_POSTINGS}, ids array<string>, hashes array<bigint>, lengths array<int>")
-        packed.write.mode("overwrite").option("compression", "zstd").parquet(staged)
-        packed = self.spark.read.schema(packed.schema).parquet(staged)
-        packed.where("term is null").select("segment", "ids", "hashes", "lengths").write.mode("overwrite").parquet(f"{self.path}/segments/batch={batch}")
-        dealt = packed.where("term is not null").select("term", "segment", "places", "counts", bucket("term").alias("bucket"))
-        # By ranges, so that a term of all chunks is several tasks' work.
-        dealt = dealt.repartitionByRange("bucket", "term", "segment").sortWithinPartitions("bucket", "term", "segment")
-        dealt.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/postings/batch={batch}")
-        made = self.spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{self.path}/postings/batch={batch}")
-        df = made.groupBy("bucket", "term").agg(F.sum(F.size("places")).alias("df"))
+        # A task packs its own chunks and writes them as they are: a row is one term of one segment, so no shuffle is needed
+        # to part a term of all chunks.  Segments and postings are two parts of what it wrote, so they agree.
+        path = f"{self.path}/postings/batch={batch}"
+        rows = src.select("node_id", "h", F.lower("text").alias("text"))
+        packed = rows.mapInArrow(partial(_pack_texts, first=batch << 48), f"{_STORED}, {_HEAD}")
+        own = F.when(F.col("term").isNull(), _HEADS).otherwise(bucket("term")).alias("bucket")
+        packed.select("*", own).write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
+        written = self.spark.read.schema(f"{_STORED}, {_HEAD}, bucket int").option("basePath", path)
+        heads = written.parquet(path).where(F.col("bucket") == _HEADS)
+        heads.select("segment", "ids", "hashes", "lengths").write.mode("overwrite").parquet(f"{self.path}/segments/batch={batch}")
+        remove(self.spark, f"{path}/bucket={_HEADS}")
+        made = written.parquet(path)
+        df = made.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
         df.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/batch={batch}")
         here = self.spark.read.schema(_SEGMENTS).parquet(f"{self.path}/segments/batch={batch}")
         added = here.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))).first()
@@ -112,7 +120,6 @@ class Index:
         mean = every.groupBy("term").agg(F.sum("df").alias("df")).agg(F.sum(_raw(n)) / F.count("*")).first()[0]
         state = self.spark.createDataFrame([(batch, version, n, words, float(mean or 0.0))], _MANIFEST)
         state.write.mode("overwrite").json(f"{self.path}/manifest/{batch}")
-        remove(self.spark, staged)
         return added[0]
 
     def statistics(self) -> DataFrame:
@@ -120,8 +127,8 @@ class Index:
         state = self.state()
         return self.terms().groupBy("term").agg(F.sum("df").alias("df")).select("term", "df", _idf(state).alias("idf"))
 
-    def weights(self, queries: DataFrame) -> tuple[DataFrame, list[int], object]:
-        """((block, term, queries, weights) rows, the buckets they are in, how to send them)."""
+    def weights(self, queries: DataFrame) -> tuple[DataFrame, list[int], int, object]:
+        """((block, term, queries, weights) rows, the buckets they are in, the number of blocks, how to send them)."""
         state = self.state()
         words = queries.agg(F.sum(F.size(T.tokens(F.col("query")))), F.count("*")).first()
         sent = F.broadcast if (words[0] or 0) <= lexical.MAX_TERMS else lambda df: df
@@ -129,9 +136,10 @@ class Index:
         buckets = sorted(r[0] for r in asked.select(bucket("term")).distinct().collect())  # ``BUCKETS`` at most
         df = self.terms().where(F.col("bucket").isin(buckets)).join(sent(asked.select("term").distinct()), "term").groupBy("term").agg(F.sum("df").alias("df"))
         weighed = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * _idf(state)).alias("weight"))
-        block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-words[1] // QUERIES)))).cast("int").alias("block")
+        blocks = max(1, -(-words[1] // QUERIES))
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
         grouped = weighed.groupBy(block, "term").agg(F.collect_list(F.struct("query_id", "weight")).alias("x"))
-        return grouped.select("block", "term", F.col("x.query_id").alias("queries"), F.col("x.weight").alias("weights")), buckets, sent
+        return grouped.select("block", "term", F.col("x.query_id").alias("queries"), F.col("x.weight").alias("weights")), buckets, blocks, sent
 
     def search(self, queries: DataFrame, k: int | None = None, positive: bool = False) -> DataFrame:
         """(query_id, node_id, score) of the pairs that share a term, of each query's k best at least; scores have 6 digits.
@@ -140,14 +148,14 @@ class Index:
         ``lexical.top_k``.  ``positive`` leaves scores of 0 and less out before that.
         """
         state = self.state()
-        asked, buckets, sent = self.weights(queries)
+        asked, buckets, n, sent = self.weights(queries)
         kind = queries.schema["query_id"].dataType.simpleString()
         found = self.postings().where(F.col("bucket").isin(buckets)).select("term", "segment", "places", "counts").join(sent(asked), "term")
         none = lambda t: F.lit(None).cast(t)
         rows = found.select("segment", "block", "places", "counts", "queries", "weights", none("array<string>").alias("ids"), none("array<int>").alias("lengths"))
-        blocks = asked.select("block").distinct()
+        blocks = self.spark.range(n).select(F.col("id").cast("int").alias("block"))
         heads = self.segments().select("segment", "ids", "lengths").join(F.broadcast(blocks), F.lit(True))  # a row for each block of queries
-        heads = heads.select("segment", "block", none("array<int>").alias("places"), none("array<int>").alias("counts"), none(f"array<{kind}>").alias("queries"), none("array<double>").alias("weights"), "ids", "lengths")
+        heads = heads.select("segment", "block", none("binary").alias("places"), none("binary").alias("counts"), none(f"array<{kind}>").alias("queries"), none("array<double>").alias("weights"), "ids", "lengths")
         dealt = heads.unionByName(rows).repartition("segment", "block").sortWithinPartitions("segment", "block", F.asc(F.col("ids").isNull()))
         average = state["words"] / state["n"] if state["n"] else 0.0
         work = partial(_score, average=average, k=k, positive=positive)
@@ -175,26 +183,55 @@ def _pack(batches: Iterator[pa.RecordBatch], first: int, most: int = WORDS) -> I
         yield from _segment(held, number)
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """(node_id, hash, text in lower case) rows to segments as they are stored."""
+
+    def cut() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for words in T.words(batch.column(2).cast(pa.string())):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(words)), batch.column(1).slice(at, len(words)), words], ["node_id", "h", "tokens"])
+                at += len(words)
+
+    for batch in _pack(cut(), first):
+        yield pa.RecordBatch.from_arrays([_bytes(c, "<u2" if name == "places" else "<i4") if name in ("places", "counts") else c for name, c in zip(batch.schema.names, batch.columns)], batch.schema.names)
+
+
+def _bytes(lists: pa.Array, kind: str) -> pa.Array:
+    """Each list's numbers as bytes; no list is empty bytes."""
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(np.maximum(_lengths(lists.fill_null([])), 0), dtype=np.int32)])
+    values = lists.flatten().to_numpy().astype(kind)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends * values.itemsize), pa.py_buffer(values)])
+
+
+def _numbers(column: pa.Array, kind: str) -> list[np.ndarray]:
+    """The numbers of each row of such bytes."""
+    data = column.buffers()[2] or b""
+    width = np.dtype(kind).itemsize
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    return [np.frombuffer(data, kind, (b - a) // width, a) if b > a else np.zeros(0, kind) for a, b in zip(ends, ends[1:])]
+
+
 def _lengths(lists: pa.Array) -> np.ndarray:
     return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
 
 
 def _segment(held: list[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
     """A segment's words are numbered by their first place and counted by a sort of (word, place) keys; no object is made for a word."""
-    names = ["term", "segment", "places", "counts", "ids", "hashes", "lengths"]
+    names = ["term", "segment", "n", "places", "counts", "ids", "hashes", "lengths"]
     none = lambda n, kind: pa.nulls(n, pa.list_(kind))
     one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
     column = lambda i: pa.concat_arrays([b.column(i) for b in held])
     lengths = np.concatenate([_lengths(b.column(2)) for b in held])
-    head = [pa.array([None], pa.string()), pa.array([number], pa.int64()), none(1, pa.int32()), none(1, pa.int32()), one(column(0), pa.string()), one(column(1), pa.int64()), one(pa.array(lengths), pa.int32())]
+    head = [pa.array([None], pa.string()), pa.array([number], pa.int64()), pa.nulls(1, pa.int32()), none(1, pa.int32()), none(1, pa.int32()), one(column(0), pa.string()), one(column(1), pa.int64()), one(pa.array(lengths), pa.int32())]
     yield pa.RecordBatch.from_arrays(head, names)
     coded = pa.concat_arrays([b.column(2).flatten() for b in held]).dictionary_encode()
     n, size = len(coded.dictionary), len(lengths)
     keys = coded.indices.to_numpy().astype(np.int64) * size + np.repeat(np.arange(size), lengths)
     keys, count = np.unique(keys, return_counts=True)  # places ascend within a term
-    ends = pa.array(np.searchsorted(keys, np.arange(n + 1) * size).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (keys % size, count)]
-    rows = [coded.dictionary.cast(pa.string()), pa.array(np.full(n, number)), *lists, none(n, pa.string()), none(n, pa.int64()), none(n, pa.int32())]
+    ends = np.searchsorted(keys, np.arange(n + 1) * size).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (keys % size, count)]
+    rows = [coded.dictionary.cast(pa.string()), pa.array(np.full(n, number)), pa.array(np.diff(ends)), *lists, none(n, pa.string()), none(n, pa.int64()), none(n, pa.int32())]
     whole = pa.RecordBatch.from_arrays(rows, names)
     for i in range(0, n, 20_000):
         yield whole.slice(i, 20_000)
@@ -212,17 +249,20 @@ def _idf(state) -> Column:
 def _score(batches: Iterator[pa.RecordBatch], average: float, k: int | None, positive: bool) -> Iterator[pa.RecordBatch]:
     """A segment's chunks come first, then the rows of its terms."""
     best: dict = {}
-    scores: dict = {}
-    met: dict = {}
+    rows: list = []
     key = ids = norm = kind = None
 
     def done() -> Iterator[pa.RecordBatch]:
         out_q, out_n, out_s = [], [], []
-        for query, total in scores.items():
-            at = np.flatnonzero(met[query])
-            value = np.round(total[at], 6)
-            if positive:
-                at, value = at[value > 0], value[value > 0]
+        asked, total, met = _totals(rows, norm, not positive) if rows else ([], [], None)
+        for i, query in enumerate(asked):
+            value = np.round(total[i], 6)
+            had = best.get(query, [])
+            if positive:  # once k are found, only what may be among them
+                at = np.flatnonzero(value >= -had[-1][0] if k is not None and len(had) == k else value > 0)
+            else:
+                at = np.flatnonzero(met[i])
+            value = value[at]
             if k is None:
                 out_q += [query] * len(at)
                 out_n += [ids[i] for i in at]
@@ -231,28 +271,59 @@ def _score(batches: Iterator[pa.RecordBatch], average: float, k: int | None, pos
             if len(at) > k:  # ties with the last one stay until ids decide
                 least = np.partition(value, len(value) - k)[len(value) - k]
                 at, value = at[value >= least], value[value >= least]
-            best[query] = sorted(best.get(query, []) + [(-v, ids[i]) for i, v in zip(at, value.tolist())])[:k]
+            if len(at):
+                best[query] = sorted(had + [(-v, ids[i]) for i, v in zip(at, value.tolist())])[:k]
         if out_q:
             yield pa.RecordBatch.from_arrays([pa.array(out_q, kind), pa.array(out_n), pa.array(np.concatenate(out_s))], ["query_id", "node_id", "score"])
 
     for batch in batches:
         kind = batch.schema.field(4).type.value_type
-        for segment, block, places, counts, queries, weights, own, lengths in zip(*[c.to_pylist() if i in (0, 1, 4, 6) else c for i, c in enumerate(batch.columns)]):
+        columns = [_numbers(c, "<u2") if i == 2 else _numbers(c, "<i4") if i == 3 else c if i in (5, 7) else c.to_pylist() for i, c in enumerate(batch.columns)]
+        for segment, block, places, counts, queries, weights, own, lengths in zip(*columns):
             if (segment, block) != key:
                 yield from done()
-                key, ids = (segment, block), own
+                key, ids, rows = (segment, block), own, []
                 norm = lexical.K1 * (1 - lexical.B + lexical.B * lengths.values.to_numpy() / average)
-                scores, met = {}, {}
-                continue
-            at, tf = places.values.to_numpy(), counts.values.to_numpy()
-            part = tf * (lexical.K1 + 1) / (tf + norm[at])
-            for query, weight in zip(queries, weights.values.to_numpy()):
-                if query not in scores:
-                    scores[query], met[query] = np.zeros(len(norm)), np.zeros(len(norm), bool)
-                scores[query][at] += weight * part
-                met[query][at] = True
+            else:
+                rows.append((places, counts, queries, weights.values.to_numpy()))
     yield from done()
-    rows = [(query, node, -minus) for query, found in best.items() for minus, node in found]
-    if rows:
-        q, n, s = zip(*rows)
+    found = [(query, node, -minus) for query, nodes in best.items() for minus, node in nodes]
+    if found:
+        q, n, s = zip(*found)
         yield pa.RecordBatch.from_arrays([pa.array(q, kind), pa.array(n), pa.array(s, pa.float64())], ["query_id", "node_id", "score"])
+
+
+def _totals(rows: list, norm: np.ndarray, marked: bool) -> tuple[list, np.ndarray, np.ndarray | None]:
+    """(queries, their scores of a segment's chunks, which of them share a term) of (places, counts, queries, weights) rows.
+
+    A term of many chunks and queries is a row of a matrix product; others are added place by place.
+    """
+    asked = list(dict.fromkeys(q for _, _, queries, _ in rows for q in queries))
+    number = {q: i for i, q in enumerate(asked)}
+    total = np.zeros((len(asked), len(norm)))
+    met = np.zeros(total.shape, bool) if marked else None
+    wide = []
+    for at, tf, queries, weights in rows:
+        own = [number[q] for q in queries]
+        if marked:
+            met[np.ix_(own, at)] = True
+        part = tf * (lexical.K1 + 1) / (tf + norm[at])
+        if len(own) * len(at) * WIDE >= total.size:
+            wide.append((at, part, own, weights))
+            if len(wide) == TERMS:
+                _multiply(wide, total)
+                wide = []
+            continue
+        for i, weight in zip(own, weights.tolist()):
+            total[i][at] += weight * part
+    _multiply(wide, total)
+    return asked, total, met
+
+
+def _multiply(wide: list, total: np.ndarray) -> None:
+    terms, weighed = np.zeros((len(wide), total.shape[1])), np.zeros((total.shape[0], len(wide)))
+    for j, (at, part, own, weights) in enumerate(wide):
+        terms[j, at] = part
+        weighed[own, j] = weights
+    for i in range(0, len(total), TERMS):
+        total[i : i + TERMS] += weighed[i : i + TERMS] @ terms
