@@ -14,7 +14,7 @@ requests of a query have its vector.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +30,7 @@ INTENT = (
     "query_id bigint, query string, documents array<string>, article_hint string, sub_queries array<string>, topic string, keywords array<string>, "
     "check_aspects array<string>, procedure_keywords array<string>, term string, expand_search boolean"
 )
-#: Aspects that are searched for, characters that a reranker reads, factors of a matched keyword.
+#: Aspects that are searched for, characters that a reranker reads if an attempt doesn't say otherwise, factors of a matched keyword.
 ASPECTS, READ, BOOST, BALANCED_BOOST = 3, 1024, 1.2, 1.3
 #: Candidates, each with its query's text, up to which they are broadcast to the texts.
 CANDIDATES = 50_000
@@ -59,6 +59,7 @@ class Attempt:
     boost: Column | None = None
     mode: str = "best"  # or "mmr", or "balanced" with at least so many of each document
     least: Column | None = None
+    read: int | None = READ  # characters of a candidate that are scored; None for its whole text
 
 
 def _docs() -> Column:
@@ -136,6 +137,8 @@ def strategies(k: int) -> dict[str, list[Attempt]]:
         return [Attempt("scoped", plain(c(2 * d), c(2 * d), True), c(2 * d), _named()), Attempt("global", plain(c(2 * d), c(d), False), c(2 * d))]
 
     last = Attempt("fallback", plain(c(3 * k), c(2 * k), False), c(2 * k), _named())
+    # What a question across documents asks for may stand anywhere in a text.
+    whole = lambda attempts: [replace(a, read=None) for a in attempts]
     few = n_docs < 2
     small = [Attempt(a.name, a.requests, a.n, few if a.applies is None else few & a.applies) for a in default(2 * k)]
     return {
@@ -144,7 +147,7 @@ def strategies(k: int) -> dict[str, list[Attempt]]:
         "listing": [Attempt("main", multi_query(wider, wider), wider, mode="mmr"), last],
         "eligibility_check": [Attempt("main", with_aspects(c(k), c(k)), c(k + 3)), last],
         "procedure": [Attempt("main", multi_query(c(k), c(3 * k)), c(2 * k), boost=_keywords(said("procedure_keywords"))), last],
-        "cross_document": [Attempt("main", multi_query(c(2 * k), c(k + 3)), c(k + 3), mode="mmr"), Attempt("global", plain(c(3 * k), c(2 * k), False), c(2 * k)), last],
+        "cross_document": whole([Attempt("main", multi_query(c(2 * k), c(k + 3)), c(k + 3), mode="mmr"), Attempt("global", plain(c(3 * k), c(2 * k), False), c(2 * k)), last]),
         "definition": [Attempt("main", multi_query(c(k), c(2 * k)), c(2 * k), boost=_keywords(term)), Attempt("global", plain(c(k), c(2 * k), False), c(2 * k), boost=_keywords(term)), last],
         "default": [*default(k), last],
     }
@@ -188,7 +191,8 @@ def choose(found: DataFrame, intents: DataFrame, corpus: Corpus, attempt: Attemp
     seeds = seeds.where(F.col("node_id").startswith("node:")).select("query_id", *["document"] * balanced, "node_id").distinct()
     about = intents.select("query_id", "query", attempt.n.cast("int").alias("n"), (attempt.boost if attempt.boost is not None else _keywords()).alias("boost"), (attempt.least if balanced else F.lit(0)).cast("int").alias("least"))
     texts = corpus.chunks.where("full_text <> ''").select("node_id", "canonical", "full_text")
-    body = F.substring(F.concat("canonical", F.lit(" - "), "full_text"), 1, READ)
+    body = F.concat("canonical", F.lit(" - "), "full_text")
+    body = body if attempt.read is None else F.substring(body, 1, attempt.read)
     score = T.boost(scorer(F.col("query"), body), F.col("full_text"), F.col("boost"), BALANCED_BOOST if balanced else BOOST)
     # The candidates are written and counted, so the texts aren't shuffled to meet a few of them.
     met = bounded(written(seeds.join(bounded(about), "query_id"), "candidates"), CANDIDATES)

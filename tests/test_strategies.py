@@ -188,6 +188,20 @@ def test_neighbours_are_candidates(spark, world):
     assert {r.node_id for r in both.collect()} == {"node:00", "node:38"}
 
 
+def test_cross_document_scores_whole_texts(spark, world):
+    """Words that stand late in a long text count, in every attempt."""
+    late = " ".join(["filler"] * 1000) + " alpha omega"
+    chunks = spark.createDataFrame([("node:early", "law0", "alpha " + "filler " * 1000), ("node:late", "law0", late)], "node_id string, canonical string, full_text string")
+    found = spark.createDataFrame([(0, None, "node:early"), (0, None, "node:late")], "query_id bigint, document string, node_id string")
+    intent = spark.createDataFrame([(0, "alpha omega", None, None, None, None, None, None, None, None, None)], strategies.INTENT)
+    corpus = strategies.Corpus(chunks, world[0].index, world[0].vectors, world[0].query_vectors)
+    attempts = strategies.strategies(K)["cross_document"]
+    assert [a.name for a in attempts] == ["main", "global", "fallback"]
+    for attempt in attempts:
+        got = sorted((r["rank"], r.node_id, r.score) for r in strategies.choose(found, intent, corpus, attempt).collect())
+        assert got == [(0, "node:late", 1.0), (1, "node:early", 0.5)]
+
+
 def test_no_intents(spark, world):
     none = spark.createDataFrame([], strategies.INTENT)
     assert strategies.retrieve(none, "listing", world[0], K).collect() == [] and strategies.retrieve(none, "single_lookup", world[0], K).where(F.lit(True)).count() == 0
